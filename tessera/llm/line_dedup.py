@@ -71,9 +71,11 @@ class Cuckoo:
             if not self.blocks or np.count_nonzero(self.blocks[-1]) >= room:
                 self.blocks.append(np.zeros((self.BUCKETS, 4), np.uint16))
             b = self.blocks[-1]
-            now, h = h[: max(1, room - np.count_nonzero(b))], h[max(1, room - np.count_nonzero(b)) :]
+            k = max(1, room - np.count_nonzero(b))
+            now, h = h[:k], h[k:]
             fp, one, two = self.places(now)
-            for at in (one, two):
+            for second in (False, True):
+                at = two if second else one
                 order = np.argsort(at, kind="stable")
                 a = at[order]
                 first = np.r_[True, a[1:] != a[:-1]]
@@ -83,10 +85,8 @@ class Cuckoo:
                 b[a[fits], cell[fits]] = fp[order][fits]
                 rest = np.sort(order[~fits])
                 fp, one, two = fp[rest], one[rest], two[rest]
-                if at is one or not len(rest):
-                    if not len(rest):
-                        break
-                at = two
+                if not len(rest):
+                    break
             for f, at in zip(fp.tolist(), one.tolist()):
                 self._evict(f, at)
 
