@@ -1,11 +1,13 @@
 """The registered queries of this subpackage and their DuckDB SQL."""
 
-from . import line_dedup
+from . import line_dedup, warc
 
 QUERIES = {
+    "op9_warc": warc.op9_warc,
     "op10_line_dedup": line_dedup.op10_line_dedup,
 }
 
 SQL = {
+    "op9_warc": warc.SQL,
     "op10_line_dedup": line_dedup.SQL,
 }

@@ -73,7 +73,7 @@ def parsed(p: DataFrame) -> DataFrame:
     """
     p = p.withColumn("head", F.substring_index("body", END, 1)).withColumn("raw", F.col("body").cast("binary"))
     p = p.withColumn("len", F.octet_length("raw").cast("long")).withColumn("head_len", F.octet_length("head").cast("long") + 4)
-    p = p.withColumn("size", F.expr("try_cast(content_length AS bigint)") if "content_length" in p.columns else F.expr("try_cast(x AS bigint)") if False else _header(F.col("head"), "Content-Length").try_cast("long"))
+    p = p.withColumn("size", _header(F.col("head"), "Content-Length").try_cast("long"))
     p = p.withColumn("type", _header(F.col("head"), "WARC-Type"))
     p = p.withColumn("block_head", F.when(_header(F.col("head"), "Content-Type").startswith("application/http"), F.octet_length(F.substring_index(F.expr("substring(body, length(head) + 5, length(body))"), END, 1)).cast("long") + 4).otherwise(F.lit(0).cast("long")))
     p = p.withColumn("payload_bytes", F.col("size") - F.col("block_head"))
