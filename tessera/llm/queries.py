@@ -1,13 +1,20 @@
 """The registered queries of this subpackage and their DuckDB SQL."""
 
-from . import line_dedup, warc
+from . import decontamination, line_dedup, mixing, quality, sharding, toxicity, url_filter, warc
 
 QUERIES = {
+    "op1_toxicity": toxicity.op1_toxicity,
+    "op4_sharding": sharding.op4_sharding,
+    "op5_decontamination": decontamination.op5_decontamination,
+    "op6_url_filter": url_filter.op6_url_filter,
+    "op7_quality": quality.op7_quality,
+    "op8_mixing": mixing.op8_mixing,
     "op9_warc": warc.op9_warc,
     "op10_line_dedup": line_dedup.op10_line_dedup,
 }
 
 SQL = {
+    "op8_mixing": mixing.SQL,
     "op9_warc": warc.SQL,
     "op10_line_dedup": line_dedup.SQL,
 }
