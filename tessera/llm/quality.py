@@ -27,7 +27,7 @@ from .common import load, saved
 
 MAX_TRAIN = 20_000
 #: Documents whose probability of being good is below this are rejected.
-REJECT_BELOW = 0.35
+REJECT_BELOW = 0.25
 #: Up to so many sites (three numbers each) are broadcast; more are joined by a shuffle.
 BROADCAST_SITES = 100_000
 NAMES = ("upper", "digit", "blank", "mark", "symbol", "word_len", "repeat_words", "repeat_lines", "end_symbol", "log_words")

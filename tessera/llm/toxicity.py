@@ -2,7 +2,7 @@
 
 Training, on at most MAX_DOCS labelled documents of each class (those of least hash among texts of at most MAX_CHARS;
 rows whose crc32(doc_id) mod 4 is 2 never train):
-  1. tokens are labelled from document labels: in toxic documents, a token is toxic whose word or prefix is found in
+  1. tokens are labelled from document labels: in toxic documents, a token is toxic whose word is found in
      toxic documents far more often than in clean ones; all tokens of clean documents are clean;
   2. the field (features: word, 4- and 5-letter prefix; transitions between the two states) is fitted to these token
      sequences by gradient steps on the exact forward-backward expectations;
@@ -28,16 +28,18 @@ from pyspark.sql import DataFrame, functions as F
 
 from .common import load
 
-MAX_DOCS, MAX_CHARS, MAX_TRAIN_TOKENS = 2_000, 20_000, 600_000
+MAX_DOCS, MAX_CHARS, MAX_TRAIN_TOKENS = 2_000, 20_000, 250_000
 THRESHOLD = 0.3
 BATCH_TOKENS = 1 << 20
-#: A feature marks toxic tokens if its odds in toxic documents are so many times those in clean ones.
-ODDS = 12.0
+#: A word marks toxic tokens if its odds in toxic documents are so many times those in clean ones, and if a G-test of
+#: that is beyond GUESS (one in a million: there are very many words to try).
+ODDS, GUESS = 12.0, 27.6
 _TOKEN = re.compile(r"[^\W\d_]+")
 
 
-def _features(word: str) -> tuple[str, ...]:
-    return (word, "4" + word[:4], "5" + word[:5]) if len(word) > 4 else (word,)
+def _features(word: str, marked: set | dict = ()) -> tuple[str, ...]:
+    """A word of the lexicon speaks for itself; others also by their prefixes."""
+    return (word,) if len(word) < 5 or word in marked else (word, "4" + word[:4], "5" + word[:5])
 
 
 class _Emissions(dict):
@@ -50,13 +52,14 @@ class _Emissions(dict):
         if len(self) > 500_000:
             self.clear()
         m = self.model
-        out = self[token] = float(np.clip(m.bias + sum(m.weights.get(f, 0.0) for f in _features(token.lower())), -25, 25))
+        out = self[token] = float(np.clip(m.bias + sum(m.weights.get(f, 0.0) for f in _features(token.lower(), m.marked)), -25, 25))
         return out
 
 
 @dataclass
 class Model:
     weights: dict[str, float] = field(default_factory=dict)
+    marked: frozenset = frozenset()
     bias: float = -4.0
     #: a[i][j]: potential of state j after state i.
     a: tuple = ((1.0, 1.0), (1.0, 1.0))
@@ -149,7 +152,15 @@ def marginal(seqs: list[np.ndarray], a, pairs: list | None = None) -> list[np.nd
     return out
 
 
-def fit(rows: list[tuple[str, int]], weight_clean: float = 1.0, rounds: int = 40) -> Model:
+def _telling(a: int, n1: int, b: int, n0: int) -> bool:
+    if a < 3 or a / n1 < ODDS * (b + 0.1) / (n0 + 1):
+        return False
+    share = n1 / (n1 + n0)
+    g = a * np.log(a / ((a + b) * share)) + (b * np.log(b / ((a + b) * (1 - share))) if b else 0.0)
+    return 2 * g >= GUESS
+
+
+def fit(rows: list[tuple[str, int]], weight_clean: float = 1.0, rounds: int = 25) -> Model:
     """Fit on (text, toxic) documents; texts met twice count once."""
     rows = sorted(set(rows))
     n1 = sum(y for _, y in rows)
@@ -157,13 +168,25 @@ def fit(rows: list[tuple[str, int]], weight_clean: float = 1.0, rounds: int = 40
     if not n1 or not n0:
         return Model()
     docs = [(_TOKEN.findall(t.lower()), y) for t, y in rows]
-    seen = (Counter(), Counter())
+    # A document counts for a feature if it shows it in a context (word before and after) not met before: near copies of
+    # a toxic document would otherwise make all their rare words look toxic.
+    fresh, met = [], (set(), set())
     for words, y in docs:
-        seen[y].update({f for w in set(words) for f in _features(w)})
-    least = max(3, n1 // 150)
-    odds = lambda f: (seen[1][f] + 0.1) / (n1 + 1) / ((seen[0][f] + 0.1) / (n0 + 1))
-    strong = {f for f, n in seen[1].items() if n >= least and odds(f) >= ODDS}
-    used = {f for f in strong} | {f for f, n in seen[0].items() if n >= 3} | {f for f, n in seen[1].items() if n >= 3}
+        new = set()
+        for before, w, after in zip(["", *words], words, [*words[1:], ""]):
+            c = hash((before, w, after))
+            if c not in met[y]:
+                met[y].add(c)
+                new.add(w)
+        fresh.append(new)
+    del met
+    seen = (Counter(), Counter())
+    for new, (_, y) in zip(fresh, docs):
+        seen[y].update(new)
+    marked = {w for w, n in seen[1].items() if _telling(n, n1, seen[0][w], n0)}
+    common = Counter(f for new in fresh for w in new for f in _features(w, marked))
+    used = {f for f, n in common.items() if n >= 3}
+    del fresh, common
     # Token sequences: toxic documents first, then clean ones, up to the bound.
     seqs, gold, tokens = [], [], 0
     turns = [[d for d in docs if d[1] == y] for y in (1, 0)]
@@ -172,14 +195,14 @@ def fit(rows: list[tuple[str, int]], weight_clean: float = 1.0, rounds: int = 40
             if pair < len(side) and tokens < MAX_TRAIN_TOKENS:
                 words, y = side[pair]
                 seqs.append(words)
-                gold.append(np.array([y == 1 and any(f in strong for f in _features(w)) for w in words], float))
+                gold.append(np.array([y == 1 and w in marked for w in words], float))
                 tokens += len(words)
     index = {f: k for k, f in enumerate(sorted(used))}
     types: dict[str, int] = {}
     ids = [np.array([types.setdefault(w, len(types)) for w in s], np.int64) for s in seqs]
     rows_, cols = [], []
     for w, k in types.items():
-        for f in _features(w):
+        for f in _features(w, marked):
             if f in index:
                 rows_.append(k)
                 cols.append(index[f])
@@ -204,7 +227,7 @@ def fit(rows: list[tuple[str, int]], weight_clean: float = 1.0, rounds: int = 40
         w += 0.8 * gw / np.sqrt(grad2[0])
         bias += 0.3 * gb / np.sqrt(grad2[1])
         trans = np.clip(trans + 0.2 * gt / np.sqrt(grad2[2]), -4, 4)
-    model = Model({f: float(w[k]) for f, k in index.items() if abs(w[k]) > 1e-4}, float(bias), tuple(map(tuple, np.exp(trans).reshape(2, 2))))
+    model = Model({f: float(w[k]) for f, k in index.items() if abs(w[k]) > 1e-4}, frozenset(marked), float(bias), tuple(map(tuple, np.exp(trans).reshape(2, 2))))
     x, y, emit = [], [], _Emissions(model)
     for words, label in docs:
         x.append(_evidence(marginal([np.array([emit[t] for t in words])], model.a)[0]))
@@ -212,11 +235,11 @@ def fit(rows: list[tuple[str, int]], weight_clean: float = 1.0, rounds: int = 40
     x, y = np.array(x), np.array(y, float)
     c = np.where(y == 1, 1.0, weight_clean)
     theta = np.array([0.0, 0.0, 0.0, -3.0])
-    for _ in range(60):
+    for _ in range(200):  # Newton steps, shortened so that well separated classes can't throw them off
         q = 1 / (1 + np.exp(-np.clip(x @ theta, -30, 30)))
         g = x.T @ (c * (y - q)) - 0.5 * theta
         step = np.linalg.solve((x * (c * q * (1 - q))[:, None]).T @ x + 0.5 * np.eye(4), g)
-        theta = theta + step
+        theta = theta + step * min(1.0, 1.0 / max(1e-9, np.abs(step).max()))
         if np.abs(step).max() < 1e-6:
             break
     model.calibration = tuple(theta)
