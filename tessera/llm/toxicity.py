@@ -228,11 +228,9 @@ def fit(rows: list[tuple[str, int]], weight_clean: float = 1.0, rounds: int = 25
         bias += 0.3 * gb / np.sqrt(grad2[1])
         trans = np.clip(trans + 0.2 * gt / np.sqrt(grad2[2]), -4, 4)
     model = Model({f: float(w[k]) for f, k in index.items() if abs(w[k]) > 1e-4}, frozenset(marked), float(bias), tuple(map(tuple, np.exp(trans).reshape(2, 2))))
-    x, y, emit = [], [], _Emissions(model)
-    for words, label in docs:
-        x.append(_evidence(marginal([np.array([emit[t] for t in words])], model.a)[0]))
-        y.append(label)
-    x, y = np.array(x), np.array(y, float)
+    emit = _Emissions(model)
+    x = np.array([_evidence(p) for p in marginal([np.array([emit[t] for t in words]) for words, _ in docs], model.a)])
+    y = np.array([label for _, label in docs], float)
     c = np.where(y == 1, 1.0, weight_clean)
     theta = np.array([0.0, 0.0, 0.0, -3.0])
     for _ in range(200):  # Newton steps, shortened so that well separated classes can't throw them off
