@@ -1,9 +1,11 @@
 """The registered queries of this subpackage and their DuckDB SQL."""
 
-from . import decontamination, line_dedup, mixing, quality, sharding, toxicity, url_filter, warc
+from . import decontamination, embedding_dedup, line_dedup, mixing, ngram_join, quality, sharding, toxicity, url_filter, warc
 
 QUERIES = {
     "op1_toxicity": toxicity.op1_toxicity,
+    "op2_embedding_dedup": embedding_dedup.op2_embedding_dedup,
+    "op3_ngram_join": ngram_join.op3_ngram_join,
     "op4_sharding": sharding.op4_sharding,
     "op5_decontamination": decontamination.op5_decontamination,
     "op6_url_filter": url_filter.op6_url_filter,
@@ -14,6 +16,7 @@ QUERIES = {
 }
 
 SQL = {
+    "op3_ngram_join": ngram_join.SQL,
     "op8_mixing": mixing.SQL,
     "op9_warc": warc.SQL,
     "op10_line_dedup": line_dedup.SQL,
