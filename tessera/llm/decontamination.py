@@ -248,17 +248,18 @@ def matches(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     return out
 
 
+def _is_clean(sent):
+    @F.pandas_udf("boolean")
+    def clean(text: pd.Series) -> pd.Series:
+        return pd.Series([not m for m in sent.value.find(list(text))], dtype=bool)
+
+    return clean
+
+
 def decontaminate(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """docs without the rows that hold benchmark items."""
-    spark = docs.sparkSession
     for block in blocks(benchmark):
-        sent = spark.sparkContext.broadcast(block)
-
-        @F.pandas_udf("boolean")
-        def clean(text: pd.Series, sent=sent) -> pd.Series:
-            return pd.Series([not m for m in sent.value.find(list(text))])
-
-        docs = docs.where(clean("text"))
+        docs = docs.where(_is_clean(docs.sparkSession.sparkContext.broadcast(block))("text"))
     return docs
 
 
