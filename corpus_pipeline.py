@@ -36,8 +36,8 @@ def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 
 def sharding_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Every row gets its size, shard and slot."""
-    out = sharding.shard(docs)
+    """Every row gets its size, shard and slot (in place of columns of those names)."""
+    out = sharding.shard(docs.drop("size", "shard", "slot"))
     return out.withColumnsRenamed({"shard_size": "size", "shard_shard": "shard", "shard_slot": "slot"})
 
 
