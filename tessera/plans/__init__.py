@@ -1,4 +1,5 @@
 """Registered queries over the driver's tables, with equivalent SQL."""
 
-QUERIES: dict = {}
-SQL: dict = {}
+from .queries import QUERIES, SQL
+
+__all__ = ["QUERIES", "SQL"]
