@@ -86,7 +86,7 @@ def _window_pairs(classes: DataFrame, passes: int, window: int) -> DataFrame:
     dealt = ranked.withColumn("block", F.explode(F.when((F.col("place") % BLOCK < window) & (block > 0), F.array(block, block - 1)).otherwise(F.array(block))))
     dealt = dealt.join(classes.select("id", "vec"), "id")
 
-    def compare(key, pdf: pd.DataFrame) -> pd.DataFrame:
+    def compare(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values("place")
         own = (pdf["place"] // BLOCK == key[0]).to_numpy()
         ids, lens = pdf["id"].to_numpy(), pdf["vec"].map(len).to_numpy()
@@ -114,7 +114,7 @@ def _links(classes: DataFrame, roots: DataFrame) -> DataFrame:
     m = m.select("root", "id", "mine", F.least("mine", "other").alias("i"), F.greatest("mine", "other").alias("j"))
     m = m.join(classes.select("id", "n", "vec"), "id")
 
-    def count(key, pdf: pd.DataFrame) -> pd.DataFrame:
+    def count(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
         x, norm = _unit(pdf["vec"])
         n, mine = pdf["n"].to_numpy(), pdf["mine"].to_numpy()
         links = np.zeros(len(pdf), np.int64)

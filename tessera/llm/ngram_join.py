@@ -159,7 +159,7 @@ def _extract(parts: int):
     return run
 
 
-def _count(key, pdf: pd.DataFrame) -> pd.DataFrame:
+def _count(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
     """One range of shingles: those of two or more sets go back to their chunks with their counts."""
     if key[0] < 0:
         return pdf[_COLS]
@@ -185,7 +185,7 @@ def _count(key, pdf: pd.DataFrame) -> pd.DataFrame:
     return pd.DataFrame(rows, columns=_COLS)
 
 
-def _assemble(key, pdf: pd.DataFrame) -> pd.DataFrame:
+def _assemble(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
     """One chunk: rows M (doc_id, n, sig) for its texts and R (sig, n, shared tokens, rarest first) for its sets."""
     by = {k: g for k, g in pdf.groupby("kind")}
     d, m = by["D"].iloc[0], by["M"].iloc[0]
