@@ -9,10 +9,10 @@ columns of documents pass through.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from tessera.llm import decontamination, mixing, ngram_join, quality, sharding
-from tessera.llm.common import load, saved
+from tessera.llm.common import load, packed, saved
 
 
 def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -37,8 +37,8 @@ def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 def sharding_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Every row gets its size, shard and slot (in place of columns of those names)."""
-    out = sharding.shard(docs.drop("size", "shard", "slot"))
-    return out.withColumnsRenamed({"shard_size": "size", "shard_shard": "shard", "shard_slot": "slot"})
+    out = sharding.shard(packed(docs.drop("size", "shard", "slot"), "doc_id", "text"))
+    return out.select("row.*", F.col("shard_size").alias("size"), F.col("shard_shard").alias("shard"), F.col("shard_slot").alias("slot"))
 
 
 STAGES = [

@@ -76,6 +76,11 @@ def _cleanup() -> None:
             return
 
 
+def packed(df: DataFrame, *cols: str) -> DataFrame:
+    """cols of df, and all of df as one column `row`: whatever names df has, they can't clash with those of an operator."""
+    return df.select(F.struct(*[F.col(f"`{c}`") for c in df.columns]).alias("row"), *cols)
+
+
 def shuffle_parts(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 

@@ -9,7 +9,8 @@ passages are found and so are questions asked again with other numbers, names or
 Two canonical forms are matched: one keeps names as lower-case words (copies with changed case), one replaces them.
 Windows with fewer than LITERALS plain words say too little and match only with their slots unchanged.
 
-A run is contamination if it covers RUN_TOKENS tokens, or the whole item where that is shorter. Items shorter than a
+A document holds an item if a run covers RUN_TOKENS of its tokens (the whole item where that is shorter), or if all runs
+together cover the share COVER of it. Items shorter than a
 window are matched whole (up to four tokens: only against documents that hold nothing else).
 
 The benchmark is read in blocks of about BLOCK_CHARS characters (bounded, so sent to all tasks); every block meets every
@@ -32,7 +33,7 @@ from pyspark.sql import DataFrame, functions as F
 
 from .common import load
 
-WINDOW, LITERALS, RUN_TOKENS = 8, 4, 13
+WINDOW, LITERALS, RUN_TOKENS, COVER = 8, 4, 13, 0.6
 BLOCK_CHARS = 16 << 20
 #: Documents of a batch are worked on so many tokens at a time.
 BATCH_TOKENS = 1 << 20
@@ -175,15 +176,16 @@ class Templates:
                             found[d, k][w - p].add(w)
         for (d, k), by in found.items():
             n = min(WINDOW, len(self.lit[k]))
-            best = None
+            size, best, covered = len(self.lit[k]), None, set()
             for shift, ws in by.items():
                 for a, b in _runs(sorted(ws), n):
                     a, b = self._consistent(lit, kind, k, shift, a, b)
-                    need = min(RUN_TOKENS, len(self.lit[k]))
-                    if b - a >= need and (best is None or b - a > best[2]):
-                        same = bool((lit[a:b] == self.lit[k][a - shift : b - shift]).all())
-                        best = (self.ids[k], int(a - start[d]), int(b - a), len(self.lit[k]), same)
-            if best:
+                    if b - a >= n:
+                        covered.update(range(a - shift, b - shift))
+                        if best is None or b - a > best[2]:
+                            same = bool((lit[a:b] == self.lit[k][a - shift : b - shift]).all())
+                            best = (self.ids[k], int(a - start[d]), int(b - a), size, same)
+            if best and (best[2] >= min(RUN_TOKENS, size) or len(covered) >= COVER * size):
                 out[d].append(best)
 
     def _consistent(self, lit, kind, k, shift, a, b) -> tuple[int, int]:

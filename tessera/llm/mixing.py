@@ -19,7 +19,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, Window, functions as F
 
-from .common import forget, global_rank, load, saved
+from .common import forget, global_rank, load, packed, saved
 
 WEIGHTS, SHARE, MOST = (3, 1, 2), 1.5, 2.0
 #: Bits of hash by which each histogram splits a range.
@@ -115,9 +115,8 @@ def mix(docs: DataFrame, weights=WEIGHTS, share: float = SHARE, most: float = MO
 
 def take(docs: DataFrame, **how) -> DataFrame:
     """The mix itself: docs' rows, each as often as it is taken."""
-    cols = docs.columns
-    out = mix(docs, **how).where("mix_copies > 0")
-    return out.withColumn("mix_copies", F.explode(F.sequence(F.lit(1), F.col("mix_copies")))).select(*cols)
+    out = mix(packed(docs, "doc_id", "text", "source"), **how).where("mix_copies > 0")
+    return out.select("row", F.explode(F.sequence(F.lit(1), F.col("mix_copies")))).select("row.*")
 
 
 def op8_mixing(spark, sf_dir: str) -> DataFrame:

@@ -12,7 +12,7 @@
 Defined results: null and empty texts have features 0 and are scored like any other; a null source or lang is a site of
 its own. Without labels of both classes every document scores 0.5 and is kept. Repeated rows count as often as they
 occur. Documents whose label is null or neither 0 nor 1 don't train. Extra columns are not read by the query and kept by
-filter_quality(); what is added there has the prefix "quality_" and is dropped again.
+filter_quality(), whatever their names; score() adds columns with the prefix "quality_".
 """
 
 from __future__ import annotations
@@ -23,7 +23,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, functions as F
 
-from .common import load, saved
+from .common import load, packed, saved
 
 MAX_TRAIN = 20_000
 #: Documents whose probability of being good is below this are rejected.
@@ -152,7 +152,7 @@ def score(docs: DataFrame, labels: DataFrame, max_train: int = MAX_TRAIN) -> Dat
 
 def filter_quality(docs: DataFrame, labels: DataFrame, reject_below: float = REJECT_BELOW) -> DataFrame:
     """The rows of docs that aren't rejected."""
-    return score(docs, labels).where(F.col("quality_score") >= reject_below).select(*docs.columns)
+    return score(packed(docs, "doc_id", "text", "source", "lang"), labels).where(F.col("quality_score") >= reject_below).select("row.*")
 
 
 def op7_quality(spark, sf_dir: str) -> DataFrame:

@@ -122,12 +122,12 @@ def shard(docs: DataFrame, shards: int = SHARDS) -> DataFrame:
 
     under = [0, *(n for _, n in cuts)]
     # One row for each part, shards * MAX_PARTS at most: bounded, so broadcast.
-    starts = spark.createDataFrame([(i, i // parts, under[i] - under[i - i % parts]) for i in range(len(under))], "_part int, shard_shard int, _start long")
+    starts = spark.createDataFrame([(i, i // parts, under[i] - under[i - i % parts]) for i in range(len(under))], "shard_part int, shard_shard int, shard_start long")
     # The one exchange: rows go to their part, in order of their key.
-    order = Window.partitionBy("_part").orderBy("shard_key")
-    out = keyed.drop("shard_shard", "shard_slot").withColumn("_part", place("shard_key")).withColumn("_row", F.row_number().over(order))
-    out = out.join(F.broadcast(starts), "_part").withColumn("shard_slot", F.col("_start") + F.col("_row") - 1)
-    return out.drop("_part", "_row", "_start", "shard_key")
+    order = Window.partitionBy("shard_part").orderBy("shard_key")
+    out = keyed.drop("shard_shard", "shard_slot").withColumn("shard_part", place("shard_key")).withColumn("shard_row", F.row_number().over(order))
+    out = out.join(F.broadcast(starts), "shard_part").withColumn("shard_slot", F.col("shard_start") + F.col("shard_row") - 1)
+    return out.drop("shard_part", "shard_row", "shard_start", "shard_key")
 
 
 def op4_sharding(spark, sf_dir: str) -> DataFrame:
