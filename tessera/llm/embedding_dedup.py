@@ -149,3 +149,15 @@ def near_duplicates(embeddings: DataFrame, passes: int = PASSES, window: int = W
 
 def op2_embedding_dedup(spark, sf_dir: str) -> DataFrame:
     return near_duplicates(load(spark, sf_dir, "embeddings"))
+
+
+#: Exact links; the operator's windows may miss some in principle (see README for the measured recall).
+SQL = """
+WITH RECURSIVE v AS (SELECT row_number() OVER () AS r, vec_id, embedding::DOUBLE[] AS e FROM embeddings),
+ok AS MATERIALIZED (SELECT * FROM v WHERE len(e) > 0 AND len(list_filter(e, lambda x: x IS NULL OR NOT isfinite(x))) = 0 AND len(list_filter(e, lambda x: x <> 0)) > 0),
+l AS MATERIALIZED (SELECT a.r AS a, b.r AS b FROM ok a JOIN ok b ON a.r <> b.r AND len(a.e) = len(b.e) WHERE list_cosine_similarity(a.e, b.e) >= 0.9),
+r AS (SELECT a, b FROM l UNION SELECT r.a, l.b FROM r JOIN l ON r.b = l.a),
+m AS (SELECT r.a, min(v.vec_id) AS least FROM r JOIN v ON v.r = r.b GROUP BY r.a), n AS (SELECT a, count(*) AS n FROM l GROUP BY a)
+SELECT v.vec_id, coalesce(n.n, 0)::BIGINT AS n_links, coalesce(least(m.least, v.vec_id), v.vec_id) AS component_id, v.vec_id = coalesce(least(m.least, v.vec_id), v.vec_id) AS kept
+FROM v LEFT JOIN m ON m.a = v.r LEFT JOIN n ON n.a = v.r
+"""

@@ -16,7 +16,9 @@ QUERIES = {
 }
 
 SQL = {
+    "op2_embedding_dedup": embedding_dedup.SQL,
     "op3_ngram_join": ngram_join.SQL,
+    "op6_url_filter": url_filter.SQL,
     "op8_mixing": mixing.SQL,
     "op9_warc": warc.SQL,
     "op10_line_dedup": line_dedup.SQL,

@@ -41,10 +41,10 @@ def test_registered_queries_equal_sql(spark):
     import __spark_entry__ as entry
 
     con = duckdb.connect()
-    for t in ("documents", "pages"):
+    for t in ("documents", "pages", "embeddings"):
         con.execute(f"create view {t} as select * from '{DIR}/{t}.parquet'")
     sql = {k: v for k, v in entry.oracle_sql().items() if k.startswith("op")}
-    assert set(sql) == {"op3_ngram_join", "op8_mixing", "op9_warc", "op10_line_dedup"}
+    assert set(sql) == {"op2_embedding_dedup", "op3_ngram_join", "op6_url_filter", "op8_mixing", "op9_warc", "op10_line_dedup"}
     for name, text in sql.items():
         df = entry.queries()[name](spark, DIR)
         cols = sorted(df.columns)

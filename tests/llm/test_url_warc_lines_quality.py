@@ -53,15 +53,13 @@ def test_hosts_rules_and_scores(spark):
 def _brute_scores(urls):
     pad = lambda u: "\x02" * uf.ORDER + "".join(c.lower() if "A" <= c <= "Z" else c for c in u or "") + "\x03"
     n = defaultdict(lambda: [0, 0])
-    grams, seen = set(), set()
-    import zlib
-
+    grams = set()
     for u in urls:
         host, path = _host_path(u)
         fit = [x for x in uf.RULES if (host == x[0] or host.endswith("." + x[0])) and path.startswith(x[1])]
         best = max(fit, key=lambda x: len(x[0] + x[1]), default=None)
         t = pad(u)
-        side = None if best is None or zlib.crc32((u or "").encode()) % 5 == 0 else 0 if best[2] == "allow" else 1
+        side = None if best is None or int(hashlib.md5((u or "").encode()).hexdigest()[:8], 16) % 5 == 0 else 0 if best[2] == "allow" else 1
         for i in range(uf.ORDER, len(t)):
             grams.add(t[i - uf.ORDER : i + 1])
             for k in range(uf.ORDER + 1):
@@ -82,7 +80,6 @@ def _brute_scores(urls):
         t = pad(u)
         xs = [math.log(p(t[i - uf.ORDER : i + 1], 0) / p(t[i - uf.ORDER : i + 1], 1)) for i in range(uf.ORDER, len(t))]
         out[u or ""] = sum(xs) / len(xs)
-    assert not seen
     return out
 
 
