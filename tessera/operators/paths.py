@@ -109,3 +109,13 @@ def first_language(files: DataFrame, languages: list[tuple[str, list[str]]]) ->
     for name, exts in reversed(languages):
         col = F.when(supports("ext", exts), F.lit(name)).otherwise(col)
     return files.withColumn("language", col)
+
+
+def shown(items: DataFrame, typed: str, column: str = "lookup") -> DataFrame:
+    """What a list still shows while more is typed: names that begin with it, letter case counted; all for nothing typed."""
+    return items.where(F.col(column).startswith(typed)) if typed else items
+
+
+def root_rows(spark, roots: list[str], origin: str = "source") -> DataFrame:
+    """(root, origin): roots given by configuration or by a constant, as a relation for semi_under_roots and collectors."""
+    return spark.createDataFrame([(r, origin) for r in dict.fromkeys(roots)], "root string, origin string")

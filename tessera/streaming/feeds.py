@@ -18,6 +18,14 @@ def latest(rows: DataFrame, key: list[str], order: list[str]) -> DataFrame:
     return rows.groupBy(*key).agg(best.alias("_b")).select("_b.*")
 
 
+def in_lanes(rows: DataFrame, lane: str, order: list[str]) -> DataFrame:
+    """Rows dealt so that each lane is in one task, in order: for sinks that must see a lane's rows one after another.
+
+    A lane is as serial as its order asks for; lanes run side by side.
+    """
+    return rows.repartition(lane).sortWithinPartitions(lane, *order)
+
+
 def latest_stream(stream: DataFrame, lane: str, key: str, seq: str) -> DataFrame:
     """(lane, key, seq) of submissions that are newer than all before them in their slot; stale ones are dropped.
 

@@ -212,3 +212,9 @@ def test_extensions(spark):
     assert x.load_plugin("make", 1) == 2
     seen = []
     assert each(spark.range(10), lambda row: seen.append(row["id"]) or len(seen) < 3) == 3
+
+
+def test_shown_and_roots(spark):
+    i = spark.createDataFrame([("Ab",), ("ab",)], "lookup string")
+    assert rows(paths.shown(i, "a")) == [("ab",)] and paths.shown(i, "").count() == 2
+    assert rows(paths.root_rows(spark, ["/a", "/a", "/b"], "library")) == [("/a", "library"), ("/b", "library")]

@@ -183,6 +183,14 @@ def test_latest(spark):
     assert rows(feeds.latest(d, ["lane", "key"], ["seq"]), "key", "v") == [("j", "b"), ("k", "c")]
 
 
+def test_lanes(spark):
+    d = spark.createDataFrame([(f"l{i % 3}", 30 - i) for i in range(30)], "lane string, seq long")
+    parts = feeds.in_lanes(d, "lane", ["seq"]).withColumn("p", F.spark_partition_id()).collect()
+    for lane in ("l0", "l1", "l2"):
+        mine = [r for r in parts if r["lane"] == lane]
+        assert len({r["p"] for r in mine}) == 1 and [r["seq"] for r in mine] == sorted(r["seq"] for r in mine)
+
+
 def test_streamed_latest_equals_batch(spark, tmp_path):
     d = spark.createDataFrame([("l", f"k{i % 3}", i, "") for i in range(30)], "lane string, key string, seq long, v string")
     for k in range(3):
