@@ -8,11 +8,13 @@ nothing that grows with the data is collected to the driver.
 from __future__ import annotations
 
 import atexit
+import ctypes
 import tempfile
 import uuid
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 
 #: Characters that separate words: space and U+0009 to U+000D.
@@ -81,6 +83,35 @@ def packed(df: DataFrame, *cols: str) -> DataFrame:
     return df.select(F.struct(*[F.col(f"`{c}`") for c in df.columns]).alias("row"), *cols)
 
 
+def lean_batches(spark: SparkSession) -> None:
+    """Arrow batches of a few MB: texts may be long, and a batch is in memory several times over on its way to Python.
+    Left alone where the session has a setting of its own."""
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    if spark.conf.get(key, None) is None:
+        spark.conf.set(key, "4m")
+
+
+def trim() -> None:
+    """Give free memory back to the system; Python workers live on after a task, and texts leave much of it in pieces."""
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (OSError, AttributeError):  # not glibc
+        pass
+
+
+def trimmed(run):
+    """A function for mapInPandas or mapInArrow that gives memory back when its task ends."""
+
+    def wrapped(batches):
+        try:
+            yield from run(batches)
+        finally:
+            trim()
+
+    return wrapped
+
+
 def shuffle_parts(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 

@@ -31,7 +31,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, functions as F
 
-from .common import load
+from .common import lean_batches, load, trim, trimmed
 
 WINDOW, LITERALS, RUN_TOKENS, COVER = 8, 4, 13, 0.6
 BLOCK_CHARS = 16 << 20
@@ -61,7 +61,7 @@ class _Vocabulary(dict):
             kind = UNIT
         else:
             kind = NAME if token[0].isupper() and (len(token) == 1 or token[1:].islower()) else WORD
-        if len(self) > 500_000:
+        if len(self) > 150_000:
             self.clear()
         out = self[token] = (int.from_bytes(hashlib.blake2b(low.encode("utf-8", "surrogatepass"), digest_size=8).digest(), "little"), kind)
         return out
@@ -235,6 +235,7 @@ def blocks(benchmark: DataFrame):
 def matches(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """doc_id, item_id, first_token, n_tokens, item_tokens, verbatim: one row for each document row and item it holds."""
     spark = docs.sparkSession
+    lean_batches(spark)
     d, out = docs.select(F.col("doc_id").cast("long"), "text"), None
     for block in blocks(benchmark):
         sent = spark.sparkContext.broadcast(block)
@@ -245,7 +246,7 @@ def matches(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
                 t = pd.DataFrame(rows, columns=["doc_id", "item_id", "first_token", "n_tokens", "item_tokens", "verbatim"])
                 yield t.astype({"doc_id": "Int64", "item_id": "Int64"})
 
-        part = d.mapInPandas(run, "doc_id long, item_id long, first_token long, n_tokens long, item_tokens long, verbatim boolean")
+        part = d.mapInPandas(trimmed(run), "doc_id long, item_id long, first_token long, n_tokens long, item_tokens long, verbatim boolean")
         out = part if out is None else out.unionByName(part)
     return out
 
@@ -253,13 +254,16 @@ def matches(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
 def _is_clean(sent):
     @F.pandas_udf("boolean")
     def clean(text: pd.Series) -> pd.Series:
-        return pd.Series([not m for m in sent.value.find(list(text))], dtype=bool)
+        out = pd.Series([not m for m in sent.value.find(list(text))], dtype=bool)
+        trim()
+        return out
 
     return clean
 
 
 def decontaminate(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """docs without the rows that hold benchmark items."""
+    lean_batches(docs.sparkSession)
     for block in blocks(benchmark):
         docs = docs.where(_is_clean(docs.sparkSession.sparkContext.broadcast(block))("text"))
     return docs

@@ -26,7 +26,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, functions as F
 
-from .common import BLANKS, load, saved, shuffle_parts
+from .common import BLANKS, lean_batches, load, saved, shuffle_parts, trimmed
 
 MIN_CHARS, MIN_DOCS = 20, 3
 
@@ -188,7 +188,7 @@ class LineIndex:
                     ids += [None if pd.isna(i) else int(i)] * len(found)
                 yield pd.DataFrame({"key": out, "doc_id": pd.array(ids, dtype="Int64")})
 
-        return docs.select(F.col("doc_id").cast("long"), "text").mapInPandas(keys, "key binary, doc_id long")
+        return docs.select(F.col("doc_id").cast("long"), "text").mapInPandas(trimmed(keys), "key binary, doc_id long")
 
     def _through_filters(self, keys: DataFrame, op: str) -> DataFrame:
         shard = F.pmod(F.xxhash64("key"), F.lit(self.shards)).cast("int")
@@ -198,6 +198,7 @@ class LineIndex:
         return saved(dealt.mapInPandas(_filter_step(op), _STEP), "lines")
 
     def insert(self, docs: DataFrame) -> LineIndex:
+        lean_batches(self.spark)
         new = saved(self._extract(docs), "postings")
         # Keys are counted before anything is dealt by shard: a hot line is one row from here on.
         delta = new.groupBy("key").agg(F.count("*").alias("n"), F.max("doc_id").alias("owner"))
@@ -227,6 +228,7 @@ class LineIndex:
 
     def render(self, docs: DataFrame) -> DataFrame:
         """doc_id, n_lines, n_dropped, kept_text of each row of docs under the current counts."""
+        lean_batches(self.spark)
         least = self.min_chars
         hot = self.refs.where(F.col("n_docs") >= self.min_docs).select("key", "owner")
         # Hot lines skew the left side only; the right side has one row a key, so AQE can split it.
@@ -251,7 +253,7 @@ class LineIndex:
                     kept.append("\n".join(left))
                 yield pd.DataFrame({"doc_id": pdf["doc_id"].astype("Int64"), "n_lines": n, "n_dropped": k, "kept_text": kept})
 
-        return d.join(drops, d["doc_id"].eqNullSafe(drops["_d"]), "left").select("doc_id", "text", "keys").mapInPandas(cut, "doc_id long, n_lines long, n_dropped long, kept_text string")
+        return d.join(drops, d["doc_id"].eqNullSafe(drops["_d"]), "left").select("doc_id", "text", "keys").mapInPandas(trimmed(cut), "doc_id long, n_lines long, n_dropped long, kept_text string")
 
 
 def dedup_lines(docs: DataFrame, min_chars: int = MIN_CHARS, min_docs: int = MIN_DOCS) -> DataFrame:

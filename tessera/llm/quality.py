@@ -23,7 +23,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, functions as F
 
-from .common import load, packed, saved
+from .common import lean_batches, load, packed, saved, trim
 
 MAX_TRAIN = 20_000
 #: Documents whose probability of being good is below this are rejected.
@@ -109,7 +109,9 @@ def evidence(docs: DataFrame, model: Classifier) -> DataFrame:
 
     @F.pandas_udf("double")
     def logit(text: pd.Series) -> pd.Series:
-        return pd.Series(model.logit(list(text)))
+        out = pd.Series(model.logit(list(text)))
+        trim()
+        return out
 
     return docs.withColumn("quality_logit", logit("text"))
 
@@ -141,6 +143,7 @@ def posteriors(scored: DataFrame) -> DataFrame:
 
 def score(docs: DataFrame, labels: DataFrame, max_train: int = MAX_TRAIN) -> DataFrame:
     """docs with quality_logit, quality_shift and quality_score (probability of being good)."""
+    lean_batches(docs.sparkSession)
     model = train(docs, labels, max_train)
     shift = saved(posteriors(evidence(docs.select("source", "lang", "text"), model)), "quality").toDF("_qs", "_ql", "quality_shift")
     small = shift.count() <= BROADCAST_SITES

@@ -26,7 +26,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, functions as F
 
-from .common import load
+from .common import lean_batches, load, trimmed
 
 MAX_DOCS, MAX_CHARS, MAX_TRAIN_TOKENS = 2_000, 20_000, 250_000
 THRESHOLD = 0.3
@@ -49,7 +49,7 @@ class _Emissions(dict):
         self.model = model
 
     def __missing__(self, token: str) -> float:
-        if len(self) > 500_000:
+        if len(self) > 150_000:
             self.clear()
         m = self.model
         out = self[token] = float(np.clip(m.bias + sum(m.weights.get(f, 0.0) for f in _features(token.lower(), m.marked)), -25, 25))
@@ -269,7 +269,8 @@ def tag(docs: DataFrame, model: Model) -> DataFrame:
             score, spans = sent.value.score(list(pdf["text"]))
             yield pd.DataFrame({"doc_id": pdf["doc_id"].astype("Int64"), "score": score, "spans": [[{"first": a, "past": b} for a, b in s] for s in spans]})
 
-    return docs.select(F.col("doc_id").cast("long"), "text").mapInPandas(run, "doc_id long, score double, spans array<struct<first int, past int>>")
+    lean_batches(docs.sparkSession)
+    return docs.select(F.col("doc_id").cast("long"), "text").mapInPandas(trimmed(run), "doc_id long, score double, spans array<struct<first int, past int>>")
 
 
 def op1_toxicity(spark, sf_dir: str) -> DataFrame:
