@@ -17,7 +17,7 @@ already one component are done), so no link that joins two components is lost.
 
 The boundary between light and heavy is the size at which subsets cost less than the scans they save, from exact counts.
 
-Hashes: shingles are 64-bit hashes of five 64-bit word hashes, sets 128-bit digests of their shingles. Everything is
+Hashes: shingles are 56-bit hashes of five 64-bit word hashes, sets 128-bit digests of their shingles. Everything is
 decided on these.
 
 Defined results: a null or blank text has no set, n_shingles 0, and is a component of its own. A null doc_id is never a
@@ -34,23 +34,27 @@ from math import comb
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, functions as F
 
-from .common import components, forget, load, saved, shuffle_parts
+from .common import components, forget, lean_batches, load, saved, shuffle_parts, trim, trimmed
 
 WORDS = 5
 #: Similarity in percent.
 PERCENT = 75
 #: A task counts this many shingles at a time (or one text).
-CHUNK = 1 << 21
+CHUNK = 1 << 20
+#: Bits of a shingle's hash.
+BITS = 56
 #: A shingle of this many sets of one chunk leaves the task as a number.
 LOCAL = 64
 #: About so many texts' shingles meet in one group of the counting exchange.
 TEXTS_A_PART = 1500
 #: Sets of up to this size may be light.
 MOST_LIGHT = 24
-LEADERS = 3
+#: Leaders of a list in each turn, and turns before lists are compared fully.
+LEADERS, TURNS = 3, 2
 
 
 def need(n: int) -> int:
@@ -65,7 +69,7 @@ def overlap(a: int, b: int) -> int:
 
 class _WordHash(dict):
     def __missing__(self, w: bytes) -> int:
-        if len(self) > 1_000_000:
+        if len(self) > 150_000:
             self.clear()
         h = self[w] = int.from_bytes(hashlib.blake2b(w, digest_size=8).digest(), "little")
         return h
@@ -84,20 +88,38 @@ def shingles(text: str | None, words: _WordHash) -> np.ndarray:
         for i in range(k):
             out = (out ^ h[i : i + m]) * np.uint64(0x9FB21C651E98DF25)
             out ^= out >> np.uint64(29)
-    return np.unique(out)
+    return np.unique(out >> np.uint64(64 - BITS))
+
+
+def _planes(x: np.ndarray, kind: str) -> bytes:
+    """Numbers as byte planes: the upper ones of small numbers are nearly all zero and compress away in the exchange."""
+    width = np.dtype(kind).itemsize
+    return x.astype(kind).view(np.uint8).reshape(-1, width).T.tobytes()
+
+
+def _numbers(blob: bytes, kind: str) -> np.ndarray:
+    width = np.dtype(kind).itemsize
+    return np.ascontiguousarray(np.frombuffer(blob, np.uint8).reshape(width, -1).T).view(kind).ravel()
 
 
 def _pack(x: np.ndarray) -> bytes:
-    """Ascending 64-bit numbers as byte planes of their differences: the upper planes are nearly all zero."""
-    return np.diff(x, prepend=np.uint64(0)).astype("<u8").view(np.uint8).reshape(-1, 8).T.tobytes()
+    """Ascending numbers by their differences."""
+    return _planes(np.diff(x, prepend=np.uint64(0)), "<u8")
 
 
 def _unpack(blob: bytes) -> np.ndarray:
-    planes = np.frombuffer(blob, np.uint8).reshape(8, -1)
-    return np.cumsum(np.ascontiguousarray(planes.T).view("<u8").ravel(), dtype=np.uint64)
+    return np.cumsum(_numbers(blob, "<u8"), dtype=np.uint64)
+
+
+def _few(batch: pa.RecordBatch, n: int = 256):
+    """Rows of a batch as Python values, not many at a time."""
+    for i in range(0, batch.num_rows, n):
+        part = batch.slice(i, n)
+        yield from zip(*(c.to_pylist() for c in part.columns))
 
 
 _ROW = "kind string, gk long, chunk long, toks binary, idx binary, num binary"
+_ARROW = pa.schema([("kind", pa.string()), ("gk", pa.int64()), ("chunk", pa.int64()), ("toks", pa.binary()), ("idx", pa.binary()), ("num", pa.binary())])
 _COLS = ["kind", "gk", "chunk", "toks", "idx", "num"]
 
 
@@ -128,18 +150,18 @@ def _extract(parts: int):
                 if len(big):
                     rows.append(("L", own, chunk, _pack(toks[big]), idx[often].tobytes(), run_len[run_len >= LOCAL].astype("<u4").tobytes()))
                 for kind, t, other in (("T", toks[~often], idx[~often]), ("A", toks[big], run_len[run_len >= LOCAL].astype("<u4"))):
-                    part = (t >> np.uint64(32)) * np.uint64(parts) >> np.uint64(32)  # ranges of the sorted hashes
+                    part = (t >> np.uint64(BITS - 32)) * np.uint64(parts) >> np.uint64(32)  # ranges of the sorted hashes
                     cut = np.flatnonzero(np.r_[True, part[1:] != part[:-1]]) if len(t) else []
                     for a, b in zip(cut, [*cut[1:], len(t)]):
                         o = other[a:b]
-                        rows.append((kind, int(part[a]), chunk, _pack(t[a:b]), (o.astype("<u2") if kind == "T" else o).tobytes(), b""))
-            return pd.DataFrame(rows, columns=_COLS)
+                        rows.append((kind, int(part[a]), chunk, _pack(t[a:b]), _planes(o, "<u2") if kind == "T" else o.tobytes(), b""))
+            return pa.RecordBatch.from_pylist([dict(zip(_COLS, r)) for r in rows], _ARROW)
 
         state, known, n = ([], [], [], []), {}, 0
-        for pdf in batches:
-            for doc, text in zip(pdf["doc_id"].astype(object), pdf["text"]):
+        for batch in batches:
+            for doc, text in _few(batch):
                 s = shingles(text, words)
-                state[0].append(None if pd.isna(doc) else int(doc))
+                state[0].append(doc)
                 if len(s):
                     sig = hashlib.blake2b(s.tobytes(), digest_size=16).digest()
                     at = known.setdefault(sig, len(known))
@@ -181,7 +203,9 @@ def _count(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
             rows.append(("B", 0, chunk, _pack(t), b"", mine.tobytes()))
         elif (mine > 1).any():
             keep = mine > 1
-            rows.append(("N", 0, chunk, _pack(t[keep]), np.frombuffer(i, "<u2")[keep].tobytes(), mine[keep].tobytes()))
+            rows.append(("N", 0, chunk, _pack(t[keep]), _planes(_numbers(i, "<u2")[keep], "<u2"), _planes(mine[keep], "<u4")))
+    del toks, weight, cat, order, s, df
+    trim()
     return pd.DataFrame(rows, columns=_COLS)
 
 
@@ -200,8 +224,8 @@ def _assemble(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
     if "N" in by:
         for _, r in by["N"].iterrows():
             t.append(_unpack(r["toks"]))
-            i.append(np.frombuffer(r["idx"], "<u2").astype(np.int64))
-            f.append(np.frombuffer(r["num"], "<u4"))
+            i.append(_numbers(r["idx"], "<u2").astype(np.int64))
+            f.append(_numbers(r["num"], "<u4"))
     if "L" in by:
         r = by["L"].iloc[0]
         tok, run_len = _unpack(r["toks"]), np.frombuffer(r["num"], "<u4")
@@ -221,14 +245,16 @@ def _assemble(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
         shared = np.diff(starts)
         good = np.flatnonzero(100 * shared >= PERCENT * size)
         out.append(pd.DataFrame({"kind": "R", "doc_id": pd.array([pd.NA] * len(good), dtype="Int64"), "n": size[good], "sig": [sigs[g] for g in good], "toks": [t[starts[g] : starts[g + 1]].astype("<u8").tobytes() for g in good]}))
+    trim()
     return pd.concat(out, ignore_index=True)
 
 
 def classes(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     """members(doc_id, n, sig) of all rows, and sets(sig, n, toks) of those that can link with another set."""
     spark = docs.sparkSession
+    lean_batches(spark)
     parts = max(shuffle_parts(spark), -(-docs.count() // TEXTS_A_PART))
-    rows = docs.select(F.col("doc_id").cast("long"), "text").mapInPandas(_extract(parts), _ROW)
+    rows = docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(trimmed(_extract(parts)), _ROW)
     counted = rows.groupBy("gk").applyInPandas(_count, _ROW)
     base = saved(counted.groupBy("chunk").applyInPandas(_assemble, "kind string, doc_id long, n long, sig binary, toks binary"), "shingles")
     del rows, counted
@@ -284,11 +310,12 @@ def light_links(sets: DataFrame, most: int) -> DataFrame:
 
 
 def inverted(sets: DataFrame) -> DataFrame:
-    """(tok, sig, n, pos): each set's prefix; pos is the shingle's place among all of the set, rarest first."""
+    """(tok, sig, n, pos, place): each set's prefix; pos is the shingle's place among all of the set, rarest first, and
+    place that within the prefix."""
 
     def run(batches):
         for pdf in batches:
-            out = {"tok": [], "sig": [], "n": [], "pos": []}
+            out = {"tok": [], "sig": [], "n": [], "pos": [], "place": []}
             for sig, n, toks in zip(pdf["sig"], pdf["n"], pdf["toks"]):
                 t = np.frombuffer(toks, "<i8")
                 own = n - len(t)  # shingles of no other set are rarer still
@@ -297,9 +324,10 @@ def inverted(sets: DataFrame) -> DataFrame:
                 out["sig"] += [sig] * q
                 out["n"] += [n] * q
                 out["pos"] += range(own, own + q)
+                out["place"] += range(q)
             yield pd.DataFrame(out)
 
-    return sets.mapInPandas(run, "tok long, sig binary, n long, pos long")
+    return sets.mapInPandas(run, "tok long, sig binary, n long, pos long, place int")
 
 
 def _may_link(a: str, b: str):
@@ -322,29 +350,53 @@ def verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
 
     p = pairs.join(sets.select(F.col("sig").alias("a"), F.col("n").alias("na"), F.col("toks").alias("ta")), "a")
     p = p.join(sets.select(F.col("sig").alias("b"), F.col("n").alias("nb"), F.col("toks").alias("tb")), "b")
-    return p.mapInPandas(run, "a binary, b binary")
+    return p.mapInPandas(trimmed(run), "a binary, b binary")
+
+
+def _leader_pairs(lists: DataFrame, most_light: int, seed: int) -> DataFrame:
+    """Pairs of each list's members with its leaders. Leaders go by a hash of the set alone: lists of the same group choose
+    the same ones, so few distinct pairs arise. lists may have comp: pairs within a component are left out."""
+    first = [F.min(F.struct(F.xxhash64("sig", F.lit(seed + r)), "sig", "n", "pos", "comp")).alias(f"l{r}") for r in range(LEADERS)]
+    each = F.array_distinct(F.array(*[F.struct(*[f"l{r}.{c}" for c in ("sig", "n", "pos", "comp")]) for r in range(LEADERS)]))
+    leaders = lists.groupBy("tok").agg(*first).select("tok", F.explode(each).alias("l")).select("tok", "l.*")
+    return _pairs(lists.alias("x").join(leaders.alias("y"), "tok").where((F.col("x.sig") != F.col("y.sig")) & _worth(most_light)))
+
+
+def _worth(most_light: int):
+    """Not known to be connected, not both light, and by sizes and places a link is possible."""
+    return (F.col("x.comp") != F.col("y.comp")) & (F.greatest("x.n", "y.n") > most_light) & _may_link("x", "y")
+
+
+def _pairs(joined: DataFrame) -> DataFrame:
+    return joined.select(F.least("x.sig", "y.sig").alias("a"), F.greatest("x.sig", "y.sig").alias("b")).distinct()
+
+
+def _open(lists: DataFrame, label: DataFrame) -> DataFrame:
+    """The lists whose members aren't one component yet, with each member's component."""
+    now = lists.drop("comp").join(label.select(F.col("id").alias("sig"), "root"), "sig", "left").withColumn("comp", F.coalesce("root", "sig")).drop("root")
+    apart = now.groupBy("tok").agg(F.min("comp").alias("_x"), F.max("comp").alias("_y")).where("_x <> _y").select("tok")
+    return saved(now.join(apart, "tok"), "open")
 
 
 def heavy_links(sets: DataFrame, lists: DataFrame, light: DataFrame, most_light: int) -> DataFrame:
     """(a, b): with light, links enough to connect all sets that link."""
-    pair = lambda x, y: (F.least(x, y).alias("a"), F.greatest(x, y).alias("b"))
-    beyond = lambda a, b: F.greatest(F.col(f"{a}.n"), F.col(f"{b}.n")) > most_light
-    # Leaders by a hash of the set alone: lists of the same group choose the same ones, so few distinct pairs arise.
-    first = [F.min(F.struct(F.xxhash64("sig", F.lit(r)), "sig", "n", "pos")).alias(f"l{r}") for r in range(LEADERS)]
-    leaders = lists.groupBy("tok").agg(*first).select("tok", F.explode(F.array_distinct(F.array(*[F.struct(f"l{r}.sig", f"l{r}.n", f"l{r}.pos") for r in range(LEADERS)]))).alias("l")).select("tok", "l.*")
-    tried = lists.alias("x").join(leaders.alias("y"), "tok").where((F.col("x.sig") != F.col("y.sig")) & beyond("x", "y") & _may_link("x", "y"))
-    tried = saved(tried.select(*pair(F.col("x.sig"), F.col("y.sig"))).distinct(), "pairs")
-    some = saved(verified(tried, sets).unionByName(light), "links")
-    label = saved(components(some), "labels")
-    # Lists whose members are one component by now need nothing more.
-    now = lists.join(label.select(F.col("id").alias("sig"), "root"), "sig", "left").withColumn("comp", F.coalesce("root", "sig")).drop("root")
-    apart = now.groupBy("tok").agg(F.min("comp").alias("_x"), F.max("comp").alias("_y")).where("_x <> _y").select("tok")
-    open_ = saved(now.join(apart, "tok"), "open")
-    rest = open_.alias("x").join(open_.alias("y"), "tok").where((F.col("x.sig") < F.col("y.sig")) & (F.col("x.comp") != F.col("y.comp")) & beyond("x", "y") & _may_link("x", "y"))
-    rest = rest.select(*pair(F.col("x.sig"), F.col("y.sig"))).distinct().join(tried, ["a", "b"], "left_anti")
-    found = saved(verified(rest, sets), "links")
-    forget(open_)
-    return label.where("id <> root").select(F.col("root").alias("a"), F.col("id").alias("b")).unionByName(found)
+    star = lambda label: label.where("id <> root").select(F.col("root").alias("a"), F.col("id").alias("b"))
+    open_, links, tried = lists.withColumn("comp", F.col("sig")), light, None
+    for turn in range(TURNS):
+        pairs = _leader_pairs(open_, most_light, turn * LEADERS)
+        pairs = saved(pairs if tried is None else pairs.join(tried, ["a", "b"], "left_anti"), "pairs")
+        label = saved(components(links.unionByName(verified(pairs, sets))), "labels")
+        tried = pairs if tried is None else tried.unionByName(pairs)
+        links, open_ = star(label), _open(open_, label)
+    # What is apart still is compared fully, each pair at the first shingle that both prefixes have.
+    prefix = lists.groupBy("sig").agg(F.array_sort(F.collect_list(F.struct("place", "tok"))).alias("_p")).select("sig", F.col("_p.tok").alias("pre"))
+    rest = open_.join(prefix.join(open_.select("sig").distinct(), "sig"), "sig")
+    # Lists have left out shingles of one set, so a prefix is searched by place in the whole of it.
+    rest = rest.withColumn("before", F.slice("pre", F.lit(1), F.array_position("pre", F.col("tok")).cast("int") - 1)).drop("pre")
+    first = ~F.arrays_overlap("x.before", "y.before")
+    rest = rest.alias("x").join(rest.alias("y"), "tok").where((F.col("x.sig") < F.col("y.sig")) & _worth(most_light) & first)
+    found = verified(_pairs(rest).join(tried, ["a", "b"], "left_anti"), sets)
+    return links.unionByName(found)
 
 
 def components_of(docs: DataFrame) -> DataFrame:
@@ -352,6 +404,8 @@ def components_of(docs: DataFrame) -> DataFrame:
     members, sets = classes(docs)
     lists = inverted(sets)
     lists = saved(lists.join(lists.groupBy("tok").agg(F.count("*").alias("_k")).where("_k > 1").select("tok"), "tok"), "lists")
+    # Sets that share no list can't link any more.
+    sets = saved(sets.join(lists.select("sig").distinct(), "sig", "left_semi"), "sets")
     most = boundary(sets, lists)
     light = saved(light_links(sets, most), "links") if most else docs.sparkSession.createDataFrame([], "a binary, b binary")
     root = saved(components(heavy_links(sets, lists, light, most)), "roots")
