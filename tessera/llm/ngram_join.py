@@ -265,9 +265,11 @@ def classes(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
 
 
 def tidy(spark) -> None:
-    """Let Spark drop shuffle files of plans that are no longer referenced."""
-    gc.collect()
-    spark.sparkContext._jvm.System.gc()
+    """Let Spark drop shuffle files of plans that are no longer referenced: its cleaner acts on the driver's garbage
+    collections, which are rare when executors do all the work."""
+    for _ in range(2):
+        gc.collect()
+        spark.sparkContext._jvm.System.gc()
 
 
 def _subsets(n: int, m: int) -> int:
@@ -388,6 +390,7 @@ def heavy_links(sets: DataFrame, lists: DataFrame, light: DataFrame, most_light:
         label = saved(components(links.unionByName(verified(pairs, sets))), "labels")
         tried = pairs if tried is None else tried.unionByName(pairs)
         links, open_ = star(label), _open(open_, label)
+        tidy(sets.sparkSession)
     # What is apart still is compared fully, each pair at the first shingle that both prefixes have.
     prefix = lists.groupBy("sig").agg(F.array_sort(F.collect_list(F.struct("place", "tok"))).alias("_p")).select("sig", F.col("_p.tok").alias("pre"))
     rest = open_.join(prefix.join(open_.select("sig").distinct(), "sig"), "sig")
@@ -406,6 +409,7 @@ def components_of(docs: DataFrame) -> DataFrame:
     lists = saved(lists.join(lists.groupBy("tok").agg(F.count("*").alias("_k")).where("_k > 1").select("tok"), "tok"), "lists")
     # Sets that share no list can't link any more.
     sets = saved(sets.join(lists.select("sig").distinct(), "sig", "left_semi"), "sets")
+    tidy(docs.sparkSession)
     most = boundary(sets, lists)
     light = saved(light_links(sets, most), "links") if most else docs.sparkSession.createDataFrame([], "a binary, b binary")
     root = saved(components(heavy_links(sets, lists, light, most)), "roots")
