@@ -61,42 +61,37 @@ def targets(slim: DataFrame, weights=WEIGHTS, share: float = SHARE, most: float
 def thresholds(slim: DataFrame, by_source: DataFrame, small: bool) -> DataFrame:
     """by_source (with mix_rest, the words wanted) with mix_below: the hash below which documents are taken.
 
-    One histogram pass for all sources at once; the rows counted shrink by 2^BITS from pass to pass.
+    One histogram pass for all sources at once; the rows counted shrink by 2^BITS from pass to pass. A source's state: the
+    range [_lo, _end) in which its budget is crossed, the words below it (_under) and in it (_in), and whether the range
+    holds several documents (_open).
     """
-    state = saved(by_source.select("*", F.lit(0).cast("long").alias("_lo"), F.lit(0).cast("long").alias("_under"), F.lit(0).cast("long").alias("_in"), F.lit(True).alias("_open")), "mix")
-    width = ALL_BITS
-    while width > 0:
-        step = min(BITS, width)
-        size = 1 << (width - step)
-        want = state.where("_open").select("source", "mix_rest", "_lo", "_under")
-        rows = _with(slim, want, small).where((F.col("mix_hash") >= F.col("_lo")) & (F.col("mix_hash") - F.col("_lo") < F.lit(1 << width)))
-        bins = rows.groupBy("source", "mix_rest", "_lo", "_under", F.floor((F.col("mix_hash") - F.col("_lo")) / F.lit(size)).cast("long").alias("_bin") if size < 1 << 50 else F.shiftright(F.col("mix_hash") - F.col("_lo"), width - step).alias("_bin")).agg(F.sum("mix_size").alias("_s"), F.count("*").alias("_n"))
-        w = Window.partitionBy("source").orderBy("_bin").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    zero, all_ = F.lit(0).cast("long"), F.lit(1 << ALL_BITS).cast("long")
+    cols = by_source.columns
+    state = saved(by_source.select(*cols, zero.alias("_lo"), all_.alias("_end"), zero.alias("_under"), zero.alias("_in"), F.lit(True).alias("_open")), "mix")
+    for width in range(ALL_BITS, 0, -BITS):
+        shift = width - BITS
+        want = state.where("_open").select("source", "mix_rest", "_lo", "_end", "_under")
+        rows = _with(slim, want, small).where((F.col("mix_hash") >= F.col("_lo")) & (F.col("mix_hash") < F.col("_end")))
+        bins = rows.groupBy("source", "mix_rest", "_lo", "_under", F.shiftright(F.col("mix_hash") - F.col("_lo"), shift).alias("_bin"))
+        bins = bins.agg(F.sum("mix_size").alias("_s"), F.count("*").alias("_n"))
+        w = Window.partitionBy("source").orderBy("_bin").rowsBetween(Window.unboundedPreceding, Window.currentRow)  # 2^BITS rows
         bins = bins.withColumn("_upto", F.col("_under") + F.sum("_s").over(w))
         cross = bins.where((F.col("_upto") > F.col("mix_rest")) & (F.col("_upto") - F.col("_s") <= F.col("mix_rest")))
-        cross = cross.select(F.col("source").alias("_src"), (F.col("_lo") + F.col("_bin") * F.lit(size)).alias("_lo2"), (F.col("_upto") - F.col("_s")).alias("_under2"), F.col("_s").alias("_in2"), (F.col("_n") > 1).alias("_more"))
+        lo = F.col("_lo") + F.shiftleft(F.col("_bin"), shift)
+        cross = cross.select(F.col("source").alias("_src"), F.struct(lo.alias("lo"), (lo + F.lit(1 << shift)).alias("end"), (F.col("_upto") - F.col("_s")).alias("under"), F.col("_s").alias("words"), (F.col("_n") > 1).alias("open")).alias("_c"))
         # No crossing: the budget covers all there is, so everything lies below the threshold.
+        whole = F.struct(all_.alias("lo"), all_.alias("end"), F.col("_under").alias("under"), zero.alias("words"), F.lit(False).alias("open"))
+        kept = F.struct(F.col("_lo").alias("lo"), F.col("_end").alias("end"), F.col("_under").alias("under"), F.col("_in").alias("words"), F.col("_open").alias("open"))
         after = state.join(F.broadcast(cross) if small else cross, F.col("_open") & state["source"].eqNullSafe(F.col("_src")), "left")
-        moved = F.col("_open") & F.col("_lo2").isNotNull()
-        all_in = F.col("_open") & F.col("_lo2").isNull()
-        cols = [c for c in state.columns if not c.startswith("_") or c == "_end"]
-        end = F.when(moved, F.col("_lo2") + F.lit(size)).when(all_in, F.lit(1 << ALL_BITS)).otherwise(F.col("_end") if "_end" in cols else F.lit(0)).cast("long")
-        nxt = saved(
-            after.select(
-                *[c for c in cols if c != "_end"], end.alias("_end"),
-                F.when(moved, F.col("_lo2")).when(all_in, F.lit(1 << ALL_BITS)).otherwise(F.col("_lo")).alias("_lo"),
-                F.when(moved, F.col("_under2")).otherwise(F.col("_under")).alias("_under"), F.when(moved, F.col("_in2")).when(all_in, F.lit(0)).otherwise(F.col("_in")).cast("long").alias("_in"),
-                (moved & F.col("_more")).alias("_open"),
-            ),
-            "mix",
-        )
+        now = F.when(F.col("_open"), F.coalesce("_c", whole)).otherwise(kept)
+        after = after.withColumn("_x", now).select(*cols, F.col("_x.lo").alias("_lo"), F.col("_x.end").alias("_end"), F.col("_x.under").alias("_under"), F.col("_x.words").alias("_in"), F.col("_x.open").alias("_open"))
+        after = saved(after, "mix")
         forget(state)
-        state = nxt
-        width -= step
+        state = after
         if state.where("_open").isEmpty():
             break
     nearer = F.col("_under") + F.col("_in") - F.col("mix_rest") < F.col("mix_rest") - F.col("_under")
-    return state.select(*[c for c in state.columns if not c.startswith("_")], F.when(nearer, F.col("_end")).otherwise(F.col("_lo")).alias("mix_below"))
+    return state.select(*cols, F.when(nearer, F.col("_end")).otherwise(F.col("_lo")).alias("mix_below"))
 
 
 def mix(docs: DataFrame, weights=WEIGHTS, share: float = SHARE, most: float = MOST) -> DataFrame:
