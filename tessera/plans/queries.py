@@ -345,7 +345,7 @@ def fuzzy_filter(spark, d):
     return p.withColumn("score", t.fuzzy_ratio("p_name", F.lit("blue"))).where(F.col("score") > t.MINIMUM_SCORE - 30)
 
 
-@query()
+@query("SELECT * FROM (VALUES (0, 'a', 'EXECUTED'), (1, 'b', 'EXECUTED'), (2, 'x', 'FAILED'), (3, 'c', 'FAILED')) t(ordinal, task, status)")
 def dag_status(spark, d):
     """Statuses of a small task graph: a failing task fails what needs it."""
     from ..operators.tasks import Task, TaskGraph
