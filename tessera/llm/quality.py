@@ -113,7 +113,8 @@ def evidence(docs: DataFrame, model: Classifier) -> DataFrame:
         trim()
         return out
 
-    return docs.withColumn("quality_logit", logit("text"))
+    # Marked as not deterministic, or a filter on the score would have it computed twice.
+    return docs.withColumn("quality_logit", logit.asNondeterministic()("text"))
 
 
 def _kappa(sites: DataFrame, mean: float) -> float:
