@@ -36,7 +36,7 @@ from .common import lean_batches, load, trim, trimmed
 WINDOW, LITERALS, RUN_TOKENS, COVER = 8, 4, 13, 0.6
 BLOCK_CHARS = 16 << 20
 #: Documents of a batch are worked on so many tokens at a time.
-BATCH_TOKENS = 1 << 20
+BATCH_TOKENS = 1 << 18
 
 UNITS = frozenset(
     "kg g mg km m cm mm mi miles mile lb lbs oz ft feet inch inches l ml liters litres hours hour minutes minute seconds second days day "

@@ -44,13 +44,13 @@ WORDS = 5
 #: Similarity in percent.
 PERCENT = 75
 #: A task counts this many shingles at a time (or one text).
-CHUNK = 1 << 20
+CHUNK = 1 << 19
 #: Bits of a shingle's hash.
 BITS = 56
 #: A shingle of this many sets of one chunk leaves the task as a number.
 LOCAL = 64
 #: About so many texts' shingles meet in one group of the counting exchange.
-TEXTS_A_PART = 1500
+TEXTS_A_PART = 1000
 #: Sets of up to this size may be light.
 MOST_LIGHT = 24
 #: Leaders of a list in each turn, and turns before lists are compared fully.
