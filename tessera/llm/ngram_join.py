@@ -54,7 +54,7 @@ TEXTS_A_PART = 1000
 #: Sets of up to this size may be light.
 MOST_LIGHT = 24
 #: Leaders of a list in each turn, and turns before lists are compared fully.
-LEADERS, TURNS = 3, 2
+LEADERS, TURNS = 4, 1
 
 
 def need(n: int) -> int:
