@@ -1,14 +1,14 @@
-"""Embedding near-duplicates by sorted projection passes.
+"""Embedding near-duplicates by comparing every pair of vectors, block by block.
 
-In each of PASSES passes every vector gets DIGITS random hashes (the axis, of a random rotation, it is nearest to), and
-vectors are ordered by the concatenated hashes. Each vector is compared with the WINDOW next ones, in double precision;
-verified pairs of all passes are united to components.
+Vectors of one length are dealt to blocks of at most BLOCK vectors (and about BLOCK_BYTES), and each pair of blocks is one
+group that is compared whole, in double precision. A group gives each vector's links in it and a star for each of its
+components, so no more than its vectors leave it however many links a cluster has; links are summed, stars united.
 
-Windows are bounded, so in a large cluster the passes find enough pairs to connect it but not all. The rest is found
-exactly: all pairs within a component are compared in blocks of BLOCK vectors, and only counts leave a block.
+All pairs are compared, so no link is lost whatever the size of the table or its local density; the price is work (and
+shuffle, divided by BLOCK) that grows with the square of the number of distinct vectors of one length.
 
-The order is total (key, then vector), blocks hold BLOCK vectors and the first WINDOW of the next block, so the pairs
-don't depend on how rows are partitioned. Equal vectors are one class with a count and are compared once.
+The result doesn't depend on blocks or on how rows are partitioned. Equal vectors are one class with a count and are
+compared once.
 
 Defined results: null, empty and zero vectors and those with null or non-finite components link with nothing, not even
 copies of themselves, and are components of their own. Vectors of different lengths never link. Each row counts as a
@@ -24,11 +24,10 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, functions as F
 
-from .common import components, forget, global_rank, load, saved
+from .common import components, forget, load, saved, shuffle_parts
 
 COSINE = 0.9
-PASSES, DIGITS, WINDOW, BLOCK = 14, 3, 24, 2048
-SEED = 20_260
+BLOCK, BLOCK_BYTES = 8192, 8 << 20
 
 
 def _unit(vecs) -> tuple[np.ndarray, np.ndarray]:
@@ -54,90 +53,64 @@ def _classes(embeddings: DataFrame) -> tuple[DataFrame, DataFrame]:
     return base.select("vec_id", "id"), classes
 
 
-def _keys(classes: DataFrame, passes: int) -> DataFrame:
-    """(turn, key, id): the concatenated hashes of each class in each pass."""
+def _forest(label: np.ndarray, hit: np.ndarray, first: int) -> None:
+    """Unite in place the labels of the rows of hit (numbered from first) with those of the columns they hit."""
+    for i in np.flatnonzero(hit.any(1)):
+        met = label[hit[i]]
+        if (met != label[first + i]).any():
+            met = np.unique(np.append(met, label[first + i]))
+            label[np.isin(label, met)] = met[0]
 
-    def run(batches):
-        turns: dict[int, list] = {}
-        for pdf in batches:
-            dims = pdf["vec"].map(len) // 8
-            for d, part in pdf.groupby(dims):
-                if d not in turns:
-                    rng = np.random.default_rng([SEED, int(d)])
-                    turns[d] = [rng.standard_normal((int(d), DIGITS, max(2, int(d)))) for _ in range(passes)]
-                x, norm = _unit(part["vec"])
-                x = x / norm[:, None]
-                for turn, g in enumerate(turns[d]):
-                    p = np.einsum("nd,dhm->nhm", x, g, optimize=True)
-                    axis = np.abs(p).argmax(2)
-                    side = np.take_along_axis(p, axis[:, :, None], 2)[:, :, 0] > 0
-                    digits = (2 * axis + side).astype(">u2")
-                    head = int(d).to_bytes(4, "big")
-                    yield pd.DataFrame({"turn": turn, "key": [head + k.tobytes() for k in digits], "id": part["id"]})
-
-    return classes.select("id", "vec").mapInPandas(run, "turn int, key binary, id binary")
-
-
-def _window_pairs(classes: DataFrame, passes: int, window: int) -> DataFrame:
-    """Distinct verified pairs (a, b), a < b, of classes that meet in a window of some pass."""
-    ranked = global_rank(_keys(classes, passes), ["turn", "key", "id"], "place").select("id", "place")
-    block = (F.col("place") / BLOCK).cast("long")
-    # The first WINDOW rows of a block are also the last of the block before.
-    dealt = ranked.withColumn("block", F.explode(F.when((F.col("place") % BLOCK < window) & (block > 0), F.array(block, block - 1)).otherwise(F.array(block))))
-    dealt = dealt.join(classes.select("id", "vec"), "id")
 
-    def compare(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("place")
-        own = (pdf["place"] // BLOCK == key[0]).to_numpy()
-        ids, lens = pdf["id"].to_numpy(), pdf["vec"].map(len).to_numpy()
-        out = []
-        for d in np.unique(lens):
-            at = np.flatnonzero(lens == d)
-            x, norm = _unit(pdf["vec"].to_numpy()[at])
-            for k in range(1, min(window, len(at) - 1) + 1):
-                near = at[k:] - at[:-k] <= window
-                cos = np.einsum("ij,ij->i", x[:-k], x[k:]) / (norm[:-k] * norm[k:])
-                for i in np.flatnonzero((cos >= COSINE) & near & own[at[:-k]]):
-                    a, b = ids[at[i]], ids[at[i + k]]
-                    if a != b:
-                        out.append((min(a, b), max(a, b)))
-        return pd.DataFrame(sorted(set(out)), columns=["a", "b"])
-
-    return saved(dealt.groupBy("block").applyInPandas(compare, "a binary, b binary").distinct(), "pairs")
-
-
-def _links(classes: DataFrame, roots: DataFrame) -> DataFrame:
-    """(id, links): vectors of other classes of the component each class links with; all pairs, block by block."""
-    size = roots.groupBy("root").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks"))
-    m = roots.join(size, "root").withColumn("mine", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int"))
+def _compared(classes: DataFrame) -> DataFrame:
+    """(id, leader, links): for each class and pair of blocks with links of it, how many vectors of other classes it links
+    with there, and a class of its component there. Pairs within a block belong to the block's pair with itself."""
+    c = classes.select("id", "n", "vec", F.octet_length("vec").alias("bytes"))
+    rows = F.greatest(F.lit(1), F.least(F.lit(BLOCK), F.floor(F.lit(BLOCK_BYTES) / F.col("bytes"))))
+    size = c.groupBy("bytes").agg(F.count("*").alias("_n")).select("bytes", F.ceil(F.col("_n") / rows).cast("int").alias("blocks"))
+    m = c.join(size, "bytes").withColumn("mine", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int"))
     m = m.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    m = m.select("root", "id", "mine", F.least("mine", "other").alias("i"), F.greatest("mine", "other").alias("j"))
-    m = m.join(classes.select("id", "n", "vec"), "id")
+    m = m.select("bytes", "id", "n", "vec", "mine", F.least("mine", "other").alias("i"), F.greatest("mine", "other").alias("j"))
 
-    def count(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
+    def compare(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values(["mine", "id"])
         x, norm = _unit(pdf["vec"])
-        n, mine = pdf["n"].to_numpy(), pdf["mine"].to_numpy()
-        links = np.zeros(len(pdf), np.int64)
-        for s in range(0, len(pdf), 512):
-            cos = x[s : s + 512] @ x.T / (norm[s : s + 512, None] * norm[None, :])
+        u, n = x / norm[:, None], pdf["n"].to_numpy()
+        own = int((pdf["mine"] == key[1]).sum())
+        label, links = np.arange(len(pdf)), np.zeros(len(pdf), np.int64)
+        for s in range(0, own, 512):
+            # Each pair once: a block with itself above the diagonal, two blocks the one against the other.
+            e, lo = min(own, s + 512), s if key[1] == key[2] else own
+            cos = u[s:e] @ u[lo:].T
             hit = cos >= COSINE
-            rows = np.arange(s, s + len(hit))
-            hit[rows - s, rows] = False
-            if key[1] != key[2]:  # pairs within one block are counted where the block meets itself
-                hit &= mine[s : s + 512, None] != mine[None, :]
-            links[rows] = hit @ n
-        return pd.DataFrame({"id": pdf["id"], "links": links})
-
-    return m.groupBy("root", "i", "j").applyInPandas(count, "id binary, links long").groupBy("id").agg(F.sum("links").alias("links"))
-
-
-def near_duplicates(embeddings: DataFrame, passes: int = PASSES, window: int = WINDOW) -> DataFrame:
-    """vec_id, n_links, component_id, kept for every row of embeddings (vec_id, embedding)."""
+            for r, k in zip(*np.nonzero(np.abs(cos - COSINE) < 1e-12)):
+                hit[r, k] = x[s + r] @ x[lo + k] / (norm[s + r] * norm[lo + k]) >= COSINE
+            if key[1] == key[2]:
+                hit = np.triu(hit, 1)
+            if hit.any():
+                links[s:e] += hit @ n[lo:]
+                links[lo:] += n[s:e] @ hit
+                whole = np.zeros((e - s, len(pdf)), bool)
+                whole[:, lo:] = hit
+                _forest(label, whole, s)
+        ids, linked = pdf["id"].to_numpy(), np.flatnonzero(links)
+        return pd.DataFrame({"id": ids[linked], "leader": ids[label[linked]], "links": links[linked]})
+
+    # A number of partitions is given because the groups are small in bytes and large in work: AQE would make them one task.
+    m = m.repartition(shuffle_parts(classes.sparkSession), "bytes", "i", "j")
+    return saved(m.groupBy("bytes", "i", "j").applyInPandas(compare, "id binary, leader binary, links long"), "pairs")
+
+
+def near_duplicates(embeddings: DataFrame, window: int | None = None) -> DataFrame:
+    """vec_id, n_links, component_id, kept for every row of embeddings (vec_id, embedding).
+
+    window is what callers of the earlier, windowed search gave; all pairs are compared whatever it is.
+    """
     rows, classes = _classes(embeddings)
-    pairs = _window_pairs(classes, passes, window)
-    roots = saved(components(pairs), "roots")
+    pairs = _compared(classes)
+    roots = saved(components(pairs.select(F.col("leader").alias("a"), F.col("id").alias("b"))), "roots")
+    links = saved(pairs.groupBy("id").agg(F.sum("links").alias("links")), "links")
     forget(pairs)
-    links = _links(classes, roots)
     least = roots.join(classes.select("id", "least"), "id").groupBy("root").agg(F.min("least").alias("_least"))
     per = classes.select("id", "n", "least").join(roots, "id", "left").join(least, "root", "left").join(links, "id", "left")
     per = per.select("id", (F.col("n") - 1 + F.coalesce("links", F.lit(0))).alias("n_links"), F.coalesce("_least", "least").alias("component_id"))
@@ -151,7 +124,7 @@ def op2_embedding_dedup(spark, sf_dir: str) -> DataFrame:
     return near_duplicates(load(spark, sf_dir, "embeddings"))
 
 
-#: Exact links; the operator's windows may miss some in principle (see README for the measured recall).
+#: The same links by a self-join.
 SQL = """
 WITH RECURSIVE v AS (SELECT row_number() OVER () AS r, vec_id, embedding::DOUBLE[] AS e FROM embeddings),
 ok AS MATERIALIZED (SELECT * FROM v WHERE len(e) > 0 AND len(list_filter(e, lambda x: x IS NULL OR NOT isfinite(x))) = 0 AND len(list_filter(e, lambda x: x <> 0)) > 0),

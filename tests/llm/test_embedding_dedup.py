@@ -1,4 +1,5 @@
 import numpy as np
+import pytest
 
 from tessera.llm import embedding_dedup as ed
 from tests_brute import components_of_pairs
@@ -41,3 +42,24 @@ def test_nulls_repeats_and_empty(spark):
     got = sorted((r["vec_id"] or -1, r["n_links"], r["component_id"]) for r in ed.near_duplicates(df).collect())
     assert got == [(-1, 3, 2), (2, 3, 2), (4, 3, 2), (4, 3, 2)]
     assert ed.near_duplicates(df.where("vec_id > 9")).count() == 0
+
+
+@pytest.mark.parametrize("n", [3000, 6000])
+def test_no_link_is_lost_in_a_dense_topic(spark, n):
+    # mutual cosine of about 0.8, so the topic has no links of its own; each planted pair alone joins two components
+    rng = np.random.default_rng(n)
+    unit = lambda v: v / np.sqrt((v * v).sum(-1, keepdims=True))
+    topic = unit(rng.standard_normal(64))
+    x = unit(2 * topic + unit(rng.standard_normal((n, 64))))
+    side = rng.standard_normal((200, 64))
+    side = unit(side - (side * x[:200]).sum(1)[:, None] * x[:200])
+    c = np.linspace(0.9005, 0.99, 200)[:, None]
+    x = np.vstack([x, c * x[:200] + np.sqrt(1 - c * c) * side])
+    links = np.zeros(len(x), int)
+    pairs = np.argwhere(np.triu(x @ x.T >= ed.COSINE, 1))
+    np.add.at(links, pairs.ravel(), 1)
+    assert len(pairs) >= 200
+    df = spark.createDataFrame([(i, v) for i, v in enumerate(x.tolist())], "vec_id long, embedding array<double>")
+    got = {r["vec_id"]: r for r in ed.near_duplicates(df).collect()}
+    assert [got[i]["n_links"] for i in range(len(x))] == links.tolist()
+    assert {i: r["component_id"] for i, r in got.items()} == components_of_pairs(pairs.tolist(), range(len(x)))
