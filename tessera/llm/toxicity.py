@@ -4,8 +4,9 @@ Training, on at most MAX_DOCS labelled documents of each class (those of least h
 rows whose crc32(doc_id) mod 4 is 2 never train):
   1. tokens are labelled from document labels: in toxic documents, a token is toxic whose word is found in
      toxic documents far more often than in clean ones; all tokens of clean documents are clean;
-  2. the field (features: word, 4- and 5-letter prefix; transitions between the two states) is fitted to these token
-     sequences by gradient steps on the exact forward-backward expectations;
+  2. the field (features: word, 4- and 5-letter prefix; transitions between the two states) is fitted to the token
+     sequences of all these documents by gradient steps on the exact forward-backward expectations, FIT_TOKENS tokens
+     (or one text) in memory at a time;
   3. document scores are calibrated on the training documents from the sum and the largest of the token marginals.
 
 Scoring: forward-backward over every token of the whole text, many documents side by side; memory is bounded by
@@ -28,9 +29,11 @@ from pyspark.sql import DataFrame, functions as F
 
 from .common import lean_batches, load, trimmed
 
-MAX_DOCS, MAX_CHARS, MAX_TRAIN_TOKENS = 2_000, 20_000, 250_000
+MAX_DOCS, MAX_CHARS = 2_000, 20_000
 THRESHOLD = 0.3
 BATCH_TOKENS = 1 << 20
+#: The expectations of a fit are summed over groups of documents of so many tokens.
+FIT_TOKENS = 1 << 18
 #: A word marks toxic tokens if its odds in toxic documents are so many times those in clean ones, and if a G-test of
 #: that is beyond GUESS (one in a million: there are very many words to try).
 ODDS, GUESS = 12.0, 27.6
@@ -167,13 +170,18 @@ def fit(rows: list[tuple[str, int]], weight_clean: float = 1.0, rounds: int = 25
     n0 = len(rows) - n1
     if not n1 or not n0:
         return Model()
-    docs = [(_TOKEN.findall(t.lower()), y) for t, y in rows]
+    # Words are kept once; a document is the numbers of its words.
+    types: dict[str, int] = {}
+    docs = [(np.array([types.setdefault(w, len(types)) for w in _TOKEN.findall(t.lower())], np.int32), y) for t, y in rows]
+    names = list(types)
+    del rows, types
     # A document counts for a feature if it shows it in a context (word before and after) not met before: near copies of
     # a toxic document would otherwise make all their rare words look toxic.
     fresh, met = [], (set(), set())
     for words, y in docs:
         new = set()
-        for before, w, after in zip(["", *words], words, [*words[1:], ""]):
+        words = words.tolist()
+        for before, w, after in zip([-1, *words], words, [*words[1:], -1]):
             c = hash((before, w, after))
             if c not in met[y]:
                 met[y].add(c)
@@ -183,44 +191,47 @@ def fit(rows: list[tuple[str, int]], weight_clean: float = 1.0, rounds: int = 25
     seen = (Counter(), Counter())
     for new, (_, y) in zip(fresh, docs):
         seen[y].update(new)
-    marked = {w for w, n in seen[1].items() if _telling(n, n1, seen[0][w], n0)}
-    common = Counter(f for new in fresh for w in new for f in _features(w, marked))
+    marked = {names[w] for w, n in seen[1].items() if _telling(n, n1, seen[0][w], n0)}
+    common = Counter()
+    for w, n in (seen[0] + seen[1]).items():
+        for f in _features(names[w], marked):
+            common[f] += n
     used = {f for f, n in common.items() if n >= 3}
     del fresh, common
-    # Token sequences: toxic documents first, then clean ones, up to the bound.
-    seqs, gold, tokens = [], [], 0
-    turns = [[d for d in docs if d[1] == y] for y in (1, 0)]
-    for pair in range(max(map(len, turns))):
-        for side in turns:
-            if pair < len(side) and tokens < MAX_TRAIN_TOKENS:
-                words, y = side[pair]
-                seqs.append(words)
-                gold.append(np.array([y == 1 and w in marked for w in words], float))
-                tokens += len(words)
+    # Token sequences of all documents; those of like length side by side, in groups of bounded size.
+    docs.sort(key=lambda d: -len(d[0]))
+    bad = np.array([w in marked for w in names], bool)
+    groups, size = [[]], 0
+    for words, _ in docs:
+        if size >= FIT_TOKENS:
+            groups.append([])
+            size = 0
+        groups[-1].append(words)
+        size += len(words)
     index = {f: k for k, f in enumerate(sorted(used))}
-    types: dict[str, int] = {}
-    ids = [np.array([types.setdefault(w, len(types)) for w in s], np.int64) for s in seqs]
     rows_, cols = [], []
-    for w, k in types.items():
+    for k, w in enumerate(names):
         for f in _features(w, marked):
             if f in index:
                 rows_.append(k)
                 cols.append(index[f])
     rows_, cols = np.array(rows_, np.int64), np.array(cols, np.int64)
-    flat = np.concatenate(ids) if ids else np.zeros(0, np.int64)
-    truth = np.bincount(flat, np.concatenate(gold), minlength=len(types))
-    moves = np.zeros(4)
-    for g in gold:
-        moves += np.bincount((2 * g[:-1] + g[1:]).astype(int), minlength=4)
+    truth, moves = np.zeros(len(names)), np.zeros(4)
+    for words, y in docs:
+        g = bad[words] & (y == 1)
+        np.add.at(truth, words[g], 1.0)
+        moves += np.bincount(2 * g[:-1].astype(int) + g[1:], minlength=4)
     w, bias, trans = np.zeros(len(index)), -4.0, np.zeros(4)
     grad2 = [np.full(len(index), 1e-6), 1e-6, np.full(4, 1e-6)]
     for _ in range(rounds):
-        u = np.clip(bias + np.bincount(rows_, w[cols], minlength=len(types)), -25, 25)
+        u = np.clip(bias + np.bincount(rows_, w[cols], minlength=len(names)), -25, 25)
         pairs: list = []
-        p = marginal([u[i] for i in ids], tuple(map(tuple, np.exp(trans).reshape(2, 2))), pairs)
-        short = truth - np.bincount(flat, np.concatenate(p), minlength=len(types))
+        short = truth.copy()
+        for group in groups:
+            p = marginal([u[i] for i in group], tuple(map(tuple, np.exp(trans).reshape(2, 2))), pairs)
+            short -= np.bincount(np.concatenate(group), np.concatenate(p), minlength=len(names))
         gw = np.bincount(cols, short[rows_], minlength=len(index)) - 0.05 * w
-        gb, gt = short.sum(), moves - pairs[0] - 0.5 * trans
+        gb, gt = short.sum(), moves - sum(pairs) - 0.5 * trans
         grad2[0] += gw * gw
         grad2[1] += gb * gb
         grad2[2] += gt * gt
@@ -229,7 +240,8 @@ def fit(rows: list[tuple[str, int]], weight_clean: float = 1.0, rounds: int = 25
         trans = np.clip(trans + 0.2 * gt / np.sqrt(grad2[2]), -4, 4)
     model = Model({f: float(w[k]) for f, k in index.items() if abs(w[k]) > 1e-4}, frozenset(marked), float(bias), tuple(map(tuple, np.exp(trans).reshape(2, 2))))
     emit = _Emissions(model)
-    x = np.array([_evidence(p) for p in marginal([np.array([emit[t] for t in words]) for words, _ in docs], model.a)])
+    u = np.array([emit[t] for t in names])
+    x = np.array([_evidence(p) for group in groups for p in marginal([u[i] for i in group], model.a)])
     y = np.array([label for _, label in docs], float)
     c = np.where(y == 1, 1.0, weight_clean)
     theta = np.array([0.0, 0.0, 0.0, -3.0])

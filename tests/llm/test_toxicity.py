@@ -76,3 +76,14 @@ def test_long_text():
     m = tox.Model({"bad": 9.0}, frozenset({"bad"}), -4.0, ((1.0, 0.5), (0.5, 1.0)), (1.0, 1.0, 1.0, -3.0))
     s, spans = m.score(["bad " + "word " * 300_000 + "bad", "bad", None])
     assert spans[0] == [(0, 3), (1_500_004, 1_500_007)] and spans[1] == [(0, 3)] and s[2] < s[1]
+
+
+def test_the_field_is_fitted_on_every_document(prose, monkeypatch):
+    # words of texts that sort last, behind far more than 250,000 tokens of others
+    rows = [("a " + prose(i, 1500), 0) for i in range(200)] + [("b " + prose(900 + i, 20) + " vaxor", 1) for i in range(30)]
+    late = [("я " + prose(2000 + i, 20) + " зхыъ " + prose(3000 + i, 5), 1) for i in range(30)] + [("я " + prose(4000 + i, 40), 0) for i in range(30)]
+    seen, real = [], tox.marginal
+    monkeypatch.setattr(tox, "marginal", lambda seqs, a, pairs=None: (seen.append(sum(map(len, seqs))) if pairs is not None else None, real(seqs, a, pairs))[1])
+    m = tox.fit(rows + late, rounds=6)
+    assert sum(seen) == 6 * sum(len(tox._TOKEN.findall(t)) for t, _ in rows + late)
+    assert {"vaxor", "зхыъ"} <= m.marked and all(abs(m.weights.get(w, 0)) > 1e-4 for w in m.marked)
