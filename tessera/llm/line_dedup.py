@@ -6,7 +6,8 @@ State (all tables in the shared folder):
   filters(shard, block, cells)   cuckoo filters over the keys of refs, hashed to shards
 
 An insertion tests its distinct keys against their shard's filter: keys it has never seen go straight to refs,
-the others are joined with refs exactly. A deletion lowers counts, finds new owners from postings and removes keys
+the others are joined with refs exactly; those that aren't there (the filter was wrong) get a fingerprint too, so each
+key of refs has one of its own, equal or not to others. A deletion lowers counts, finds new owners from postings and removes keys
 that reach 0 from the filter (a cuckoo filter can forget; a Bloom filter can't). Insert followed by delete gives
 the tables that were there before.
 
@@ -126,7 +127,7 @@ def _filter_step(op: str):
     """Streams a shard's blocks, then its keys; emits keys with `known`, then the shard's new blocks."""
 
     def run(batches):
-        shard, filt, cols = None, None, ["kind", "shard", "key", "n", "owner", "known", "cells"]
+        shard, filt, past, cols = None, None, None, ["kind", "shard", "key", "n", "owner", "known", "cells"]
 
         def blocks():
             return pd.DataFrame([("f", shard, None, None, None, None, c) for c in filt.cells()], columns=cols)
@@ -136,16 +137,18 @@ def _filter_step(op: str):
                 if s != shard:
                     if shard is not None:
                         yield blocks()
-                    shard, filt = s, Cuckoo()
+                    shard, filt, past = s, Cuckoo(), Cuckoo()
                 old = part[part["kind"] == "f"]
                 if len(old):
-                    filt = Cuckoo([*filt.cells(), *old["cells"]])
+                    filt, past = Cuckoo([*filt.cells(), *old["cells"]]), Cuckoo([*past.cells(), *old["cells"]])
                 keys = part[part["kind"] == "k"]
                 if len(keys):
                     h = _hash(keys["key"])
-                    known = filt.contains(h)
+                    known = past.contains(h)  # keys are distinct: those of one step aren't known by each other's fingerprints
                     if op == "insert":
                         filt.insert(h[~known])
+                    elif op == "add":  # keys that refs doesn't have, whatever the filter says
+                        filt.insert(h)
                     else:
                         filt.delete(h)
                     yield keys.assign(known=known)[cols]
@@ -206,6 +209,9 @@ class LineIndex:
         met = step.where("kind = 'k'").select("key", F.col("n").alias("_n"), F.col("owner").alias("_o"), "known")
         fresh = met.where("not known").select("key", F.col("_n").alias("n_docs"), F.col("_o").alias("owner"))
         merged = self.refs.join(met.where("known"), "key", "full_outer").select("key", (F.coalesce("n_docs", F.lit(0)) + F.coalesce("_n", F.lit(0))).alias("n_docs"), F.greatest("owner", "_o").alias("owner"))
+        wrong = saved(met.where("known").join(self.refs, "key", "left_anti").select("key", F.col("_n").alias("n"), F.col("_o").alias("owner")), "lines")
+        if not wrong.isEmpty():
+            step = replace(self, filters=step.where("kind = 'f'").select("shard", "cells"))._through_filters(wrong, "add")
         touched = step.where("kind = 'f'").select("shard", "cells")
         kept = self.filters.join(touched.select("shard").distinct(), "shard", "left_anti")
         return replace(self, postings=self.postings.unionByName(new), refs=merged.unionByName(fresh), filters=kept.unionByName(touched))
