@@ -7,7 +7,10 @@ item's placeholder held must always be replaced by the same value, and different
 passages are found and so are questions asked again with other numbers, names or units.
 
 Two canonical forms are matched: one keeps names as lower-case words (copies with changed case), one replaces them.
-Windows with fewer than LITERALS plain words say too little and match only with their slots unchanged.
+Windows with fewer than LITERALS plain words say too little by themselves: they only propose an alignment (unless they
+have no plain word at all), and the whole item is then laid on the document there. The alignment counts if its consistent
+runs hold LITERALS words of the item unchanged, or are unchanged altogether. Items with fewer words than that match only
+with their slots unchanged.
 
 A document holds an item if a run covers RUN_TOKENS of its tokens (the whole item where that is shorter), or if all runs
 together cover the share COVER of it. Items shorter than a
@@ -83,8 +86,9 @@ def encode(texts: list[str | None], vocabulary: _Vocabulary):
     return lit, kind, start
 
 
-def windows(lit: np.ndarray, kind: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
-    """Hashes of each n-token window in the two forms: names kept, names replaced."""
+def windows(lit: np.ndarray, kind: np.ndarray, n: int) -> list[tuple[np.ndarray, np.ndarray, bool]]:
+    """(starts, hashes, weak) of n-token windows in the two forms, names kept and names replaced: of all windows, with
+    slots unchanged where there are few plain words, and the weak ones: those of few plain words with slots replaced."""
     out = []
     for slots in ((NUMBER, UNIT), (NUMBER, UNIT, NAME)):
         code, plain = lit.copy(), np.ones(len(lit), np.int64)
@@ -93,16 +97,18 @@ def windows(lit: np.ndarray, kind: np.ndarray, n: int) -> tuple[np.ndarray, np.n
             plain[kind == k] = 0
         m = len(lit) - n + 1
         if m <= 0:
-            out.append(np.zeros(0, np.uint64))
             continue
         roll = lambda c: _roll(c, n, m)
         total = np.r_[0, np.cumsum(plain)]
-        few = total[n:] - total[:-n] < min(LITERALS, n)
+        words = total[n:] - total[:-n]
+        few = words < min(LITERALS, n)
         h = roll(code)
         if few.any():
+            weak = np.flatnonzero(few & (words > 0))
+            out.append((weak, h[weak] + np.uint64(n) * _K, True))
             h[few] = roll(lit)[few] ^ np.uint64(0x5555)
-        out.append(h + np.uint64(n) * _K)
-    return tuple(out)
+        out.append((np.arange(m), h + np.uint64(n) * _K, False))
+    return out
 
 
 def _roll(code: np.ndarray, n: int, m: int) -> np.ndarray:
@@ -119,7 +125,7 @@ class Templates:
 
     def __init__(self, items: list[tuple]):
         voc = _Vocabulary()
-        self.ids, self.lit, self.kind = [], [], []
+        self.ids, self.lit, self.kind, self.wordy = [], [], [], []
         at = defaultdict(list)
         self.lengths = set()
         for item, text in items:
@@ -132,9 +138,12 @@ class Templates:
             self.kind.append(kind)
             n = min(WINDOW, len(lit))
             self.lengths.add(n)
-            for form, hs in enumerate(windows(lit, kind, n)):
-                for p, h in enumerate(hs.tolist()):
-                    at[n, h].append((k, p, form))
+            wordy = int(((kind == WORD) | (kind == NAME)).sum()) >= min(LITERALS, n)
+            self.wordy.append(wordy)
+            for ps, hs, weak in windows(lit, kind, n):
+                if wordy or not weak:
+                    for p, h in zip(ps.tolist(), hs.tolist()):
+                        at[n, h].append((k, p))
         self.at = {n: {h: v for (m, h), v in at.items() if m == n} for n in self.lengths}
         self.sorted = {n: np.sort(np.fromiter(self.at[n], np.uint64, len(self.at[n]))) for n in self.lengths}
         self.seen = {}
@@ -164,30 +173,43 @@ class Templates:
 
     def _find(self, texts, out, voc) -> None:
         lit, kind, start = encode(texts, voc)
-        found = defaultdict(lambda: defaultdict(set))  # (text, item) -> alignment -> window starts
+        found = defaultdict(set)  # (text, item) -> alignments
         for n in self.lengths:
-            for h in windows(lit, kind, n):
-                for w in self._hits(h, n).tolist():
+            for ws, h, _ in windows(lit, kind, n):
+                for x in self._hits(h, n).tolist():
+                    w = int(ws[x])
                     d = int(np.searchsorted(start, w, side="right")) - 1
                     if w + n > start[d + 1]:
                         continue  # runs over into the next text
-                    for k, p, _ in self.at[n][int(h[w])]:
+                    for k, p in self.at[n][int(h[x])]:
                         if len(self.lit[k]) > 4 or start[d + 1] - start[d] == len(self.lit[k]):
-                            found[d, k][w - p].add(w)
-        for (d, k), by in found.items():
+                            found[d, k].add(w - p)
+        for (d, k), shifts in found.items():
             n = min(WINDOW, len(self.lit[k]))
             size, best, covered = len(self.lit[k]), None, set()
-            for shift, ws in by.items():
-                for a, b in _runs(sorted(ws), n):
-                    a, b = self._consistent(lit, kind, k, shift, a, b)
-                    if b - a >= n:
+            for shift in sorted(shifts):
+                spans = [self._consistent(lit, kind, k, shift, a, b) for a, b in self._aligned(lit, kind, k, shift, int(start[d]), int(start[d + 1]), n)]
+                spans = [(a, b) for a, b in spans if b - a >= n]
+                same = [lit[a:b] == self.lit[k][a - shift : b - shift] for a, b in spans]
+                words = sum(int((x & ((kind[a:b] == WORD) | (kind[a:b] == NAME))).sum()) for (a, b), x in zip(spans, same))
+                for (a, b), x in zip(spans, same):
+                    if words >= min(LITERALS, n) or x.all():
                         covered.update(range(a - shift, b - shift))
                         if best is None or b - a > best[2]:
-                            same = bool((lit[a:b] == self.lit[k][a - shift : b - shift]).all())
-                            best = (self.ids[k], int(a - start[d]), int(b - a), size, same)
+                            best = (self.ids[k], int(a - start[d]), int(b - a), size, bool(x.all()))
             if best and (best[2] >= min(RUN_TOKENS, size) or len(covered) >= COVER * size):
                 out[d].append(best)
 
+    def _aligned(self, lit, kind, k, shift, first, past, n) -> list[tuple[int, int]]:
+        """Runs of n tokens or more of the text [first, past) that are the item's at this alignment, slots aside."""
+        a, b = max(first, shift), min(past, shift + len(self.lit[k]))
+        x, y = self.kind[k][a - shift : b - shift], kind[a:b]
+        fits = self.lit[k][a - shift : b - shift] == lit[a:b]
+        if self.wordy[k]:
+            fits |= (x == y) & (x != WORD)
+        edge = np.flatnonzero(np.diff(np.r_[False, fits, False].astype(np.int8)))
+        return [(a + int(i), a + int(j)) for i, j in zip(edge[::2], edge[1::2]) if j - i >= n]
+
     def _consistent(self, lit, kind, k, shift, a, b) -> tuple[int, int]:
         """The longest stretch of [a, b) over which slot values map one to one."""
         there, back, lo, best = {}, {}, a, (a, a)
@@ -211,17 +233,6 @@ class Templates:
         return best
 
 
-def _runs(starts: list[int], n: int) -> list[tuple[int, int]]:
-    """Token ranges covered by windows that follow on one another."""
-    out = []
-    for w in starts:
-        if out and w <= out[-1][1] - n + 1:
-            out[-1][1] = w + n
-        else:
-            out.append([w, w + n])
-    return [tuple(x) for x in out]
-
-
 def blocks(benchmark: DataFrame):
     """Templates of the benchmark, a block of about BLOCK_CHARS characters at a time."""
     b = benchmark.select("item_id", "text").where("text is not null")

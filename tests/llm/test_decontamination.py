@@ -82,3 +82,14 @@ def test_long_text_and_blocks(spark, prose, doc, monkeypatch):
     df = doc(spark, [(1, prose(1, 200_000) + " " + items[7] + " " + prose(2, 1000), "en", "s"), (2, prose(3, 50), "en", "s")])
     assert [(r["doc_id"], r["item_id"]) for r in dc.matches(df, b).collect()] == [(1, 7)]
     assert [r["doc_id"] for r in dc.decontaminate(df, b).collect()] == [2]
+
+
+def test_questions_of_few_words_between_slots():
+    a = "Ann pays 5 dollars for 3 kg and Bob pays 7 dollars for 4 kg of rice"
+    b = "Anna drives 120 km in 2 hours and Ben drives 90 km in 3 hours. Who is faster?"
+    items = {1: a, 2: b}
+    assert find("So: Carla pays 6 dollars for 2 kg and Dirk pays 9 dollars for 8 kg of rice.", items) == [1]
+    assert find("Carl drives 150 km in 4 hours and Dora drives 80 km in 5 hours. Who is faster?", items) == [2]
+    # slots that don't map one to one, and the same types with other words
+    assert find("Carla pays 6 dollars for 6 kg and Carla pays 6 dollars for 6 kg of rice", items) == []
+    assert find("Carl sells 150 km by 4 hours or Dora sells 80 km by 5 hours. Who was slower?", items) == []
