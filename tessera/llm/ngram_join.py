@@ -12,17 +12,25 @@ is linked by construction. One link to the key's least set says it all: output i
 
 Heavy sets scan inverted lists. In order of frequency, two sets that link share one of their rarest n - ceil(.75 n) + 1
 shingles, so only those are listed. Each list first compares its members with a few leaders, which connects large groups
-of near copies without all pairs. What is still apart within a list is then compared fully (lists whose members are
-already one component are done), so no link that joins two components is lost.
+of near copies without all pairs. Lists whose members are one component by then are done. The others are scanned whole,
+so no link that joins two components is lost: lists that hold much the same sets choose the same first leader and are
+scanned as one, a pair of blocks of bounded bytes at a time, each by an inverted index of its own. Blocks of the largest
+component never meet each other. A scan gives a forest of its links, no candidate pairs: at most one row for each set in it.
 
 The boundary between light and heavy is the size at which subsets cost less than the scans they save, from exact counts.
+Sizes above MOST_LIGHT aren't tried: one set of 25 shingles would already list thousands of subsets.
 
 Hashes: shingles are 56-bit hashes of five 64-bit word hashes, sets 128-bit digests of their shingles. Everything is
 decided on these.
 
+The join gives components, not the links of each set: comparisons within a component already known would be all pairs of
+a group of copies.
+
 Defined results: a null or blank text has no set, n_shingles 0, and is a component of its own. A null doc_id is never a
 component's id unless all its ids are null. Each row gives one row; repeated rows are copies. Extra columns are not read
-by join and kept by one_per_group().
+by join and kept by one_per_group(), which keeps one document of each group; rows equal in doc_id and text (null ids
+equal) are one document and stay or go together, and rows that share a doc_id but not a text are told apart. An empty
+table gives an empty result.
 """
 
 from __future__ import annotations
@@ -53,8 +61,12 @@ LOCAL = 64
 TEXTS_A_PART = 1000
 #: Sets of up to this size may be light.
 MOST_LIGHT = 24
-#: Leaders of a list in each turn, and turns before lists are compared fully.
-LEADERS, TURNS = 4, 1
+#: Leaders of a list.
+LEADERS = 4
+#: Shingles of so many bytes (or one set) make a block of a scan.
+SCAN_BYTES = 1 << 20
+#: Texts of a chunk, distinct or not.
+CHUNK_TEXTS = 65_000
 
 
 def need(n: int) -> int:
@@ -133,12 +145,12 @@ def _extract(parts: int):
 
         def flush():
             nonlocal turn
-            docs, where, sets, sigs = state
+            docs, where, sets, sigs, tags = state
             chunk = pid | turn
             turn += 1
             own = -1 - chunk % (1 << 62)
             size = np.array([len(s) for s in sets], "<u4")
-            rows = [("D", own, chunk, b"".join(sigs), size.tobytes(), b""), ("M", own, chunk, b"", np.array(where, "<i4").tobytes(), np.array([0 if d is None else d for d in docs], "<i8").tobytes() + np.array([d is None for d in docs], "?").tobytes())]
+            rows = [("D", own, chunk, b"".join(sigs), size.tobytes(), b""), ("M", own, chunk, b"", np.array(where, "<i4").tobytes(), np.array([0 if d is None else d for d in docs], "<i8").tobytes() + np.array(tags, "<i8").tobytes() + np.array([d is None for d in docs], "?").tobytes())]
             if len(sets):
                 toks, idx = np.concatenate(sets), np.repeat(np.arange(len(sets), dtype="<u4"), size)
                 order = np.argsort(toks, kind="stable")
@@ -157,11 +169,12 @@ def _extract(parts: int):
                         rows.append((kind, int(part[a]), chunk, _pack(t[a:b]), _planes(o, "<u2") if kind == "T" else o.tobytes(), b""))
             return pa.RecordBatch.from_pylist([dict(zip(_COLS, r)) for r in rows], _ARROW)
 
-        state, known, n = ([], [], [], []), {}, 0
+        state, known, n = ([], [], [], [], []), {}, 0
         for batch in batches:
-            for doc, text in _few(batch):
+            for doc, tag, text in _few(batch):
                 s = shingles(text, words)
                 state[0].append(doc)
+                state[4].append(tag)
                 if len(s):
                     sig = hashlib.blake2b(s.tobytes(), digest_size=16).digest()
                     at = known.setdefault(sig, len(known))
@@ -172,9 +185,9 @@ def _extract(parts: int):
                     state[1].append(at)
                 else:
                     state[1].append(-1)
-                if n >= CHUNK or len(known) == 65_000:
+                if n >= CHUNK or len(state[0]) == CHUNK_TEXTS:
                     yield flush()
-                    state, known, n = ([], [], [], []), {}, 0
+                    state, known, n = ([], [], [], [], []), {}, 0
         if state[0]:
             yield flush()
 
@@ -210,15 +223,15 @@ def _count(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
 
 
 def _assemble(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
-    """One chunk: rows M (doc_id, n, sig) for its texts and R (sig, n, shared tokens, rarest first) for its sets."""
+    """One chunk: rows M (doc_id, tag, n, sig) for its texts and R (sig, n, shared tokens, rarest first) for its sets."""
     by = {k: g for k, g in pdf.groupby("kind")}
     d, m = by["D"].iloc[0], by["M"].iloc[0]
     size = np.frombuffer(d["idx"], "<u4").astype(np.int64)
     sigs = [d["toks"][i : i + 16] for i in range(0, len(d["toks"]), 16)]
     where = np.frombuffer(m["idx"], "<i4")
     n = len(where)
-    ids, null = np.frombuffer(m["num"][: 8 * n], "<i8"), np.frombuffer(m["num"][8 * n :], "?")
-    out = [pd.DataFrame({"kind": "M", "doc_id": pd.array(np.where(null, 0, ids), dtype="Int64"), "n": [int(size[w]) if w >= 0 else 0 for w in where], "sig": [sigs[w] if w >= 0 else None for w in where], "toks": None})]
+    ids, tags, null = np.frombuffer(m["num"][: 8 * n], "<i8"), np.frombuffer(m["num"][8 * n : 16 * n], "<i8"), np.frombuffer(m["num"][16 * n :], "?")
+    out = [pd.DataFrame({"kind": "M", "doc_id": pd.array(np.where(null, 0, ids), dtype="Int64"), "tag": pd.array(tags, dtype="Int64"), "n": [int(size[w]) if w >= 0 else 0 for w in where], "sig": [sigs[w] if w >= 0 else None for w in where], "toks": None})]
     out[0].loc[null, "doc_id"] = pd.NA
     t, i, f = [], [], []
     if "N" in by:
@@ -244,24 +257,26 @@ def _assemble(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
         starts = np.searchsorted(i, np.arange(len(size) + 1))
         shared = np.diff(starts)
         good = np.flatnonzero(100 * shared >= PERCENT * size)
-        out.append(pd.DataFrame({"kind": "R", "doc_id": pd.array([pd.NA] * len(good), dtype="Int64"), "n": size[good], "sig": [sigs[g] for g in good], "toks": [t[starts[g] : starts[g + 1]].astype("<u8").tobytes() for g in good]}))
+        nothing = pd.array([pd.NA] * len(good), dtype="Int64")
+        out.append(pd.DataFrame({"kind": "R", "doc_id": nothing, "tag": nothing, "n": size[good], "sig": [sigs[g] for g in good], "toks": [t[starts[g] : starts[g + 1]].astype("<u8").tobytes() for g in good]}))
     trim()
     return pd.concat(out, ignore_index=True)
 
 
 def classes(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """members(doc_id, n, sig) of all rows, and sets(sig, n, toks) of those that can link with another set."""
+    """members(doc_id, tag, n, sig) of all rows, and sets(sig, n, toks) of those that can link with another set. A tag is a
+    hash of the text."""
     spark = docs.sparkSession
     lean_batches(spark)
     parts = max(shuffle_parts(spark), -(-docs.count() // TEXTS_A_PART))
-    rows = docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(trimmed(_extract(parts)), _ROW)
+    rows = docs.select(F.col("doc_id").cast("long"), F.xxhash64("text").alias("tag"), "text").mapInArrow(trimmed(_extract(parts)), _ROW)
     counted = rows.groupBy("gk").applyInPandas(_count, _ROW)
-    base = saved(counted.groupBy("chunk").applyInPandas(_assemble, "kind string, doc_id long, n long, sig binary, toks binary"), "shingles")
+    base = saved(counted.groupBy("chunk").applyInPandas(_assemble, "kind string, doc_id long, tag long, n long, sig binary, toks binary"), "shingles")
     del rows, counted
     tidy(spark)
     # Chunks may hold the same set; its tokens and their order are the same in all.
     sets = saved(base.where("kind = 'R'").groupBy("sig").agg(F.first("n").alias("n"), F.first("toks").alias("toks")), "sets")
-    return base.where("kind = 'M'").select("doc_id", "n", "sig"), sets
+    return base.where("kind = 'M'").select("doc_id", "tag", "n", "sig"), sets
 
 
 def tidy(spark) -> None:
@@ -355,55 +370,88 @@ def verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     return p.mapInPandas(trimmed(run), "a binary, b binary")
 
 
-def _leader_pairs(lists: DataFrame, most_light: int, seed: int) -> DataFrame:
+def _leader_pairs(lists: DataFrame, most_light: int) -> DataFrame:
     """Pairs of each list's members with its leaders. Leaders go by a hash of the set alone: lists of the same group choose
-    the same ones, so few distinct pairs arise. lists may have comp: pairs within a component are left out."""
-    first = [F.min(F.struct(F.xxhash64("sig", F.lit(seed + r)), "sig", "n", "pos", "comp")).alias(f"l{r}") for r in range(LEADERS)]
-    each = F.array_distinct(F.array(*[F.struct(*[f"l{r}.{c}" for c in ("sig", "n", "pos", "comp")]) for r in range(LEADERS)]))
+    the same ones, so few distinct pairs arise."""
+    first = [F.min(F.struct(F.xxhash64("sig", F.lit(r)), "sig", "n", "pos")).alias(f"l{r}") for r in range(LEADERS)]
+    each = F.array_distinct(F.array(*[F.struct(*[f"l{r}.{c}" for c in ("sig", "n", "pos")]) for r in range(LEADERS)]))
     leaders = lists.groupBy("tok").agg(*first).select("tok", F.explode(each).alias("l")).select("tok", "l.*")
-    return _pairs(lists.alias("x").join(leaders.alias("y"), "tok").where((F.col("x.sig") != F.col("y.sig")) & _worth(most_light)))
-
-
-def _worth(most_light: int):
-    """Not known to be connected, not both light, and by sizes and places a link is possible."""
-    return (F.col("x.comp") != F.col("y.comp")) & (F.greatest("x.n", "y.n") > most_light) & _may_link("x", "y")
-
-
-def _pairs(joined: DataFrame) -> DataFrame:
-    return joined.select(F.least("x.sig", "y.sig").alias("a"), F.greatest("x.sig", "y.sig").alias("b")).distinct()
+    # Not both light, and by sizes and places a link is possible.
+    worth = (F.col("x.sig") != F.col("y.sig")) & (F.greatest("x.n", "y.n") > most_light) & _may_link("x", "y")
+    both = lists.alias("x").join(leaders.alias("y"), "tok").where(worth)
+    return both.select(F.least("x.sig", "y.sig").alias("a"), F.greatest("x.sig", "y.sig").alias("b")).distinct()
 
 
 def _open(lists: DataFrame, label: DataFrame) -> DataFrame:
-    """The lists whose members aren't one component yet, with each member's component."""
-    now = lists.drop("comp").join(label.select(F.col("id").alias("sig"), "root"), "sig", "left").withColumn("comp", F.coalesce("root", "sig")).drop("root")
-    apart = now.groupBy("tok").agg(F.min("comp").alias("_x"), F.max("comp").alias("_y")).where("_x <> _y").select("tok")
-    return saved(now.join(apart, "tok"), "open")
+    """(hood, sig, comp): the members of lists that aren't one component yet, under the list's first leader."""
+    now = lists.join(label.select(F.col("id").alias("sig"), "root"), "sig", "left").withColumn("comp", F.coalesce("root", "sig"))
+    of = now.groupBy("tok").agg(F.min("comp").alias("_x"), F.max("comp").alias("_y"), F.min(F.struct(F.xxhash64("sig", F.lit(0)), "sig")).alias("_l"))
+    apart = of.where("_x <> _y").select("tok", F.col("_l.sig").alias("hood"))
+    return saved(now.join(apart, "tok").select("hood", "sig", "comp").distinct(), "open")
+
+
+def _scan(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
+    """A pair of blocks: a forest (a, b) of its links between sets of different components, by counts along inverted lists."""
+    mine = (pdf["block"] == key[1]).to_numpy()
+    own, n, comp = np.flatnonzero(mine), pdf["n"].to_numpy(), pd.factorize(pdf["comp"])[0]
+    met = own if key[1] == key[2] else np.flatnonzero(~mine)
+    toks = [np.frombuffer(t, "<u8") for t in pdf["toks"]]
+    size = np.array([len(t) for t in toks])
+    flat = np.unique(np.concatenate(toks), return_inverse=True)[1]
+    begin = np.r_[0, np.cumsum(size)]
+    # The inverted lists of the second block: list k is holder[first[k]:first[k + 1]].
+    held = np.concatenate([flat[begin[x] : begin[x + 1]] for x in met]) if len(met) else flat[:0]
+    order = np.argsort(held, kind="stable")
+    holder = np.repeat(np.arange(len(met)), size[met])[order]
+    first = np.searchsorted(held[order], np.arange(flat.max() + 2))
+    parent = list(range(len(pdf)))
+
+    def find(x: int) -> int:
+        while parent[x] != x:
+            parent[x] = x = parent[parent[x]]
+        return x
+
+    a, b, sigs = [], [], pdf["sig"].to_list()
+    for x in own.tolist():
+        t = flat[begin[x] : begin[x + 1]]
+        run = first[t + 1] - first[t]
+        at = np.repeat(first[t] - np.cumsum(run) + run, run) + np.arange(run.sum())
+        both = np.bincount(holder[at], minlength=len(met))
+        for y in met[(100 * both >= PERCENT * (n[x] + n[met] - both)) & (comp[met] != comp[x])].tolist():
+            p, q = find(x), find(y)
+            if p != q:
+                parent[p] = q
+                a.append(sigs[x])
+                b.append(sigs[y])
+    return pd.DataFrame({"a": a, "b": b})
+
+
+def _scanned(open_: DataFrame, sets: DataFrame) -> DataFrame:
+    """(a, b): links that connect what is apart under one hood and does link, block by block."""
+    m = open_.join(sets.select("sig", "n", "toks"), "sig").withColumn("bytes", F.octet_length("toks"))
+    per = m.groupBy("hood", "comp").agg(F.sum("bytes").alias("bytes"))
+    per = per.groupBy("hood").agg(F.max(F.struct("bytes", "comp")).alias("main"), F.sum("bytes").alias("all"))
+    blocks = lambda c: F.ceil(c / SCAN_BYTES).cast("int")
+    per = per.select("hood", F.col("main.comp").alias("main"), blocks(F.col("all") - F.col("main.bytes")).alias("rest"), blocks(F.col("main.bytes")).alias("mains"))
+    m = m.join(per, "hood").withColumn("in_main", F.col("comp") == F.col("main"))
+    deal = lambda n: F.pmod(F.xxhash64("sig"), n).cast("int")
+    m = m.withColumn("block", F.when(F.col("in_main"), F.col("rest") + deal(F.col("mains"))).otherwise(deal(F.col("rest"))))
+    # Blocks of the rest meet all blocks, those of the largest component only the rest's.
+    m = m.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("rest") - 1 + F.when(F.col("in_main"), 0).otherwise(F.col("mains")))))
+    m = m.select("hood", "sig", "n", "toks", "comp", "block", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"))
+    return m.groupBy("hood", "i", "j").applyInPandas(_scan, "a binary, b binary")
 
 
 def heavy_links(sets: DataFrame, lists: DataFrame, light: DataFrame, most_light: int) -> DataFrame:
     """(a, b): with light, links enough to connect all sets that link."""
-    star = lambda label: label.where("id <> root").select(F.col("root").alias("a"), F.col("id").alias("b"))
-    open_, links, tried = lists.withColumn("comp", F.col("sig")), light, None
-    for turn in range(TURNS):
-        pairs = _leader_pairs(open_, most_light, turn * LEADERS)
-        pairs = saved(pairs if tried is None else pairs.join(tried, ["a", "b"], "left_anti"), "pairs")
-        label = saved(components(links.unionByName(verified(pairs, sets))), "labels")
-        tried = pairs if tried is None else tried.unionByName(pairs)
-        links, open_ = star(label), _open(open_, label)
-        tidy(sets.sparkSession)
-    # What is apart still is compared fully, each pair at the first shingle that both prefixes have.
-    prefix = lists.groupBy("sig").agg(F.array_sort(F.collect_list(F.struct("place", "tok"))).alias("_p")).select("sig", F.col("_p.tok").alias("pre"))
-    rest = open_.join(prefix.join(open_.select("sig").distinct(), "sig"), "sig")
-    # Lists have left out shingles of one set, so a prefix is searched by place in the whole of it.
-    rest = rest.withColumn("before", F.slice("pre", F.lit(1), F.array_position("pre", F.col("tok")).cast("int") - 1)).drop("pre")
-    first = ~F.arrays_overlap("x.before", "y.before")
-    rest = rest.alias("x").join(rest.alias("y"), "tok").where((F.col("x.sig") < F.col("y.sig")) & _worth(most_light) & first)
-    found = verified(_pairs(rest).join(tried, ["a", "b"], "left_anti"), sets)
-    return links.unionByName(found)
+    links = light.unionByName(verified(_leader_pairs(lists, most_light), sets))
+    label = saved(components(links), "labels")
+    tidy(sets.sparkSession)
+    return label.where("id <> root").select(F.col("root").alias("a"), F.col("id").alias("b")).unionByName(_scanned(_open(lists, label), sets))
 
 
-def components_of(docs: DataFrame) -> DataFrame:
-    """doc_id, n_shingles, component_id for every row of docs (doc_id, text)."""
+def grouped(docs: DataFrame) -> DataFrame:
+    """doc_id, tag, n, comp for every row of docs (doc_id, text); comp is null for texts without a set."""
     members, sets = classes(docs)
     lists = inverted(sets)
     lists = saved(lists.join(lists.groupBy("tok").agg(F.count("*").alias("_k")).where("_k > 1").select("tok"), "tok"), "lists")
@@ -415,17 +463,24 @@ def components_of(docs: DataFrame) -> DataFrame:
     root = saved(components(heavy_links(sets, lists, light, most)), "roots")
     forget(lists)
     # Texts without a set stay alone.
-    m = members.join(root.withColumnRenamed("id", "sig"), "sig", "left").withColumn("comp", F.coalesce("root", "sig")).drop("root", "sig")
+    return members.join(root.withColumnRenamed("id", "sig"), "sig", "left").withColumn("comp", F.coalesce("root", "sig")).drop("root", "sig")
+
+
+def components_of(docs: DataFrame) -> DataFrame:
+    """doc_id, n_shingles, component_id for every row of docs (doc_id, text)."""
+    m = grouped(docs)
     least = m.where("comp is not null").groupBy("comp").agg(F.min("doc_id").alias("_least"))
     out = m.join(least, "comp", "left")
     return out.select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("comp").isNull(), F.col("doc_id")).otherwise(F.col("_least")).alias("component_id"))
 
 
 def one_per_group(docs: DataFrame) -> DataFrame:
-    """docs with one document of each group of linked texts: the rows of the least doc_id."""
-    c = components_of(docs).where(~F.col("doc_id").eqNullSafe(F.col("component_id")))
-    gone = saved(c.select(F.col("doc_id").alias("_gone")).distinct(), "gone")
-    return docs.join(gone, docs["doc_id"].cast("long") == gone["_gone"], "left_anti")
+    """docs with one document of each group of linked texts: that of the least doc_id (null last), then of the least tag."""
+    m = grouped(docs).where("comp is not null")
+    stays = m.groupBy("comp").agg(F.min(F.struct(F.col("doc_id").isNull().alias("null"), "doc_id", "tag")).alias("_s"))
+    gone = m.join(stays, "comp").where(~(F.col("doc_id").eqNullSafe(F.col("_s.doc_id")) & (F.col("tag") == F.col("_s.tag"))))
+    gone = saved(gone.select(F.col("doc_id").alias("_gone"), F.col("tag").alias("_tag")).distinct(), "gone")
+    return docs.join(gone, docs["doc_id"].cast("long").eqNullSafe(gone["_gone"]) & (F.xxhash64(docs["text"]) == gone["_tag"]), "left_anti")
 
 
 def op3_ngram_join(spark, sf_dir: str) -> DataFrame:
