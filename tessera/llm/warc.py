@@ -8,7 +8,9 @@ offset its Content-Length says the successor has. Pointer jumping from the start
 hop in each round and keeps just the candidates the chain from there reaches; pieces in between belong to the payload
 of the record before them and are put back.
 
-Files can be split over tasks: a piece's offset is the sum of the bytes before it, built from one total per split.
+Files can be split over tasks: a piece's offset is the sum of the bytes before it, built from one total per split. The
+offsets come from one read, saved; a second read, for records with boundary bytes in their payload, knows pieces again by
+a digest of their bytes, so it doesn't matter if the reader deals files to tasks in another way by then.
 
 Defined results: a null html is an empty payload; a null or odd url is percent-encoded where it has blanks or control
 characters; a null page_id is written without an id and read back as null. Rows that repeat a page are records of their
@@ -88,7 +90,7 @@ def candidates(spark, path: str) -> DataFrame:
     slim = saved(
         p.select(
             "file", "block", "m", "len", (F.col("head_len") + F.col("size")).alias("span"), "type", "whole", "payload_bytes", F.sha1("payload").alias("digest"),
-            page("WARC-Record-ID").alias("page_id"), page("WARC-Refers-To").alias("refers_to"), F.regexp_extract(_header(F.col("head"), "WARC-Payload-Digest"), "^sha1:(.*)$", 1).alias("said_digest"),
+            page("WARC-Record-ID").alias("page_id"), page("WARC-Refers-To").alias("refers_to"), F.md5("raw").alias("piece"), F.regexp_extract(_header(F.col("head"), "WARC-Payload-Digest"), "^sha1:(.*)$", 1).alias("said_digest"),
         ),
         "warc",
     )
@@ -152,12 +154,16 @@ def _joined(spark, path: str, c: DataFrame, live: DataFrame, cut: DataFrame) ->
     # Each piece belongs to the last record at or before it; slim rows of one file at a time.
     order = Window.partitionBy("file").orderBy("off").rowsBetween(Window.unboundedPreceding, 0)
     marked = c.join(live.withColumn("_live", F.lit(True)), ["file", "off"], "left").withColumn("rec", F.last(F.when(F.col("_live"), F.col("off")), ignorenulls=True).over(order))
-    parts = marked.join(cut.select("file", F.col("off").alias("rec")), ["file", "rec"], "left_semi").select("file", "block", "m", "rec", "off")
-    # The reader deals files to tasks alike each time, so (file, block, m) names the same piece again.
-    bodies = pieces(spark, path).join(parts, ["file", "block", "m"])
+    parts = marked.join(cut.select("file", F.col("off").alias("rec")), ["file", "rec"], "left_semi").select("file", "piece", "rec", "off")
+    # Pieces are known again by their bytes: where splits begin, and so any place in them, may differ from read to read.
+    again = pieces(spark, path).withColumn("piece", F.md5(F.col("body").cast("binary")))
+    again = again.join(parts.select("file", "piece").distinct(), ["file", "piece"], "left_semi").groupBy("file", "piece").agg(F.first("body").alias("body"))
+    bodies = parts.join(again, ["file", "piece"], "left")
+    lost = F.raise_error(F.concat(F.lit("bytes of a record changed while they were read: "), F.col("file")))
+    bodies = bodies.withColumn("body", F.when(F.col("body").isNull(), lost).otherwise(F.col("body")))
     whole = bodies.groupBy("file", "rec").agg(F.array_sort(F.collect_list(F.struct("off", "body"))).alias("_b")).withColumn("body", F.expr("array_join(transform(_b, x -> x.body), :s)".replace(":s", "'" + SEP.replace("\r", "\\r").replace("\n", "\\n") + "'")))
     done = parsed(whole.select("file", F.col("rec").alias("off"), "body")).select("file", "off", "payload_bytes", F.sha1("payload").alias("digest"))
-    return cut.drop("payload_bytes", "digest").join(done, ["file", "off"])
+    return cut.drop("payload_bytes", "digest").join(done, ["file", "off"], "left")
 
 
 def op9_warc(spark, sf_dir: str) -> DataFrame:
