@@ -1,9 +1,13 @@
 """Line dedup: sharded cuckoo filters in front of exact reference-count tables, reversible by document.
 
-State (all tables in the shared folder):
+State (all tables in the shared folder, written anew by each step):
   postings(key, doc_id)          one row per document and distinct long line
   refs(key, n_docs, owner)       exact reference count, and the largest document that holds the line
-  filters(shard, block, cells)   cuckoo filters over the keys of refs, hashed to shards
+  filters(shard, cells)          cuckoo filters over the keys of refs
+
+A key's hash names its shard, and a shard is one filter of fixed size: there are as many shards as the number of keys asks
+for (SHARD_KEYS each), a shuffle partition's worth at least, and when keys outgrow them the filters are dealt anew from refs into twice as many. So one filter
+is probed for a key, and wrong answers stay as rare, however many keys there are.
 
 An insertion tests its distinct keys against their shard's filter: keys it has never seen go straight to refs,
 the others are joined with refs exactly; those that aren't there (the filter was wrong) get a fingerprint too, so each
@@ -13,9 +17,10 @@ the tables that were there before.
 
 Keys are 128-bit digests of the normalised line, so no line text is stored.
 
-Defined results: a null or empty text is one empty line. Each row counts as a document of its own, so a repeated
-row counts twice; all rows of the largest doc_id keep the line. A null doc_id is less than any other. Lines are
-split at \\n only. Extra columns are not read. An empty table gives an empty result.
+Defined results: a null or empty text is one empty line. A document is what has one doc_id: repeated rows, and ids that
+are inserted again, count once for each line, and all rows of the largest doc_id keep the line. Rows without a doc_id are
+no document: they don't count and keep all their lines. Lines are split at \\n only. Extra columns are not read. An empty
+table gives an empty result.
 """
 
 from __future__ import annotations
@@ -30,6 +35,10 @@ from pyspark.sql import DataFrame, functions as F
 from .common import BLANKS, lean_batches, load, saved, shuffle_parts, trimmed
 
 MIN_CHARS, MIN_DOCS = 20, 3
+#: Keys of a shard, on average: half of its filter's cells.
+SHARD_KEYS = 1 << 15
+#: Keys of a task that works on filters.
+TASK_KEYS = 1 << 19
 
 
 def line_key(line: str, min_chars: int = MIN_CHARS) -> bytes | None:
@@ -40,7 +49,7 @@ def line_key(line: str, min_chars: int = MIN_CHARS) -> bytes | None:
 
 
 class Cuckoo:
-    """Buckets of four 16-bit fingerprints in fixed-size blocks; a new block opens when one is full."""
+    """Buckets of four 16-bit fingerprints in a block of fixed size; another opens in the rare case that it is full."""
 
     BUCKETS = 1 << 14
 
@@ -172,11 +181,13 @@ class LineIndex:
     postings: DataFrame | None = None
     refs: DataFrame | None = None
     filters: DataFrame | None = None
+    #: Rows of refs.
+    n_keys: int = 0
 
     @staticmethod
     def empty(spark, shards: int | None = None, min_chars: int = MIN_CHARS, min_docs: int = MIN_DOCS) -> LineIndex:
         make = lambda s: spark.createDataFrame([], s)
-        return LineIndex(spark, shards or 4 * shuffle_parts(spark), min_chars, min_docs, make("key binary, doc_id long"), make("key binary, n_docs long, owner long"), make("shard int, cells binary"))
+        return LineIndex(spark, shards or shuffle_parts(spark), min_chars, min_docs, make("key binary, doc_id long"), make("key binary, n_docs long, owner long"), make("shard int, cells binary"))
 
     def _extract(self, docs: DataFrame) -> DataFrame:
         least = self.min_chars
@@ -184,53 +195,80 @@ class LineIndex:
         def keys(batches):
             for pdf in batches:
                 ids, out = [], []
-                for i, text in zip(pdf["doc_id"].astype(object), pdf["text"]):
+                for i, text in zip(pdf["doc_id"].tolist(), pdf["text"]):
                     # A line costs nothing when it is short, and counts once a document.
                     found = {line_key(x, least) for x in (text or "").split("\n") if len(x) >= least} - {None}
                     out += found
-                    ids += [None if pd.isna(i) else int(i)] * len(found)
+                    ids += [i] * len(found)
                 yield pd.DataFrame({"key": out, "doc_id": pd.array(ids, dtype="Int64")})
 
-        return docs.select(F.col("doc_id").cast("long"), "text").mapInPandas(trimmed(keys), "key binary, doc_id long")
+        d = docs.select(F.col("doc_id").cast("long"), "text").where("doc_id is not null")
+        return d.mapInPandas(trimmed(keys), "key binary, doc_id long").distinct()
 
-    def _through_filters(self, keys: DataFrame, op: str) -> DataFrame:
+    def _through_filters(self, keys: DataFrame, n: int, op: str) -> DataFrame:
+        """Rows of kind k (the keys, with `known`) and f (filters of the shards) after a step on about n keys."""
         shard = F.pmod(F.xxhash64("key"), F.lit(self.shards)).cast("int")
         rows = keys.select(F.lit("k").alias("kind"), shard.alias("shard"), "key", "n", "owner", F.lit(None).cast("boolean").alias("known"), F.lit(None).cast("binary").alias("cells"))
         old = self.filters.select(F.lit("f").alias("kind"), "shard", F.lit(None).cast("binary").alias("key"), F.lit(None).cast("long").alias("n"), F.lit(None).cast("long").alias("owner"), F.lit(None).cast("boolean").alias("known"), "cells")
-        dealt = old.unionByName(rows).repartition(self.shards, "shard").sortWithinPartitions("shard", "kind")
+        parts = min(self.shards, max(shuffle_parts(self.spark), n // TASK_KEYS))
+        dealt = old.unionByName(rows).repartition(parts, "shard").sortWithinPartitions("shard", "kind")
         return saved(dealt.mapInPandas(_filter_step(op), _STEP), "lines")
 
+    @staticmethod
+    def _filters(step: DataFrame) -> DataFrame:
+        return step.where("kind = 'f'").select("shard", "cells")
+
+    def _room_for(self, n: int) -> LineIndex:
+        """With shards for n keys; if that needs more of them, fingerprints are dealt anew."""
+        shards = self.shards
+        while shards * SHARD_KEYS < n:
+            shards *= 2
+        if shards == self.shards:
+            return self
+        wide = replace(self, shards=shards, filters=self.filters.limit(0))
+        if not self.n_keys:
+            return wide
+        return replace(wide, filters=self._filters(wide._through_filters(self.refs.select("key", F.col("n_docs").alias("n"), "owner"), self.n_keys, "add")))
+
     def insert(self, docs: DataFrame) -> LineIndex:
         lean_batches(self.spark)
-        new = saved(self._extract(docs), "postings")
+        new = self._extract(docs)
+        if self.n_keys:  # lines that a document has already
+            new = new.join(self.postings, ["key", "doc_id"], "left_anti")
+        new = saved(new, "postings")
         # Keys are counted before anything is dealt by shard: a hot line is one row from here on.
-        delta = new.groupBy("key").agg(F.count("*").alias("n"), F.max("doc_id").alias("owner"))
-        step = self._through_filters(delta, "insert")
+        delta = saved(new.groupBy("key").agg(F.count("*").alias("n"), F.max("doc_id").alias("owner")), "lines")
+        n = delta.count()
+        now = self._room_for(self.n_keys + n)
+        step = now._through_filters(delta, n, "insert")
         met = step.where("kind = 'k'").select("key", F.col("n").alias("_n"), F.col("owner").alias("_o"), "known")
         fresh = met.where("not known").select("key", F.col("_n").alias("n_docs"), F.col("_o").alias("owner"))
-        merged = self.refs.join(met.where("known"), "key", "full_outer").select("key", (F.coalesce("n_docs", F.lit(0)) + F.coalesce("_n", F.lit(0))).alias("n_docs"), F.greatest("owner", "_o").alias("owner"))
-        wrong = saved(met.where("known").join(self.refs, "key", "left_anti").select("key", F.col("_n").alias("n"), F.col("_o").alias("owner")), "lines")
-        if not wrong.isEmpty():
-            step = replace(self, filters=step.where("kind = 'f'").select("shard", "cells"))._through_filters(wrong, "add")
-        touched = step.where("kind = 'f'").select("shard", "cells")
-        kept = self.filters.join(touched.select("shard").distinct(), "shard", "left_anti")
-        return replace(self, postings=self.postings.unionByName(new), refs=merged.unionByName(fresh), filters=kept.unionByName(touched))
+        if not self.n_keys:
+            refs = fresh
+        else:
+            merged = self.refs.join(met.where("known"), "key", "full_outer").select("key", (F.coalesce("n_docs", F.lit(0)) + F.coalesce("_n", F.lit(0))).alias("n_docs"), F.greatest("owner", "_o").alias("owner"))
+            wrong = saved(met.where("known").join(self.refs, "key", "left_anti").select("key", F.col("_n").alias("n"), F.col("_o").alias("owner")), "lines")
+            refs = saved(merged.unionByName(fresh), "refs")
+            if not wrong.isEmpty():
+                step = replace(now, filters=self._filters(step))._through_filters(wrong, n, "add")
+        # A step passes every filter on, also those no key of it belongs to.
+        return replace(now, postings=self.postings.unionByName(new) if self.n_keys else new, refs=refs, filters=self._filters(step), n_keys=refs.count())
 
     def delete(self, doc_ids: DataFrame) -> LineIndex:
         """Without the documents of doc_ids (column doc_id); ids that aren't in change nothing."""
-        gone = doc_ids.select(F.col("doc_id").cast("long").alias("_d")).distinct()
-        same = F.col("doc_id").eqNullSafe(F.col("_d"))
-        left = saved(self.postings.join(gone, same, "left_anti"), "postings")
-        less = saved(self.postings.join(gone, same, "left_semi").groupBy("key").agg(F.count("*").alias("_n"), F.max("doc_id").alias("_o")), "lines")
+        gone = doc_ids.select(F.col("doc_id").cast("long")).distinct()
+        left = saved(self.postings.join(gone, "doc_id", "left_anti").select("key", "doc_id"), "postings")
+        less = saved(self.postings.join(gone, "doc_id", "left_semi").groupBy("key").agg(F.count("*").alias("_n")), "lines")
         owners = left.join(less.select("key"), "key", "left_semi").groupBy("key").agg(F.max("doc_id").alias("_new"))
         refs = saved(
-            self.refs.join(less.select("key", "_n"), "key", "left").join(owners, "key", "left")
+            self.refs.join(less, "key", "left").join(owners, "key", "left")
             .select("key", (F.col("n_docs") - F.coalesce("_n", F.lit(0))).alias("n_docs"), F.when(F.col("_n").isNull(), F.col("owner")).otherwise(F.col("_new")).alias("owner")),
             "refs",
         )
         dead = refs.where("n_docs <= 0").select("key", F.lit(0).cast("long").alias("n"), "owner")
-        step = self._through_filters(dead, "delete")
-        return replace(self, postings=left, refs=refs.where("n_docs > 0"), filters=step.where("kind = 'f'").select("shard", "cells"))
+        step = self._through_filters(dead, self.n_keys, "delete")
+        refs = refs.where("n_docs > 0")
+        return replace(self, postings=left, refs=refs, filters=self._filters(step), n_keys=refs.count())
 
     def render(self, docs: DataFrame) -> DataFrame:
         """doc_id, n_lines, n_dropped, kept_text of each row of docs under the current counts."""
@@ -238,7 +276,7 @@ class LineIndex:
         least = self.min_chars
         hot = self.refs.where(F.col("n_docs") >= self.min_docs).select("key", "owner")
         # Hot lines skew the left side only; the right side has one row a key, so AQE can split it.
-        drops = self.postings.join(hot, "key").where(~F.col("doc_id").eqNullSafe(F.col("owner")))
+        drops = self.postings.join(hot, "key").where("doc_id <> owner")
         drops = drops.groupBy("doc_id").agg(F.collect_set("key").alias("keys")).withColumnRenamed("doc_id", "_d")
         d = docs.select(F.col("doc_id").cast("long"), "text")
 
@@ -259,7 +297,7 @@ class LineIndex:
                     kept.append("\n".join(left))
                 yield pd.DataFrame({"doc_id": pdf["doc_id"].astype("Int64"), "n_lines": n, "n_dropped": k, "kept_text": kept})
 
-        return d.join(drops, d["doc_id"].eqNullSafe(drops["_d"]), "left").select("doc_id", "text", "keys").mapInPandas(trimmed(cut), "doc_id long, n_lines long, n_dropped long, kept_text string")
+        return d.join(drops, d["doc_id"] == drops["_d"], "left").select("doc_id", "text", "keys").mapInPandas(trimmed(cut), "doc_id long, n_lines long, n_dropped long, kept_text string")
 
 
 def dedup_lines(docs: DataFrame, min_chars: int = MIN_CHARS, min_docs: int = MIN_DOCS) -> DataFrame:
@@ -275,12 +313,11 @@ def op10_line_dedup(spark, sf_dir: str) -> DataFrame:
 _KEY = "translate(trim(line, chr(32) || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 
 SQL = f"""
-WITH lines AS (
-  SELECT doc_id, unnest(string_split(coalesce(text, ''), chr(10))) AS line,
-         unnest(range(len(string_split(coalesce(text, ''), chr(10))))) AS pos FROM documents
-), keyed AS (SELECT doc_id, pos, line, {_KEY} AS key FROM lines),
+WITH d AS (SELECT row_number() OVER () AS r, doc_id, string_split(coalesce(text, ''), chr(10)) AS lines FROM documents),
+lines AS (SELECT r, doc_id, unnest(lines) AS line, unnest(range(len(lines))) AS pos FROM d),
+keyed AS (SELECT r, doc_id, pos, line, {_KEY} AS key FROM lines),
 hot AS (SELECT key, max(doc_id) AS owner FROM keyed WHERE length(key) >= 20 GROUP BY key HAVING count(DISTINCT doc_id) >= 3)
-SELECT k.doc_id, count(*) AS n_lines, count(*) FILTER (WHERE h.key IS NOT NULL AND k.doc_id <> h.owner) AS n_dropped,
-       sha256(coalesce(string_agg(k.line, chr(10) ORDER BY k.pos) FILTER (WHERE NOT (h.key IS NOT NULL AND k.doc_id <> h.owner)), '')) AS kept_sha256
-FROM keyed k LEFT JOIN hot h ON k.key = h.key GROUP BY k.doc_id
+SELECT any_value(k.doc_id) AS doc_id, count(*) AS n_lines, count(*) FILTER (WHERE k.doc_id <> h.owner) AS n_dropped,
+       sha256(coalesce(string_agg(k.line, chr(10) ORDER BY k.pos) FILTER (WHERE (k.doc_id <> h.owner) IS NOT TRUE), '')) AS kept_sha256
+FROM keyed k LEFT JOIN hot h ON k.key = h.key GROUP BY k.r
 """
