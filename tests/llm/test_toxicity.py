@@ -1,4 +1,5 @@
 import itertools
+import random
 import zlib
 
 import numpy as np
@@ -27,7 +28,37 @@ def test_marginals_equal_enumeration():
             moves += two / total
         else:
             assert len(p) == 0
-    np.testing.assert_allclose(pairs[0], moves, rtol=1e-9)
+    np.testing.assert_allclose(np.sum(pairs, axis=0), moves, rtol=1e-9)
+    none = []
+    tox.marginal(seqs, a, none=none)
+    for s, z in zip(seqs, none):
+        total = sum(np.exp(sum(e for e, v in zip(s, y) if v)) * np.prod([a[i][j] for i, j in zip(y, y[1:])]) for y in itertools.product((0, 1), repeat=len(s)))
+        np.testing.assert_allclose(z, np.log(a[0][0] ** max(0, len(s) - 1) / total), rtol=1e-9, atol=1e-12)
+
+
+def test_the_pull_of_a_label_is_its_posterior(prose):
+    """fit's gradient for a toxic document: expectations given that not all tokens are clean, less the free ones."""
+    rng = np.random.default_rng(4)
+    a, s = ((1.2, 0.5), (0.6, 1.9)), rng.normal(-1, 1, 6)
+    none: list = []
+    p = tox.marginal([s], a, none=none)[0]
+    total, some, one = 0.0, 0.0, np.zeros(6)
+    for y in itertools.product((0, 1), repeat=6):
+        w = np.exp(sum(e for e, v in zip(s, y) if v)) * np.prod([a[i][j] for i, j in zip(y, y[1:])])
+        total += w
+        if any(y):
+            some += w
+            one += w * np.array(y, float)
+    z = none[0]
+    np.testing.assert_allclose(one / some - p, np.exp(z - np.log(-np.expm1(z))) * p, rtol=1e-9)
+
+
+def test_company_against_brute_force():
+    rng = np.random.default_rng(6)
+    for n in (0, 1, 40, 300):
+        at, word = np.sort(rng.choice(2000, n, replace=False)), rng.integers(0, 5, n)
+        want = [min(tox.CROWD, sum(abs(int(at[i] - at[j])) <= tox.NEAR and word[i] != word[j] for j in range(n))) for i in range(n)]
+        assert tox.company(at, word).tolist() == want
 
 
 def _corpus(prose, n, seed=0):
@@ -62,7 +93,26 @@ def test_copies_dont_teach(prose):
     rows = _corpus(prose, 200)
     copies = [("qwerx qworz " + rows[0][0] + f" {k}", 1) for k in range(40)]
     m = tox.fit(rows + copies)
-    assert {"vaxor", "grumpf", "zoltek"} <= m.marked and not {"qworz"} & m.marked
+    assert {"vaxor", "grumpf", "zoltek"} <= set(m.weights) and not {"qworz"} & set(m.weights)
+
+
+def test_a_word_may_be_clean_alone_and_toxic_in_company(prose):
+    """Endings differ, so only beginnings can be learned; clean documents hold such a word too, but one alone."""
+    r = random.Random(2)
+    ends = [a + b for a in ("un", "ta", "ri", "mo", "ke", "sol") for b in ("pen", "dat", "lin", "gur", "fes", "om")]
+    rows = []
+    for i in range(900):
+        t = prose(i, 120).split()
+        bad = i % 6 == 0
+        for _ in range(4 if bad else int(i % 3 == 0)):
+            t.insert(r.randrange(len(t)), r.choice(["brask", "gloim"]) + r.choice(ends))
+        rows.append((" ".join(t), int(bad)))
+    m = tox.fit(rows[:600])
+    score, spans = m.score([t for t, _ in rows[600:]])
+    assert all((s >= tox.THRESHOLD) == (y == 1) for s, (_, y) in zip(score, rows[600:]))
+    assert m.near[0] < m.near[1]
+    words = {t[a:b][:5] for (t, y), found in zip(rows[600:], spans) for a, b in found if y}
+    assert {"brask", "gloim"} <= words
 
 
 def test_no_labels(spark, doc):
@@ -73,7 +123,7 @@ def test_no_labels(spark, doc):
 
 
 def test_long_text():
-    m = tox.Model({"bad": 9.0}, frozenset({"bad"}), -4.0, ((1.0, 0.5), (0.5, 1.0)), (1.0, 1.0, 1.0, -3.0))
+    m = tox.Model({"bad": 9.0}, -12.0, (7.0, 8.0, 9.0), ((1.0, 0.5), (0.5, 1.0)), (1.0, 1.0, 1.0, -3.0))
     s, spans = m.score(["bad " + "word " * 300_000 + "bad", "bad", None])
     assert spans[0] == [(0, 3), (1_500_004, 1_500_007)] and spans[1] == [(0, 3)] and s[2] < s[1]
 
@@ -83,7 +133,16 @@ def test_the_field_is_fitted_on_every_document(prose, monkeypatch):
     rows = [("a " + prose(i, 1500), 0) for i in range(200)] + [("b " + prose(900 + i, 20) + " vaxor", 1) for i in range(30)]
     late = [("я " + prose(2000 + i, 20) + " зхыъ " + prose(3000 + i, 5), 1) for i in range(30)] + [("я " + prose(4000 + i, 40), 0) for i in range(30)]
     seen, real = [], tox.marginal
-    monkeypatch.setattr(tox, "marginal", lambda seqs, a, pairs=None: (seen.append(sum(map(len, seqs))) if pairs is not None else None, real(seqs, a, pairs))[1])
+    monkeypatch.setattr(tox, "marginal", lambda seqs, a, pairs=None, none=None: (seen.append(sum(map(len, seqs))), real(seqs, a, pairs, none))[1])
     m = tox.fit(rows + late, rounds=6)
-    assert sum(seen) == 6 * sum(len(tox._TOKEN.findall(t)) for t, _ in rows + late)
-    assert {"vaxor", "зхыъ"} <= m.marked and all(abs(m.weights.get(w, 0)) > 1e-4 for w in m.marked)
+    assert sum(seen) == 7 * sum(len(tox._TOKEN.findall(t)) for t, _ in rows + late)  # the last for calibration
+    assert {"vaxor", "зхыъ"} <= set(m.weights)
+
+
+def test_repeated_rows_and_labels_of_both_kinds(spark, prose, doc):
+    rows = _corpus(prose, 120)
+    docs = doc(spark, [(i, t, "en", "s") for i, (t, _) in enumerate(rows)] * 2)
+    # a document with both labels is toxic
+    labels = spark.createDataFrame([(i, 0, y) for i, (_, y) in enumerate(rows)] + [(i, 0, 0) for i, (_, y) in enumerate(rows) if y], "doc_id long, quality int, toxic int")
+    got = {(r["doc_id"], r["score"]) for r in tox.tag(docs, tox.train(docs, labels)).collect()}
+    assert len(got) == len(rows) and all((x >= tox.THRESHOLD) == (rows[i][1] == 1) for i, x in got)
