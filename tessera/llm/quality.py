@@ -3,16 +3,20 @@
 1. A logistic classifier on what a text looks like (shares of character kinds, word and line repetition) gives each
    document evidence. It is fitted on at most MAX_TRAIN labelled rows, taken in order of a hash of doc_id; only their
    feature vectors reach the driver.
-2. Evidence is summed by host (the document's source) and by path below it (source and language) in one grouped
-   aggregation with partial sums.
+2. Outcomes are summed by host (the document's source) and by path below it (by default source and language) in one
+   grouped aggregation with partial sums: every document's probability counts 1, every label counts LABEL_WEIGHT more.
 3. Site rates are Beta-Binomial posteriors: a path shrinks toward its host, a host toward the global rate. The strength
    of each prior is estimated from the spread between sites (method of moments), so sparse sites lean on their parents.
-4. A document's log-odds are the classifier's plus the shift of its path's posterior from the global rate.
-
-Defined results: null and empty texts have features 0 and are scored like any other; a null source or lang is a site of
-its own. Without labels of both classes every document scores 0.5 and is kept. Repeated rows count as often as they
-occur. Documents whose label is null or neither 0 nor 1 don't train. Extra columns are not read by the query and kept by
-filter_quality(), whatever their names; score() adds columns with the prefix "quality_".
+4. A document's log-odds are the classifier's plus the shift of its path's posterior from the global rate. The posterior
+   leaves out the document's own probability, so evidence isn't counted twice and a document alone at its site has the
+   global rate. (A label at a site stays known to all its documents.)
+
+Defined results: null and empty texts have features 0 and are scored like any other; a null host or path is a site of
+its own. Without labels of both classes every document has evidence 0. Repeated rows count as often as they occur, and so
+do the labels of repeated rows. Documents whose label is null or neither 0 nor 1 don't train and count as unlabelled; if a
+document has both labels it is good. A score of exactly REJECT_BELOW is kept. Extra columns are not read by the query and
+kept by filter_quality() and score(), whatever their names; score() adds columns with the prefix "quality_". Empty tables
+give empty results.
 """
 
 from __future__ import annotations
@@ -28,6 +32,8 @@ from .common import lean_batches, load, packed, saved, trim
 MAX_TRAIN = 20_000
 #: Documents whose probability of being good is below this are rejected.
 REJECT_BELOW = 0.25
+#: What a label at a site counts, beside the one that each document there counts.
+LABEL_WEIGHT = 3.0
 #: Up to so many sites (three numbers each) are broadcast; more are joined by a shuffle.
 BROADCAST_SITES = 100_000
 NAMES = ("upper", "digit", "blank", "mark", "symbol", "word_len", "repeat_words", "repeat_lines", "end_symbol", "log_words")
@@ -87,18 +93,23 @@ class Classifier:
         return np.clip(_spread(features(texts)) @ self.weights, -12, 12)
 
 
+def known(labels: DataFrame) -> DataFrame:
+    """doc_id, _y: one row a labelled document."""
+    return labels.where("quality in (0, 1) and doc_id is not null").groupBy("doc_id").agg(F.max("quality").cast("double").alias("_y"))
+
+
 def train(docs: DataFrame, labels: DataFrame, max_train: int = MAX_TRAIN) -> Classifier:
     """Fit on the max_train labelled documents of least hash. Texts stay on the executors; features come back."""
-    l = labels.where("quality in (0, 1) and doc_id is not null").groupBy("doc_id").agg(F.max("quality").alias("_y"))
-    l = l.orderBy(F.xxhash64("doc_id"), "doc_id").limit(max_train)
+    l = known(labels).orderBy(F.xxhash64("doc_id"), "doc_id").limit(max_train)
     # max_train rows of two numbers: bounded, so broadcast.
-    rows = docs.select("doc_id", "text").join(F.broadcast(l), "doc_id").select("text", F.col("_y").cast("double").alias("y"))
+    rows = docs.select("doc_id", "text").join(F.broadcast(l), "doc_id").select("doc_id", "text", F.col("_y").alias("y"))
 
     def measure(batches):
         for pdf in batches:
-            yield pd.DataFrame({"x": list(features(list(pdf["text"]))), "y": pdf["y"]})
+            yield pd.DataFrame({"doc_id": pdf["doc_id"], "x": list(features(list(pdf["text"]))), "y": pdf["y"]})
 
-    got = rows.mapInPandas(measure, "x array<double>, y double").limit(4 * max_train).toPandas()
+    # A document met twice trains once.
+    got = rows.mapInPandas(measure, "doc_id long, x array<double>, y double").groupBy("doc_id").agg(F.min("x").alias("x"), F.first("y").alias("y")).toPandas()
     x = np.array(got["x"].tolist()).reshape(-1, len(NAMES))
     order = np.lexsort((*x.T, got["y"].to_numpy())) if len(x) else []  # sums in one order: reruns agree
     return Classifier.fit(x[order], got["y"].to_numpy()[order]) if len(x) else Classifier()
@@ -113,8 +124,7 @@ def evidence(docs: DataFrame, model: Classifier) -> DataFrame:
         trim()
         return out
 
-    # Marked as not deterministic, or a filter on the score would have it computed twice.
-    return docs.withColumn("quality_logit", logit.asNondeterministic()("text"))
+    return docs.withColumn("quality_logit", logit("text"))
 
 
 def _kappa(sites: DataFrame, mean: float) -> float:
@@ -127,38 +137,65 @@ def _kappa(sites: DataFrame, mean: float) -> float:
     return float(min(1e4, max(1.0, mean * (1 - mean) / between - 1)))
 
 
-def posteriors(scored: DataFrame) -> DataFrame:
-    """source, lang, quality_shift: how far each path's posterior log-odds lie from the global ones."""
+@dataclass(frozen=True)
+class Rates:
+    """Posterior sums by site: table has _host, _path, what is known at the path and its host, and both priors are here."""
+
+    table: DataFrame
+    mean: float
+    host_strength: float
+    path_strength: float
+
+    def shift(self):
+        """Column: the log-odds of a document's site without the document, less the global ones."""
+        own = 1 / (1 + F.exp(-F.col("quality_logit")))
+        host = (F.col("_hs") - own + self.host_strength * self.mean) / (F.col("_hn") - 1 + self.host_strength)
+        path = (F.col("_ps") - own + self.path_strength * host) / (F.col("_pn") - 1 + self.path_strength)
+        path = F.least(F.greatest(path, F.lit(1e-6)), F.lit(1 - 1e-6))
+        return F.round(F.log(path / (1 - path)) - float(np.log(self.mean / (1 - self.mean))), 9)
+
+
+def posteriors(scored: DataFrame, labelled: DataFrame) -> Rates:
+    """From scored(_host, _path, quality_logit) of all documents and labelled(_host, _path, _y) of those with labels."""
     p = 1 / (1 + F.exp(-F.col("quality_logit")))
+    each = scored.select("_host", "_path", F.lit(1.0).alias("w"), p.alias("v"))
+    each = each.unionByName(labelled.select("_host", "_path", F.lit(LABEL_WEIGHT).alias("w"), (LABEL_WEIGHT * F.col("_y")).alias("v")))
     # Paths first (partial sums on each task), hosts from paths: a hot source is a few numbers by then.
-    path = saved(scored.groupBy("source", "lang").agg(F.count("*").alias("n"), F.sum(p).alias("s")), "quality")
-    host = path.groupBy("source").agg(F.sum("n").alias("n"), F.sum("s").alias("s"))
+    path = saved(each.groupBy("_host", "_path").agg(F.sum("w").alias("n"), F.sum("v").alias("s")), "quality")
+    host = path.groupBy("_host").agg(F.sum("n").alias("n"), F.sum("s").alias("s"))
     n, s = path.agg(F.sum("n"), F.sum("s")).first()
     mean = float(np.clip(s / n, 1e-4, 1 - 1e-4)) if n else 0.5
-    kh, kp = _kappa(host, mean), _kappa(path, mean)
-    host = host.select(F.col("source").alias("_h"), ((F.col("s") + kh * mean) / (F.col("n") + kh)).alias("_m"))
-    both = path.join(host, path["source"].eqNullSafe(host["_h"]))
-    m = (F.col("s") + kp * F.col("_m")) / (F.col("n") + kp)
-    return both.select("source", "lang", F.round(F.log(m / (1 - m)) - float(np.log(mean / (1 - mean))), 9).alias("quality_shift"))
+    at_host = host.select(F.col("_host").alias("_h"), F.col("n").alias("_hn"), F.col("s").alias("_hs"))
+    both = path.join(at_host, path["_host"].eqNullSafe(at_host["_h"])).select("_host", "_path", F.col("n").alias("_pn"), F.col("s").alias("_ps"), "_hn", "_hs")
+    return Rates(saved(both, "quality"), mean, _kappa(host, mean), _kappa(path, mean))
+
+
+def _judged(rows: DataFrame, labels: DataFrame, max_train: int) -> DataFrame:
+    """rows(doc_id, text, _host, _path, more) without text and with quality_logit, quality_shift and quality_score."""
+    lean_batches(rows.sparkSession)
+    # Features cost far more than a written column: they are computed once.
+    scored = saved(evidence(rows, train(rows, labels, max_train)).drop("text"), "quality")
+    rates = posteriors(scored, rows.select("doc_id", "_host", "_path").join(known(labels), "doc_id"))
+    t = rates.table.withColumnsRenamed({"_host": "_rh", "_path": "_rp"})
+    t = F.broadcast(t) if t.count() <= BROADCAST_SITES else t
+    out = scored.join(t, scored["_host"].eqNullSafe(F.col("_rh")) & scored["_path"].eqNullSafe(F.col("_rp"))).withColumn("quality_shift", rates.shift())
+    return out.withColumn("quality_score", 1 / (1 + F.exp(-(F.col("quality_logit") + F.col("quality_shift"))))).drop("_rh", "_rp", "_pn", "_ps", "_hn", "_hs")
 
 
-def score(docs: DataFrame, labels: DataFrame, max_train: int = MAX_TRAIN) -> DataFrame:
-    """docs with quality_logit, quality_shift and quality_score (probability of being good)."""
-    lean_batches(docs.sparkSession)
-    model = train(docs, labels, max_train)
-    shift = saved(posteriors(evidence(docs.select("source", "lang", "text"), model)), "quality").toDF("_qs", "_ql", "quality_shift")
-    small = shift.count() <= BROADCAST_SITES
-    out = evidence(docs, model)
-    out = out.join(F.broadcast(shift) if small else shift, out["source"].eqNullSafe(F.col("_qs")) & out["lang"].eqNullSafe(F.col("_ql")), "left").drop("_qs", "_ql")
-    total = F.col("quality_logit") + F.coalesce("quality_shift", F.lit(0.0))
-    return out.withColumn("quality_score", 1 / (1 + F.exp(-total)))
+def score(docs: DataFrame, labels: DataFrame, max_train: int = MAX_TRAIN, host: str = "source", path: tuple[str, ...] = ("lang",)) -> DataFrame:
+    """docs with quality_logit, quality_shift and quality_score (probability of being good). host and path name the columns
+    that say where a document comes from."""
+    rows = packed(docs.drop("quality_logit", "quality_shift", "quality_score"), "doc_id", "text", F.col(f"`{host}`").alias("_host"), F.struct(*[F.col(f"`{c}`") for c in path]).alias("_path"))
+    return _judged(rows, labels, max_train).select("row.*", "quality_logit", "quality_shift", "quality_score")
 
 
 def filter_quality(docs: DataFrame, labels: DataFrame, reject_below: float = REJECT_BELOW) -> DataFrame:
     """The rows of docs that aren't rejected."""
-    return score(packed(docs, "doc_id", "text", "source", "lang"), labels).where(F.col("quality_score") >= reject_below).select("row.*")
+    rows = packed(docs, "doc_id", "text", F.col("source").alias("_host"), F.col("lang").alias("_path"))
+    return _judged(rows, labels, MAX_TRAIN).where(F.col("quality_score") >= reject_below).select("row.*")
 
 
 def op7_quality(spark, sf_dir: str) -> DataFrame:
-    out = score(load(spark, sf_dir, "documents").select("doc_id", "text", "source", "lang"), load(spark, sf_dir, "labels"))
-    return out.select("doc_id", "source", "lang", F.col("quality_logit").alias("evidence"), F.col("quality_shift").alias("site_shift"), F.col("quality_score").alias("score"), (F.col("quality_score") >= REJECT_BELOW).alias("kept"))
+    rows = load(spark, sf_dir, "documents").select("doc_id", "text", F.col("source").alias("_host"), F.col("lang").alias("_path"))
+    out = _judged(rows, load(spark, sf_dir, "labels"), MAX_TRAIN)
+    return out.select("doc_id", F.col("_host").alias("source"), F.col("_path").alias("lang"), F.col("quality_logit").alias("evidence"), F.col("quality_shift").alias("site_shift"), F.col("quality_score").alias("score"), (F.col("quality_score") >= REJECT_BELOW).alias("kept"))
