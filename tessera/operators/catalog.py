@@ -7,6 +7,7 @@ from functools import reduce
 from pyspark.sql import DataFrame, Window, functions as F
 
 from ..functions.text import in_or_under
+from ..storage import saved
 
 
 def assign_ids(known: DataFrame, seen: DataFrame) -> DataFrame:
@@ -39,7 +40,8 @@ def number_rows(df: DataFrame, name: str, order: list[str], first: int = 0) -> D
     """df with consecutive numbers in order, without one task seeing all rows (one count per partition is collected)."""
     spark = df.sparkSession
     s = df.repartitionByRange(int(spark.conf.get("spark.sql.shuffle.partitions")), *order).sortWithinPartitions(*order)
-    s = s.withColumn("_m", F.monotonically_increasing_id()).withColumn("_p", F.shiftright("_m", 33).cast("int")).persist()
+    s = s.withColumn("_m", F.monotonically_increasing_id()).withColumn("_p", F.shiftright("_m", 33).cast("int"))
+    s = saved(s, "numbered")  # numbers depend on how rows lie, so they are stored
     counts = sorted((r["_p"], r["n"]) for r in s.groupBy("_p").agg(F.count("*").alias("n")).collect())
     starts, at = [], first
     for p, n in counts:

@@ -5,29 +5,29 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, functions as F
 
 from ..functions.text import first_segment
+from ..storage import forget, saved
 
 
 def descendants(edges: DataFrame, roots: DataFrame, max_depth: int = 100) -> DataFrame:
     """(node, depth): every node reachable from roots (node), each once, with its least number of steps; roots aren't in it
     unless a cycle comes back to them, and then only if they aren't roots.
 
-    One join per level; each level's new nodes are fewer than all edges. Every few levels lineage is cut by a checkpoint
-    if the session has a checkpoint folder. Raises if max_depth isn't enough.
+    One join per level; each level's new nodes are a table in the shared folder, which cuts lineage. A level is anti-joined
+    with the tables of all before it. Raises if max_depth isn't enough.
     """
-    spark = edges.sparkSession
-    durable = bool(spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir())
-    e = edges.select("src", "dst").distinct().persist()
+    e = saved(edges.select("src", "dst").distinct(), "edges")
     seen = roots.select("node").distinct().withColumn("depth", F.lit(0))
     frontier = seen
     for depth in range(1, max_depth + 2):
         reached = frontier.join(e, F.col("node") == F.col("src")).select(F.col("dst").alias("node")).distinct()
         fresh = reached.join(seen, "node", "left_anti").withColumn("depth", F.lit(depth))
-        fresh = fresh.checkpoint() if durable else fresh.persist()
+        fresh = saved(fresh, "level")
         if fresh.isEmpty():
             break
         if depth > max_depth:
             raise ValueError(f"more than {max_depth} levels")
         seen, frontier = seen.unionByName(fresh), fresh
+    forget(e)
     return seen.where("depth > 0")
 
 

@@ -28,7 +28,8 @@ def values(entries: DataFrame, index_id: str, key: str) -> DataFrame:
 
 
 def grouped(entries: DataFrame, index_id: str, start: str) -> DataFrame:
-    """(key, values): sorted values of every key that begins with start."""
+    """(key, values): sorted values of every key that begins with start. A key's values are one array, so they must fit a
+    task; prefix() gives them as rows."""
     return prefix(entries, index_id, start).groupBy("key").agg(F.array_sort(F.collect_list("value")).alias("values"))
 
 
@@ -69,10 +70,14 @@ def union_stores(*stores: DataFrame) -> DataFrame:
 
 
 def global_id(store, file) -> Column:
-    """One integer for a store's file: bit 31 marks it, 7 bits of store, 24 of file; local files (store 0) stay as they are."""
+    """One integer for a store's file: bit 31 marks it, 7 bits of store, 24 of file; local files (store 0) stay as they are.
+    Numbers that don't fit raise, as they would be another file's."""
     s, f = (x if isinstance(x, Column) else F.col(x) for x in (store, file))
+    fits = F.when(s == 0, f.between(0, (1 << 31) - 1)).otherwise(s.between(1, 127) & f.between(0, (1 << 24) - 1))
     packed = F.lit(1 << 31).bitwiseOR(F.shiftleft(s.cast("long"), 24)).bitwiseOR(f.cast("long"))
-    return F.when(s == 0, f.cast("long")).otherwise(packed)
+    packed = F.when(s == 0, f.cast("long")).otherwise(packed)
+    wrong = F.raise_error(F.concat_ws(" ", F.lit("no global id for store"), s.cast("string"), F.lit("file"), f.cast("string")))
+    return F.when(s.isNull() | f.isNull(), F.lit(None).cast("long")).when(fits, packed).otherwise(wrong.cast("long"))
 
 
 def local_id(packed) -> tuple[Column, Column]:

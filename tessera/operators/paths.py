@@ -5,7 +5,7 @@ from __future__ import annotations
 from functools import reduce
 from operator import or_
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from ..functions.text import in_or_under
 
@@ -32,12 +32,16 @@ def under_roots(path, roots: list[str]) -> Column:
 
 
 def semi_under_roots(df: DataFrame, path: str, roots: DataFrame) -> DataFrame:
-    """Rows of df at or below a root of a table of any size: an equi-join on all ancestors of the path."""
-    parts = F.split(F.col(path), "/")
+    """Rows of df at or below a root of a table of any size, as they are and as often as they are there.
+
+    Distinct paths meet the roots by an equi-join on all their ancestors; rows then only meet the paths that passed.
+    """
+    parts = F.split("_path", "/")
     up = F.transform(F.sequence(F.lit(1), F.size(parts)), lambda i: F.array_join(F.slice(parts, F.lit(1), i), "/"))
-    ids = df.withColumn("_up", F.explode(F.array_distinct(up)))
+    ids = df.select(F.col(path).alias("_path")).distinct().select("_path", F.explode(F.array_distinct(up)).alias("_up"))
     hit = roots.select(F.regexp_replace("root", r"/+\z", "").alias("_up")).distinct()
-    return ids.join(hit, "_up", "left_semi").drop("_up").dropDuplicates()
+    inside = ids.join(hit, "_up", "left_semi").select("_path").distinct()
+    return df.join(inside, df[path] == inside["_path"], "left_semi")
 
 
 def supports(extension, extensions: list[str]) -> Column:
@@ -116,6 +120,36 @@ def shown(items: DataFrame, typed: str, column: str = "lookup") -> DataFrame:
     return items.where(F.col(column).startswith(typed)) if typed else items
 
 
+#: Where the classes of a runtime image are. Fixed value.
+RUNTIME_ROOT = "jrt:/modules"
+
+
+def runtime_roots(spark) -> DataFrame:
+    """(root, origin) of the runtime image, for collectors beside root_rows."""
+    return root_rows(spark, [RUNTIME_ROOT], "runtime")
+
+
+def top_level_names(declarations: DataFrame) -> DataFrame:
+    """(file_id, name): classes declared at the top of each file. declarations: file_id, name, kind, depth."""
+    return declarations.where((F.col("kind") == "class") & (F.col("depth") == 0)).select("file_id", "name")
+
+
+def scope_members(scopes: DataFrame, locals_: DataFrame, members: DataFrame) -> DataFrame:
+    """(point, depth, name): what can be named at each point: locals and accessible members of all scopes around it.
+
+    scopes: point, depth (0 innermost), type (nullable), static_method, static_type. locals_: point, depth, name. members:
+    type, name, accessible, static. From a static method outwards, and outside of a static type, there are no `this` and
+    `super` and only static members. A name that several scopes have is given for each.
+    """
+    w = Window.partitionBy("point").orderBy("depth")  # a point's scopes: as many as code is nested
+    until = F.max("static_method").over(w.rowsBetween(Window.unboundedPreceding, 0))
+    inside = F.max("static_type").over(w.rowsBetween(Window.unboundedPreceding, -1))
+    s = scopes.withColumn("_static", F.coalesce(until, F.lit(False)) | F.coalesce(inside, F.lit(False))).select("point", "depth", "type", "_static")
+    own = locals_.join(s.select("point", "depth", "_static"), ["point", "depth"]).where(~(F.col("_static") & F.col("name").isin("this", "super")))
+    theirs = s.where("type is not null").join(members, "type").where(F.col("accessible") & (F.col("static") | ~F.col("_static")))
+    return own.select("point", "depth", "name").unionByName(theirs.select("point", "depth", "name"))
+
+
 def root_rows(spark, roots: list[str], origin: str = "source") -> DataFrame:
     """(root, origin): roots given by configuration or by a constant, as a relation for semi_under_roots and collectors."""
     return spark.createDataFrame([(r, origin) for r in dict.fromkeys(roots)], "root string, origin string")
