@@ -35,27 +35,65 @@ class IndexDefinition:
         return out.where("key is not null")
 
 
-def python_extractor(per_file: Callable[[dict], Iterable[tuple[str, str]]], columns: list[str]) -> Callable[[DataFrame], DataFrame]:
-    """An extractor from a function of one file's columns. Of equal keys the last value stays.
+class PythonExtractor:
+    """An extractor from a function of one file's columns, and, with a helper, of what the helper made of them. Of equal keys
+    the last value stays.
 
-    A file for which it raises gives one row with a null key and the error as value; errors_of() shows them.
+    Extractors with one helper share its result: it runs once a file, however many of them take the file. A file for which
+    a function raises gives one row with a null key and the error as value; errors_of() shows them.
     """
 
+    def __init__(self, per_file: Callable[..., Iterable[tuple[str, str]]], columns: list[str], helper: Callable[[dict], object] | None = None):
+        self.per_file, self.columns, self.helper = per_file, columns, helper
+
+    def found(self, row: dict, helped: dict) -> list[tuple]:
+        """(file_id, key, value) of a file; helped keeps what helpers made of it."""
+        try:
+            if self.helper is None:
+                pairs = dict(self.per_file(row))
+            else:
+                if self.helper not in helped:
+                    helped[self.helper] = _attempt(self.helper, row)
+                made, error = helped[self.helper]
+                if error:
+                    raise error
+                pairs = dict(self.per_file(row, made))
+            return [(row["file_id"], k, v if v is None or isinstance(v, str) else json.dumps(v, sort_keys=True)) for k, v in pairs.items()]
+        except Exception as e:  # a broken file must not stop the batch
+            return [(row["file_id"], None, f"{type(e).__name__}: {e}")]
+
+    def __call__(self, files: DataFrame) -> DataFrame:
+        return _together(files, {"": self}, {}).drop("index_id")
+
+
+def _attempt(fn, row):
+    try:
+        return fn(row), None
+    except Exception as e:  # told to each extractor that needs it
+        return None, e
+
+
+def _together(files: DataFrame, extractors: dict[str, PythonExtractor], supports: dict[str, Column]) -> DataFrame:
+    """(index_id, file_id, key, value) of all extractors in one pass over files."""
+    columns = list(dict.fromkeys(c for e in extractors.values() for c in e.columns if c != "file_id"))
+    flag = {i: f"_takes{k}" for k, i in enumerate(extractors)}
+
     def run(batches):
         for pdf in batches:
             out = []
             for r in pdf.to_dict("records"):
-                try:
-                    found = dict(per_file(r))
-                    out += [(r["file_id"], k, v if v is None or isinstance(v, str) else json.dumps(v, sort_keys=True)) for k, v in found.items()]
-                except Exception as e:  # a broken file must not stop the batch
-                    out.append((r["file_id"], None, f"{type(e).__name__}: {e}"))
-            yield pd.DataFrame(out, columns=["file_id", "key", "value"])
+                helped: dict = {}
+                for i, e in extractors.items():
+                    if r[flag[i]] is True:
+                        out += [(i, *x) for x in e.found(r, helped)]
+            yield pd.DataFrame(out, columns=["index_id", "file_id", "key", "value"])
 
-    def extract(files: DataFrame) -> DataFrame:
-        return files.select("file_id", *[c for c in columns if c != "file_id"]).mapInPandas(run, "file_id long, key string, value string")
+    taken = [F.coalesce(supports.get(i, F.lit(True)), F.lit(False)).alias(flag[i]) for i in extractors]
+    return files.select("file_id", *columns, *taken).mapInPandas(run, "index_id string, file_id long, key string, value string")
 
-    return extract
+
+def python_extractor(per_file, columns: list[str], helper=None) -> PythonExtractor:
+    return PythonExtractor(per_file, columns, helper)
 
 
 def errors_of(definition: IndexDefinition, files: DataFrame) -> DataFrame:
@@ -65,8 +103,14 @@ def errors_of(definition: IndexDefinition, files: DataFrame) -> DataFrame:
 
 
 def run_all(files: DataFrame, definitions: list[IndexDefinition]) -> DataFrame:
-    """Entries of all definitions. Native extractors share one scan; content is read once per file."""
-    return reduce(lambda a, b: a.unionByName(b), [d.rows(files) for d in definitions])
+    """Entries of all definitions. Those in Python share one pass over files, in which each helper runs once a file; each
+    native one is a plan of its own, so callers with several persist files (as IndexStore does)."""
+    python = {d.id: d for d in definitions if isinstance(d.extract, PythonExtractor)}
+    parts = [d.rows(files) for d in definitions if d.id not in python]
+    if python:
+        rows = _together(files, {i: d.extract for i, d in python.items()}, {i: d.supports for i, d in python.items() if d.supports is not None})
+        parts.append(rows.where("key is not null").select("index_id", "key", "file_id", "value"))
+    return reduce(lambda a, b: a.unionByName(b), parts) if parts else files.sparkSession.createDataFrame([], ENTRY)
 
 
 def forward(entries: DataFrame) -> DataFrame:

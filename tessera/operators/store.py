@@ -1,9 +1,14 @@
-"""An index kept on disk as immutable snapshot directories and a manifest that is swapped atomically.
+"""An index kept on disk as immutable layers and a manifest that is swapped atomically.
 
-A snapshot has three Parquet tables: entries (partitioned by index_id), done (index_id, file_id: what was extracted, also
-where it gave nothing) and stamps (file_id, last_modified, length). The manifest names the snapshot and the version of each
-definition. A reader that opened a snapshot keeps reading it whatever is written later; a write that fails leaves the
-manifest as it was.
+A batch of changes adds one layer, so what is written grows with the change and not with the store. A layer has four
+Parquet tables: entries (by index_id, range-partitioned and sorted by key, so a key or prefix is in few files and row
+groups), done (index_id, file_id: what was extracted, also where it gave nothing), stamps (file_id, last_modified, length)
+and gone (file_id: what the batch touched). Rows of a file count unless a later layer has it in gone; without later layers
+a read is a plain scan. When layers are many they are compacted into one.
+
+The manifest names the layers, the version of each definition and the versions each layer was written with. A reader that
+opened a snapshot keeps reading it while its layers are kept (KEEP manifests); a write that fails leaves the manifest as it
+was.
 """
 
 from __future__ import annotations
@@ -16,12 +21,15 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from .index import ENTRY, IndexDefinition, run_all
 
-_DONE, _STAMPS = "index_id string, file_id long", "file_id long, last_modified long, length long"
+_DONE, _STAMPS, _GONE = "file_id long, index_id string", "file_id long, last_modified long, length long", "file_id long"
+_ENTRIES = "key string, file_id long, value string, index_id string"
+#: Layers beyond this are compacted; manifests whose layers are kept for readers.
+MOST_LAYERS, KEEP = 8, 8
 
 
 class IndexStore:
-    def __init__(self, spark: SparkSession, root: str):
-        self.spark, self.root = spark, root.rstrip("/")
+    def __init__(self, spark: SparkSession, root: str, most_layers: int = MOST_LAYERS):
+        self.spark, self.root, self.most_layers = spark, root.rstrip("/"), most_layers
         self.definitions: dict[str, IndexDefinition] = {}
         self._jvm = spark.sparkContext._jvm
         path = self._path("")
@@ -33,21 +41,24 @@ class IndexStore:
     def _path(self, name: str):
         return self._jvm.org.apache.hadoop.fs.Path(f"{self.root}/{name}" if name else self.root)
 
-    def manifest(self) -> dict:
-        """The newest complete manifest: manifests are numbered files, and a file appears by one rename."""
+    def _numbers(self) -> list[int]:
         found = [s.getPath().getName() for s in self._fs.listStatus(self._path(""))]
-        numbers = [int(n[9:]) for n in found if n.startswith("manifest-")]
+        return sorted(int(n[9:]) for n in found if n.startswith("manifest-"))
+
+    def manifest(self, number: int | None = None) -> dict:
+        """The newest complete manifest: manifests are numbered files, and a file appears by one rename."""
+        numbers = self._numbers()
         if not numbers:
-            return {"number": 0, "snapshot": None, "versions": {}}
-        stream = self._fs.open(self._path(f"manifest-{max(numbers)}"))
+            return {"number": 0, "layers": [], "versions": {}}
+        stream = self._fs.open(self._path(f"manifest-{numbers[-1] if number is None else number}"))
         try:
             text = self._jvm.org.apache.commons.io.IOUtils.toString(stream, "UTF-8")
         finally:
             stream.close()
         return json.loads(text)
 
-    def _publish(self, snapshot: str | None, versions: dict, base: int) -> None:
-        m = {"number": base + 1, "snapshot": snapshot, "versions": versions}
+    def _publish(self, layers: list[dict], versions: dict, base: int) -> None:
+        m = {"number": base + 1, "layers": layers, "versions": versions}
         temp = self._path(f".manifest-{uuid.uuid4().hex}")
         out = self._fs.create(temp, True)
         out.write(bytearray(json.dumps(m).encode()))
@@ -55,27 +66,40 @@ class IndexStore:
         if not self._fs.rename(temp, self._path(f"manifest-{base + 1}")):
             raise RuntimeError("another writer published first")
 
-    def _table(self, m: dict, name: str, schema: str) -> DataFrame:
-        if m["snapshot"] is None:
-            return self.spark.createDataFrame([], schema)
-        return self.spark.read.schema(schema).parquet(f"{self.root}/{m['snapshot']}/{name}")
-
-    def _write(self, m: dict, entries: DataFrame, done: DataFrame, stamps: DataFrame, versions: dict) -> None:
-        name = f"snapshot-{uuid.uuid4().hex}"
-        # Sorted by key within an index's files, so that key and prefix filters skip row groups.
-        entries.sortWithinPartitions("index_id", "key", "file_id").write.partitionBy("index_id").parquet(f"{self.root}/{name}/entries")
-        done.write.parquet(f"{self.root}/{name}/done")
-        stamps.write.parquet(f"{self.root}/{name}/stamps")
-        self._publish(name, versions, m["number"])
+    def expire(self, keep: int = KEEP) -> int:
+        """Delete all but the newest manifests, and layers that none of them names. Returns the layers deleted."""
+        numbers = self._numbers()
+        named = {x["name"] for n in numbers[-keep:] for x in self.manifest(n)["layers"]}
+        for n in numbers[:-keep]:
+            self._fs.delete(self._path(f"manifest-{n}"), False)
+        old = [p for p in (s.getPath() for s in self._fs.listStatus(self._path(""))) if p.getName().startswith("layer-") and p.getName() not in named]
+        for p in old:
+            self._fs.delete(p, True)
+        return len(old)
 
     # --- reading ----------------------------------------------------------------------------------------------------
 
+    def _visible(self, m: dict) -> dict:
+        """Versions of the indexes that are shown: not those whose registered definition has another."""
+        return {i: v for i, v in m["versions"].items() if i not in self.definitions or self.definitions[i].version == v}
+
+    def _read(self, m: dict, name: str, schema: str, versions: dict | None = None) -> DataFrame:
+        """Rows of a table over all layers that no later layer has retracted."""
+        parts, layers = [], m["layers"]
+        for k, layer in enumerate(layers):
+            t = self.spark.read.schema(schema).parquet(f"{self.root}/{layer['name']}/{name}")
+            if versions is not None:
+                t = t.where(F.col("index_id").isin(*[i for i, v in versions.items() if layer["versions"].get(i) == v]))
+            later = [self.spark.read.schema(_GONE).parquet(f"{self.root}/{x['name']}/gone") for x in layers[k + 1 :]]
+            if later:
+                t = t.join(reduce(DataFrame.unionByName, later).distinct(), "file_id", "left_anti")
+            parts.append(t)
+        return reduce(DataFrame.unionByName, parts) if parts else self.spark.createDataFrame([], schema)
+
     def entries(self) -> DataFrame:
         """Entries of the current snapshot; what a definition of another version wrote is not shown."""
         m = self.manifest()
-        e = self._table(m, "entries", "key string, file_id long, value string, index_id string" if m["snapshot"] else ENTRY)
-        stale = [i for i, d in self.definitions.items() if m["versions"].get(i, d.version) != d.version]
-        return e.where(~F.col("index_id").isin(*stale)).select("index_id", "key", "file_id", "value") if stale else e.select("index_id", "key", "file_id", "value")
+        return self._read(m, "entries", _ENTRIES, self._visible(m)).select("index_id", "key", "file_id", "value")
 
     def ready(self) -> bool:
         """All registered definitions have been brought up at their versions."""
@@ -90,66 +114,90 @@ class IndexStore:
 
     def invalidate(self) -> None:
         """Forget all entries, stamps and versions."""
-        self._publish(None, {}, self.manifest()["number"])
+        self._publish([], {}, self.manifest()["number"])
 
     def missing(self, files: DataFrame) -> DataFrame:
         """(index_id, file_id) of supported files that a registered index lacks at its version."""
         m = self.manifest()
-        done = self._table(m, "done", _DONE)
+        done = self._read(m, "done", _DONE, self._visible(m))
         parts = []
         for d in self.definitions.values():
-            f = files if d.supports is None else files.where(d.supports)
-            f = f.select(F.lit(d.id).alias("index_id"), "file_id")
-            parts.append(f.join(done.where(F.col("index_id") == d.id).select("file_id"), "file_id", "left_anti").select("index_id", "file_id") if m["versions"].get(d.id) == d.version else f)
-        return reduce(lambda a, b: a.unionByName(b), parts) if parts else self.spark.createDataFrame([], _DONE)
+            f = _supported(files, d)
+            lacks = f.join(done.where(F.col("index_id") == d.id).select("file_id"), "file_id", "left_anti")
+            parts.append((lacks if m["versions"].get(d.id) == d.version else f).select("index_id", "file_id"))
+        return reduce(DataFrame.unionByName, parts) if parts else self.spark.createDataFrame([], "index_id string, file_id long")
 
     # --- maintenance ------------------------------------------------------------------------------------------------
 
+    def stamps(self) -> DataFrame:
+        return self._read(self.manifest(), "stamps", _STAMPS)
+
     def stale(self, files: DataFrame) -> DataFrame:
         """files whose stamp isn't the stored one; a null stamp equals only a null stamp."""
-        s = self._table(self.manifest(), "stamps", _STAMPS)
+        s = self.stamps()
         on = (files["file_id"] == s["file_id"]) & files["last_modified"].eqNullSafe(s["last_modified"]) & files["length"].eqNullSafe(s["length"])
         return files.join(s, on, "left_anti")
 
     def refresh(self, files: DataFrame) -> dict:
         """Bring the store to these files (all of them): new and changed are extracted, gone are retracted, unchanged are
         extracted only for indexes that lack them."""
-        old = self._table(self.manifest(), "stamps", _STAMPS)
-        gone = old.join(files, "file_id", "left_anti").select("file_id")
+        gone = self.stamps().join(files, "file_id", "left_anti").select("file_id")
         return self.apply(self.stale(files), gone, backfill=files)
 
     def apply(self, changed: DataFrame, deleted: DataFrame, backfill: DataFrame | None = None) -> dict:
-        """One batch: entries of changed and deleted files go, changed files are extracted anew.
+        """One batch as one layer: entries of changed and deleted files go, changed files are extracted anew.
 
-        changed: the columns the extractors read, with file_id, last_modified, length; several rows of a file: the newest.
+        changed: the columns the extractors read, with file_id, last_modified, length; of several rows of a file the newest
+        counts, then the longest, then the one of greatest hash. backfill: all files, for indexes that lack them.
         """
         m = self.manifest()
-        newest = changed.groupBy("file_id").agg(F.max_by(F.struct(*changed.columns), F.coalesce("last_modified", F.lit(-1))).alias("_f")).select("_f.*").persist()
-        touched = newest.select("file_id").unionByName(deleted.select("file_id")).distinct().persist()
-        live = {i: d for i, d in self.definitions.items() if m["versions"].get(i) == d.version}
-        # Indexes that aren't registered now stay as they are, but retract what was touched.
-        keep = lambda t: t.join(touched, "file_id", "left_anti").where(F.col("index_id").isin(*[i for i in m["versions"] if i in live or i not in self.definitions]))
-        new_defs = [d for i, d in self.definitions.items() if i not in live]
-        defs = list(self.definitions.values())
-        fresh = [run_all(newest, defs)] if defs else []
-        fresh_done = [self._supported(newest, d) for d in defs]
-        if backfill is not None and new_defs:
-            rest = backfill.join(touched, "file_id", "left_anti")
-            fresh.append(run_all(rest, new_defs))
-            fresh_done += [self._supported(rest, d) for d in new_defs]
-        entries = reduce(lambda a, b: a.unionByName(b), [keep(self._table(m, "entries", "key string, file_id long, value string, index_id string" if m["snapshot"] else ENTRY)), *fresh])
-        done = reduce(lambda a, b: a.unionByName(b), [keep(self._table(m, "done", _DONE)), *fresh_done])
-        stamps = self._table(m, "stamps", _STAMPS).join(touched, "file_id", "left_anti").unionByName(newest.select(F.col("file_id").cast("long"), F.col("last_modified").cast("long"), F.col("length").cast("long")))
-        versions = {**m["versions"], **({d.id: d.version for d in defs} if backfill is not None or m["snapshot"] is None else {d.id: d.version for d in live.values()})}
-        self._write(m, entries, done, stamps, versions)
+        place = F.struct(F.coalesce("last_modified", F.lit(-1)), F.coalesce("length", F.lit(-1)), F.xxhash64(*changed.columns))
+        newest = changed.groupBy("file_id").agg(F.max_by(F.struct(*changed.columns), place).alias("_f")).select("_f.*").persist()
+        touched = newest.select(F.col("file_id").cast("long")).unionByName(deleted.select(F.col("file_id").cast("long"))).distinct().persist()
+        live = [d for i, d in self.definitions.items() if m["versions"].get(i) == d.version]
+        new = [d for i, d in self.definitions.items() if m["versions"].get(i) != d.version] if backfill is not None or not m["layers"] else []
+        entries, done, rest = [run_all(newest, live + new)], [_supported(newest, d) for d in live + new], None
+        if backfill is not None and new:
+            rest = backfill.join(touched, "file_id", "left_anti").persist()
+            entries.append(run_all(rest, new))
+            done += [_supported(rest, d) for d in new]
+        versions = {**m["versions"], **{d.id: d.version for d in live + new}}
+        union = lambda parts, schema: reduce(DataFrame.unionByName, parts) if parts else self.spark.createDataFrame([], schema)
+        stamps = newest.select("file_id", "last_modified", "length").select(*[F.col(c).cast("long") for c in ("file_id", "last_modified", "length")])
+        layer = self._layer(union(entries, ENTRY), union(done, _DONE), stamps, touched, versions)
+        self._publish([*m["layers"], layer], versions, m["number"])
         counts = {"changed": newest.count(), "touched": touched.count()}
-        newest.unpersist()
-        touched.unpersist()
+        for df in (newest, touched, rest):
+            if df is not None:
+                df.unpersist()
+        if len(m["layers"]) >= self.most_layers:
+            self.compact()
         return counts
 
-    def _supported(self, files: DataFrame, d: IndexDefinition) -> DataFrame:
-        f = files if d.supports is None else files.where(d.supports)
-        return f.select(F.lit(d.id).alias("index_id"), F.col("file_id").cast("long").alias("file_id"))
+    def _layer(self, entries: DataFrame, done: DataFrame, stamps: DataFrame, gone: DataFrame, versions: dict) -> dict:
+        name = f"layer-{uuid.uuid4().hex}"
+        # By ranges of keys, a hot key's entries by file, so that a lookup opens few files.
+        dealt = entries.repartitionByRange("index_id", "key", "file_id").sortWithinPartitions("index_id", "key", "file_id")
+        dealt.write.partitionBy("index_id").parquet(f"{self.root}/{name}/entries")
+        done.write.partitionBy("index_id").parquet(f"{self.root}/{name}/done")
+        stamps.write.parquet(f"{self.root}/{name}/stamps")
+        gone.write.parquet(f"{self.root}/{name}/gone")
+        return {"name": name, "versions": versions}
+
+    def compact(self) -> None:
+        """All layers as one, without what is retracted or of versions no longer current."""
+        m = self.manifest()
+        if not m["layers"]:
+            return
+        now = lambda name, schema, v: self._read(m, name, schema, v)
+        layer = self._layer(now("entries", _ENTRIES, m["versions"]), now("done", _DONE, m["versions"]), now("stamps", _STAMPS, None), self.spark.createDataFrame([], _GONE), m["versions"])
+        self._publish([layer], m["versions"], m["number"])
+        self.expire()
+
+
+def _supported(files: DataFrame, d: IndexDefinition) -> DataFrame:
+    f = files if d.supports is None else files.where(d.supports)
+    return f.select(F.col("file_id").cast("long").alias("file_id"), F.lit(d.id).alias("index_id"))
 
 
 def mount(spark: SparkSession, roots: list[str]) -> list[DataFrame]:
@@ -160,7 +208,7 @@ def mount(spark: SparkSession, roots: list[str]) -> list[DataFrame]:
             path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(root)
             if path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(path):
                 s = IndexStore(spark, root)
-                if s.manifest()["snapshot"]:
+                if s.manifest()["layers"]:
                     out.append(s.entries())
         except Exception:  # best effort: a broken store must not stop the others
             continue

@@ -130,56 +130,51 @@ def _is_class(r: dict) -> bool:
     return r["ext"] == "class"
 
 
-def _source(r: dict) -> str:
-    return bytes(r["content"]).decode("utf-8", "replace")
-
-
-def _qualified(r: dict):
-    text = _source(r)
+def parsed(r: dict):
+    """What all indexes read of a file, made once: a ClassFile, or a source's package and types [(name, public)]."""
+    if _is_class(r):
+        return parse_class(r["content"])
+    text = bytes(r["content"]).decode("utf-8", "replace")
     pkg = package_name(text)
-    for name, public in declared_types(text):
-        yield f"{pkg}.{name}" if pkg else name, public
+    return pkg, [(f"{pkg}.{name}" if pkg else name, public) for name, public in declared_types(text)]
 
 
-def short_names(r: dict):
+def short_names(r: dict, p):
     if _is_class(r):
-        c = parse_class(r["content"])
-        if c.flags & PUBLIC and not _numbered(_dotted(c.name)):
-            yield _dotted(c.name).rsplit(".", 1)[-1], _dotted(c.name)
+        if p.flags & PUBLIC and not _numbered(_dotted(p.name)):
+            yield _dotted(p.name).rsplit(".", 1)[-1], _dotted(p.name)
     else:
-        for name, public in _qualified(r):
+        for name, public in p[1]:
             if public:
                 yield name.rsplit(".", 1)[-1], name
 
 
-def full_names(r: dict):
-    names = [_dotted(parse_class(r["content"]).name)] if _is_class(r) else [n for n, _ in _qualified(r)]
+def full_names(r: dict, p):
+    names = [_dotted(p.name)] if _is_class(r) else [n for n, _ in p[1]]
     return [(n, r["path"]) for n in names if not _numbered(n)]
 
 
-def packages(r: dict):
+def packages(r: dict, p):
     if _is_class(r):
-        pkg, _, simple = parse_class(r["content"]).name.rpartition("/")
+        pkg, _, simple = p.name.rpartition("/")
         return [] if "$" in simple else [(pkg.replace("/", "."), {"simple_name": simple, "kind": "CLASS"})]
-    return [(package_name(_source(r)), {"simple_name": r["name"].removesuffix(".java"), "kind": "SOURCE"})]
+    return [(p[0], {"simple_name": r["name"].removesuffix(".java"), "kind": "SOURCE"})]
 
 
-def supertypes(r: dict):
-    c = parse_class(r["content"])
-    return [(f"{s}#{c.name}", c.name) for s in [c.super_name, *c.interfaces] if s]
+def supertypes(r: dict, p):
+    return [(f"{s}#{p.name}", p.name) for s in [p.super_name, *p.interfaces] if s]
 
 
-def stubs(r: dict):
-    c = parse_class(r["content"])
-    return [(c.name, c.stub())] if c.flags & PUBLIC else []
+def stubs(r: dict, p):
+    return [(p.name, p.stub())] if p.flags & PUBLIC else []
 
 
 def _definition(name: str, version: int, fn, *exts: str) -> IndexDefinition:
-    return IndexDefinition(name, version, python_extractor(fn, ["path", "name", "ext", "content"]), F.col("ext").isin(*exts))
+    return IndexDefinition(name, version, python_extractor(fn, ["path", "name", "ext", "content"], parsed), F.col("ext").isin(*exts))
 
 
 def definitions() -> list[IndexDefinition]:
-    """The five indexes over files (file_id, path, name, ext, content). Made when a session exists."""
+    """The five indexes over files (file_id, path, name, ext, content), all from one parse. Made when a session exists."""
     both = ("java", "class")
     return [
         _definition("short_names", 2, short_names, *both),
@@ -224,5 +219,166 @@ def parse_descriptor(descriptor: str) -> tuple[list[str], str]:
     return args, one(at)[0]
 
 
+@dataclass(frozen=True)
+class Type:
+    """A type of a signature: a class or base type by its dotted name, a type variable (variable), or a wildcard (bound: ? +
+    or -); args are its type arguments, inner what follows a dot, dims how often it is an array."""
+
+    name: str
+    args: tuple = ()
+    inner: Type | None = None
+    dims: int = 0
+    variable: bool = False
+    bound: str = ""
+
+    def __str__(self) -> str:
+        if self.bound:
+            return "?" if self.bound == "?" else f"? {'extends' if self.bound == '+' else 'super'} {self.args[0]}"
+        args = f"<{', '.join(map(str, self.args))}>" if self.args else ""
+        return f"{self.name}{args}{f'.{self.inner}' if self.inner else ''}{'[]' * self.dims}"
+
+
+@dataclass(frozen=True)
+class Signature:
+    """A class's, method's or field's generic signature: type parameters (name, bounds), and the types of its parts."""
+
+    variables: tuple = ()
+    parameters: tuple = ()
+    result: Type | None = None
+    supers: tuple = ()
+    throws: tuple = ()
+
+
+_BASE = {"B": "byte", "C": "char", "D": "double", "F": "float", "I": "int", "J": "long", "S": "short", "Z": "boolean", "V": "void"}
+
+
+def parse_signature(text: str, of_class: bool = False) -> Signature:
+    """The type tree of a signature or descriptor (Java Virtual Machine Specification, 4.7.9.1). Raises ValueError where the
+    text isn't one."""
+    at = 0
+
+    def peek() -> str:
+        return text[at] if at < len(text) else ""
+
+    def eat(c: str) -> None:
+        nonlocal at
+        if not text.startswith(c, at):
+            raise ValueError(f"{c!r} expected at {at} of {text!r}")
+        at += len(c)
+
+    def word(stops: str) -> str:
+        nonlocal at
+        begin = at
+        while at < len(text) and text[at] not in stops:
+            at += 1
+        if begin == at:
+            raise ValueError(f"name expected at {at} of {text!r}")
+        return text[begin:at]
+
+    def arguments() -> tuple:
+        if peek() != "<":
+            return ()
+        eat("<")
+        out = []
+        while peek() != ">":
+            mark = peek()
+            if mark == "*":
+                eat("*")
+                out.append(Type("?", bound="?"))
+            elif mark and mark in "+-":
+                eat(mark)
+                out.append(Type("?", (one(),), bound=mark))
+            else:
+                out.append(one())
+        eat(">")
+        return tuple(out)
+
+    def one() -> Type:
+        nonlocal at
+        dims = 0
+        while peek() == "[":
+            eat("[")
+            dims += 1
+        kind = peek()
+        at += 1
+        if kind == "T":
+            name = word(";")
+            eat(";")
+            return Type(name, dims=dims, variable=True)
+        if kind == "L":
+            steps = [(word("<;.").replace("/", "."), arguments())]
+            while peek() == ".":
+                eat(".")
+                steps.append((word("<;."), arguments()))
+            eat(";")
+            out = None
+            for k, (name, args) in reversed(list(enumerate(steps))):
+                out = Type(name, args, out, 0 if k else dims)
+            return out
+        if kind not in _BASE or not kind:
+            raise ValueError(f"type expected at {at - 1} of {text!r}")
+        return Type(_BASE[kind], dims=dims)
+
+    def variables() -> tuple:
+        if peek() != "<":
+            return ()
+        eat("<")
+        out = []
+        while peek() != ">":
+            name, bounds = word(":"), []
+            while peek() == ":":
+                eat(":")
+                if peek() not in (":", ">") and peek() in "LT[":  # a class bound may be left out
+                    bounds.append(one())
+            out.append((name, tuple(bounds)))
+        eat(">")
+        return tuple(out)
+
+    def all_of(done: str = "") -> tuple:
+        out = []
+        while peek() and peek() != done:
+            out.append(one())
+        return tuple(out)
+
+    names = variables()
+    if of_class:
+        return Signature(names, supers=all_of())
+    if peek() == "(":
+        eat("(")
+        parameters = all_of(")")
+        eat(")")
+        result, throws = one(), []
+        while peek() == "^":
+            eat("^")
+            throws.append(one())
+        out = Signature(names, parameters, result, throws=tuple(throws))
+    else:
+        out = Signature(names, result=one())
+    if at != len(text):
+        raise ValueError(f"more than a signature: {text!r}")
+    return out
+
+
+def shown_types(signatures, of_class: bool = False):
+    """Column of strings: a signature's parameters and result as in source, or a class's supertypes; null if it isn't one."""
+
+    @F.pandas_udf("string")
+    def show(texts):
+        def one(text):
+            if text is None:
+                return None
+            try:
+                s = parse_signature(text, of_class)
+            except ValueError:
+                return None
+            if of_class:
+                return ", ".join(map(str, s.supers))
+            return f"({', '.join(map(str, s.parameters))}) {s.result}" if text.lstrip("<").find("(") >= 0 else str(s.result)
+
+        return texts.map(one, na_action=None)
+
+    return show(signatures)
+
+
 def dump(stub: dict) -> str:
     return json.dumps(stub, sort_keys=True)
