@@ -1,19 +1,25 @@
 """A graph of tasks that run only if their inputs, outputs or options changed.
 
 Fingerprints of inputs are taken before a task runs, those of outputs after it, so that a file edited during the run counts
-as changed next time. States are rows (task, options_hash, role, path, stamp) of one table.
+as changed next time. A task's state is a table of its own (role, path, stamp) in the shared folder, so states of any number
+of files are compared by joins; only the answer reaches the driver.
 """
 
 from __future__ import annotations
 
+import hashlib
+import json
 import time
 from collections.abc import Callable
 from dataclasses import dataclass, field
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
+from ..storage import forget, saved
+
 EXECUTED, UP_TO_DATE, FAILED = "EXECUTED", "UP_TO_DATE", "FAILED"
 _STATE = "task string, options_hash long, role string, path string, stamp string"
+_FILES = "path string, stamp string, role string"
 
 
 @dataclass
@@ -53,7 +59,8 @@ class TaskGraph:
     def __init__(self, spark: SparkSession):
         self.spark = spark
         self.tasks: dict[str, Task] = {}
-        self.state: DataFrame = spark.createDataFrame([], _STATE)
+        #: task: (hash of its options, its files' stamps when it last ran)
+        self.known: dict[str, tuple[int, DataFrame]] = {}
         self.dirty: set[str] = set()
         self.linked: dict[str, TaskGraph] = {}
 
@@ -105,25 +112,27 @@ class TaskGraph:
         visit(target)
         return out
 
-    def _hash(self, options: dict[str, str]) -> int:
-        items = F.to_json(F.array(*[F.array(F.lit(k), F.lit(v)) for k, v in sorted(options.items())])) if options else F.lit("")
-        return self.spark.range(1).select(F.xxhash64(items)).first()[0]
+    @staticmethod
+    def _hash(options: dict[str, str]) -> int:
+        digest = hashlib.sha256(json.dumps(sorted(options.items())).encode()).digest()
+        return int.from_bytes(digest[:8], "big", signed=True)
 
     def _stamps(self, t: Task, role: str) -> DataFrame:
-        return fingerprints(self.spark, t.inputs if role == "input" else t.outputs, t.fingerprint).withColumn("role", F.lit(role))
+        paths = t.inputs if role == "input" else t.outputs
+        if not paths:
+            return self.spark.createDataFrame([], _FILES)
+        return fingerprints(self.spark, paths, t.fingerprint).withColumn("role", F.lit(role))
 
     def up_to_date(self, t: Task, inputs: DataFrame | None = None) -> bool:
-        if not t.cacheable or t.id in self.dirty:
+        if not t.cacheable or t.id in self.dirty or t.id not in self.known:
             return False
-        stored = self.state.where(F.col("task") == t.id)
-        head = stored.select("options_hash").limit(1).collect()
-        if not head or head[0][0] != self._hash(t.options):
+        options, stored = self.known[t.id]
+        if options != self._hash(t.options):
             return False
         outs = self._stamps(t, "output")
         if t.outputs and outs.isEmpty():
             return False
-        now = (inputs if inputs is not None else self._stamps(t, "input")).unionByName(outs)
-        return unchanged(stored.where("role <> 'self'"), now)
+        return unchanged(stored, (inputs if inputs is not None else self._stamps(t, "input")).unionByName(outs))
 
     def run(self, target: str) -> DataFrame:
         """Run target and what it needs. (ordinal, task, status, started_ms, finished_ms, message) in order of running."""
@@ -140,8 +149,7 @@ class TaskGraph:
             bad = [d for d in edges[name] if status[d][2] == FAILED]
             result, message = FAILED, f"dependency failed: {bad[0]}" if bad else None
             if not bad:
-                rows = self._stamps(t, "input").collect()
-                before = self.spark.createDataFrame(rows, "path string, stamp string, role string")
+                before = saved(self._stamps(t, "input"), "stamps")  # as they are now, whatever the task does to them
                 if self.up_to_date(t, before):
                     result = UP_TO_DATE
                 else:
@@ -152,19 +160,28 @@ class TaskGraph:
                         result = EXECUTED
                     except Exception as e:
                         message = f"{type(e).__name__}: {e}"
+                forget(before)
             status[name] = (k, name, result, began, int(time.time() * 1000), message)
         return self.spark.createDataFrame(list(status.values()), "ordinal int, task string, status string, started_ms long, finished_ms long, message string")
 
     def _remember(self, t: Task, inputs: DataFrame) -> None:
-        h = self._hash(t.options)
-        now = [(t.id, h, r["role"], r["path"], r["stamp"]) for r in inputs.unionByName(self._stamps(t, "output")).collect()]
-        now.append((t.id, h, "self", "", ""))  # a task without files has a state too
-        rest = [tuple(r) for r in self.state.where(F.col("task") != t.id).collect()]
-        self.state = self.spark.createDataFrame(rest + now, _STATE)
+        old = self.known.get(t.id)
+        self.known[t.id] = self._hash(t.options), saved(inputs.unionByName(self._stamps(t, "output")), "stamps")
+        if old is not None:
+            forget(old[1])
+
+    def state(self) -> DataFrame:
+        """All states as rows; each task has one of role "self", also those without files."""
+        out = self.spark.createDataFrame([(t, h, "self", "", "") for t, (h, _) in self.known.items()], _STATE)
+        for t, (h, files) in self.known.items():
+            out = out.unionByName(files.select(F.lit(t).alias("task"), F.lit(h).cast("long").alias("options_hash"), "role", "path", "stamp"))
+        return out
 
     def save_state(self, path: str) -> None:
-        self.state.write.mode("overwrite").partitionBy("task").parquet(path)
+        self.state().write.mode("overwrite").partitionBy("task").parquet(path)
 
     def load_state(self, path: str) -> None:
         s = self.spark.read.schema("options_hash long, role string, path string, stamp string, task string").parquet(path)
-        self.state = self.spark.createDataFrame([tuple(r) for r in s.select("task", "options_hash", "role", "path", "stamp").collect()], _STATE)
+        # One row a task reaches the driver; their files' stamps are read where they are needed.
+        for r in s.where("role = 'self'").select("task", "options_hash").collect():
+            self.known[r["task"]] = r["options_hash"], s.where((F.col("task") == r["task"]) & (F.col("role") != "self")).select("path", "stamp", "role")

@@ -72,6 +72,22 @@ def _archive_uri(spark: SparkSession, uri: str) -> DataFrame:
     return f.where(in_or_under("path", f"/{entry}")) if entry else f
 
 
+def runtime_image(exported: str):
+    """A reader for jrt: URIs over a runtime image that was exported to a folder (<folder>/<module>/<package>/<name>.class):
+    register it under "jrt". Images don't change, so stamps are 0; what is asked for that isn't there gives no rows."""
+
+    def read(spark: SparkSession, uri: str) -> DataFrame:
+        inside = uri.split(":", 1)[1].strip("/").removeprefix("modules").strip("/")
+        f = scan(spark, exported)
+        base = F.regexp_extract("path", r"\A(.*)\z", 1)
+        root = exported.split("://", 1)[-1].removeprefix("file:").rstrip("/")
+        path = F.concat(F.lit("jrt:/modules/"), F.expr(f"substring(path, length('{root}') + 2, length(path))"))
+        f = f.where(base.startswith(root + "/")).withColumns({"uri": path, "path": path, "last_modified": F.lit(0).cast("long")})
+        return f.where(in_or_under("path", f"jrt:/modules/{inside}")) if inside else f
+
+    return read
+
+
 SCHEMES.register("file", scan)
 SCHEMES.register("jar", _archive_uri)
 

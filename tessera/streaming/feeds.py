@@ -59,6 +59,17 @@ def maintain(stream: DataFrame, store, checkpoint: str, to_files: Callable[[Data
     return stream.writeStream.foreachBatch(one).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
+def flush(*queries, store=None) -> int | None:
+    """Wait until running queries have worked off all that had come in before; with a store, the number of the manifest that
+    then holds it. Batch writes to a store are done when they return."""
+    for q in queries:
+        if q.isActive:
+            q.processAllAvailable()
+        if q.exception() is not None:
+            raise q.exception()
+    return store.manifest()["number"] if store is not None else None
+
+
 def fan_out(stream: DataFrame, listeners: list[Callable[[DataFrame, int], None]], checkpoint: str):
     """Every micro-batch to each listener in turn; the batch is read once."""
 
