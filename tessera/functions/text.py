@@ -153,14 +153,16 @@ def plain_match(name, prefix) -> Column:
 
 
 def _common_subsequence(a: str, b: str) -> int:
-    if len(a) < len(b):
-        a, b = b, a
-    row = [0] * (len(b) + 1)
-    for x in a:
-        diagonal = 0
-        for j, y in enumerate(b, 1):
-            diagonal, row[j] = row[j], diagonal + 1 if x == y else max(row[j], row[j - 1])
-    return row[-1]
+    """Length of a longest common subsequence, a character of b at a time: a row of the table is one integer's bits."""
+    at: dict[str, int] = {}
+    for k, x in enumerate(a):
+        at[x] = at.get(x, 0) | 1 << k
+    every = (1 << len(a)) - 1
+    free = every
+    for y in b:
+        met = free & at.get(y, 0)
+        free = ((free + met) | (free - met)) & every
+    return len(a) - free.bit_count()
 
 
 def ratio(a: str, b: str) -> int:
@@ -175,6 +177,8 @@ def partial_ratio(a: str, b: str) -> int:
         a, b = b, a
     if not a:
         return 100 if not b else 0
+    if a in b:
+        return 100
     return max(ratio(a, b[i : i + len(a)]) for i in range(len(b) - len(a) + 1))
 
 
@@ -252,5 +256,47 @@ def pop_up_trigger(inserted, text, caret) -> Column:
     return i.isin(".", ":", "(") | ((i == " ") & before.rlike(r"(?:\A|[^\p{L}\p{N}_$])new \z"))
 
 
+#: What may stand after a dot or ::, and what then needs the end of a statement before it. Fixed values.
+_SELECTS, _CLOSES = ("<", "*"), ("}",)
+_TOKENS = re.compile(r'(?:\s|//[^\n]*|/\*.*?(?:\*/|\Z))+|"(?:\\.|[^"\\\n])*"?|\'(?:\\.|[^\'\\\n])*\'?|\.\.\.|::|\d[\w.]*|[^\W\d][\w$]*|\$[\w$]*|.', re.S)
+
+
+def patch_incomplete(text: str | None, caret: int | None = None, dummy: str = "anyName") -> str | None:
+    """Text as a parser can take it while names are still missing.
+
+    A dot or :: that ends its line gets a dummy name and a semicolon; one that something else than a name, type argument or *
+    follows gets a dummy name, before } with a semicolon; so does the place between two dots before a name. If nothing but
+    blanks is between the word new and the caret, the caret gets a dummy name with parentheses. Comments and literals are
+    passed over. Places are those of the given text: all are found first and patched from the end backwards.
+    """
+    if text is None:
+        return None
+    tokens = [(m.start(), m.group()) for m in _TOKENS.finditer(text)]
+    solid = [(at, t) for at, t in tokens if not (t[0].isspace() or t.startswith(("//", "/*")))]
+    places: list[tuple[int, str]] = []
+    for (at, t), (then, u) in zip(solid, [*solid[1:], (len(text), "")]):
+        if t not in (".", "::"):
+            continue
+        end = at + len(t)
+        name = bool(u) and (u[0] in "_$" or u[0].isalpha())
+        if "\n" in text[end:then]:
+            places.append((end, f"{dummy};"))
+        elif not (name or u in _SELECTS):
+            places.append((end, f"{dummy};" if u in _CLOSES else dummy))
+    if caret is not None and caret >= 0:
+        before = text[: min(caret, len(text))].rstrip()
+        if re.search(r"(?<![\w$])new\Z", before):
+            places.append((min(caret, len(text)), f"{dummy}()"))
+    for at, insert in sorted(places, reverse=True):
+        text = text[:at] + insert + text[at:]
+    return text
+
+
+@F.pandas_udf(T.StringType())
+def patched(text: pd.Series, caret: pd.Series) -> pd.Series:
+    """patch_incomplete of each text at its caret. (pandas UDF)"""
+    return pd.Series([patch_incomplete(t, None if pd.isna(c) else int(c)) for t, c in zip(text, caret)], dtype=object)
+
+
 def join_path(*parts: str) -> str:
     return posixpath.join(*parts)
