@@ -12,6 +12,8 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from ..functions import text as t
 from ..operators import catalog, graph, index, lookup, paths, ranking
+from ..operators.store import IndexStore
+from ..storage import fresh_path
 from ..streaming import feeds
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -41,9 +43,31 @@ WORDS = index.IndexDefinition("words", 1, index.words())
 PARTS = index.IndexDefinition("parts", 1, index.column_key("p_name", "p_brand"))
 
 
+_stores: dict[tuple, IndexStore] = {}
+
+
+def stored(spark, d, definition: index.IndexDefinition, files: Callable[[], DataFrame]) -> IndexStore:
+    """The store of a definition over a whole table: built when first asked for, then read, as an index is there for."""
+    key = (spark.sparkContext.applicationId, d, definition.id)
+    if key not in _stores:
+        s = IndexStore(spark, fresh_path(spark, "store"))
+        s.register(definition)
+        s.refresh(files())
+        _stores[key] = s
+    return _stores[key]
+
+
+def words_store(spark, d) -> IndexStore:
+    return stored(spark, d, WORDS, lambda: _files(spark, d).withColumn("last_modified", F.lit(0).cast("long")))
+
+
+def _words(spark, d) -> DataFrame:
+    return words_store(spark, d).entries()
+
+
 def _parts(spark, d) -> DataFrame:
-    p = table(spark, d, "part").withColumn("file_id", F.col("p_partkey"))
-    return PARTS.rows(p)
+    p = lambda: table(spark, d, "part").select(F.col("p_partkey").alias("file_id"), "p_name", "p_brand", F.lit(0).cast("long").alias("last_modified"), F.col("p_size").cast("long").alias("length"))
+    return stored(spark, d, PARTS, p).entries()
 
 
 _WORDS_SQL = "SELECT doc_id, unnest(string_split(lower(text), ' ')) AS key, source FROM documents"
@@ -53,8 +77,8 @@ _ENTRIES = f"SELECT key, doc_id AS file_id, count(*) AS n, any_value(source) AS
 @query(f"SELECT key, sum(n)::BIGINT AS occurrences, count(*) AS files FROM ({_ENTRIES}) WHERE starts_with(key, 'th') AND source IN ('src1', 'src2') GROUP BY key ORDER BY (key = 'th')::INT * 100 DESC, occurrences DESC, key LIMIT 50")
 def ranked_prefix(spark, d):
     """Prefix lookup in the word index within two roots, ranked; the top 50 (a report)."""
-    files = _files(spark, d).where(paths.under_roots("path", ["/src1", "/src2"]))
-    hits = lookup.prefix(WORDS.rows(files), "words", "th")
+    files = _files(spark, d).where(paths.under_roots("path", ["/src1", "/src2"])).select("file_id")
+    hits = lookup.prefix(_words(spark, d), "words", "th").join(files, "file_id", "left_semi")
     items = hits.groupBy("key").agg(F.sum(F.col("value").cast("long")).alias("occurrences"), F.count("*").alias("files"))
     # equal beats prefix; among prefixes the weight is the same
     w = F.when(F.col("key") == "th", 100).otherwise(0)
@@ -63,8 +87,8 @@ def ranked_prefix(spark, d):
 
 @query(f"SELECT key, file_id, n AS occurrences FROM ({_ENTRIES})")
 def index_words(spark, d):
-    """The whole word index."""
-    return WORDS.rows(_files(spark, d)).select("key", "file_id", F.col("value").cast("long").alias("occurrences"))
+    """The whole word index, as the store has it."""
+    return _words(spark, d).select("key", "file_id", F.col("value").cast("long").alias("occurrences"))
 
 
 @query("SELECT p_partkey AS file_id, p_brand AS value FROM part WHERE p_name = (SELECT min(p_name) FROM part)")
@@ -86,21 +110,21 @@ def prefix_grouped(spark, d):
 
 @query(f"SELECT key, file_id, n AS occurrences FROM ({_ENTRIES}) WHERE starts_with(key, 'an') AND source IN ('src1', 'src3')")
 def scoped_prefix(spark, d):
-    """Boundary-safe roots: /src1 doesn't admit /src10."""
-    files = _files(spark, d).where(paths.any_of(t.in_or_under("path", "/src1"), t.in_or_under("path", "/src3")))
-    return lookup.prefix(WORDS.rows(files), "words", "an").select("key", "file_id", F.col("value").cast("long").alias("occurrences"))
+    """Boundary-safe roots: /src1 doesn't admit /src10. The prefix reaches the scan of the store."""
+    scope = paths.any_of(t.in_or_under("path", "/src1"), t.in_or_under("path", "/src3"))
+    hits = catalog.locate(lookup.prefix(_words(spark, d), "words", "an"), _files(spark, d))
+    return hits.where(scope).select("key", "file_id", F.col("value").cast("long").alias("occurrences"))
 
 
 @query(f"SELECT file_id, count(*) AS n_keys, min(key) AS first_key, max(key) AS last_key FROM ({_ENTRIES}) GROUP BY file_id")
 def forward_map(spark, d):
-    f = index.forward(WORDS.rows(_files(spark, d)))
+    f = index.forward(_words(spark, d))
     return f.select("file_id", F.size("keys").cast("long").alias("n_keys"), F.element_at("keys", 1).alias("first_key"), F.element_at("keys", -1).alias("last_key"))
 
 
 @query("SELECT 'words' AS index_id, count(DISTINCT file_id) AS files, count(*) AS entries, count(DISTINCT key) AS keys FROM (" + _ENTRIES + ")")
 def index_counters(spark, d):
-    f = _files(spark, d)
-    return index.counters(f, WORDS.rows(f))
+    return index.counters(_files(spark, d), _words(spark, d))
 
 
 @query("SELECT p_partkey AS file_id, p_name AS key, 1 AS n FROM part WHERE p_partkey IN (SELECT l_partkey FROM lineitem WHERE l_quantity >= 49)")
@@ -111,11 +135,16 @@ def indexed_files(spark, d):
     return lookup.indexed(p, big, "big").withColumn("n", F.lit(1))
 
 
-@query("SELECT 'labels' AS index_id, doc_id AS file_id FROM documents WHERE doc_id NOT IN (SELECT doc_id FROM labels)")
+@query("SELECT 'labels' AS index_id, doc_id AS file_id FROM documents WHERE doc_id NOT IN (SELECT doc_id FROM labels) UNION ALL SELECT 'sources', doc_id FROM documents")
 def missing_index(spark, d):
-    have = table(spark, d, "labels").select(F.lit("labels").alias("index_id"), F.col("doc_id").alias("file_id"))
-    files = table(spark, d, "documents").select(F.col("doc_id").alias("file_id"))
-    return files.join(have, "file_id", "left_anti").select(F.lit("labels").alias("index_id"), "file_id")
+    """What a store that saw the labelled documents only lacks, for its own index and for one registered since."""
+    files = table(spark, d, "documents").select(F.col("doc_id").alias("file_id"), "source", F.lit(0).cast("long").alias("last_modified"), F.col("n_chars").alias("length"))
+    have = files.join(table(spark, d, "labels").select(F.col("doc_id").alias("file_id")), "file_id", "left_semi")
+    s = IndexStore(spark, fresh_path(spark, "store"))
+    s.register(index.IndexDefinition("labels", 1, index.column_key("source", "length")))
+    s.refresh(have)
+    s.register(index.IndexDefinition("sources", 1, index.column_key("source", "source")))
+    return s.missing(files)
 
 
 @query("SELECT doc_id AS name, coalesce(quality * 512 + toxic * 1024, -1) AS flags, CASE WHEN quality IS NULL THEN 0 WHEN quality = 1 THEN -10 WHEN toxic = 1 THEN 0 ELSE 10 END AS priority FROM documents LEFT JOIN labels USING (doc_id)")
@@ -158,45 +187,50 @@ def construction_priority(spark, d):
     return table(spark, d, "orders").select("o_orderkey", ranking.construction_priority(flags, F.col("o_orderstatus") == "F").alias("priority"))
 
 
-_OLD = "SELECT doc_id, n_chars, text FROM documents WHERE doc_id % 5 <> 0"
-_NEW = "SELECT doc_id, CASE WHEN doc_id % 11 = 0 THEN n_chars + 1 ELSE n_chars END AS n_chars, text FROM documents WHERE doc_id % 7 <> 0"
+_OLD = "SELECT doc_id, n_chars FROM documents WHERE lang <> 'es' UNION ALL SELECT -1 - item_id, length(text) FROM benchmark"
+_NEW = "SELECT doc_id, CASE WHEN source = 'src1' THEN n_chars + 1 ELSE n_chars END AS n_chars FROM documents"
 
 
 def _two_snapshots(spark, d):
+    """Before: documents not in Spanish, and the benchmark. After: all documents, some longer."""
     docs = table(spark, d, "documents")
-    n = F.when(F.col("doc_id") % 11 == 0, F.col("n_chars") + 1).otherwise(F.col("n_chars"))
-    old = docs.where("doc_id % 5 <> 0").select(F.col("doc_id").alias("uri"), F.col("n_chars").alias("length"))
-    return old, docs.where("doc_id % 7 <> 0").select(F.col("doc_id").alias("uri"), n.alias("length"))
+    n = F.when(F.col("source") == "src1", F.col("n_chars") + 1).otherwise(F.col("n_chars"))
+    gone = table(spark, d, "benchmark").select((-1 - F.col("item_id")).alias("uri"), F.length("text").cast("long").alias("length"))
+    old = docs.where("lang <> 'es'").select(F.col("doc_id").alias("uri"), F.col("n_chars").alias("length")).unionByName(gone)
+    return old, docs.select(F.col("doc_id").alias("uri"), n.alias("length"))
 
 
 @query(f"SELECT coalesce(n.doc_id, o.doc_id) AS uri, CASE WHEN o.doc_id IS NULL THEN 'created' WHEN n.doc_id IS NULL THEN 'deleted' ELSE 'changed' END AS op FROM ({_OLD}) o FULL JOIN ({_NEW}) n ON o.doc_id = n.doc_id WHERE o.doc_id IS NULL OR n.doc_id IS NULL OR o.n_chars <> n.n_chars")
 def snapshot_diff(spark, d):
-    """Two states of the catalogue, both made from the whole table, and what changed between them."""
+    """Two states of the catalogue, and what changed between them."""
     old, new = _two_snapshots(spark, d)
     return catalog.difference(old, new, stamp=["length"]).select("uri", "op")
 
 
 @query("""
-WITH o AS (SELECT source || '/' || doc_id AS uri, doc_id AS k FROM documents WHERE doc_id % 5 <> 0),
-n AS (SELECT CASE WHEN doc_id % 3 = 0 THEN 'moved/' ELSE source || '/' END || doc_id AS uri, doc_id AS k FROM documents WHERE doc_id % 7 <> 0),
+WITH o AS (SELECT source || '/' || doc_id AS uri, doc_id AS k FROM documents WHERE lang <> 'es' UNION ALL SELECT 'items/' || item_id, -1 - item_id FROM benchmark),
+n AS (SELECT CASE WHEN lang = 'fr' THEN 'moved/' ELSE source || '/' END || doc_id AS uri, doc_id AS k FROM documents),
 c AS (SELECT n.uri, n.k FROM n WHERE uri NOT IN (SELECT uri FROM o)), x AS (SELECT o.uri, o.k FROM o WHERE uri NOT IN (SELECT uri FROM n))
 SELECT CASE WHEN x.k IS NULL THEN 'created' WHEN c.k IS NULL THEN 'deleted' ELSE 'renamed' END AS op, coalesce(c.uri, x.uri) AS uri, CASE WHEN c.k IS NOT NULL THEN x.uri END AS old_uri
 FROM c FULL JOIN x ON c.k = x.k""")
 def rename_diff(spark, d):
-    docs = table(spark, d, "documents")
-    uri = F.concat(F.col("source"), F.lit("/"), F.col("doc_id").cast("string"))
-    moved = F.when(F.col("doc_id") % 3 == 0, F.concat(F.lit("moved/"), F.col("doc_id").cast("string"))).otherwise(uri)
-    old = docs.where("doc_id % 5 <> 0").select(uri.alias("uri"), F.col("doc_id").alias("file_key"), "n_chars")
-    new = docs.where("doc_id % 7 <> 0").select(moved.alias("uri"), F.col("doc_id").alias("file_key"), "n_chars")
+    """French documents move, Spanish ones appear, the benchmark goes."""
+    docs, item = table(spark, d, "documents"), table(spark, d, "benchmark")
+    name = F.col("doc_id").cast("string")
+    uri = F.concat(F.col("source"), F.lit("/"), name)
+    moved = F.when(F.col("lang") == "fr", F.concat(F.lit("moved/"), name)).otherwise(uri)
+    old = docs.where("lang <> 'es'").select(uri.alias("uri"), F.col("doc_id").alias("file_key"), "n_chars")
+    old = old.unionByName(item.select(F.concat(F.lit("items/"), F.col("item_id").cast("string")).alias("uri"), (-1 - F.col("item_id")).alias("file_key"), F.length("text").cast("long").alias("n_chars")))
+    new = docs.select(moved.alias("uri"), F.col("doc_id").alias("file_key"), "n_chars")
     return catalog.difference(old, new, stamp=["n_chars"], file_key="file_key")
 
 
-@query("SELECT doc_id, sha256(text) AS hash, doc_id % 4 <> 0 AS up_to_date FROM documents")
+@query("SELECT doc_id, sha256(text) AS hash, source <> 'src3' AS up_to_date FROM documents")
 def fingerprint(spark, d):
-    """Content hashes against a stored state in which every fourth text differed."""
-    docs = table(spark, d, "documents").select("doc_id", t.content_hash("text").alias("hash"))
-    stored = docs.select("doc_id", F.when(F.col("doc_id") % 4 == 0, F.sha2(F.lit(""), 256)).otherwise(F.col("hash")).alias("was"))
-    return docs.join(stored, "doc_id").select("doc_id", "hash", F.col("hash").eqNullSafe(F.col("was")).alias("up_to_date"))
+    """Content hashes against stored ones, from before the texts of one source changed."""
+    docs = table(spark, d, "documents").select("doc_id", "source", t.content_hash("text").alias("hash"))
+    stored_ = docs.select("doc_id", F.when(F.col("source") == "src3", F.sha2(F.lit("").cast("binary"), 256)).otherwise(F.col("hash")).alias("was"))
+    return docs.join(stored_, "doc_id").select("doc_id", "hash", F.col("hash").eqNullSafe(F.col("was")).alias("up_to_date"))
 
 
 _HOST = "split_part(split_part(url, '://', 2), '/', 1)"
@@ -255,10 +289,13 @@ def store_union(spark, d):
     return u.where((F.col("index_id") == "parts") & F.col("key").startswith("b")).select("store_id", "file_id", "key", lookup.global_id("store_id", "file_id").alias("gid"))
 
 
-@query("SELECT min(doc_id) AS file_id, sha256(text) AS hash FROM documents GROUP BY text")
+@query("SELECT doc_id AS file_id, 'text' AS path FROM documents UNION ALL SELECT 0 AS file_id, '/items/' || item_id FROM benchmark")
 def root_dedup(spark, d):
-    h = table(spark, d, "documents").select(F.col("doc_id").alias("file_id"), t.content_hash("text").alias("hash"))
-    return h.groupBy("hash").agg(F.min("file_id").alias("file_id")).select("file_id", "hash")
+    """Roots from two providers that give the same files: one row a file_id, and one a path where there is no id yet."""
+    f = table(spark, d, "documents").select(F.col("doc_id").alias("file_id"), F.lit("text").alias("path")).where("file_id > 0")
+    first = table(spark, d, "documents").where("doc_id <= 0").select(F.col("doc_id").alias("file_id"), F.lit("text").alias("path"))
+    new = table(spark, d, "benchmark").select(F.lit(0).cast("long").alias("file_id"), F.concat(F.lit("/items/"), F.col("item_id").cast("string")).alias("path"))
+    return catalog.distinct_roots(f.unionByName(first).unionByName(new).unionByName(f).unionByName(new))
 
 
 @query("SELECT doc_id AS file_id, '/' || source || '/' || doc_id AS path FROM documents WHERE source NOT IN ('src2')")
@@ -268,15 +305,16 @@ def input_collector(spark, d):
     return catalog.collect_inputs([f.where("file_id % 2 = 0 or file_id % 3 = 0"), f.where("file_id % 2 = 1 or file_id % 5 = 0")], "/src2")
 
 
-@query(f"SELECT key, file_id, n AS occurrences FROM (SELECT key, doc_id AS file_id, count(*) AS n FROM (SELECT doc_id, unnest(string_split(CASE WHEN doc_id % 10 = 3 THEN 'fresh words here' ELSE lower(text) END, ' ')) AS key FROM documents WHERE doc_id % 10 <> 7) WHERE key <> '' GROUP BY ALL)")
+@query("SELECT key, file_id, n AS occurrences FROM (SELECT key, doc_id AS file_id, count(*) AS n FROM (SELECT doc_id, unnest(string_split(CASE WHEN source = 'src3' THEN 'fresh words here' ELSE lower(text) END, ' ')) AS key FROM documents WHERE source <> 'src7') WHERE key <> '' GROUP BY ALL)")
 def incremental_equals_full(spark, d):
-    """The word index after a batch of changes and deletes; the SQL rebuilds it from the final texts."""
-    files = _files(spark, d)
-    base = WORDS.rows(files)
-    changed = files.where("file_id % 10 = 3").withColumn("text", F.lit("Fresh words here"))
-    touched = files.where("file_id % 10 in (3, 7)").select("file_id")
-    after = base.join(touched, "file_id", "left_anti").select(*base.columns).unionByName(WORDS.rows(changed))
-    return after.select("key", "file_id", F.col("value").cast("long").alias("occurrences"))
+    """The word index after a batch of changes and deletes went through the store as one layer; the SQL rebuilds it."""
+    files = _files(spark, d).withColumn("last_modified", F.lit(0).cast("long"))
+    s = IndexStore(spark, fresh_path(spark, "store"))
+    s.register(WORDS)
+    s.refresh(files)
+    changed = files.where("source = 'src3'").withColumns({"text": F.lit("Fresh words here"), "last_modified": F.lit(1).cast("long")})
+    s.apply(changed, files.where("source = 'src7'").select("file_id"))
+    return s.entries().select("key", "file_id", F.col("value").cast("long").alias("occurrences"))
 
 
 @query("SELECT doc_id AS file_id, CASE WHEN doc_id % 6 = 0 THEN 'edited ' || lang ELSE text END AS text FROM documents")
@@ -287,23 +325,25 @@ def overlay_read(spark, d):
     return catalog.with_overlay(f, over).select("file_id", "text")
 
 
-@query("SELECT page_id, regexp_extract(url, '^[a-z]+', 0) AS scheme, url[strlen('https://') + 1:] IS NOT NULL AS ok, CASE WHEN starts_with(url, 'https://') THEN substr(url, 9) END AS relative FROM pages")
+@query("SELECT doc_id, CASE WHEN source = 'src1' THEN doc_id::VARCHAR END AS below, '' AS itself FROM documents")
 def relative_paths(spark, d):
-    p = table(spark, d, "pages")
-    rel = F.when(F.col("url").startswith("https://"), t.relative_path(F.concat(F.lit("/"), F.substring("url", 9, 10000)), ""))
-    return p.select("page_id", F.regexp_extract("url", "^[a-z]+", 0).alias("scheme"), F.lit(True).alias("ok"), F.when(F.col("url").startswith("https://"), F.substring(F.col("url"), F.lit(9), F.length("url"))).alias("relative"))
+    """Paths relative to a root: null outside of it, also where its name only begins alike (/src1 and /src10)."""
+    f = _files(spark, d)
+    return f.select(F.col("file_id").alias("doc_id"), t.relative_path("path", "/src1/").alias("below"), t.relative_path("path", F.col("path")).alias("itself"))
 
 
-@query(r"SELECT doc_id, length(regexp_extract(substr(text, 1, 40), '[\p{L}\p{N}_$]*$', 0)) AS n_partial, 40 - length(regexp_extract(substr(text, 1, 40), '[\p{L}\p{N}_$.]*$', 0)) AS chain_start FROM documents")
+@query(r"SELECT doc_id, length(regexp_extract(substr(text, 1, k), '[\p{L}\p{N}_$]*$', 0)) AS n_partial, k - length(regexp_extract(substr(text, 1, k), '[\p{L}\p{N}_$.]*$', 0)) AS chain_start FROM (SELECT doc_id, replace(text, chr(10), ' ') AS text, n_chars // 2 AS k FROM documents)")
 def partial_identifiers(spark, d):
-    docs = table(spark, d, "documents")
-    return docs.select("doc_id", F.length(t.partial_identifier("text", F.lit(40))).cast("long").alias("n_partial"), t.chain_start("text", F.lit(40)).cast("long").alias("chain_start"))
+    """What is being typed in the middle of each text."""
+    docs = table(spark, d, "documents").select("doc_id", F.translate("text", "\n", " ").alias("text"), F.floor(F.col("n_chars") / 2).cast("int").alias("k"))
+    return docs.select("doc_id", F.length(t.partial_identifier("text", F.col("k"))).cast("long").alias("n_partial"), t.chain_start("text", F.col("k")).cast("long").alias("chain_start"))
 
 
-@query("SELECT event_id, coalesce(try_cast(json_extract_string(props, '$.k') AS INT), -1) AS k, lower(event_type) IN ('1', 'true', 'yes', 'y', 'on') AS flag FROM events")
+@query("SELECT event_id, coalesce(try_cast(json_extract_string(props, '$.k') AS INT), -1) AS k, event_type IN ('click', 'view') AS flag, event_type = 'click' AS on_ FROM events")
 def typed_options(spark, d):
-    e = table(spark, d, "events").withColumn("o", F.from_json("props", "map<string,string>"))
-    return e.select("event_id", t.option_int("o", "k", -1).alias("k"), t.truthy("event_type").alias("flag"))
+    said = F.when(F.col("event_type") == "click", " Yes ").when(F.col("event_type") == "view", "ON").when(F.col("event_type") == "error", "no")
+    e = table(spark, d, "events").withColumn("o", F.map_concat(F.from_json("props", "map<string,string>"), F.create_map(F.lit("b"), F.when(F.col("event_type") == "click", " TRUE ").otherwise("1"))))
+    return e.select("event_id", t.option_int("o", "k", -1).alias("k"), t.truthy(said).alias("flag"), t.option_bool("o", "b").alias("on_"))
 
 
 @query("SELECT doc_id, least(greatest(CASE WHEN n_chars % 7 < n_chars % 5 THEN doc_id ELSE n_chars % 5 END, 0), n_chars) AS start_, CASE WHEN least(CASE WHEN n_chars % 7 < n_chars % 5 THEN doc_id ELSE n_chars % 5 END, n_chars) = least(CASE WHEN n_chars % 7 < n_chars % 5 THEN doc_id + 1 ELSE n_chars % 7 END, n_chars) AND least(CASE WHEN n_chars % 7 < n_chars % 5 THEN doc_id ELSE n_chars % 5 END, n_chars) < n_chars THEN least(CASE WHEN n_chars % 7 < n_chars % 5 THEN doc_id ELSE n_chars % 5 END, n_chars) + 1 ELSE least(CASE WHEN n_chars % 7 < n_chars % 5 THEN doc_id + 1 ELSE n_chars % 7 END, n_chars) END AS end_ FROM documents")
@@ -317,9 +357,15 @@ def percentiles(spark, d):
     return index.percentiles(table(spark, d, "lineitem"), "l_extendedprice").select(*[F.round(c, 6).alias(c) for c in ("least", "p50", "p90", "p99", "largest")])
 
 
-@query("SELECT context, count(*) AS n, min(keyword) AS first_keyword FROM (VALUES " + ", ".join(f"('{c}', '{k}')" for c, ks in paths.KEYWORDS.items() for k in ks) + ") k(context, keyword) GROUP BY context")
+_KEYWORDS = "(VALUES " + ", ".join(f"('{c}', '{k}')" for c, ks in paths.KEYWORDS.items() for k in ks) + ") k(context, keyword)"
+
+
+@query(f"SELECT conv_id, turn, context, count(keyword) AS n, min(keyword) AS first_keyword FROM (SELECT *, CASE WHEN role = 'assistant' THEN 'code_block' WHEN turn = 0 THEN 'top_level' ELSE 'class_body' END AS context FROM conversations) LEFT JOIN {_KEYWORDS} USING (context) GROUP BY ALL")
 def keyword_table(spark, d):
-    return paths.keywords(spark).groupBy("context").agg(F.count("*").alias("n"), F.min("keyword").alias("first_keyword"))
+    """The keywords offered in the context of each turn."""
+    at = F.when(F.col("role") == "assistant", "code_block").when(F.col("turn") == 0, "top_level").otherwise("class_body")
+    c = table(spark, d, "conversations").select("conv_id", "turn", at.alias("context"))
+    return c.join(paths.keywords(spark), "context", "left").groupBy("conv_id", "turn", "context").agg(F.count("keyword").alias("n"), F.min("keyword").alias("first_keyword"))
 
 
 @query("SELECT (conv_id * 1000 + turn) AS point, CASE WHEN role = 'assistant' THEN 'code_block' WHEN turn < 3 THEN 'class_body' ELSE 'top_level' END AS context FROM conversations")
@@ -336,25 +382,3 @@ def overload_groups(spark, d):
     p = table(spark, d, "part").select(F.lit("part").alias("name"), F.col("p_name").alias("member"), F.col("p_type").alias("descriptor")).distinct()
     g = ranking.overloads(p)
     return g.select(F.col("member").alias("p_name"), F.size("descriptors").cast("long").alias("n"), F.array_join("descriptors", ",").alias("descriptors"))
-
-
-@query()
-def fuzzy_filter(spark, d):
-    """Names whose ratio with a word is above the minimum; the measure has no SQL form and is tested against brute force."""
-    p = table(spark, d, "part").select("p_partkey", "p_name")
-    return p.withColumn("score", t.fuzzy_ratio("p_name", F.lit("blue"))).where(F.col("score") > t.MINIMUM_SCORE - 30)
-
-
-@query("SELECT * FROM (VALUES (0, 'a', 'EXECUTED'), (1, 'b', 'EXECUTED'), (2, 'x', 'FAILED'), (3, 'c', 'FAILED')) t(ordinal, task, status)")
-def dag_status(spark, d):
-    """Statuses of a small task graph: a failing task fails what needs it."""
-    from ..operators.tasks import Task, TaskGraph
-
-    g = TaskGraph(spark)
-
-    def fail():
-        raise RuntimeError("broken")
-
-    for task in (Task("a", lambda: None), Task("b", lambda: None, depends_on=["a"]), Task("x", fail), Task("c", lambda: None, depends_on=["b", "x"])):
-        g.add(task)
-    return g.run("c").select("ordinal", "task", "status")
