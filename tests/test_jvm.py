@@ -78,3 +78,16 @@ def test_real_archive(spark):
     n = f.count()
     e = index.run_all(f, jvm.definitions()[1:2])
     assert n and e.count() <= n and index.errors_of(jvm.definitions()[1], f).count() == 0
+
+
+def test_signatures():
+    s = jvm.parse_signature("<T:Ljava/lang/Object;K::Ljava/lang/Comparable<-TK;>;>(Ljava/util/Map<TK;+Ljava/util/List<*>;>;[[TT;)TT;^Ljava/io/IOException;^TE;")
+    assert list(map(str, s.parameters)) == ["java.util.Map<K, ? extends java.util.List<?>>", "T[][]"] and str(s.result) == "T" and s.result.variable
+    assert [str(x) for x in s.throws] == ["java.io.IOException", "E"]
+    assert [(n, list(map(str, b))) for n, b in s.variables] == [("T", ["java.lang.Object"]), ("K", ["java.lang.Comparable<? super K>"])]
+    assert str(jvm.parse_signature("[Lp/A<Ljava/lang/String;>.B<TX;>.C;").result) == "p.A<java.lang.String>.B<X>.C[]"
+    assert [str(x) for x in jvm.parse_signature("Ljava/lang/Object;Ljava/util/List<TT;>;", True).supers] == ["java.lang.Object", "java.util.List<T>"]
+    assert jvm.parse_signature("(I[J)V").parameters == (jvm.Type("int"), jvm.Type("long", dims=1))
+    for bad in ("", "L", "(I", "Q", "Ljava", "II", "(I)", "<T>V"):
+        with pytest.raises(ValueError):
+            jvm.parse_signature(bad)

@@ -218,3 +218,22 @@ def test_shown_and_roots(spark):
     i = spark.createDataFrame([("Ab",), ("ab",)], "lookup string")
     assert rows(paths.shown(i, "a")) == [("ab",)] and paths.shown(i, "").count() == 2
     assert rows(paths.root_rows(spark, ["/a", "/a", "/b"], "library")) == [("/a", "library"), ("/b", "library")]
+
+
+def test_repeated_rows_under_roots_stay(spark):
+    f = spark.createDataFrame([("/a/x", 1), ("/a/x", 1), ("/a/b/y", 2), ("/ab/z", 3), ("/c", 4), (None, 5)], "path string, n int")
+    roots = spark.createDataFrame([("/a/",), ("/a/b",), ("/c",)], "root string")
+    assert sorted(r["n"] for r in paths.semi_under_roots(f, "path", roots).collect()) == [1, 1, 2, 4]
+
+
+@pytest.mark.parametrize("store, file", [(128, 1), (1, 1 << 24), (-1, 1), (0, 1 << 31), (1, -1)])
+def test_global_ids_that_dont_fit_raise(spark, store, file):
+    df = spark.createDataFrame([(store, file)], "s int, f long").select(lookup.global_id("s", "f"))
+    with pytest.raises(Exception, match="no global id"):
+        df.collect()
+
+
+def test_global_ids(spark):
+    df = spark.createDataFrame([(127, (1 << 24) - 1), (0, 5), (None, 1)], "s int, f long").select(lookup.global_id("s", "f").alias("g"))
+    df = df.select("g", *lookup.local_id("g"))
+    assert [tuple(r) for r in df.collect()] == [((1 << 32) - 1, 127, (1 << 24) - 1), (5, 0, 5), (None, 0, None)]

@@ -74,6 +74,77 @@ def test_incremental_equals_rebuild(spark, tmp_path):
     assert rows(one.entries()) == rows(two.entries())
 
 
+def test_a_batch_is_one_layer_and_many_are_compacted(spark, tmp_path):
+    words = index.IndexDefinition("words", 1, index.words())
+    s = stores.IndexStore(spark, str(tmp_path / "s"), most_layers=4)
+    s.register(words)
+    now = {i: f"common w{i}" for i in range(40)}
+    s.refresh(files(spark, *[(i, f"/{i}", t, 1, 1) for i, t in now.items()]))
+    seen = []
+    for turn in range(6):
+        changed = {i: f"turn{turn} w{i}" for i in (turn, turn + 1)}
+        now |= changed
+        now.pop(30 + turn)
+        s.apply(files(spark, *[(i, f"/{i}", t, 2 + turn, 1) for i, t in changed.items()]), spark.createDataFrame([(30 + turn,)], "file_id long"))
+        m = s.manifest()
+        seen.append(len(m["layers"]))
+        if len(m["layers"]) > 1:  # what was written is the change
+            path = f"{s.root}/{m['layers'][-1]['name']}"
+            assert spark.read.parquet(path + "/entries").count() == 4 and spark.read.parquet(path + "/gone").count() == 3
+        assert rows(s.entries(), "key", "file_id") == sorted(((w, i) for i, t in now.items() for w in t.split()), key=repr)
+    assert 1 in seen and max(seen) <= 4
+    old = s.entries()
+    s.compact()
+    assert rows(old) == rows(s.entries())  # still there for readers
+    assert s.expire(keep=1) > 0 and len(s.manifest()["layers"]) == 1
+    assert rows(s.entries(), "key", "file_id") == sorted(((w, i) for i, t in now.items() for w in t.split()), key=repr)
+
+
+def test_a_key_reaches_the_scan_and_few_files(spark, tmp_path):
+    s = stores.IndexStore(spark, str(tmp_path / "s"))
+    s.register(index.IndexDefinition("names", 1, index.column_key("path", "path")))
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        s.refresh(files(spark, *[(i, f"k{i:04d}", "", 1, 1) for i in range(400)]))
+    finally:
+        spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "true")
+    hit = lookup.exact(s.entries(), "names", "k0123")
+    plan = hit._jdf.queryExecution().executedPlan().toString()
+    assert "EqualTo(key,k0123)" in plan and "Exchange" not in plan and "index_id" in plan.split("PartitionFilters")[1]
+    holding = s.entries().where("key between 'k0100' and 'k0150'").select(F.input_file_name()).distinct().count()
+    assert holding < s.entries().select(F.input_file_name()).distinct().count()
+
+
+def test_rows_of_one_time_are_decided(spark, tmp_path):
+    got = []
+    for turn in range(2):
+        s = stores.IndexStore(spark, str(tmp_path / f"s{turn}"))
+        s.register(index.IndexDefinition("names", 1, index.column_key("path", "path")))
+        r = [(1, "/a", "", 5, 1), (1, "/b", "", 5, 1), (1, "/c", "", 5, 1), (2, "/d", "", None, 1), (2, "/e", "", None, 2)]
+        s.refresh(files(spark, *(r if turn else r[::-1])).repartition(3))
+        got.append(rows(s.entries(), "key", "file_id"))
+    assert got[0] == got[1] and ("/e", 2) in got[0] and len(got[0]) == 2
+
+
+def test_one_helper_call_a_file(spark):
+    calls = spark.sparkContext.accumulator(0)
+
+    def helper(r):
+        calls.add(1)
+        if r["text"] == "bad":
+            raise ValueError("bad")
+        return r["text"].split()
+
+    one = index.IndexDefinition("one", 1, index.python_extractor(lambda r, w: [(w[0], "1")], ["text"], helper))
+    two = index.IndexDefinition("two", 1, index.python_extractor(lambda r, w: [(x, None) for x in w], ["text"], helper), F.col("path") != "/c")
+    lone = index.IndexDefinition("lone", 1, index.python_extractor(lambda r: {r["path"]: {"n": 1}}, ["path"]))
+    f = files(spark, (1, "/a", "x y", 1, 1), (2, "/b", "bad", 1, 1), (3, "/c", "z", 1, 1))
+    got = rows(index.run_all(f, [one, two, lone]), "index_id", "key", "file_id", "value")
+    assert got == sorted([("one", "x", 1, "1"), ("one", "z", 3, "1"), ("two", "x", 1, None), ("two", "y", 1, None), *[("lone", p, i, '{"n": 1}') for i, p in ((1, "/a"), (2, "/b"), (3, "/c"))]], key=repr)
+    assert calls.value == 3
+    assert rows(index.errors_of(two, f)) == [("two", 2, "ValueError: bad")]
+
+
 def test_shared_stores_and_invalidate(spark, tmp_path):
     stores.build_shared(files(spark, (1, "/a.x", "class A", 1, 1)), [NAMES], str(tmp_path / "lib"))
     (tmp_path / "broken").mkdir()

@@ -85,3 +85,25 @@ def test_partial_measures():
 def test_pop_up(spark):
     d = spark.createDataFrame([(".", "x.", 2), (" ", "new ", 4), (" ", "renew ", 6), (" ", "= new ", 6), ("ab", "ab", 2), (" ", "kne ", 4)], "i string, t string, c int")
     assert [r[0] for r in d.select(t.pop_up_trigger("i", "t", "c")).collect()] == [True, True, False, True, False, False]
+
+
+def test_common_subsequences_against_the_table():
+    import random
+
+    r = random.Random(1)
+    for _ in range(300):
+        a, b = ("".join(r.choice("abcé") for _ in range(r.randrange(90))) for _ in "ab")
+        row = [0] * (len(b) + 1)
+        for x in a:
+            last = 0
+            for j, y in enumerate(b, 1):
+                last, row[j] = row[j], last + 1 if x == y else max(row[j], row[j - 1])
+        assert t._common_subsequence(a, b) == row[-1]
+
+
+def test_patched_text():
+    p = t.patch_incomplete
+    assert p("a.b.\n c.}  x::; y. ; \"s.\" // t.\n 1.5 f(a.); ") == "a.b.anyName;\n c.anyName;}  x::anyName; y.anyName ; \"s.\" // t.\n 1.5 f(a.anyName); "
+    assert p("a..b") == "a.anyName.b" and p("int... x; List.<T>of(); a.*") == "int... x; List.<T>of(); a.*"
+    assert p("x = new  ", 8) == "x = new anyName() " and p("renew ", 6) == "renew " and p("new", 99) == "newanyName()"
+    assert p(None) is None and p("") == "" and p("a.", dummy="z") == "a.z"
