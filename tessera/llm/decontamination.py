@@ -13,31 +13,38 @@ runs hold LITERALS words of the item unchanged, or are unchanged altogether. Ite
 with their slots unchanged.
 
 A document holds an item if a run covers RUN_TOKENS of its tokens (the whole item where that is shorter), or if all runs
-together cover the share COVER of it. Items shorter than a
-window are matched whole (up to four tokens: only against documents that hold nothing else).
+together cover the share COVER of it. Items shorter than a window are matched whole. Items of up to SHORT tokens say
+little in a longer text: such matches are reported as "short" and don't count as contamination; in a document that holds
+nothing else they are "whole" like all other matches.
 
-The benchmark is read in blocks of about BLOCK_CHARS characters (bounded, so sent to all tasks); every block meets every
-document, in one pass over the documents for each. No shuffle of documents is needed.
+The join. The benchmark's windows are a table of its distinct texts. Documents are cut into windows in one pass; a Bloom
+filter of the benchmark's window hashes (at most FILTER_BITS bits, so broadcast) lets hardly any other window through,
+and those that pass are joined with the table by hash: broadcast up to BROADCAST_WINDOWS rows, a shuffle beyond, whose
+left side AQE splits where a window is hot. What is left are alignments; texts of documents and items meet only there, a
+document with several items is encoded once, and each distinct text is judged once however often it occurs.
 
 Defined results: null and empty texts match nothing, null or empty items neither. Each document row gives one row for
-each item it holds; repeated rows repeat. Extra columns are not read by the query and kept by decontaminate().
+each item it holds; repeated rows repeat, repeated items too. Extra columns are not read by matches() and kept by
+decontaminate(). Empty tables give empty results, and an empty benchmark leaves all documents.
 """
 
 from __future__ import annotations
 
 import hashlib
-import math
 import re
-from collections import defaultdict
 
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, functions as F
 
-from .common import lean_batches, load, trim, trimmed
+from .common import forget, lean_batches, load, saved, trimmed
 
-WINDOW, LITERALS, RUN_TOKENS, COVER = 8, 4, 13, 0.6
-BLOCK_CHARS = 16 << 20
+WINDOW, LITERALS, RUN_TOKENS, COVER, SHORT = 8, 4, 13, 0.6, 4
+#: Bits of the filter for each window of the benchmark, most bits in all, and bits set by a window.
+BITS_EACH, FILTER_BITS, PROBES = 32, 1 << 30, 4
+#: A filter is built in segments of so many bits.
+SEGMENT = 1 << 20
+BROADCAST_WINDOWS = 1_000_000
 #: Documents of a batch are worked on so many tokens at a time.
 BATCH_TOKENS = 1 << 18
 
@@ -50,13 +57,16 @@ _TOKEN = re.compile(r"\d+(?:[.,]\d+)*|[^\W\d_]+")
 WORD, NUMBER, NAME, UNIT = 0, 1, 2, 3
 _SLOT = {NUMBER: 0x9E3779B97F4A7C15, NAME: 0xC2B2AE3D27D4EB4F, UNIT: 0x165667B19E3779F9}
 _K = np.uint64(0x100000001B3)
-_MASK = (1 << 22) - 1
 
 
 class _Vocabulary(dict):
-    """Token to (hash of the lower-cased token, kind); forgets when it has grown large."""
+    """Token to its place in two tables: the hash of the lower-cased token, and its kind. Forgets when it has grown large."""
 
-    def __missing__(self, token: str):
+    def __init__(self):
+        super().__init__()
+        self.lit, self.kind, self._tables = [], [], None
+
+    def __missing__(self, token: str) -> int:
         low = token.lower()
         if token[0].isdigit():
             kind = NUMBER
@@ -64,21 +74,33 @@ class _Vocabulary(dict):
             kind = UNIT
         else:
             kind = NAME if token[0].isupper() and (len(token) == 1 or token[1:].islower()) else WORD
+        out = self[token] = len(self.lit)
+        self.lit.append(int.from_bytes(hashlib.blake2b(low.encode("utf-8", "surrogatepass"), digest_size=8).digest(), "little"))
+        self.kind.append(kind)
+        return out
+
+    def tables(self) -> tuple[np.ndarray, np.ndarray]:
+        if self._tables is None or len(self._tables[0]) != len(self.lit):
+            self._tables = np.array(self.lit, np.uint64), np.array(self.kind, np.int8)
+        return self._tables
+
+    def rest(self) -> None:
         if len(self) > 150_000:
             self.clear()
-        out = self[token] = (int.from_bytes(hashlib.blake2b(low.encode("utf-8", "surrogatepass"), digest_size=8).digest(), "little"), kind)
-        return out
+            self.lit, self.kind, self._tables = [], [], None
 
 
 def encode(texts: list[str | None], vocabulary: _Vocabulary):
     """Concatenated (literal hashes, kinds) of all texts, and where each text starts."""
-    lit, kind, start = [], [], [0]
+    ids, start = [], [0]
     for t in texts:
-        pairs = [vocabulary[x] for x in _TOKEN.findall(t)] if t else []
-        lit += [p[0] for p in pairs]
-        kind += [p[1] for p in pairs]
-        start.append(len(lit))
-    lit, kind, start = np.array(lit, np.uint64), np.array(kind, np.int8), np.array(start)
+        if t:
+            ids.extend(map(vocabulary.__getitem__, _TOKEN.findall(t)))
+        start.append(len(ids))
+    ids, start = np.array(ids, np.int64), np.array(start)
+    lit, kind = vocabulary.tables()
+    lit, kind = lit[ids], kind[ids]
+    vocabulary.rest()
     before = np.r_[np.int8(WORD), kind[:-1]] if len(kind) else kind
     first = np.zeros(len(kind), bool)
     first[start[:-1][start[:-1] < len(kind)]] = True
@@ -120,165 +142,208 @@ def _roll(code: np.ndarray, n: int, m: int) -> np.ndarray:
     return h
 
 
-class Templates:
-    """The hashed windows of a block of benchmark items, and how to find them in texts."""
-
-    def __init__(self, items: list[tuple]):
+def wordy(kind: np.ndarray) -> bool:
+    """Enough words to be told by them when slots hold other values."""
+    return int(((kind == WORD) | (kind == NAME)).sum()) >= min(LITERALS, WINDOW, len(kind))
+
+
+def aligned(lit, kind, item_lit, item_kind, shift: int, n: int) -> list[tuple[int, int]]:
+    """Runs of n tokens or more of a text that are the item's at this alignment, slots aside."""
+    a, b = max(0, shift), min(len(lit), shift + len(item_lit))
+    x, y = item_kind[a - shift : b - shift], kind[a:b]
+    fits = item_lit[a - shift : b - shift] == lit[a:b]
+    if wordy(item_kind):
+        fits |= (x == y) & (x != WORD)
+    edge = np.flatnonzero(np.diff(np.r_[False, fits, False].astype(np.int8)))
+    return [(a + int(i), a + int(j)) for i, j in zip(edge[::2], edge[1::2]) if j - i >= n]
+
+
+def consistent(lit, kind, item_lit, item_kind, shift: int, a: int, b: int) -> tuple[int, int]:
+    """The longest stretch of [a, b) over which slot values map one to one."""
+    there, back, lo, best = {}, {}, a, (a, a)
+    last: dict[int, int] = {}
+    for t in range(a, b):
+        x, y = int(item_lit[t - shift]), int(lit[t])
+        if item_kind[t - shift] == WORD and kind[t] == WORD or x == y and x not in there and y not in back:
+            if x != y:  # can't be: literal positions of a hit are equal
+                lo, there, back = t + 1, {}, {}
+        elif there.get(x, y) != y or back.get(y, x) != x:
+            lo = max(last.get(x, lo - 1), last.get(-1 - y, lo - 1)) + 1
+            there = {p: q for p, q in there.items() if last[p] >= lo}
+            back = {q: p for p, q in there.items()}
+            there[x], back[y] = y, x
+        else:
+            there[x], back[y] = y, x
+        last[x], last[-1 - y] = t, t
+        if t + 1 - lo > best[1] - best[0]:
+            best = (lo, t + 1)
+    return best
+
+
+def judge(lit, kind, item_lit, item_kind, shifts) -> tuple[int, int, int, bool, bool] | None:
+    """(first token, tokens, item's tokens, verbatim, short) of the longest run if a text holds the item, else None."""
+    size = len(item_lit)
+    n, best, covered = min(WINDOW, size), None, set()
+    for shift in sorted(shifts):
+        spans = [consistent(lit, kind, item_lit, item_kind, shift, a, b) for a, b in aligned(lit, kind, item_lit, item_kind, shift, n)]
+        spans = [(a, b) for a, b in spans if b - a >= n]
+        same = [lit[a:b] == item_lit[a - shift : b - shift] for a, b in spans]
+        words = sum(int((x & ((kind[a:b] == WORD) | (kind[a:b] == NAME))).sum()) for (a, b), x in zip(spans, same))
+        for (a, b), x in zip(spans, same):
+            if words >= min(LITERALS, n) or x.all():
+                covered.update(range(a - shift, b - shift))
+                if best is None or b - a > best[1]:
+                    best = (a, b - a, size, bool(x.all()), size <= SHORT and len(lit) > size)
+    return best if best and (best[1] >= min(RUN_TOKENS, size) or len(covered) >= COVER * size) else None
+
+
+def templates(items: DataFrame) -> DataFrame:
+    """(h, n, item, pos): the hashed windows of items(item, text)."""
+
+    def run(batches):
         voc = _Vocabulary()
-        self.ids, self.lit, self.kind, self.wordy = [], [], [], []
-        at = defaultdict(list)
-        self.lengths = set()
-        for item, text in items:
-            lit, kind, _ = encode([text], voc)
-            if not len(lit):
-                continue
-            k = len(self.ids)
-            self.ids.append(item)
-            self.lit.append(lit)
-            self.kind.append(kind)
-            n = min(WINDOW, len(lit))
-            self.lengths.add(n)
-            wordy = int(((kind == WORD) | (kind == NAME)).sum()) >= min(LITERALS, n)
-            self.wordy.append(wordy)
-            for ps, hs, weak in windows(lit, kind, n):
-                if wordy or not weak:
-                    for p, h in zip(ps.tolist(), hs.tolist()):
-                        at[n, h].append((k, p))
-        self.at = {n: {h: v for (m, h), v in at.items() if m == n} for n in self.lengths}
-        self.sorted = {n: np.sort(np.fromiter(self.at[n], np.uint64, len(self.at[n]))) for n in self.lengths}
-        self.seen = {}
-        for n, hs in self.sorted.items():
-            self.seen[n] = np.zeros(_MASK + 1, bool)
-            self.seen[n][(hs & np.uint64(_MASK)).astype(np.int64)] = True
-
-    def _hits(self, h: np.ndarray, n: int) -> np.ndarray:
-        maybe = np.flatnonzero(self.seen[n][(h & np.uint64(_MASK)).astype(np.int64)])
-        s = self.sorted[n]
-        at = np.minimum(np.searchsorted(s, h[maybe]), len(s) - 1)
-        return maybe[s[at] == h[maybe]]
-
-    def find(self, texts: list) -> list[list[tuple]]:
-        """For each text: (item, first token, tokens, item's tokens, verbatim) of the longest run with each item."""
-        out: list[list[tuple]] = [[] for _ in texts]
-        voc = self.__dict__.setdefault("_voc", _Vocabulary())
-        i = 0
-        while i < len(texts):
-            j, chars = i, 0
-            while j < len(texts) and (j == i or chars < 4 * BATCH_TOKENS):
-                chars += len(texts[j] or "")
-                j += 1
-            self._find(texts[i:j], out[i:j], voc)
-            i = j
-        return out
+        for pdf in batches:
+            rows = []
+            for item, text in zip(pdf["item"], pdf["text"]):
+                lit, kind, _ = encode([text], voc)
+                n = min(WINDOW, len(lit))
+                for ps, hs, weak in windows(lit, kind, n) if n else ():
+                    if wordy(kind) or not weak:
+                        rows += zip(hs.view(np.int64).tolist(), [n] * len(ps), [item] * len(ps), ps.tolist())
+            yield pd.DataFrame(rows, columns=["h", "n", "item", "pos"])
+
+    return items.mapInPandas(run, "h long, n int, item binary, pos int").distinct()
+
+
+def _probes(h: np.ndarray, bits: int):
+    """The places of hashes in a filter, one probe at a time."""
+    for k in range(PROBES):
+        with np.errstate(over="ignore"):
+            yield ((h + np.uint64(k)) * np.uint64(0x9E3779B97F4A7C15) ^ (h >> np.uint64(29))) & np.uint64(bits - 1)
+
+
+def bloom(table: DataFrame, rows: int) -> np.ndarray:
+    """A Bloom filter of the table's hashes as bytes; built in segments on the executors, at most FILTER_BITS reach the driver."""
+    bits = min(FILTER_BITS, max(SEGMENT, 1 << (max(1, rows) * BITS_EACH - 1).bit_length()))
+
+    def places(batches):
+        for pdf in batches:
+            h = pdf["h"].to_numpy().view(np.uint64)
+            at = np.unique(np.concatenate([p for p in _probes(h, bits)])) if len(h) else h
+            yield pd.DataFrame({"seg": (at // np.uint64(SEGMENT)).astype(np.int32), "at": (at % np.uint64(SEGMENT)).astype(np.int32)})
+
+    def segment(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
+        on = np.zeros(SEGMENT, np.uint8)
+        on[pdf["at"].to_numpy()] = 1
+        return pd.DataFrame({"seg": [key[0]], "bits": [np.packbits(on, bitorder="little").tobytes()]})
+
+    # Segments have SEGMENT places at most, so a group is bounded too.
+    segments = table.select("h").mapInPandas(places, "seg int, at int").distinct().groupBy("seg").applyInPandas(segment, "seg int, bits binary")
+    out = np.zeros(bits // 8, np.uint8)
+    for r in segments.toLocalIterator():
+        out[r["seg"] * (SEGMENT // 8) : (r["seg"] + 1) * (SEGMENT // 8)] = np.frombuffer(r["bits"], np.uint8)
+    return out
 
-    def _find(self, texts, out, voc) -> None:
-        lit, kind, start = encode(texts, voc)
-        found = defaultdict(set)  # (text, item) -> alignments
-        for n in self.lengths:
-            for ws, h, _ in windows(lit, kind, n):
-                for x in self._hits(h, n).tolist():
-                    w = int(ws[x])
-                    d = int(np.searchsorted(start, w, side="right")) - 1
-                    if w + n > start[d + 1]:
-                        continue  # runs over into the next text
-                    for k, p in self.at[n][int(h[x])]:
-                        if len(self.lit[k]) > 4 or start[d + 1] - start[d] == len(self.lit[k]):
-                            found[d, k].add(w - p)
-        for (d, k), shifts in found.items():
-            n = min(WINDOW, len(self.lit[k]))
-            size, best, covered = len(self.lit[k]), None, set()
-            for shift in sorted(shifts):
-                spans = [self._consistent(lit, kind, k, shift, a, b) for a, b in self._aligned(lit, kind, k, shift, int(start[d]), int(start[d + 1]), n)]
-                spans = [(a, b) for a, b in spans if b - a >= n]
-                same = [lit[a:b] == self.lit[k][a - shift : b - shift] for a, b in spans]
-                words = sum(int((x & ((kind[a:b] == WORD) | (kind[a:b] == NAME))).sum()) for (a, b), x in zip(spans, same))
-                for (a, b), x in zip(spans, same):
-                    if words >= min(LITERALS, n) or x.all():
-                        covered.update(range(a - shift, b - shift))
-                        if best is None or b - a > best[2]:
-                            best = (self.ids[k], int(a - start[d]), int(b - a), size, bool(x.all()))
-            if best and (best[2] >= min(RUN_TOKENS, size) or len(covered) >= COVER * size):
-                out[d].append(best)
-
-    def _aligned(self, lit, kind, k, shift, first, past, n) -> list[tuple[int, int]]:
-        """Runs of n tokens or more of the text [first, past) that are the item's at this alignment, slots aside."""
-        a, b = max(first, shift), min(past, shift + len(self.lit[k]))
-        x, y = self.kind[k][a - shift : b - shift], kind[a:b]
-        fits = self.lit[k][a - shift : b - shift] == lit[a:b]
-        if self.wordy[k]:
-            fits |= (x == y) & (x != WORD)
-        edge = np.flatnonzero(np.diff(np.r_[False, fits, False].astype(np.int8)))
-        return [(a + int(i), a + int(j)) for i, j in zip(edge[::2], edge[1::2]) if j - i >= n]
-
-    def _consistent(self, lit, kind, k, shift, a, b) -> tuple[int, int]:
-        """The longest stretch of [a, b) over which slot values map one to one."""
-        there, back, lo, best = {}, {}, a, (a, a)
-        mine, bench, types = lit, self.lit[k], self.kind[k]
-        last: dict[int, int] = {}
-        for t in range(a, b):
-            x, y = int(bench[t - shift]), int(mine[t])
-            if types[t - shift] == WORD and kind[t] == WORD or x == y and x not in there and y not in back:
-                if x != y:  # can't be: literal positions of a hit are equal
-                    lo, there, back = t + 1, {}, {}
-            elif there.get(x, y) != y or back.get(y, x) != x:
-                lo = max(last.get(x, lo - 1), last.get(-1 - y, lo - 1)) + 1
-                there = {p: q for p, q in there.items() if last[p] >= lo}
-                back = {q: p for p, q in there.items()}
-                there[x], back[y] = y, x
-            else:
-                there[x], back[y] = y, x
-            last[x], last[-1 - y] = t, t
-            if t + 1 - lo > best[1] - best[0]:
-                best = (lo, t + 1)
-        return best
-
-
-def blocks(benchmark: DataFrame):
-    """Templates of the benchmark, a block of about BLOCK_CHARS characters at a time."""
-    b = benchmark.select("item_id", "text").where("text is not null")
-    chars = b.agg(F.sum(F.length("text"))).first()[0] or 0
-    n = max(1, math.ceil(chars / BLOCK_CHARS))
-    for k in range(n):
-        part = b.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(n)) == k)
-        yield Templates([(r["item_id"], r["text"]) for r in part.collect()])
 
+def passing(h: np.ndarray, filt: np.ndarray) -> np.ndarray:
+    """Places of the hashes the filter may hold."""
+    maybe = np.arange(len(h))
+    for at in _probes(h, 8 * len(filt)):
+        at = at[maybe]  # later probes only for what has passed the earlier ones
+        maybe = maybe[(filt[(at >> np.uint64(3)).astype(np.int64)] >> (at & np.uint64(7)).astype(np.uint8)) & 1 == 1]
+    return maybe
 
-def matches(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
-    """doc_id, item_id, first_token, n_tokens, item_tokens, verbatim: one row for each document row and item it holds."""
+
+def hits(texts: DataFrame, filt, lengths: list[int]) -> DataFrame:
+    """(key, h, pos): windows of texts(key, text) that the filter (a broadcast) lets through."""
+
+    def run(batches):
+        voc = _Vocabulary()
+        for pdf in batches:
+            keys, texts_, i = pdf["key"].to_numpy(), pdf["text"].to_list(), 0
+            while i < len(texts_):
+                j, chars = i, 0
+                while j < len(texts_) and (j == i or chars < 4 * BATCH_TOKENS):
+                    chars += len(texts_[j] or "")
+                    j += 1
+                lit, kind, start = encode(texts_[i:j], voc)
+                for n in lengths:
+                    for ps, hs, _ in windows(lit, kind, n):
+                        met = passing(hs, filt.value)
+                        d = np.searchsorted(start, ps[met], side="right") - 1
+                        inside = ps[met] + n <= start[d + 1]  # not running over into the next text
+                        met, d = met[inside], d[inside]
+                        if n <= SHORT and len(met):  # the first place says all of an item matched whole and word by word
+                            first = np.unique(np.stack([d.astype(np.uint64), hs[met]]), axis=1, return_index=True)[1]
+                            met, d = met[first], d[first]
+                        if len(met):
+                            yield pd.DataFrame({"key": keys[i + d], "h": hs[met].view(np.int64), "pos": (ps[met] - start[d]).astype(np.int32)})
+                i = j
+
+    return texts.mapInPandas(trimmed(run), "key binary, h long, pos int")
+
+
+def found(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
+    """(key, item, first_token, n_tokens, item_tokens, verbatim, short) by md5 of the texts: what each distinct document text
+    holds of each distinct item text."""
     spark = docs.sparkSession
     lean_batches(spark)
-    d, out = docs.select(F.col("doc_id").cast("long"), "text"), None
-    for block in blocks(benchmark):
-        sent = spark.sparkContext.broadcast(block)
-
-        def run(batches, sent=sent):
-            for pdf in batches:
-                rows = [(i, *m) for i, ms in zip(pdf["doc_id"].astype(object), sent.value.find(list(pdf["text"]))) for m in ms]
-                t = pd.DataFrame(rows, columns=["doc_id", "item_id", "first_token", "n_tokens", "item_tokens", "verbatim"])
-                yield t.astype({"doc_id": "Int64", "item_id": "Int64"})
-
-        part = d.mapInPandas(trimmed(run), "doc_id long, item_id long, first_token long, n_tokens long, item_tokens long, verbatim boolean")
-        out = part if out is None else out.unionByName(part)
+    key = F.md5("text").cast("binary")
+    texts = docs.where("text <> ''").select(key.alias("key"), "text")
+    items = benchmark.where("text <> ''").select(key.alias("item"), "text").dropDuplicates(["item"])
+    table = saved(templates(items), "templates")
+    rows = table.count()
+    sent = spark.sparkContext.broadcast(bloom(table, rows))
+    lengths = sorted(r["n"] for r in table.select("n").distinct().collect())  # eight at most
+    small = rows <= BROADCAST_WINDOWS
+    t = table.select("h", "item", F.col("pos").alias("at"))
+    at = hits(texts, sent, lengths).join(F.broadcast(t) if small else t, "h").select("key", "item", (F.col("pos") - F.col("at")).alias("shift"))
+    # Shifts of one text and one item: fewer than they have tokens.
+    at = saved(at.groupBy("key", "item").agg(F.collect_set("shift").alias("shifts")), "aligned")
+    held = texts.join(at.select("key").distinct(), "key", "left_semi").dropDuplicates(["key"])
+    both = at.join(held, "key").join(items.withColumnRenamed("text", "item_text"), "item")
+
+    def run(batches):
+        voc, own, bench = _Vocabulary(), (None, None), {}
+        for pdf in batches:
+            out = []
+            for k, i, shifts, text, item in zip(pdf["key"], pdf["item"], pdf["shifts"], pdf["text"], pdf["item_text"]):
+                if own[0] != k:  # rows of a text come together
+                    own = k, encode([text], voc)[:2]
+                if i not in bench:
+                    if len(bench) > 10_000:
+                        bench.clear()
+                    bench[i] = encode([item], voc)[:2]
+                got = judge(*own[1], *bench[i], shifts.tolist())
+                if got:
+                    out.append((k, i, *got))
+            yield pd.DataFrame(out, columns=["key", "item", "first_token", "n_tokens", "item_tokens", "verbatim", "short"])
+
+    out = both.sortWithinPartitions("key").mapInPandas(trimmed(run), "key binary, item binary, first_token long, n_tokens long, item_tokens long, verbatim boolean, short boolean")
+    out = saved(out, "found")
+    forget(table)
+    forget(at)
     return out
 
 
-def _is_clean(sent):
-    @F.pandas_udf("boolean")
-    def clean(text: pd.Series) -> pd.Series:
-        out = pd.Series([not m for m in sent.value.find(list(text))], dtype=bool)
-        trim()
-        return out
+def matches(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
+    """doc_id, item_id, first_token, n_tokens, item_tokens, verbatim, kind: one row for each document row and item it holds.
 
-    return clean
+    kind is "whole", or "short" for items of up to SHORT tokens within longer texts.
+    """
+    f = found(docs, benchmark)
+    key = F.md5("text").cast("binary")
+    d = docs.select(F.col("doc_id").cast("long"), key.alias("key"))
+    ids = benchmark.select(F.col("item_id").cast("long"), key.alias("item"))
+    out = d.join(f, "key").join(ids, "item")
+    return out.select("doc_id", "item_id", "first_token", "n_tokens", "item_tokens", "verbatim", F.when(F.col("short"), "short").otherwise("whole").alias("kind"))
 
 
 def decontaminate(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """docs without the rows that hold benchmark items."""
-    lean_batches(docs.sparkSession)
-    for block in blocks(benchmark):
-        docs = docs.where(_is_clean(docs.sparkSession.sparkContext.broadcast(block))("text"))
-    return docs
+    gone = found(docs, benchmark).where("not short").select(F.col("key").alias("_gone")).distinct()
+    return docs.join(gone, F.md5(docs["text"]).cast("binary") == gone["_gone"], "left_anti")
 
 
 def op5_decontamination(spark, sf_dir: str) -> DataFrame:
-    return matches(load(spark, sf_dir, "documents"), load(spark, sf_dir, "benchmark"))
+    return matches(load(spark, sf_dir, "documents"), load(spark, sf_dir, "benchmark")).where("kind = 'whole'").drop("kind")
