@@ -45,6 +45,8 @@ BITS_EACH, FILTER_BITS, PROBES = 32, 1 << 30, 4
 #: A filter is built in segments of so many bits.
 SEGMENT = 1 << 20
 BROADCAST_WINDOWS = 1_000_000
+#: Up to so many keys of texts (about 50 bytes each) are broadcast to pick these texts out; more are joined by a shuffle.
+BROADCAST_TEXTS = 1_000_000
 #: Documents of a batch are worked on so many tokens at a time.
 BATCH_TOKENS = 1 << 18
 
@@ -283,6 +285,11 @@ def hits(texts: DataFrame, filt, lengths: list[int]) -> DataFrame:
     return texts.mapInPandas(trimmed(run), "key binary, h long, pos int")
 
 
+def _sized(keys: DataFrame) -> DataFrame:
+    """keys, broadcast if they are few."""
+    return F.broadcast(keys) if keys.count() <= BROADCAST_TEXTS else keys
+
+
 def found(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """(key, item, first_token, n_tokens, item_tokens, verbatim, short) by md5 of the texts: what each distinct document text
     holds of each distinct item text."""
@@ -300,7 +307,7 @@ def found(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     at = hits(texts, sent, lengths).join(F.broadcast(t) if small else t, "h").select("key", "item", (F.col("pos") - F.col("at")).alias("shift"))
     # Shifts of one text and one item: fewer than they have tokens.
     at = saved(at.groupBy("key", "item").agg(F.collect_set("shift").alias("shifts")), "aligned")
-    held = texts.join(at.select("key").distinct(), "key", "left_semi").dropDuplicates(["key"])
+    held = texts.join(_sized(at.select("key").distinct()), "key", "left_semi").dropDuplicates(["key"])
     both = at.join(held, "key").join(items.withColumnRenamed("text", "item_text"), "item")
 
     def run(batches):
@@ -341,7 +348,7 @@ def matches(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
 
 def decontaminate(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """docs without the rows that hold benchmark items."""
-    gone = found(docs, benchmark).where("not short").select(F.col("key").alias("_gone")).distinct()
+    gone = _sized(found(docs, benchmark).where("not short").select(F.col("key").alias("_gone")).distinct())
     return docs.join(gone, F.md5(docs["text"]).cast("binary") == gone["_gone"], "left_anti")
 
 
