@@ -7,78 +7,25 @@ nothing that grows with the data is collected to the driver.
 
 from __future__ import annotations
 
-import atexit
 import ctypes
-import tempfile
-import uuid
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 
+from ..storage import forget, fresh_path, remove, saved, shared_dir  # noqa: F401  passed on to the operators
+
 #: Characters that separate words: space and U+0009 to U+000D.
 BLANKS = " \t\n\x0b\x0c\r"
-
-_own_dir: str | None = None
-_tables: dict[str, SparkSession] = {}
-
+#: Rows of a range of a global rank, if their number is known.
+RANGE_ROWS = 2_000_000
 
 def load(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share; a folder of our own only where the session names none (tests)."""
-    global _own_dir
-    named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
-    if named:
-        return named.rstrip("/")
-    if _own_dir is None:
-        _own_dir = tempfile.mkdtemp(prefix="tessera-")
-    return _own_dir
-
-
-def fresh_path(spark: SparkSession, name: str) -> str:
-    path = f"{shared_dir(spark)}/tessera-{name}-{uuid.uuid4().hex}"
-    _tables[path] = spark
-    return path
-
-
-def saved(df: DataFrame, name: str = "table") -> DataFrame:
-    """df written once to the shared folder and read again: lineage ends here, and lost executors cost nothing."""
-    spark = df.sparkSession
-    path = fresh_path(spark, name)
-    df.write.parquet(path)
-    out = spark.read.schema(df.schema).parquet(path)
-    out._tessera_path = path
-    return out
-
-
-def forget(df: DataFrame) -> None:
-    """Delete a saved table that nothing reads any more."""
-    path = getattr(df, "_tessera_path", None)
-    if path in _tables:
-        remove(_tables.pop(path), path)
-
-
-def remove(spark: SparkSession, path: str) -> None:
-    jvm = spark.sparkContext._jvm
-    p = jvm.org.apache.hadoop.fs.Path(path)
-    p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
-
-
-@atexit.register
-def _cleanup() -> None:
-    for path, spark in list(_tables.items()):
-        try:
-            if spark.sparkContext._jsc is not None:
-                remove(spark, path)
-        except Exception:  # the JVM may be gone at exit
-            return
-
-
-def packed(df: DataFrame, *cols: str) -> DataFrame:
+def packed(df: DataFrame, *cols) -> DataFrame:
     """cols of df, and all of df as one column `row`: whatever names df has, they can't clash with those of an operator."""
     return df.select(F.struct(*[F.col(f"`{c}`") for c in df.columns]).alias("row"), *cols)
 
@@ -116,14 +63,15 @@ def shuffle_parts(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
-def global_rank(df: DataFrame, cols: list, name: str = "rank") -> DataFrame:
+def global_rank(df: DataFrame, cols: list, name: str = "rank", rows: int = 0) -> DataFrame:
     """df with a gapless total rank from 0 by cols, without bringing all rows to one task.
 
     Rows are range-partitioned and sorted once and saved; only one count per partition reaches the driver.
-    Rows equal on cols get ranks in any order; callers add a unique last column where it matters.
+    Rows equal on cols get ranks in any order; callers add a unique last column where it matters. rows, if known, says how
+    many ranges there should be: RANGE_ROWS each, a shuffle's partitions at least.
     """
     spark = df.sparkSession
-    sorted_ = df.repartitionByRange(shuffle_parts(spark), *cols).sortWithinPartitions(*cols)
+    sorted_ = df.repartitionByRange(max(shuffle_parts(spark), rows // RANGE_ROWS), *cols).sortWithinPartitions(*cols)
     mid = F.monotonically_increasing_id()
     # The upper bits of the id are the partition, the lower 33 the row's place in it.
     t = saved(sorted_.withColumn("_m", mid).withColumn("_p", F.shiftright("_m", 33).cast("int")), name)
