@@ -47,6 +47,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, functions as F
 
 from .common import components, forget, lean_batches, load, saved, shuffle_parts, trim, trimmed
+from .runs import edges, hashed, mixed
 
 WORDS = 5
 #: Similarity in percent.
@@ -65,6 +66,8 @@ MOST_LIGHT = 24
 LEADERS = 4
 #: Shingles of so many bytes (or one set) make a block of a scan.
 SCAN_BYTES = 1 << 20
+#: Words are hashed for texts of about so many bytes (or one text) at a time.
+BATCH_BYTES = 1 << 19
 #: Texts of a chunk, distinct or not.
 CHUNK_TEXTS = 65_000
 
@@ -79,28 +82,39 @@ def overlap(a: int, b: int) -> int:
     return -(-PERCENT * (a + b) // (100 + PERCENT))
 
 
-class _WordHash(dict):
-    def __missing__(self, w: bytes) -> int:
-        if len(self) > 150_000:
-            self.clear()
-        h = self[w] = int.from_bytes(hashlib.blake2b(w, digest_size=8).digest(), "little")
-        return h
-
-
-def shingles(text: str | None, words: _WordHash) -> np.ndarray:
-    """Sorted distinct 64-bit shingles. Bytes split and lower only at ASCII, just as asked."""
-    w = text.encode("utf-8", "surrogatepass").lower().split() if text else []
-    if not w:
-        return np.zeros(0, np.uint64)
-    h = np.fromiter(map(words.__getitem__, w), np.uint64, len(w))
-    k = min(WORDS, len(w))
-    m = len(w) - k + 1
-    out = np.full(m, k, np.uint64)
-    with np.errstate(over="ignore"):
-        for i in range(k):
-            out = (out ^ h[i : i + m]) * np.uint64(0x9FB21C651E98DF25)
-            out ^= out >> np.uint64(29)
-    return np.unique(out >> np.uint64(64 - BITS))
+_BLANK = np.zeros(256, bool)
+_BLANK[[9, 10, 11, 12, 13, 32]] = True
+#: What a byte adds to a word's hash: upper-case ASCII letters add what the lower-case ones add.
+_VALUE = mixed(np.where((np.arange(256) >= 65) & (np.arange(256) <= 90), np.arange(256) + 32, np.arange(256)).astype(np.uint64) + np.uint64(1))
+
+
+def _chained(h: np.ndarray, k: int) -> np.ndarray:
+    """Hashes of k words in a row, at each word that has so many."""
+    m = len(h) - k + 1
+    out = np.full(max(m, 0), k, np.uint64)
+    for i in range(k if m > 0 else 0):
+        out = (out ^ h[i : i + m]) * np.uint64(0x9FB21C651E98DF25)
+        out ^= out >> np.uint64(29)
+    return out >> np.uint64(64 - BITS)
+
+
+def shingles(texts: list[str | None]) -> list[np.ndarray]:
+    """Sorted distinct shingles of each text. Words are found, and lower-cased at ASCII letters, in the UTF-8 bytes."""
+    blobs, out, i = [t.encode("utf-8", "surrogatepass") if t else b"" for t in texts], [], 0
+    while i < len(blobs):
+        j, size = i, 0
+        while j < len(blobs) and (j == i or size < BATCH_BYTES):
+            size, j = size + len(blobs[j]), j + 1
+        data = np.frombuffer(b"\n".join(blobs[i:j]) + b"\n", np.uint8)
+        first, past = edges(~_BLANK[data])
+        h = hashed(_VALUE[data], first, past)
+        at = np.searchsorted(first, np.r_[0, np.cumsum([len(b) + 1 for b in blobs[i:j]])])
+        whole = _chained(h, WORDS)
+        for a, b in zip(at[:-1].tolist(), at[1:].tolist()):
+            s = np.sort(whole[a : b - WORDS + 1] if b - a >= WORDS else _chained(h[a:b], b - a) if b > a else h[:0])
+            out.append(s[np.r_[True, s[1:] != s[:-1]]] if len(s) else s)
+        i = j
+    return out
 
 
 def _planes(x: np.ndarray, kind: str) -> bytes:
@@ -124,10 +138,10 @@ def _unpack(blob: bytes) -> np.ndarray:
 
 
 def _few(batch: pa.RecordBatch, n: int = 256):
-    """Rows of a batch as Python values, not many at a time."""
+    """(doc_id, tag, shingles) of a batch's rows, not many texts at a time."""
     for i in range(0, batch.num_rows, n):
-        part = batch.slice(i, n)
-        yield from zip(*(c.to_pylist() for c in part.columns))
+        doc, tag, text = (c.to_pylist() for c in batch.slice(i, n).columns)
+        yield from zip(doc, tag, shingles(text))
 
 
 _ROW = "kind string, gk long, chunk long, toks binary, idx binary, num binary"
@@ -139,7 +153,6 @@ def _extract(parts: int):
     """Per chunk of texts: rows T (shingles, sets), A (frequent shingles, counts), L (their lists), D (the sets)."""
 
     def run(batches):
-        words = _WordHash()
         pid = TaskContext.get().partitionId() << 32
         turn, state = 0, None
 
@@ -171,8 +184,7 @@ def _extract(parts: int):
 
         state, known, n = ([], [], [], [], []), {}, 0
         for batch in batches:
-            for doc, tag, text in _few(batch):
-                s = shingles(text, words)
+            for doc, tag, s in _few(batch):
                 state[0].append(doc)
                 state[4].append(tag)
                 if len(s):

@@ -50,15 +50,23 @@ def test_frequent_shingles_leave_tasks_as_numbers(spark, prose, doc, monkeypatch
     assert got == {i: (0 if i < 12 else 12) for i in range(13)}
 
 
-def test_extract_count_assemble_with_local_numbers(prose):
+def test_shingles(prose, monkeypatch):
     import numpy as np
 
-    words = nj._WordHash()
-    s = nj.shingles(prose(1, 30), words)
+    s = nj.shingles([prose(1, 30)])[0]
     assert (nj._unpack(nj._pack(s)) == s).all() and len(nj._unpack(nj._pack(s[:0]))) == 0
-    assert len(nj.shingles("a b", words)) == 1 and len(nj.shingles(" ", words)) == 0
-    assert not set(nj.shingles("a b c d", words).tolist()) & set(nj.shingles("a b c d e", words).tolist())
-    assert nj.shingles("A b", words) == nj.shingles("a B", words) and isinstance(s, np.ndarray)
+    texts = ["a b", " ", "", None, "a b c d", "a b c d e", "A b\x0bc\tD e ", "é b c d e", "É b c d e", "a\xa0b c d e f", "x" * 3000 + " y", "a b c d e a b c d e a b c d e f", "\ud800 b"]
+    texts += [prose(k, k % 40) + "\n" * (k % 3) for k in range(200)]
+    for size in (1 << 19, 50):  # in one batch, in many
+        monkeypatch.setattr(nj, "BATCH_BYTES", size)
+        got, of = nj.shingles(texts), {}
+        for t, g in zip(texts, got):
+            want = shingle_set(t)
+            assert len(g) == len(want) and (np.diff(g.astype(np.int64)) > 0).all()
+            of.setdefault(want, set()).add(g.tobytes())
+        # equal sets have equal hashes, and shingles are told apart as well as sets
+        assert all(len(v) == 1 for v in of.values()) and len({x for v in of.values() for x in v}) == len(of)
+        assert len({h for g in got for h in g.tolist()}) == len({x for t in texts for x in shingle_set(t)})
 
 
 def test_subset_sizes():
