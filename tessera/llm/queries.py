@@ -18,6 +18,7 @@ QUERIES = {
 SQL = {
     "op2_embedding_dedup": embedding_dedup.SQL,
     "op3_ngram_join": ngram_join.SQL,
+    "op4_sharding": sharding.SQL,
     "op6_url_filter": url_filter.SQL,
     "op8_mixing": mixing.SQL,
     "op9_warc": warc.SQL,

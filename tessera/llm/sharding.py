@@ -1,12 +1,17 @@
 """Sharding by histogram sort: exact bytes below candidate boundaries, refined until splitters meet tolerance.
 
 The sort key is 16 bytes: 8 of the text's digest, then the doc_id, so equal texts lie together in an order that has
-nothing to do with length. In each round every unmet boundary sends probes into the range it is known to lie in; one
-pass over the (key, size) column counts exact bytes and rows between all probes, partial sums per task, and the ranges
-shrink. When all boundaries are met, rows are exchanged once, straight to their place.
+nothing to do with length. In each round every boundary not yet known sends probes into the range it lies in; one pass over the (key, size)
+column counts exact bytes and rows between all probes, partial sums per task, and the ranges shrink. A range of at most
+FEW rows is read itself. When all boundaries are met, rows are exchanged once, straight to their place.
 
-Law `bytes`: shards' bytes are nearly equal. A boundary between two texts is preferred within GROUP_SLACK of a shard, so
-that copies stay in one shard; a group too large for that is cut between two of its doc_ids within TOLERANCE.
+Law `bytes`: shards' bytes are nearly equal. The boundary of shard i is the edge between two texts nearest to i shares of
+all bytes (the lower of two as near), so that copies stay in one shard; if no such edge lies within GROUP_SLACK of a
+shard's share, as in a large group of copies, it is the edge between two doc_ids that is nearest. So tolerance is half a
+document there, and shards don't depend on how rows are partitioned.
+
+A shard is sorted in parts, whose edges only need to be about even. At most MAX_PARTS of them are told apart by the driver;
+parts of larger shards grow with them, and their sort spills.
 
 Defined results: size is the text's UTF-8 bytes plus 1, 1 for null; null and empty texts are one group with crc 0.
 Rows equal in doc_id and text can't be told apart and share a shard; a null doc_id comes before all others. Input
@@ -16,6 +21,10 @@ empty result.
 
 from __future__ import annotations
 
+from bisect import bisect_right
+from functools import reduce
+from operator import or_
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, Window, functions as F
@@ -23,9 +32,9 @@ from pyspark.sql import DataFrame, Window, functions as F
 from .common import forget, load, saved
 
 SHARDS = 16
-TOLERANCE, GROUP_SLACK = 0.002, 0.02
-#: Probes a round for each unmet boundary.
-PROBES = 63
+GROUP_SLACK = 0.02
+#: Probes a round for each unmet boundary, and rows of a range that are read themselves.
+PROBES, FEW = 63, 4096
 #: A shard is sorted in parts of about so many bytes, at most MAX_PARTS of them.
 PART_BYTES, MAX_PARTS = 32 << 20, 256
 _GROUP, _END = 1 << 64, 1 << 128
@@ -66,43 +75,80 @@ def histogram(slim: DataFrame, probes: list[int]) -> list[tuple[int, int]]:
     return out
 
 
-def splitters(slim: DataFrame, shards: int, parts: int, total: int, rows: int) -> list[tuple[int, int]]:
-    """(key, rows below) of shards * parts - 1 ascending boundaries; every parts-th one is a shard's."""
-    n = shards * parts
-    shard = total / shards
-    known = {0: (0, 0), _END: (total, rows)}
-    want = {i: [0, _END] for i in range(1, n)}
-    done: dict[int, int] = {}
+def _edges(slim: DataFrame, ranges: set[tuple[int, int]], at: dict, unit: int) -> dict:
+    """For short ranges (lo, hi) of keys: the edges in them that are multiples of unit, with (bytes, rows) below."""
+    if not ranges:
+        return {}
+    blob = lambda k: F.lit(k.to_bytes(16, "big"))
+    inside = reduce(or_, [(F.col("shard_key") >= blob(lo)) & (F.col("shard_key") <= blob(hi - 1)) for lo, hi in sorted(ranges)])
+    found = sorted((int.from_bytes(r["shard_key"], "big"), r["shard_size"]) for r in slim.where(inside).collect())
+    out = {}
+    for lo, hi in ranges:
+        (size, rows), out[lo, hi], last = at[lo], [], None
+        for key, s in found:
+            if lo <= key < hi:
+                if key // unit != last:
+                    last = key // unit
+                    out[lo, hi].append((last * unit, (size, rows)))
+                size, rows = size + s, rows + 1
+    return out
+
+
+def _around(order: list[int], below: list, t) -> tuple[int, int]:
+    """The last of the ascending edges with at most t below it, and the next one."""
+    a = bisect_right(below, t) - 1
+    return order[a], order[min(a + 1, len(order) - 1)]
+
+
+def _spread(lo: int, hi: int, unit: int, probes: int) -> set[int]:
+    cells = (hi - lo) // unit
+    return {lo + unit * (cells * k // (probes + 1)) for k in range(1, probes + 1)} - {lo, hi}
+
+
+def splitters(slim: DataFrame, shards: int, total: int, rows: int) -> list[tuple[int, int]]:
+    """(key, rows below) of the shards - 1 boundaries, ascending; total and rows are those of slim."""
+    at, done = {0: (0, 0), _END: (total, rows)}, {}
+    for unit in (_GROUP, 1):  # edges between texts; where none is near enough, between doc_ids
+        want = set(range(1, shards)) - set(done)
+        while want:
+            order = sorted(p for p in at if p % unit == 0)
+            below = [at[p][0] * shards for p in order]
+            ask, short = set(), {}
+            for i in want:
+                lo, hi = _around(order, below, total * i)
+                if hi - lo <= unit or at[hi][1] - at[lo][1] <= FEW:
+                    short[i] = lo, hi
+                else:
+                    ask |= _spread(lo, hi, unit, PROBES)
+            read = _edges(slim, {(lo, hi) for lo, hi in short.values() if hi - lo > unit}, at, unit)
+            for i, (lo, hi) in short.items():
+                far = lambda e: (abs(e[1][0] * shards - total * i), e[1][0])  # noqa: E731, B023
+                best = min([(lo, at[lo]), *read.get((lo, hi), ()), (hi, at[hi])], key=far)
+                if unit == 1 or far(best)[0] <= GROUP_SLACK * total:
+                    done[i] = best
+                want.discard(i)
+            new = sorted(ask - set(at))
+            at |= dict(zip(new, histogram(slim, new))) if new else {}
+    return [(done[i][0], done[i][1][1]) for i in range(1, shards)]
+
+
+def _part_edges(slim: DataFrame, n: int, total: int, rows: int) -> list[tuple[int, int]]:
+    """(key, rows below) of about n - 1 edges that cut slim into parts of about even bytes."""
+    at, done, want = {0: (0, 0), _END: (total, rows)}, {}, set(range(1, n))
     while want:
-        probes = set()
-        for lo, hi in want.values():
-            unit = _GROUP if hi - lo > _GROUP else 1
-            cells = (hi - lo) // unit
-            probes |= {lo - lo % unit + unit * (cells * k // (PROBES + 1)) for k in range(1, PROBES + 1)} | ({lo - lo % unit + unit} if unit > 1 else set())
-        ask = sorted(p for p in probes if p not in known and 0 < p < _END)
-        known |= dict(zip(ask, histogram(slim, ask))) if ask else {}
-        order = sorted(known)
-        below = np.array([known[p][0] for p in order])
+        order = sorted(at)
+        below, ask = [at[p][0] * n for p in order], set()
         for i in list(want):
-            t = total * i / n
-            near = TOLERANCE * shard if i % parts == 0 else 0.05 * shard / parts
-            a = int(np.searchsorted(below, t, side="right")) - 1
-            b = min(a + 1, len(order) - 1)
-            lo, hi = order[a], order[b]
-            best = lo if t - below[a] <= below[b] - t else hi
-            miss = abs(known[best][0] - t)
-            groups = [p for p in (lo, hi) if p % _GROUP == 0 and abs(known[p][0] - t) <= max(near, GROUP_SLACK * shard if hi - lo <= _GROUP else 0)]
-            if groups:
-                done[i] = min(groups, key=lambda p: abs(known[p][0] - t))
-            elif miss <= near and hi - lo <= _GROUP or hi - lo <= 1:
-                done[i] = best
+            lo, hi = _around(order, below, total * i)
+            best = min((lo, hi), key=lambda p: abs(at[p][0] * n - total * i))  # noqa: B023
+            if hi - lo <= 1 or abs(at[best][0] * n - total * i) <= 0.3 * total:
+                done[best] = at[best][1]
+                want.discard(i)
             else:
-                want[i] = [lo, hi]
-                continue
-            del want[i]
-    ascending = [done[i] for i in range(1, n)]
-    ascending = [int(x) for x in np.maximum.accumulate(np.array(ascending, dtype=object))] if ascending else []
-    return [(p, known[p][1]) for p in ascending]
+                ask |= _spread(lo, hi, 1, 7 if len(at) > 2 else max(PROBES, 2 * n))
+        new = sorted(ask - set(at))
+        at |= dict(zip(new, histogram(slim, new))) if new else {}
+    return sorted((k, r) for k, r in done.items() if 0 < k < _END)
 
 
 def shard(docs: DataFrame, shards: int = SHARDS) -> DataFrame:
@@ -112,17 +158,22 @@ def shard(docs: DataFrame, shards: int = SHARDS) -> DataFrame:
     slim = saved(keyed.select("shard_key", "shard_size"), "shard")
     total, rows = slim.agg(F.sum("shard_size"), F.count("*")).first()
     parts = int(min(MAX_PARTS, max(1, -(-(total or 0) // (shards * PART_BYTES)))))
-    cuts = splitters(slim, shards, parts, total or 0, rows) if rows else []
+    bounds = splitters(slim, shards, total, rows) if rows else []
+    cuts = sorted({*bounds, *(_part_edges(slim, shards * parts, total, rows) if rows and parts > 1 else [])})
     forget(slim)
-    blobs = [p.to_bytes(16, "big") for p, _ in cuts]
+    cuts = [(k, n) for k, n in cuts if 0 < k < _END]
+    blobs = [k.to_bytes(16, "big") for k, _ in cuts]
 
     @F.pandas_udf("int")
     def place(key: pd.Series) -> pd.Series:
         return pd.Series(np.searchsorted(_array(blobs), _array(key), side="right").astype(np.int32))
 
-    under = [0, *(n for _, n in cuts)]
-    # One row for each part, shards * MAX_PARTS at most: bounded, so broadcast.
-    starts = spark.createDataFrame([(i, i // parts, under[i] - under[i - i % parts]) for i in range(len(under))], "shard_part int, shard_shard int, shard_start long")
+    # One row for each part, shards * (MAX_PARTS + 1) at most: bounded, so broadcast.
+    starts = []
+    for part, (key, under) in enumerate([(0, 0), *cuts]):
+        before = [n for k, n in bounds if k <= key]  # an empty shard has its bounds at one key
+        starts.append((part, len(before), under - (before[-1] if before else 0)))
+    starts = spark.createDataFrame(starts, "shard_part int, shard_shard int, shard_start long")
     # The one exchange: rows go to their part, in order of their key.
     order = Window.partitionBy("shard_part").orderBy("shard_key")
     out = keyed.drop("shard_shard", "shard_slot").withColumn("shard_part", place("shard_key")).withColumn("shard_row", F.row_number().over(order))
@@ -135,3 +186,26 @@ def op4_sharding(spark, sf_dir: str) -> DataFrame:
     crc = F.crc32(F.coalesce("text", F.lit("")).cast("binary"))
     out = shard(docs.withColumn("text_crc32", crc))
     return out.select("doc_id", F.col("shard_size").alias("size"), "text_crc32", F.lit("bytes").alias("law"), F.col("shard_shard").alias("shard"), F.col("shard_slot").alias("slot"), F.lit(None).cast("int").alias("grown_shard"))
+
+
+_BYTES = "list_transform(regexp_extract_all(hex(encode(t)), '..'), lambda x: ('0x' || x)::BIGINT)"
+
+#: The boundaries by the rule of the module's docstring, from running sums over the sorted table; the checksum byte by byte.
+SQL = f"""
+WITH RECURSIVE bits AS (SELECT b, b::BIGINT AS c, 0 AS k FROM range(256) r(b) UNION ALL SELECT b, CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END, k + 1 FROM bits WHERE k < 8),
+crc_table AS MATERIALIZED (SELECT list(c ORDER BY b) AS crcs FROM bits WHERE k = 8),
+texts AS (SELECT DISTINCT coalesce(text, '') AS t FROM documents),
+sums AS MATERIALIZED (SELECT t, xor(list_reduce(list_concat([4294967295::BIGINT], {_BYTES}), lambda acc, x: xor(acc >> 8, crcs[(xor(acc, x) & 255) + 1])), 4294967295) AS crc FROM texts, crc_table),
+d AS (SELECT doc_id, coalesce(text, '') AS t, octet_length(encode(coalesce(text, ''))) + 1 AS size, substr(md5(coalesce(text, '')), 1, 16) AS g FROM documents),
+r AS (SELECT *, sum(size) OVER (ORDER BY g, doc_id NULLS FIRST ROWS UNBOUNDED PRECEDING) - size AS before, row_number() OVER (ORDER BY g, doc_id NULLS FIRST) - 1 AS place FROM d),
+n AS (SELECT sum(size)::HUGEINT AS total FROM d),
+edges AS (SELECT min(before) AS below, true AS texts FROM r GROUP BY g UNION ALL SELECT min(before), false FROM r GROUP BY g, doc_id
+          UNION ALL SELECT total, unnest([true, false]) FROM n),
+b AS (SELECT i, arg_min(below, (abs(below * {SHARDS} - total * i), below)) FILTER (WHERE texts) AS text_edge, arg_min(below, (abs(below * {SHARDS} - total * i), below)) AS edge, any_value(total) AS total
+      FROM (SELECT unnest(range(1, {SHARDS})) AS i), edges, n GROUP BY i),
+cuts AS MATERIALIZED (SELECT CASE WHEN abs(text_edge * {SHARDS} - total * i) <= {GROUP_SLACK} * total THEN text_edge ELSE edge END AS cut FROM b),
+k AS (SELECT g, doc_id, min(before) AS first FROM r GROUP BY ALL),
+s AS (SELECT k.g, k.doc_id, count(cut) AS shard FROM k LEFT JOIN cuts ON cut <= k.first GROUP BY k.g, k.doc_id),
+j AS (SELECT r.*, s.shard FROM r JOIN s ON r.g = s.g AND r.doc_id IS NOT DISTINCT FROM s.doc_id)
+SELECT doc_id, size::BIGINT AS size, crc AS text_crc32, 'bytes' AS law, shard::INT AS shard, (place - min(place) OVER (PARTITION BY shard))::BIGINT AS slot, NULL::INT AS grown_shard FROM j JOIN sums USING (t)
+"""

@@ -1,6 +1,7 @@
 import zlib
 from collections import Counter, defaultdict
 
+import pytest
 from pyspark.sql import functions as F
 
 from tessera.llm import mixing, sharding
@@ -31,6 +32,28 @@ def test_shards(spark, prose, doc):
     assert sum(len(h) > 1 for h in homes.values()) <= 7  # groups are cut at boundaries only
 
 
+def _sql(df, text):
+    import duckdb
+
+    documents = df.select("doc_id", "text", "source").toPandas()
+    documents["doc_id"] = documents["doc_id"].astype("Int64")
+    cur = duckdb.sql(text)
+    return Counter(map(tuple, cur.fetchall())), cur.columns
+
+
+@pytest.mark.parametrize("few, part", [(4096, 32 << 20), (3, 700)])
+def test_shards_equal_sql(spark, prose, doc, monkeypatch, tmp_path, few, part):
+    # with few rows read and small parts: many rounds of probes, a group of copies cut between doc_ids, parts within shards
+    monkeypatch.setattr(sharding, "FEW", few)
+    monkeypatch.setattr(sharding, "PART_BYTES", part)
+    rows = _docs(prose) + [(30_000 + i, prose(2, 400 if i == 3 else 30), "en", "hot") for i in range(600)] + [(40_000, prose(3, 30_000), "en", "s0")]
+    df = doc(spark, rows).repartition(3)
+    df.write.parquet(str(tmp_path / "documents.parquet"))
+    want, names = _sql(df, sharding.SQL)
+    got = sharding.op4_sharding(spark, str(tmp_path))
+    assert Counter(tuple(r[c] for c in names) for r in got.collect()) == want and set(got.columns) == set(names)
+
+
 def test_histogram_counts_exactly(spark, prose, doc):
     slim = sharding.with_keys(doc(spark, _docs(prose))).select("shard_key", "shard_size")
     rows = [(int.from_bytes(r[0], "big"), r[1]) for r in slim.collect()]
@@ -91,6 +114,18 @@ def test_take_repeats_rows_and_keeps_columns(spark, prose, doc):
     assert mixing.take(df.where("doc_id < -9")).count() == 0
 
 
+def test_mixing_joins_by_shuffle_and_decides_ties(spark, prose, doc, monkeypatch, tmp_path):
+    df = doc(spark, _docs(prose) + [(50_000, prose(4, 30_000), "en", "long")])
+    df.write.parquet(str(tmp_path / "documents.parquet"))
+    key = lambda d: Counter((r["doc_id"], r["text"], r["mix_copies"], round(r["mix_target"], 6)) for r in d.collect())
+    one = key(mixing.mix(df))
+    monkeypatch.setattr(mixing, "BROADCAST_SOURCES", 0)
+    assert key(mixing.mix(df)) == one
+    two = doc(spark, [(1, "a b", "en", "s")])
+    # one word of two wanted: taking it is as near as leaving it, so it is left
+    assert [mixing.mix(two, share=s).first()["mix_copies"] for s in (0.5, 0.51, 1.0)] == [0, 1, 1]
+
+
 def test_larger_budgets_keep_what_smaller_take(spark, prose, doc):
     df = doc(spark, _docs(prose))
     a, b = ({(r["doc_id"], r["text"]): r["mix_copies"] for r in mixing.mix(df, share=s).collect()} for s in (0.3, 0.6))

@@ -90,6 +90,15 @@ def test_urls_need_no_python(spark):
     assert uf.judge_urls(df.where("page_id > 5")).count() == 0
 
 
+def test_urls_join_by_shuffle_and_may_be_long(spark, monkeypatch):
+    urls = _urls() + ["http://a.example.com/en/" + "x" * 40_000, "http://m.b.example.net/de/" + "y" * 3000]
+    df = spark.createDataFrame(list(enumerate(urls)), "page_id long, url string").withColumn("host", F.lit("mine")).withColumn("gram", F.lit("mine"))
+    row = lambda r: (r["page_id"], r["host"], r["path"], r["rule"], r["verdict"], round(r["score"], 9))
+    one = sorted(map(row, uf.judge_urls(df).collect()), key=str)
+    monkeypatch.setattr(uf, "BROADCAST_GRAMS", 0)
+    assert sorted(map(row, uf.judge_urls(df).collect()), key=str) == one and len(one) == len(urls)
+
+
 # --- WARC -----------------------------------------------------------------------------------------------------------
 
 FAKE = "\r\n\r\nWARC/1.1\r\nWARC-Type: response\r\nWARC-Record-ID: <urn:page:999>\r\nContent-Length: 3\r\n\r\nabc\r\n\r\nWARC/1.1\r\nContent-Length: zz"
@@ -150,6 +159,19 @@ def test_splits_that_move_between_reads_lose_nothing(spark, prose, monkeypatch):
     assert len(got) == 60 and all(r["digest_ok"] for r in got)
 
 
+def test_groups_of_equal_payloads_join_by_shuffle(spark, prose, monkeypatch):
+    rows = _pages(prose) + [(500 + i, "u", "y" * 300_000) for i in range(3)]
+    df = spark.createDataFrame(rows, "page_id long, url string, html string")
+    df = df.withColumns({c: F.lit("mine") for c in ("digest", "bytes", "leader", "value", "off", "file")})
+    got = []
+    for most in (warc.BROADCAST_ROWS, 0):
+        monkeypatch.setattr(warc, "BROADCAST_ROWS", most)
+        path = fresh_path(spark, "t")
+        warc.write_warc(df, path)
+        got.append(Counter(map(tuple, warc.read_warc(spark, path).collect())))
+    assert got[0] == got[1] and sum(got[0].values()) == len(rows)
+
+
 def test_files_are_warc(spark, prose, tmp_path):
     df = spark.createDataFrame(_pages(prose), "page_id long, url string, html string").coalesce(1)
     warc.write_warc(df, str(tmp_path / "w"))
