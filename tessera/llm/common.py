@@ -59,6 +59,15 @@ def trimmed(run):
     return wrapped
 
 
+#: Up to so many slim rows (about 50 bytes each) are broadcast by sized(); more are joined by a shuffle.
+BROADCAST_ROWS = 1_000_000
+
+
+def sized(rows: DataFrame, most: int = BROADCAST_ROWS) -> DataFrame:
+    """Slim rows to be joined with wide ones: broadcast if they are few."""
+    return F.broadcast(rows) if rows.count() <= most else rows
+
+
 def shuffle_parts(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 

@@ -46,7 +46,7 @@ import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, functions as F
 
-from .common import components, forget, lean_batches, load, saved, shuffle_parts, trim, trimmed
+from .common import components, forget, lean_batches, load, saved, shuffle_parts, sized, trim, trimmed
 from .runs import edges, hashed, mixed
 
 WORDS = 5
@@ -67,7 +67,7 @@ LEADERS = 4
 #: Shingles of so many bytes (or one set) make a block of a scan.
 SCAN_BYTES = 1 << 20
 #: Words are hashed for texts of about so many bytes (or one text) at a time.
-BATCH_BYTES = 1 << 19
+BATCH_BYTES = 1 << 17
 #: Texts of a chunk, distinct or not.
 CHUNK_TEXTS = 65_000
 
@@ -137,7 +137,7 @@ def _unpack(blob: bytes) -> np.ndarray:
     return np.cumsum(_numbers(blob, "<u8"), dtype=np.uint64)
 
 
-def _few(batch: pa.RecordBatch, n: int = 256):
+def _few(batch: pa.RecordBatch, n: int = 64):
     """(doc_id, tag, shingles) of a batch's rows, not many texts at a time."""
     for i in range(0, batch.num_rows, n):
         doc, tag, text = (c.to_pylist() for c in batch.slice(i, n).columns)
@@ -492,6 +492,7 @@ def one_per_group(docs: DataFrame) -> DataFrame:
     stays = m.groupBy("comp").agg(F.min(F.struct(F.col("doc_id").isNull().alias("null"), "doc_id", "tag")).alias("_s"))
     gone = m.join(stays, "comp").where(~(F.col("doc_id").eqNullSafe(F.col("_s.doc_id")) & (F.col("tag") == F.col("_s.tag"))))
     gone = saved(gone.select(F.col("doc_id").alias("_gone"), F.col("tag").alias("_tag")).distinct(), "gone")
+    gone = sized(gone)  # so that texts aren't shuffled for it
     return docs.join(gone, docs["doc_id"].cast("long").eqNullSafe(gone["_gone"]) & (F.xxhash64(docs["text"]) == gone["_tag"]), "left_anti")
 
 

@@ -124,7 +124,8 @@ def evidence(docs: DataFrame, model: Classifier) -> DataFrame:
         trim()
         return out
 
-    return docs.withColumn("quality_logit", logit("text"))
+    # Marked as not deterministic, or a filter on the score would have it computed twice.
+    return docs.withColumn("quality_logit", logit.asNondeterministic()("text"))
 
 
 def _kappa(sites: DataFrame, mean: float) -> float:
@@ -170,12 +171,17 @@ def posteriors(scored: DataFrame, labelled: DataFrame) -> Rates:
     return Rates(saved(both, "quality"), mean, _kappa(host, mean), _kappa(path, mean))
 
 
-def _judged(rows: DataFrame, labels: DataFrame, max_train: int) -> DataFrame:
-    """rows(doc_id, text, _host, _path, more) without text and with quality_logit, quality_shift and quality_score."""
+def _judged(rows: DataFrame, labels: DataFrame, max_train: int, wide: bool) -> DataFrame:
+    """rows(doc_id, text, _host, _path, more) without text and with quality_logit, quality_shift and quality_score.
+
+    Evidence is needed twice, for sites and for documents. It is stored between if rows without text are slim, and computed
+    again if they are wide (hold the text once more).
+    """
     lean_batches(rows.sparkSession)
-    # Features cost far more than a written column: they are computed once.
-    scored = saved(evidence(rows, train(rows, labels, max_train)).drop("text"), "quality")
-    rates = posteriors(scored, rows.select("doc_id", "_host", "_path").join(known(labels), "doc_id"))
+    model = train(rows, labels, max_train)
+    scored = evidence(rows, model).drop("text")
+    scored = scored if wide else saved(scored, "quality")
+    rates = posteriors(evidence(rows.select("_host", "_path", "text"), model) if wide else scored, rows.select("doc_id", "_host", "_path").join(known(labels), "doc_id"))
     t = rates.table.withColumnsRenamed({"_host": "_rh", "_path": "_rp"})
     t = F.broadcast(t) if t.count() <= BROADCAST_SITES else t
     out = scored.join(t, scored["_host"].eqNullSafe(F.col("_rh")) & scored["_path"].eqNullSafe(F.col("_rp"))).withColumn("quality_shift", rates.shift())
@@ -186,16 +192,16 @@ def score(docs: DataFrame, labels: DataFrame, max_train: int = MAX_TRAIN, host:
     """docs with quality_logit, quality_shift and quality_score (probability of being good). host and path name the columns
     that say where a document comes from."""
     rows = packed(docs.drop("quality_logit", "quality_shift", "quality_score"), "doc_id", "text", F.col(f"`{host}`").alias("_host"), F.struct(*[F.col(f"`{c}`") for c in path]).alias("_path"))
-    return _judged(rows, labels, max_train).select("row.*", "quality_logit", "quality_shift", "quality_score")
+    return _judged(rows, labels, max_train, wide=True).select("row.*", "quality_logit", "quality_shift", "quality_score")
 
 
 def filter_quality(docs: DataFrame, labels: DataFrame, reject_below: float = REJECT_BELOW) -> DataFrame:
     """The rows of docs that aren't rejected."""
     rows = packed(docs, "doc_id", "text", F.col("source").alias("_host"), F.col("lang").alias("_path"))
-    return _judged(rows, labels, MAX_TRAIN).where(F.col("quality_score") >= reject_below).select("row.*")
+    return _judged(rows, labels, MAX_TRAIN, wide=True).where(F.col("quality_score") >= reject_below).select("row.*")
 
 
 def op7_quality(spark, sf_dir: str) -> DataFrame:
     rows = load(spark, sf_dir, "documents").select("doc_id", "text", F.col("source").alias("_host"), F.col("lang").alias("_path"))
-    out = _judged(rows, load(spark, sf_dir, "labels"), MAX_TRAIN)
+    out = _judged(rows, load(spark, sf_dir, "labels"), MAX_TRAIN, wide=False)
     return out.select("doc_id", F.col("_host").alias("source"), F.col("_path").alias("lang"), F.col("quality_logit").alias("evidence"), F.col("quality_shift").alias("site_shift"), F.col("quality_score").alias("score"), (F.col("quality_score") >= REJECT_BELOW).alias("kept"))

@@ -10,17 +10,22 @@ from __future__ import annotations
 import numpy as np
 
 _BASE = 0xD6E8FEB86659FD93
+_KEPT = 1 << 19
 _power = np.ones(1, np.uint64)
 _inverse = np.ones(1, np.uint64)
 
 
 def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
+    """Powers of the base and of its inverse; those for arrays of usual length are kept."""
     global _power, _inverse
-    if len(_power) < n:
-        size = 1 << (n - 1).bit_length()
-        step = lambda b: np.multiply.accumulate(np.r_[np.uint64(1), np.full(size - 1, b, np.uint64)])
-        _power, _inverse = step(np.uint64(_BASE)), step(np.uint64(pow(_BASE, -1, 1 << 64)))
-    return _power, _inverse
+    if len(_power) >= n:
+        return _power, _inverse
+    size = 1 << (n - 1).bit_length()
+    step = lambda b: np.multiply.accumulate(np.r_[np.uint64(1), np.full(size - 1, b, np.uint64)])
+    both = step(np.uint64(_BASE)), step(np.uint64(pow(_BASE, -1, 1 << 64)))
+    if size <= _KEPT:
+        _power, _inverse = both
+    return both
 
 
 def mixed(x: np.ndarray) -> np.ndarray:

@@ -57,7 +57,7 @@ def test_shingles(prose, monkeypatch):
     assert (nj._unpack(nj._pack(s)) == s).all() and len(nj._unpack(nj._pack(s[:0]))) == 0
     texts = ["a b", " ", "", None, "a b c d", "a b c d e", "A b\x0bc\tD e ", "é b c d e", "É b c d e", "a\xa0b c d e f", "x" * 3000 + " y", "a b c d e a b c d e a b c d e f", "\ud800 b"]
     texts += [prose(k, k % 40) + "\n" * (k % 3) for k in range(200)]
-    for size in (1 << 19, 50):  # in one batch, in many
+    for size in (1 << 17, 50):  # in one batch, in many
         monkeypatch.setattr(nj, "BATCH_BYTES", size)
         got, of = nj.shingles(texts), {}
         for t, g in zip(texts, got):
@@ -90,7 +90,10 @@ def test_one_per_group_and_rows(spark, prose, doc):
     assert got == {(3, 1), (1, 1), (None, 1), (8, 8), (9, 9)}
 
 
-def test_one_per_group_tells_null_and_reused_ids_apart(spark, prose, doc):
+@pytest.mark.parametrize("broadcast", [True, False])
+def test_one_per_group_tells_null_and_reused_ids_apart(spark, prose, doc, monkeypatch, broadcast):
+    if not broadcast:
+        monkeypatch.setattr(nj, "sized", lambda rows: rows)
     t, u, v = prose(5, 50), prose(6, 50), prose(7, 50)
     # no id at all; an id with two texts of different groups; an id with two texts of one group; a document met twice
     rows = [(None, t), (None, t + " x"), (4, u), (4, v), (7, u + " y"), (7, v + " z"), (2, prose(8, 50)), (2, prose(8, 50) + " w"), (5, prose(9, 40)), (5, prose(9, 40))]
