@@ -30,14 +30,15 @@ decontaminate(). Empty tables give empty results, and an empty benchmark leaves
 
 from __future__ import annotations
 
-import hashlib
 import re
+from functools import lru_cache
 
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, functions as F
 
-from .common import forget, lean_batches, load, saved, trimmed
+from .common import forget, lean_batches, load, saved, sized, trimmed
+from .runs import edges, hashed, mixed
 
 WINDOW, LITERALS, RUN_TOKENS, COVER, SHORT = 8, 4, 13, 0.6, 4
 #: Bits of the filter for each window of the benchmark, most bits in all, and bits set by a window.
@@ -45,64 +46,79 @@ BITS_EACH, FILTER_BITS, PROBES = 32, 1 << 30, 4
 #: A filter is built in segments of so many bits.
 SEGMENT = 1 << 20
 BROADCAST_WINDOWS = 1_000_000
-#: Up to so many keys of texts (about 50 bytes each) are broadcast to pick these texts out; more are joined by a shuffle.
-BROADCAST_TEXTS = 1_000_000
-#: Documents of a batch are worked on so many tokens at a time.
-BATCH_TOKENS = 1 << 18
+#: Documents of a batch are worked on so many characters (or one text) at a time.
+BATCH_CHARS = 1 << 17
 
 UNITS = frozenset(
     "kg g mg km m cm mm mi miles mile lb lbs oz ft feet inch inches l ml liters litres hours hour minutes minute seconds second days day "
     "weeks week months month years year dollars dollar euros euro cents usd eur gbp percent degrees meters metres kilometers kilometres "
     "grams kilograms watts volts amps hz khz mhz ghz kb mb gb tb".split()
 )
+#: What a token is. All tokens of a batch are found at once, by what each code point is; tests hold that against this.
 _TOKEN = re.compile(r"\d+(?:[.,]\d+)*|[^\W\d_]+")
 WORD, NUMBER, NAME, UNIT = 0, 1, 2, 3
 _SLOT = {NUMBER: 0x9E3779B97F4A7C15, NAME: 0xC2B2AE3D27D4EB4F, UNIT: 0x165667B19E3779F9}
 _K = np.uint64(0x100000001B3)
-
-
-class _Vocabulary(dict):
-    """Token to its place in two tables: the hash of the lower-cased token, and its kind. Forgets when it has grown large."""
-
-    def __init__(self):
-        super().__init__()
-        self.lit, self.kind, self._tables = [], [], None
-
-    def __missing__(self, token: str) -> int:
-        low = token.lower()
-        if token[0].isdigit():
-            kind = NUMBER
-        elif low in UNITS:
-            kind = UNIT
-        else:
-            kind = NAME if token[0].isupper() and (len(token) == 1 or token[1:].islower()) else WORD
-        out = self[token] = len(self.lit)
-        self.lit.append(int.from_bytes(hashlib.blake2b(low.encode("utf-8", "surrogatepass"), digest_size=8).digest(), "little"))
-        self.kind.append(kind)
-        return out
-
-    def tables(self) -> tuple[np.ndarray, np.ndarray]:
-        if self._tables is None or len(self._tables[0]) != len(self.lit):
-            self._tables = np.array(self.lit, np.uint64), np.array(self.kind, np.int8)
-        return self._tables
-
-    def rest(self) -> None:
-        if len(self) > 150_000:
-            self.clear()
-            self.lit, self.kind, self._tables = [], [], None
-
-
-def encode(texts: list[str | None], vocabulary: _Vocabulary):
+#: Code points from here on are neither letters nor digits.
+_PAST = 0x32400
+_LETTER, _DIGIT, _POINT, _UPPER, _LOWER, _TITLE = 1, 2, 4, 8, 16, 32
+
+
+@lru_cache(maxsize=None)
+def _characters() -> tuple[np.ndarray, np.ndarray]:
+    """By code point: what it is, and the value of its lower case in a token's hash."""
+    kind, low = np.zeros(_PAST, np.uint8), np.arange(_PAST, dtype=np.uint64)
+    for c in range(_PAST):
+        x = chr(c)
+        if x.isdecimal():
+            kind[c] = _DIGIT
+        elif x.isalnum():
+            kind[c] = _LETTER
+        if x.isupper() or x.istitle():
+            kind[c] |= _UPPER if x.isupper() else _TITLE
+            if len(x.lower()) == 1:
+                low[c] = ord(x.lower())
+        elif x.islower():
+            kind[c] |= _LOWER
+    kind[ord(".")] = kind[ord(",")] = _POINT
+    return kind, mixed(low + np.uint64(1))
+
+
+def _tokens(texts: list[str | None]):
+    """(hashes of the lower-cased tokens, is a number, is a name, where each text starts) for all texts."""
+    joined = "\n".join(t or "" for t in texts) + "\n"
+    points = np.minimum(np.frombuffer(joined.encode("utf-32-le", "surrogatepass"), "<u4"), _PAST - 1)
+    table, value = _characters()
+    what = table[points]
+    letter, digit = (what & _LETTER) != 0, what == _DIGIT
+    # A point or comma between digits is part of a number.
+    number = digit.copy()
+    number[1:-1] |= (what[1:-1] == _POINT) & digit[:-2] & digit[2:]
+    first, past = edges(letter)
+    nfirst, npast = edges(number)
+    order = np.argsort(np.r_[first, nfirst], kind="stable")
+    starts, ends = np.r_[first, nfirst][order], np.r_[past, npast][order]
+    lit = hashed(value[points], starts, ends)
+    is_number = digit[starts] if len(starts) else np.zeros(0, bool)
+    upper, lower = (np.r_[0, np.cumsum((what & bit) != 0)] for bit in (_UPPER | _TITLE, _LOWER))
+    capital = (what[starts] & (_UPPER | _LETTER)) == (_UPPER | _LETTER) if len(starts) else np.zeros(0, bool)
+    rest = (upper[ends] == upper[starts + 1]) & (lower[ends] > lower[starts + 1])
+    is_name = capital & (rest | (ends - starts == 1))
+    begin = np.r_[0, np.cumsum([len(t or "") + 1 for t in texts])]
+    return lit, is_number, is_name, np.searchsorted(starts, begin)
+
+
+@lru_cache(maxsize=None)
+def _unit_hashes() -> np.ndarray:
+    return np.sort(_tokens(sorted(UNITS))[0])
+
+
+def encode(texts: list[str | None]):
     """Concatenated (literal hashes, kinds) of all texts, and where each text starts."""
-    ids, start = [], [0]
-    for t in texts:
-        if t:
-            ids.extend(map(vocabulary.__getitem__, _TOKEN.findall(t)))
-        start.append(len(ids))
-    ids, start = np.array(ids, np.int64), np.array(start)
-    lit, kind = vocabulary.tables()
-    lit, kind = lit[ids], kind[ids]
-    vocabulary.rest()
+    lit, is_number, is_name, start = _tokens(texts)
+    units = _unit_hashes()
+    unit = units[np.minimum(np.searchsorted(units, lit), len(units) - 1)] == lit
+    kind = np.where(is_number, NUMBER, np.where(unit, UNIT, np.where(is_name, NAME, WORD))).astype(np.int8)
     before = np.r_[np.int8(WORD), kind[:-1]] if len(kind) else kind
     first = np.zeros(len(kind), bool)
     first[start[:-1][start[:-1] < len(kind)]] = True
@@ -203,11 +219,10 @@ def templates(items: DataFrame) -> DataFrame:
     """(h, n, item, pos): the hashed windows of items(item, text)."""
 
     def run(batches):
-        voc = _Vocabulary()
         for pdf in batches:
             rows = []
             for item, text in zip(pdf["item"], pdf["text"]):
-                lit, kind, _ = encode([text], voc)
+                lit, kind, _ = encode([text])
                 n = min(WINDOW, len(lit))
                 for ps, hs, weak in windows(lit, kind, n) if n else ():
                     if wordy(kind) or not weak:
@@ -260,15 +275,14 @@ def hits(texts: DataFrame, filt, lengths: list[int]) -> DataFrame:
     """(key, h, pos): windows of texts(key, text) that the filter (a broadcast) lets through."""
 
     def run(batches):
-        voc = _Vocabulary()
         for pdf in batches:
             keys, texts_, i = pdf["key"].to_numpy(), pdf["text"].to_list(), 0
             while i < len(texts_):
                 j, chars = i, 0
-                while j < len(texts_) and (j == i or chars < 4 * BATCH_TOKENS):
+                while j < len(texts_) and (j == i or chars < BATCH_CHARS):
                     chars += len(texts_[j] or "")
                     j += 1
-                lit, kind, start = encode(texts_[i:j], voc)
+                lit, kind, start = encode(texts_[i:j])
                 for n in lengths:
                     for ps, hs, _ in windows(lit, kind, n):
                         met = passing(hs, filt.value)
@@ -285,11 +299,6 @@ def hits(texts: DataFrame, filt, lengths: list[int]) -> DataFrame:
     return texts.mapInPandas(trimmed(run), "key binary, h long, pos int")
 
 
-def _sized(keys: DataFrame) -> DataFrame:
-    """keys, broadcast if they are few."""
-    return F.broadcast(keys) if keys.count() <= BROADCAST_TEXTS else keys
-
-
 def found(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """(key, item, first_token, n_tokens, item_tokens, verbatim, short) by md5 of the texts: what each distinct document text
     holds of each distinct item text."""
@@ -307,20 +316,20 @@ def found(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     at = hits(texts, sent, lengths).join(F.broadcast(t) if small else t, "h").select("key", "item", (F.col("pos") - F.col("at")).alias("shift"))
     # Shifts of one text and one item: fewer than they have tokens.
     at = saved(at.groupBy("key", "item").agg(F.collect_set("shift").alias("shifts")), "aligned")
-    held = texts.join(_sized(at.select("key").distinct()), "key", "left_semi").dropDuplicates(["key"])
+    held = texts.join(sized(at.select("key").distinct()), "key", "left_semi").dropDuplicates(["key"])
     both = at.join(held, "key").join(items.withColumnRenamed("text", "item_text"), "item")
 
     def run(batches):
-        voc, own, bench = _Vocabulary(), (None, None), {}
+        own, bench = (None, None), {}
         for pdf in batches:
             out = []
             for k, i, shifts, text, item in zip(pdf["key"], pdf["item"], pdf["shifts"], pdf["text"], pdf["item_text"]):
                 if own[0] != k:  # rows of a text come together
-                    own = k, encode([text], voc)[:2]
+                    own = k, encode([text])[:2]
                 if i not in bench:
                     if len(bench) > 10_000:
                         bench.clear()
-                    bench[i] = encode([item], voc)[:2]
+                    bench[i] = encode([item])[:2]
                 got = judge(*own[1], *bench[i], shifts.tolist())
                 if got:
                     out.append((k, i, *got))
@@ -348,7 +357,7 @@ def matches(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
 
 def decontaminate(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """docs without the rows that hold benchmark items."""
-    gone = _sized(found(docs, benchmark).where("not short").select(F.col("key").alias("_gone")).distinct())
+    gone = sized(found(docs, benchmark).where("not short").select(F.col("key").alias("_gone")).distinct())
     return docs.join(gone, F.md5(docs["text"]).cast("binary") == gone["_gone"], "left_anti")
 
 

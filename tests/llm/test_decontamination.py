@@ -1,5 +1,6 @@
 import random
 
+from hypothesis import given, settings, strategies as st
 from pyspark.sql import functions as F
 
 from tessera.llm import decontamination as dc
@@ -50,8 +51,7 @@ def test_verbatim_against_brute_force(spark, prose, doc):
 
 def held(text, item):
     """What is told of every alignment there is, those of shared windows as the join makes them."""
-    voc = dc._Vocabulary()
-    (x, kx, _), (y, ky, _) = dc.encode([text], voc), dc.encode([item], voc)
+    (x, kx, _), (y, ky, _) = dc.encode([text]), dc.encode([item])
     n = min(dc.WINDOW, len(y))
     own = {(h, p) for ps, hs, weak in dc.windows(y, ky, n) if dc.wordy(ky) or not weak for p, h in zip(ps.tolist(), hs.tolist())}
     shifts = {p - q for ps, hs, _ in dc.windows(x, kx, n) for p, h in zip(ps.tolist(), hs.tolist()) for g, q in own if g == h}
@@ -92,6 +92,7 @@ def test_low_content_windows_match_only_unchanged():
 def test_long_text_and_joins_by_shuffle(spark, prose, doc, monkeypatch):
     items = _bench(prose)
     monkeypatch.setattr(dc, "BROADCAST_WINDOWS", 0)
+    monkeypatch.setattr(dc, "sized", lambda rows: rows)
     b = spark.createDataFrame(list(items.items()), "item_id long, text string")
     df = doc(spark, [(1, prose(1, 200_000) + " " + items[7] + " " + prose(2, 1000), "en", "s"), (2, prose(3, 50), "en", "s")])
     assert [(r["doc_id"], r["item_id"]) for r in dc.matches(df, b).collect()] == [(1, 7)]
@@ -152,3 +153,33 @@ def test_filter_lets_all_members_through(spark):
     filt = dc.bloom(spark.createDataFrame([(int(x),) for x in h], "h long"), len(h))
     assert len(dc.passing(h.view(np.uint64), filt)) == len(h)
     assert len(dc.passing(rng.integers(0, 2**63 - 1, 100_000).view(np.uint64), filt)) < 100
+
+
+def _plain(text):
+    """Tokens and kinds, one by one."""
+    out = []
+    for x in dc._TOKEN.findall(text or ""):
+        if x[0].isdigit() and x[0].isdecimal():
+            kind = dc.NUMBER
+        elif x.lower() in dc.UNITS:
+            kind = dc.UNIT if out and out[-1][1] == dc.NUMBER else dc.WORD
+        else:
+            kind = dc.NAME if x[0].isupper() and (len(x) == 1 or x[1:].islower()) else dc.WORD
+        out.append((x.lower(), kind))
+    return out
+
+
+@settings(max_examples=200, deadline=None)
+@given(st.lists(st.one_of(st.none(), st.text(max_size=40), st.text(alphabet="aAbé Éñ0123.,-_kmKM\n²ǅßΣσ\U00020000", max_size=60)), max_size=6))
+def test_tokens_of_a_batch_are_those_of_the_pattern(texts):
+    import numpy as np
+
+    lit, kind, start = dc.encode(texts)
+    want = [_plain(t) for t in texts]
+    assert np.diff(start).tolist() == [len(w) for w in want] and kind.tolist() == [k for w in want for _, k in w]
+    flat, known = [x for w in want for x, _ in w], {}
+    for h, x in zip(lit.tolist(), flat):
+        # equal lower-cased tokens have equal hashes, others don't (but for special cases of lower())
+        if all(len(c.lower()) == 1 for c in x) and "ς" not in x and "σ" not in x:
+            assert known.setdefault(x, h) == h
+    assert len(set(known.values())) == len(known)
