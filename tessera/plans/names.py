@@ -136,7 +136,7 @@ def default_order(spark, d):
     return items.orderBy(*ranking.order()).limit(50)
 
 
-@query("SELECT p_partkey AS ordinal, p_name AS lookup, 100 * (p_brand = 'Brand#22')::INT + p_size AS w FROM part ORDER BY (p_name = 'red bolt')::INT * 100 + starts_with(p_name, 'red')::INT * 100 DESC, p_size % 3 DESC, w DESC, lower(p_name), p_partkey LIMIT 40")
+@query("SELECT p_partkey AS ordinal, p_name AS lookup, 100 * (p_brand = 'Brand#22')::INT + p_size AS w FROM part ORDER BY (p_name = 'red')::INT * 100 + starts_with(p_name, 'red')::INT * 100 DESC, p_size % 3 DESC, w DESC, lower(p_name), p_partkey LIMIT 40")
 def extra_weigher(spark, d):
     """A weight of the user's own beside the two built in; the first 40 (a report)."""
     items = table(spark, d, "part").select(F.col("p_partkey").alias("ordinal"), F.col("p_name").alias("lookup"), (F.col("p_size") % 3).alias("priority"), F.lit("none").alias("kind"), "p_brand", "p_size")
