@@ -143,10 +143,11 @@ def read_warc(spark, path: str) -> DataFrame:
         good = good.unionByName(_joined(spark, path, c, live, cut).select(*fields))
     full = good.where("type <> 'revisit'")
     again = good.where("type = 'revisit'")
-    known = full.where("page_id is not null").groupBy(F.col("page_id").alias("refers_to")).agg(F.max(F.struct("payload_bytes", "digest")).alias("_r"))
-    back = again.drop("payload_bytes", "digest").join(known, "refers_to", "left")
+    # Pages may share an id, so a revisit finds its response by id and payload.
+    known = full.where("page_id is not null").groupBy(F.col("page_id").alias("refers_to"), F.col("digest").alias("said_digest")).agg(F.max("payload_bytes").alias("_bytes"))
+    back = again.drop("payload_bytes", "digest").join(known, ["refers_to", "said_digest"], "left")
     out = full.select("page_id", F.lit("response").alias("record_type"), F.lit(None).cast("long").alias("refers_to"), "payload_bytes", F.col("digest").alias("payload_digest"), (F.col("digest") == F.col("said_digest")).alias("digest_ok"))
-    return out.unionByName(back.select("page_id", F.lit("revisit").alias("record_type"), "refers_to", F.col("_r.payload_bytes").alias("payload_bytes"), F.col("said_digest").alias("payload_digest"), F.col("_r.digest").eqNullSafe(F.col("said_digest")).alias("digest_ok")))
+    return out.unionByName(back.select("page_id", F.lit("revisit").alias("record_type"), "refers_to", F.col("_bytes").alias("payload_bytes"), F.col("said_digest").alias("payload_digest"), F.col("_bytes").isNotNull().alias("digest_ok")))
 
 
 def _joined(spark, path: str, c: DataFrame, live: DataFrame, cut: DataFrame) -> DataFrame:
