@@ -1,6 +1,6 @@
 """The registered queries of this subpackage and their DuckDB SQL."""
 
-from . import decontamination, embedding_dedup, line_dedup, mixing, ngram_join, quality, sharding, token_counts, toxicity, url_filter, warc
+from . import decontamination, embedding_dedup, line_dedup, mixing, ngram_join, quality, sharding, token_counts, toxicity, url_filter, warc, whitening
 
 QUERIES = {
     "op1_toxicity": toxicity.op1_toxicity,
@@ -13,6 +13,7 @@ QUERIES = {
     "op8_mixing": mixing.op8_mixing,
     "op9_warc": warc.op9_warc,
     "op10_line_dedup": line_dedup.op10_line_dedup,
+    "op11_whitening": whitening.op11_whitening,
     "op12_token_counts": token_counts.op12_token_counts,
 }
 
