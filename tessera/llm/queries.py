@@ -1,6 +1,6 @@
 """The registered queries of this subpackage and their DuckDB SQL."""
 
-from . import decontamination, embedding_dedup, line_dedup, mixing, ngram_join, quality, sharding, token_counts, toxicity, url_filter, warc, whitening
+from . import decontamination, embedding_dedup, line_dedup, mixing, ngram_join, quality, sale_enrichment, sharding, token_counts, toxicity, url_filter, warc, whitening
 
 QUERIES = {
     "op1_toxicity": toxicity.op1_toxicity,
@@ -15,6 +15,7 @@ QUERIES = {
     "op10_line_dedup": line_dedup.op10_line_dedup,
     "op11_whitening": whitening.op11_whitening,
     "op12_token_counts": token_counts.op12_token_counts,
+    "op13_sale_enrichment": sale_enrichment.op13_sale_enrichment,
 }
 
 SQL = {
@@ -25,4 +26,5 @@ SQL = {
     "op8_mixing": mixing.SQL,
     "op9_warc": warc.SQL,
     "op10_line_dedup": line_dedup.SQL,
+    "op13_sale_enrichment": sale_enrichment.SQL,
 }
