@@ -8,6 +8,7 @@ from operator import or_
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from ..functions.text import in_or_under
+from . import intervals
 
 #: Keywords offered in each context. Fixed values.
 KEYWORDS = {
@@ -89,22 +90,21 @@ def context_of(points: DataFrame, spans: DataFrame) -> DataFrame:
 
     spans: file_id, kind ("class" or "block"), start, end; ends count as inside.
     """
-    s = spans.select(F.col("file_id").alias("_f"), "kind", "start", "end")
-    j = points.join(s, (points["file_id"] == s["_f"]) & points["offset"].between(s["start"], s["end"]), "left")
+    kinds = F.max(F.when(F.col("kind") == "block", 2).when(F.col("kind") == "class", 1))
+    around = intervals.best_inside(points, spans.where("kind in ('block', 'class')").select("file_id", "kind", "start", "end"), kinds)
     keys = points.columns
-    has = lambda k: F.coalesce(F.bool_or(F.col("kind") == k), F.lit(False))
-    return j.groupBy(*keys).agg(F.when(has("block"), "code_block").when(has("class"), "class_body").otherwise("top_level").alias("context"))
+    most = points.select(*keys, F.lit(0).alias("_best")).unionByName(around).groupBy(*keys).agg(F.max("_best").alias("_m"))
+    return most.select(*keys, F.when(F.col("_m") == 2, "code_block").when(F.col("_m") == 1, "class_body").otherwise("top_level").alias("context"))
 
 
 def innermost(points: DataFrame, spans: DataFrame) -> DataFrame:
     """points (file_id, offset) with node_id of the shortest span around each (then the least id); none: no row.
 
-    One aggregate instead of a window: the least (length, node) needs no sort.
+    Bins of spans keep their least (length, node) before points meet them, so a point meets one row a level.
     """
-    s = spans.select(F.col("file_id").alias("_f"), "node_id", "start", "end")
-    j = points.join(s, (points["file_id"] == s["_f"]) & points["offset"].between(s["start"], s["end"]))
     best = F.min(F.struct((F.col("end") - F.col("start")).alias("w"), "node_id"))
-    return j.groupBy(*points.columns).agg(best.alias("_b")).select(*points.columns, F.col("_b.node_id").alias("node_id"))
+    around = intervals.best_inside(points, spans.select("file_id", "node_id", "start", "end"), best)
+    return around.groupBy(*points.columns).agg(F.min("_best").alias("_b")).select(*points.columns, F.col("_b.node_id").alias("node_id"))
 
 
 def first_language(files: DataFrame, languages: list[tuple[str, list[str]]]) -> DataFrame:

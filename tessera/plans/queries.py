@@ -11,7 +11,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from ..functions import text as t
-from ..operators import catalog, graph, index, lookup, paths, ranking
+from ..operators import catalog, graph, index, intervals, lookup, paths, ranking
 from ..operators.store import IndexStore
 from ..storage import fresh_path
 from ..streaming import feeds
@@ -270,6 +270,31 @@ def point_in_interval(spark, d):
     return paths.innermost(points, spans)
 
 
+_LINES = "SELECT l_orderkey * 8 + l_linenumber AS node_id, l_orderkey AS s, l_orderkey + l_quantity::INT AS e FROM lineitem"
+
+
+def _lines_of_one_file(spark, d) -> DataFrame:
+    q = F.col("l_orderkey") + F.col("l_quantity").cast("int")
+    return table(spark, d, "lineitem").select(F.lit(0).alias("file_id"), (F.col("l_orderkey") * 8 + F.col("l_linenumber")).alias("node_id"), F.col("l_orderkey").alias("start"), q.alias("end"))
+
+
+@query(f"SELECT o_orderkey AS \"offset\", arg_min(node_id, (e - s, node_id)) AS node_id, count(*) AS spans FROM orders JOIN ({_LINES}) ON o_orderkey BETWEEN s AND e GROUP BY o_orderkey")
+def intervals_of_one_file(spark, d):
+    """All lines as spans of one file: the shortest around each order's number, and how many are."""
+    points = table(spark, d, "orders").select(F.lit(0).alias("file_id"), F.col("o_orderkey").alias("offset"))
+    spans = _lines_of_one_file(spark, d)
+    counts = intervals.inside(points, spans).groupBy("offset").agg(F.count("*").alias("spans"))
+    return paths.innermost(points, spans).join(counts, "offset").select("offset", "node_id", "spans")
+
+
+@query(f"SELECT a.node_id AS a, count(*) AS n, sum(b.node_id)::BIGINT AS ids FROM ({_LINES}) a JOIN ({_LINES}) b ON a.s <= b.e AND b.s <= a.e WHERE a.node_id % 8 = 1 AND b.node_id % 8 = 2 GROUP BY a.node_id")
+def overlapping_spans(spark, d):
+    """For each first line of an order, the second lines whose spans share a number with its own."""
+    spans = _lines_of_one_file(spark, d)
+    pairs = intervals.overlapping(spans.where("node_id % 8 = 1"), spans.where("node_id % 8 = 2"))
+    return pairs.groupBy(F.col("a_node_id").alias("a")).agg(F.count("*").alias("n"), F.sum("b_node_id").alias("ids"))
+
+
 @query("SELECT user_id, event_type, event_id, value FROM (SELECT *, row_number() OVER (PARTITION BY user_id, event_type ORDER BY ts DESC, event_id DESC) AS r FROM events) WHERE r = 1")
 def latest_only(spark, d):
     return feeds.latest(table(spark, d, "events"), ["user_id", "event_type"], ["ts", "event_id"]).select("user_id", "event_type", "event_id", "value")
