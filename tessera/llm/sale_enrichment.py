@@ -330,6 +330,8 @@ def _session(spark: SparkSession) -> SparkSession:
         own.conf.set(key, spark.conf.get(key))
     own.conf.set("spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
     own.conf.set("spark.sql.streaming.stateStore.rocksdb.changelogCheckpointing.enabled", "true")
+    # Stores are many and small: without this each takes some MB of disk in advance.
+    own.conf.set("spark.sql.streaming.stateStore.rocksdb.allowFAllocate", "false")
     own.conf.set("spark.sql.streaming.noDataMicroBatches.enabled", "false")
     own.conf.set("spark.sql.streaming.minBatchesToRetain", "2")
     return own
