@@ -7,6 +7,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, functions as F
 
 from .paths import path_fits_kind
+from .store import BLOCK_BITS
 
 
 def exact(entries: DataFrame, index_id: str, key: str, scope: Column | None = None) -> DataFrame:
@@ -28,9 +29,23 @@ def values(entries: DataFrame, index_id: str, key: str) -> DataFrame:
 
 
 def grouped(entries: DataFrame, index_id: str, start: str) -> DataFrame:
-    """(key, values): sorted values of every key that begins with start. A key's values are one array, so they must fit a
-    task; prefix() gives them as rows."""
-    return prefix(entries, index_id, start).groupBy("key").agg(F.array_sort(F.collect_list("value")).alias("values"))
+    """(key, block, values): sorted values of every key that begins with start, in blocks of file numbers, so that no row
+    grows with the files that a key has."""
+    hits = prefix(entries, index_id, start)
+    return hits.groupBy("key", F.shiftright(F.col("file_id"), BLOCK_BITS).alias("block")).agg(F.array_sort(F.collect_list("value")).alias("values"))
+
+
+def all_of(store, index_id: str, keys: list[str]) -> DataFrame:
+    """file_id of the files that are under every one of the keys.
+
+    Posting lists meet block by block: a block that one of them lacks is dropped by the join on block numbers, and what is
+    left is intersected within blocks.
+    """
+    first, *rest = [store.blocks(index_id, k) for k in dict.fromkeys(keys)]
+    both = first
+    for k, other in enumerate(rest):
+        both = both.join(other.withColumnRenamed("ids", f"_{k}"), "block").select("block", F.array_intersect("ids", f"_{k}").alias("ids")).where(F.size("ids") > 0)
+    return both.select("block", F.explode("ids").alias("_i")).select(F.shiftleft("block", BLOCK_BITS).bitwiseOR(F.col("_i").cast("long")).alias("file_id"))
 
 
 def first_n(rows: DataFrame, n: int, *order) -> DataFrame:

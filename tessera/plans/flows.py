@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from pyspark.sql import functions as F
+from pyspark.errors import StreamingQueryException
+from pyspark.sql import DataFrame, functions as F
 
 from ..functions import text as t
 from ..operators import catalog, index, paths
@@ -169,21 +170,62 @@ def streamed_fan_out(spark, d):
     return spark.createDataFrame([("events", seen["events"]), ("errors", seen["errors"]), ("progress", progress.snapshot()["rows"]), ("manifest", number)], "listener string, n long")
 
 
-@query("SELECT source AS key, doc_id AS file_id, 'v2' AS value FROM documents WHERE lang = 'en' UNION ALL SELECT source, doc_id, 'v1' FROM documents WHERE lang IN ('es', 'fr')")
-def streamed_index(spark, d):
-    """An index kept by a stream of changes: of several events of a file in a batch the last counts; German files go."""
+_CHANGED = "SELECT source AS key, doc_id AS file_id, 'v2' AS value FROM documents WHERE lang = 'en' UNION ALL SELECT source, doc_id, 'v1' FROM documents WHERE lang IN ('es', 'fr')"
+
+
+def _changes(spark, d) -> DataFrame:
+    """Events of all documents as files: created, the English changed, the German deleted."""
     docs = table(spark, d, "documents").select("source", "lang", F.col("doc_id").alias("file_id"), F.lit(1).cast("long").alias("length"))
     ev = docs.select(F.lit("created").alias("op"), "file_id", (F.col("file_id") * 3).alias("seq"), "source", F.lit("v1").alias("v"), F.lit(1).cast("long").alias("last_modified"), "length", "lang")
     ev = ev.unionByName(ev.where("lang = 'en'").withColumns({"op": F.lit("changed"), "seq": F.col("seq") + 1, "v": F.lit("v2"), "last_modified": F.lit(2).cast("long")}))
     ev = ev.unionByName(ev.where("lang = 'de'").withColumns({"op": F.lit("deleted"), "seq": F.col("seq") + 2})).drop("lang")
-    path = fresh_path(spark, "changes")
-    ev.coalesce(1).write.parquet(path)
+    return ev
+
+
+@query(_CHANGED)
+def streamed_index(spark, d):
+    """An index kept by a stream of changes: of several events of a file in a batch the last counts; German files go."""
+    ev, path = _changes(spark, d), fresh_path(spark, "changes")
+    ev.repartition(4, "file_id").write.parquet(path)  # a file's events lie together, so one batch has them
     s = IndexStore(spark, fresh_path(spark, "store"))
     s.register(index.IndexDefinition("sources", 1, index.column_key("source", "v")))
-    feeds.maintain(feeds.read_in_batches(spark, path, ev.schema, 1), s, fresh_path(spark, "checkpoint")).awaitTermination()
+    feeds.maintain(feeds.read_in_batches(spark, path, ev.schema, 2), s, fresh_path(spark, "checkpoint")).awaitTermination()
     return s.entries().select("key", "file_id", "value")
 
 
+class _Dying:
+    """A store whose process dies right after a batch was published, once."""
+
+    def __init__(self, store, at: int):
+        self.store, self.at = store, at
+
+    def apply(self, *args, batch):
+        self.store.apply(*args, batch=batch)
+        if batch[1] == self.at:
+            raise RuntimeError("lost after publishing")
+
+
+@query(f"SELECT *, 3 AS layers FROM ({_CHANGED})")
+def replayed_batches(spark, d):
+    """A stream of created, changed and deleted files, a batch each. The process is lost after the second batch was published
+    and before the stream noted it, so the batch comes again: it is known by its number and leaves one layer."""
+    ev, path, checkpoint = _changes(spark, d), fresh_path(spark, "changes"), fresh_path(spark, "checkpoint")
+    for op in ("created", "changed", "deleted"):  # in this order by the time files were written
+        ev.where(F.col("op") == op).coalesce(2).write.mode("append").parquet(path)
+    s = IndexStore(spark, fresh_path(spark, "store"))
+    s.register(index.IndexDefinition("sources", 1, index.column_key("source", "v")))
+    files = len(spark.read.schema(ev.schema).parquet(path).inputFiles()) // 3
+    for store in (_Dying(s, 1), s):
+        q = feeds.maintain(feeds.read_in_batches(spark, path, ev.schema, files), store, checkpoint)
+        try:
+            q.awaitTermination()
+        except StreamingQueryException as e:
+            if "lost after publishing" not in str(e):
+                raise
+    layers = len(s.manifest()["layers"])
+    return s.entries().select("key", "file_id", "value", F.lit(layers).alias("layers"))
+
+
 @query("SELECT CASE WHEN lang = 'fr' THEN 'renamed' ELSE 'changed' END AS op, CASE WHEN lang = 'fr' THEN 'moved/' || doc_id ELSE source || '/' || doc_id END AS uri FROM documents WHERE lang IN ('fr', 'de')")
 def polled_changes(spark, d):
     """Events between two listings of tracked roots, renames first."""

@@ -43,31 +43,50 @@ WORDS = index.IndexDefinition("words", 1, index.words())
 PARTS = index.IndexDefinition("parts", 1, index.column_key("p_name", "p_brand"))
 
 
-_stores: dict[tuple, IndexStore] = {}
+_stores: dict[tuple, tuple[IndexStore, tuple]] = {}
 
 
-def stored(spark, d, definition: index.IndexDefinition, files: Callable[[], DataFrame]) -> IndexStore:
-    """The store of a definition over a whole table: built when first asked for, then read, as an index is there for."""
+def _listing(spark, path: str) -> tuple:
+    """Names, lengths and times of a table's files: a lookup compares it to see whether its store is behind."""
+    p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    found, out = p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).listFiles(p, True), []
+    while found.hasNext():
+        f = found.next()
+        out.append((f.getPath().toString(), f.getLen(), f.getModificationTime()))
+    return tuple(sorted(out))
+
+
+def stored(spark, d, definition: index.IndexDefinition, name: str, files: Callable[[], DataFrame]) -> IndexStore:
+    """The store of a definition over a whole table: built when first asked for, then read, as an index is there for. When
+    the table's files are others than the store was brought up with, it is refreshed first."""
     key = (spark.sparkContext.applicationId, d, definition.id)
-    if key not in _stores:
-        s = IndexStore(spark, fresh_path(spark, "store"))
-        s.register(definition)
+    now = _listing(spark, f"{d}/{name}.parquet")
+    s, then = _stores.get(key, (None, None))
+    if now != then:
+        if s is None:
+            s = IndexStore(spark, fresh_path(spark, "store"))
+            s.register(definition)
         s.refresh(files())
-        _stores[key] = s
-    return _stores[key]
+        _stores[key] = s, now
+    return s
 
 
 def words_store(spark, d) -> IndexStore:
-    return stored(spark, d, WORDS, lambda: _files(spark, d).withColumn("last_modified", F.lit(0).cast("long")))
+    # Tables have no times of change; a hash of what is indexed tells a changed row.
+    return stored(spark, d, WORDS, "documents", lambda: _files(spark, d).withColumn("last_modified", F.xxhash64("text", "source")))
 
 
 def _words(spark, d) -> DataFrame:
     return words_store(spark, d).entries()
 
 
+def parts_store(spark, d) -> IndexStore:
+    p = lambda: table(spark, d, "part").select(F.col("p_partkey").alias("file_id"), "p_name", "p_brand", F.xxhash64("p_name", "p_brand").alias("last_modified"), F.col("p_size").cast("long").alias("length"))
+    return stored(spark, d, PARTS, "part", p)
+
+
 def _parts(spark, d) -> DataFrame:
-    p = lambda: table(spark, d, "part").select(F.col("p_partkey").alias("file_id"), "p_name", "p_brand", F.lit(0).cast("long").alias("last_modified"), F.col("p_size").cast("long").alias("length"))
-    return stored(spark, d, PARTS, p).entries()
+    return parts_store(spark, d).entries()
 
 
 _WORDS_SQL = "SELECT doc_id, unnest(string_split(lower(text), ' ')) AS key, source FROM documents"
@@ -93,19 +112,30 @@ def index_words(spark, d):
 
 @query("SELECT p_partkey AS file_id, p_brand AS value FROM part WHERE p_name = (SELECT min(p_name) FROM part)")
 def exact_key(spark, d):
-    e = _parts(spark, d)
     least = table(spark, d, "part").agg(F.min("p_name")).first()[0]
-    return lookup.exact(e, "parts", least)
+    return parts_store(spark, d).find("parts", least).select("file_id", "value")
 
 
 @query("SELECT p_name AS key, p_partkey AS file_id, p_brand AS value FROM part WHERE starts_with(p_name, 'b')")
 def prefix_scan(spark, d):
-    return lookup.prefix(_parts(spark, d), "parts", "b")
+    return parts_store(spark, d).under("parts", "b").select("key", "file_id", "value")
 
 
-@query("SELECT p_name AS key, string_agg(p_brand, ',' ORDER BY p_brand) AS joined FROM part WHERE starts_with(p_name, 'b') GROUP BY p_name")
+@query("SELECT p_name AS key, p_partkey >> 16 AS block, string_agg(p_brand, ',' ORDER BY p_brand) AS joined FROM part WHERE starts_with(p_name, 'b') GROUP BY ALL")
 def prefix_grouped(spark, d):
-    return lookup.grouped(_parts(spark, d), "parts", "b").select("key", F.array_join("values", ",").alias("joined"))
+    """Values of keys with a prefix, in blocks of bounded size."""
+    return lookup.grouped(parts_store(spark, d).under("parts", "b"), "parts", "b").select("key", "block", F.array_join("values", ",").alias("joined"))
+
+
+_PAIR = "SELECT any_value(w[1]) AS a, any_value(w[2]) AS b FROM (SELECT list(key ORDER BY n DESC, key) AS w FROM (SELECT key, count(*) AS n FROM ({}) GROUP BY key ORDER BY n DESC, key LIMIT 2))"
+
+
+@query(f"WITH e AS MATERIALIZED ({_ENTRIES}), p AS ({_PAIR.format(_ENTRIES)}) SELECT file_id FROM e, p WHERE key = a AND file_id IN (SELECT file_id FROM e, p WHERE key = b)")
+def files_under_both(spark, d):
+    """Files under both of the two words that most files have: the longest posting lists, met block by block."""
+    s = words_store(spark, d)
+    top = s.entries().groupBy("key").count().orderBy(F.desc("count"), "key").limit(2).collect()
+    return lookup.all_of(s, "words", [r["key"] for r in top])
 
 
 @query(f"SELECT key, file_id, n AS occurrences FROM ({_ENTRIES}) WHERE starts_with(key, 'an') AND source IN ('src1', 'src3')")

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from ..operators import catalog, index, lookup, store as stores
 from ..storage import fresh_path
-from .queries import PARTS, WORDS, _files, _parts, _words, query, stored, table, words_store
+from .queries import WORDS, _files, _parts, _words, parts_store, query, table, words_store
 
 _COUNTS = "SELECT key, doc_id AS file_id, count(*) AS n FROM (SELECT doc_id, unnest(string_split(lower(text), ' ')) AS key FROM documents) WHERE key <> '' GROUP BY ALL"
 
@@ -35,7 +35,7 @@ def unknown_index(spark, d):
 def keys_of_file(spark, d):
     """The forward direction: what one file is indexed under."""
     last = table(spark, d, "documents").agg(F.max("doc_id")).first()[0]
-    return lookup.keys_of(_words(spark, d), "words", last)
+    return words_store(spark, d).keys_of("words", last)
 
 
 @query(f"SELECT key, file_id, '/' || source || '/' || doc_id AS path FROM ({_COUNTS}) JOIN documents ON doc_id = file_id WHERE starts_with(key, 'wh')")
@@ -114,8 +114,7 @@ def mounted_stores(spark, d):
     shared = fresh_path(spark, "shared")
     c = table(spark, d, "customer").select(F.col("c_custkey").alias("file_id"), "c_mktsegment", "c_name", F.lit(0).cast("long").alias("last_modified"), F.lit(0).cast("long").alias("length"))
     stores.build_shared(c, [index.IndexDefinition("segments", 1, index.column_key("c_mktsegment", "c_name"))], shared)
-    _parts(spark, d)
-    own = stored(spark, d, PARTS, None).root
+    own = parts_store(spark, d).root
     got = stores.mount(spark, [own, shared, own + "/", shared + "-none"])
     return lookup.union_stores(*got).groupBy("store_id", "key").agg(F.count("*").alias("n"))
 
@@ -198,5 +197,5 @@ def shared_extraction(spark, d):
 def scoped_exact(spark, d):
     """An exact lookup over everything, then only in files that pass a filter; the key reaches the store's scan."""
     f = _files(spark, d).where("lang = 'en'").select("file_id")
-    hits = words_store(spark, d).entries().where(F.col("index_id") == WORDS.id).where("key = 'the'")
+    hits = words_store(spark, d).find(WORDS.id, "the")
     return hits.join(f, "file_id", "left_semi").select("key", "file_id", F.col("value").cast("long").alias("occurrences"))

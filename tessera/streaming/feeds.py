@@ -47,13 +47,14 @@ def maintain(stream: DataFrame, store, checkpoint: str, to_files: Callable[[Data
     """Start a query that applies each micro-batch of change events to an IndexStore, then ends when all is read.
 
     Events: op, file_id, seq and the columns extractors read. Of several events of a file in a batch the last counts.
-    The store swaps snapshots atomically; a batch that is run again gives the same snapshot contents.
+    The store swaps snapshots atomically, and notes checkpoint and number of the batch with each: a batch that is run again
+    after it was published, as happens when the query dies before its own commit, changes nothing.
     """
 
-    def one(batch: DataFrame, _: int):
+    def one(batch: DataFrame, number: int):
         last = latest(batch, ["file_id"], ["seq"]).persist()
         changed = last.where("op <> 'deleted'").drop("op", "seq")
-        store.apply(to_files(changed) if to_files else changed, last.where("op = 'deleted'").select("file_id"))
+        store.apply(to_files(changed) if to_files else changed, last.where("op = 'deleted'").select("file_id"), batch=(checkpoint, number))
         last.unpersist()
 
     return stream.writeStream.foreachBatch(one).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()

@@ -54,7 +54,7 @@ def test_lookups(spark):
     assert rows(lookup.exact(e, "i", "ab", paths.everything())) == [(1, "v2"), (5, "v1")]
     assert rows(lookup.prefix(e, "i", "ab"), "key") == [("ab",), ("ab",), ("abc",)]
     assert lookup.prefix(e, "i", "").count() == 4
-    assert rows(lookup.grouped(e, "i", "ab")) == [("ab", ["v1", "v2"]), ("abc", ["v3"])]
+    assert rows(lookup.grouped(e, "i", "ab"), "key", "values") == [("ab", ["v1", "v2"]), ("abc", ["v3"])]
     assert rows(lookup.values(e, "i", "b")) == [("v4",)]
     assert rows(lookup.keys_of(e, "i", 2)) == [("abc",)]
     assert lookup.has_data(e, "j") and not lookup.has_data(e, "k")

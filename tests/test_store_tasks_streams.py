@@ -90,7 +90,7 @@ def test_a_batch_is_one_layer_and_many_are_compacted(spark, tmp_path):
         seen.append(len(m["layers"]))
         if len(m["layers"]) > 1:  # what was written is the change
             path = f"{s.root}/{m['layers'][-1]['name']}"
-            assert spark.read.parquet(path + "/entries").count() == 4 and spark.read.parquet(path + "/gone").count() == 3
+            assert spark.read.parquet(path + "/forward").count() == 4 and spark.read.parquet(path + "/gone").count() == 3
         assert rows(s.entries(), "key", "file_id") == sorted(((w, i) for i, t in now.items() for w in t.split()), key=repr)
     assert 1 in seen and max(seen) <= 4
     old = s.entries()
@@ -296,3 +296,125 @@ def test_poll_order_and_readiness(spark):
             r.when_ready(lambda: seen.append(1))
         assert not r.ready and not seen
     assert r.ready and seen == [1]
+
+
+BY_PATH = index.IndexDefinition("names", 1, index.column_key("path", "path"))
+
+
+def _spread(spark, store, r):
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        store.refresh(files(spark, *r))
+    finally:
+        spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "true")
+
+
+def test_lookups_open_only_files_that_can_hold_the_key(spark, tmp_path):
+    s = stores.IndexStore(spark, str(tmp_path / "s"))
+    s.register(BY_PATH)
+    _spread(spark, s, [(i, f"k{(i * 7) % 400:04d}", "", 1, 1) for i in range(400)])
+    every = len(s.entries().inputFiles())
+    hit = s.find("names", "k0123")
+    assert every >= 4 and len(hit.inputFiles()) == 1 and rows(hit, "file_id") == [(i,) for i in range(400) if (i * 7) % 400 == 123]
+    assert s.find("names", "zzz").inputFiles() == [] and s.find("none", "k0123").collect() == []
+    some = s.under("names", "k01")
+    assert 1 <= len(some.inputFiles()) < every and some.count() == 100
+    mine = s.keys_of("names", 5)
+    assert len(mine.inputFiles()) == 1 and rows(mine) == [("k0035",)]
+    s.refresh(files(spark, (1, "k0007", "", 1, 1), (5, "other", "", 2, 1)))
+    assert rows(s.keys_of("names", 5)) == [("other",)] and s.find("names", "k0035").collect() == [] and rows(s.find("names", "k0007"), "file_id") == [(1,)]
+
+
+def test_bloom_filters_are_written(spark, tmp_path):
+    s = stores.IndexStore(spark, str(tmp_path / "s"))
+    s.register(BY_PATH)
+    s.refresh(files(spark, *[(i, f"k{2 * i:04d}", "", 1, 1) for i in range(300)]))
+    (name,) = {x["name"] for x in s.manifest()["layers"]}
+    f = next((tmp_path / "s" / name / "postings").glob("index_id=*/*.parquet"))
+    jvm = spark.sparkContext._jvm
+    path = jvm.org.apache.hadoop.fs.Path(str(f))
+    reader = jvm.org.apache.parquet.hadoop.ParquetFileReader.open(jvm.org.apache.parquet.hadoop.util.HadoopInputFile.fromPath(path, jvm.org.apache.hadoop.conf.Configuration()))
+    block = reader.getFooter().getBlocks().get(0)
+    column = next(c for c in block.getColumns() if c.getPath().toDotString() == "key")
+    bloom = reader.readBloomFilter(column)
+    binary = jvm.org.apache.parquet.io.api.Binary
+    assert bloom is not None and all(bloom.findHash(bloom.hash(binary.fromString(f"k{2 * i:04d}"))) for i in range(300))
+    assert sum(bloom.findHash(bloom.hash(binary.fromString(f"k{2 * i + 1:04d}"))) for i in range(300)) < 30
+    reader.close()
+
+
+def test_posting_blocks(spark, tmp_path):
+    """A key of many files lies in blocks; lists meet block by block, also over layers and retractions."""
+    s = stores.IndexStore(spark, str(tmp_path / "s"))
+    words = index.IndexDefinition("w", 1, index.words())
+    s.register(words)
+    step = 7001
+    text = lambda i: " ".join(["all"] + ["even"] * (i % 2 == 0) + ["third"] * (i % 3 == 0))
+    s.refresh(files(spark, *[(i * step - 200_000, f"/{i}", text(i), 1, 1) for i in range(120)]))
+    b = s.blocks("w", "all").collect()
+    assert len(b) > 8 and sum(len(r["ids"]) for r in b) == 120 and all(0 <= x < 1 << 16 for r in b for x in r["ids"])
+    both = lambda *k: sorted((r["file_id"] + 200_000) // step for r in lookup.all_of(s, "w", list(k)).collect())
+    assert both("even", "third", "all") == list(range(0, 120, 6)) and both("even", "none") == [] and both("third") == list(range(0, 120, 3))
+    now = {i: text(i) for i in range(120)}
+    now[6], now[7] = "all", "even third"
+    del now[12]
+    s.refresh(files(spark, *[(i * step - 200_000, f"/{i}", t, 1 + (t != text(i)), 1) for i, t in now.items()]))
+    assert len(s.manifest()["layers"]) == 2 and both("even", "third") == sorted([*[i for i in range(0, 120, 6) if i not in (6, 12)], 7])
+    s.compact()
+    assert len(s.manifest()["layers"]) == 1 and both("even", "third") == sorted([*[i for i in range(0, 120, 6) if i not in (6, 12)], 7])
+
+
+def test_a_batch_that_comes_again_changes_nothing(spark, tmp_path):
+    s = stores.IndexStore(spark, str(tmp_path / "s"))
+    s.register(NAMES)
+    none = files(spark).select("file_id")
+    put = lambda name, n: s.apply(files(spark, (1, "/a", f"class {name}", 1, 1)), none, batch=("stream", n))
+    assert put("A", 0)["changed"] == 1 and put("B", 0)["changed"] == 0
+    assert len(s.manifest()["layers"]) == 1 and rows(s.entries(), "key") == [("A",)]
+    put("C", 1)
+    put("B", 0)
+    assert len(s.manifest()["layers"]) == 2 and rows(s.entries(), "key") == [("C",)]
+    s.compact()
+    put("B", 1)
+    assert rows(s.entries(), "key") == [("C",)]
+
+
+def test_writers_that_finish_at_one_time_both_land(spark, tmp_path, monkeypatch):
+    root = str(tmp_path / "s")
+    one, two = stores.IndexStore(spark, root), stores.IndexStore(spark, root)
+    one.register(NAMES)
+    two.register(NAMES)
+    one.refresh(files(spark, (1, "/a", "class A", 1, 1)))
+    none = files(spark).select("file_id")
+    write = one._layer
+    monkeypatch.setattr(one, "_layer", lambda *a: (two.apply(files(spark, (2, "/b", "class Two", 1, 1), (3, "/c", "class Two", 1, 1)), none), write(*a))[1])
+    one.apply(files(spark, (3, "/c", "class One", 1, 1), (4, "/d", "class One", 1, 1)), none)
+    assert rows(one.entries(), "key", "file_id") == [("A", 1), ("One", 3), ("One", 4), ("Two", 2)]
+    monkeypatch.setattr(one, "_layer", lambda *a: (two.apply(files(spark, (5, "/e", "class Five", 1, 1)), none), write(*a))[1])
+    one.compact()
+    assert len(one.manifest()["layers"]) == 2 and rows(one.entries(), "key", "file_id") == [("A", 1), ("Five", 5), ("One", 3), ("One", 4), ("Two", 2)]
+
+
+def test_a_definition_that_changes_under_a_writer_is_a_conflict(spark, tmp_path, monkeypatch):
+    root = str(tmp_path / "s")
+    one, two = stores.IndexStore(spark, root), stores.IndexStore(spark, root)
+    one.register(NAMES)
+    f = files(spark, (1, "/a", "class A", 1, 1))
+    one.refresh(f)
+    two.register(index.IndexDefinition("names", 2, index.column_key("path", "path")))
+    write, turns = one._layer, iter([True])
+    monkeypatch.setattr(one, "_layer", lambda *a: (next(turns, None) and two.refresh(f), write(*a))[1])
+    with pytest.raises(stores.Conflict):
+        one.apply(files(spark, (1, "/a", "class B", 2, 1)), f.select("file_id").limit(0))
+    assert rows(two.entries(), "key") == [("/a",)]
+
+
+def test_registered_lookups_see_the_table_as_it_is(spark, tmp_path):
+    from tessera.plans import QUERIES
+
+    part = lambda n, name: spark.range(n).selectExpr("id + 1 as p_partkey", f"concat('{name} ', id % 10) as p_name", "'Brand#1' as p_brand", "5 as p_size")
+    part(20, "big").write.parquet(f"{tmp_path}/part.parquet")
+    count = lambda: QUERIES["prefix_scan"](spark, str(tmp_path)).count()
+    assert count() == 20
+    part(3, "blue").unionByName(part(30, "red").where("p_partkey > 3")).write.mode("overwrite").parquet(f"{tmp_path}/part.parquet")
+    assert count() == 3
