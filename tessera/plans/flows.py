@@ -138,13 +138,44 @@ def _event_stream(spark, d, files: int = 4):
 def streamed_latest(spark, d):
     """Latest-only slots over a stream: each slot's last submission, whatever order files come in."""
     out, checkpoint = fresh_path(spark, "slots"), fresh_path(spark, "checkpoint")
-    s = feeds.latest_stream(_event_stream(spark, d), "user_id", "event_type", "event_id")
-    write = lambda batch, n: batch.write.mode("append").parquet(out)
-    s.writeStream.outputMode("update").foreachBatch(write).option("checkpointLocation", checkpoint).trigger(availableNow=True).start().awaitTermination()
+    s = feeds.latest_stream(_event_stream(feeds.rocksdb(spark), d), "user_id", "event_type", "event_id")
+    s.drop("kind").writeStream.format("parquet").option("path", out).option("checkpointLocation", checkpoint).trigger(availableNow=True).start().awaitTermination()
     # The stream tells of every newer submission; the last of them is the slot's.
     return feeds.latest(spark.read.parquet(out), ["lane", "key"], ["seq"])
 
 
+_KEEP_HOURS, _PARTS = 12, 4
+
+
+def _in_order(spark, d, name: str, columns: list[str], at: str) -> DataFrame:
+    """A table as a stream of _PARTS batches, by ranges of a time: cut at quarters of its span, written one after another."""
+    t = table(spark, d, name).select(*columns)
+    lo, hi = t.select(F.min(at).cast("timestamp").cast("double"), F.max(at).cast("timestamp").cast("double")).first()
+    path = fresh_path(spark, name)
+    place = F.least(F.lit(_PARTS - 1), F.floor((F.col(at).cast("timestamp").cast("double") - lo) * _PARTS / ((hi or 0) - (lo or 0) or 1)))
+    dealt = t.withColumn("_n", F.coalesce(place, F.lit(0)))
+    for n in range(_PARTS):
+        dealt.where(F.col("_n") == n).drop("_n").coalesce(1).write.mode("append").parquet(path)
+    return feeds.read_in_batches(spark, path, t.schema, 1)
+
+
+@query(f"""
+WITH x AS (SELECT min(epoch(ts)) AS lo, max(epoch(ts)) AS hi FROM events),
+e AS (SELECT user_id::VARCHAR AS lane, event_type AS key, event_id, epoch(ts) AS sec, least({_PARTS - 1}, floor((epoch(ts) - lo) * {_PARTS} / (hi - lo)))::INT AS b FROM events, x),
+w AS (SELECT b, max(m) OVER (ORDER BY b) AS mark FROM (SELECT b, max(sec) AS m FROM e GROUP BY b)),
+s AS (SELECT lane, key, b, max(event_id) AS seq, max(sec) AS last_sec FROM e GROUP BY ALL),
+k AS (SELECT *, max(seq) OVER (PARTITION BY lane, key ORDER BY b ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS top, lead(b) OVER (PARTITION BY lane, key ORDER BY b) AS next_b FROM s),
+g AS (SELECT k.*, (SELECT min(w.b) FROM w WHERE floor(w.mark * 1000) >= floor(last_sec * 1000) + {_KEEP_HOURS} * 3600000) AS passed FROM k)
+SELECT 'kept' AS kind, lane, key, seq FROM k WHERE top IS NULL OR seq > top
+UNION ALL SELECT 'expired', lane, key, seq FROM g WHERE passed IS NOT NULL AND (next_b IS NULL OR greatest(passed, b) + 1 < next_b)""")
+def expiring_slots(spark, d):
+    """Latest-only slots with event time: submissions come a quarter of the time at once, slots expire hours after their last."""
+    own, out = feeds.rocksdb(spark), fresh_path(spark, "slots")
+    s = feeds.latest_stream(_in_order(own, d, "events", ["user_id", "event_type", "event_id", "ts"], "ts"), "user_id", "event_type", "event_id", "ts", _KEEP_HOURS * 3_600_000)
+    s.writeStream.format("parquet").option("path", out).option("checkpointLocation", fresh_path(spark, "checkpoint")).trigger(availableNow=True).start().awaitTermination()
+    return spark.read.schema("kind string, lane string, key string, seq long").parquet(out)
+
+
 @query("SELECT 'events' AS listener, count(*) AS n FROM events UNION ALL SELECT 'errors', count(*) FROM events WHERE event_type = 'error' UNION ALL SELECT 'progress', count(*) FROM events UNION ALL SELECT 'manifest', 0")
 def streamed_fan_out(spark, d):
     """Every micro-batch to several listeners, read once; progress counted; a flush that waits for all of it."""

@@ -6,8 +6,7 @@ from collections.abc import Callable
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, functions as F
-from pyspark.sql.streaming import StreamingQueryListener
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
+from pyspark.sql.streaming import StatefulProcessor, StreamingQueryListener
 
 from ..operators.catalog import difference
 
@@ -26,21 +25,71 @@ def in_lanes(rows: DataFrame, lane: str, order: list[str]) -> DataFrame:
     return rows.repartition(lane).sortWithinPartitions(lane, *order)
 
 
-def latest_stream(stream: DataFrame, lane: str, key: str, seq: str) -> DataFrame:
-    """(lane, key, seq) of submissions that are newer than all before them in their slot; stale ones are dropped.
+class _Slot(StatefulProcessor):
+    """The newest submission of a slot. With times, the slot is forgotten `keep` ms after its last submission, by a timer on
+    event time; without, by the state's time to live."""
+
+    def __init__(self, keep: int | None, timed: bool):
+        self.keep, self.timed = keep, timed
+
+    def init(self, handle) -> None:
+        self.handle = handle
+        lives = {} if self.timed or self.keep is None else {"ttlDurationMs": self.keep}
+        self.state = handle.getValueState("slot", "seq long, due long", **lives)
+
+    def handleInputRows(self, key, rows, timerValues):
+        top, due = self.state.get() if self.state.exists() else (None, None)
+        seen, at = top, due
+        for pdf in rows:
+            most = int(pdf["seq"].max())
+            seen = most if seen is None else max(seen, most)
+            if self.timed and self.keep is not None:
+                ends = int(pdf["ms"].max()) + self.keep
+                at = ends if at is None else max(at, ends)
+        if at != due:
+            if due is not None:
+                self.handle.deleteTimer(due)
+            self.handle.registerTimer(at)
+        self.state.update((seen, at))
+        if top is None or seen > top:
+            yield pd.DataFrame({"kind": ["kept"], "lane": [key[0]], "key": [key[1]], "seq": [seen]})
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo):
+        top, due = self.state.get() if self.state.exists() else (None, None)
+        if due == expiredTimerInfo.getExpiryTimeInMs():
+            self.state.clear()
+            yield pd.DataFrame({"kind": ["expired"], "lane": [key[0]], "key": [key[1]], "seq": [top]})
+
+    def close(self) -> None:
+        pass
 
-    State is one number per slot. Rows of a lane come in order of seq within a micro-batch.
-    """
 
-    def step(k, batches, state: GroupState):
-        top = state.get[0] if state.exists else None
-        found = max((int(pdf["seq"].max()) for pdf in batches if len(pdf)), default=None)
-        if found is not None and (top is None or found > top):
-            state.update((found,))
-            yield pd.DataFrame({"lane": [k[0]], "key": [k[1]], "seq": [found]})
+def latest_stream(stream: DataFrame, lane: str, key: str, seq: str, at: str | None = None, keep_ms: int | None = None, late_ms: int = 0) -> DataFrame:
+    """(kind, lane, key, seq): submissions that are newer than all before them in their slot; stale ones are dropped.
 
-    s = stream.select(F.col(lane).cast("string").alias("lane"), F.col(key).cast("string").alias("key"), F.col(seq).cast("long").alias("seq"))
-    return s.groupBy("lane", "key").applyInPandasWithState(step, "lane string, key string, seq long", "top long", "update", GroupStateTimeout.NoTimeout)
+    State is one row per slot, kept in RocksDB (the session must name that provider; rocksdb() does). keep_ms bounds how long:
+    with a column of event times `at`, a slot expires (kind 'expired') once the watermark, late_ms behind the latest time, is
+    keep_ms past its last submission, and rows behind the watermark are dropped as late; without one, state lives keep_ms
+    on the clock. Rows without a number or, where there is one, a time are left out.
+    """
+    s = stream.select(F.col(lane).cast("string").alias("lane"), F.col(key).cast("string").alias("key"), F.col(seq).cast("long").alias("seq"), *([F.col(at).cast("timestamp").alias("at")] if at else []))
+    if at:
+        s = s.where("at is not null and seq is not null").withColumn("ms", F.unix_millis("at")).withWatermark("at", f"{late_ms} milliseconds")
+    else:
+        s = s.where("seq is not null")
+    mode = "EventTime" if at else "ProcessingTime" if keep_ms is not None else "None"
+    return s.groupBy("lane", "key").transformWithStateInPandas(_Slot(keep_ms, at is not None), "kind string, lane string, key string, seq long", "Append", mode)
+
+
+def rocksdb(spark: SparkSession) -> SparkSession:
+    """A session of the same application whose streams keep state in RocksDB with changelogs; the caller's stays as it is."""
+    own = spark.newSession()
+    for key in ("spark.sql.shuffle.partitions", "spark.sql.session.timeZone"):
+        own.conf.set(key, spark.conf.get(key))
+    own.conf.set("spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+    own.conf.set("spark.sql.streaming.stateStore.rocksdb.changelogCheckpointing.enabled", "true")
+    own.conf.set("spark.sql.streaming.stateStore.rocksdb.allowFAllocate", "false")
+    return own
 
 
 def maintain(stream: DataFrame, store, checkpoint: str, to_files: Callable[[DataFrame], DataFrame] | None = None):

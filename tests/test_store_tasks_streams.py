@@ -266,13 +266,34 @@ def test_streamed_latest_equals_batch(spark, tmp_path):
     d = spark.createDataFrame([("l", f"k{i % 3}", i, "") for i in range(30)], "lane string, key string, seq long, v string")
     for k in range(3):
         d.where(F.col("seq") % 3 == k).coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
-    s = feeds.read_in_batches(spark, str(tmp_path / "in"), d.schema, 1)
-    q = feeds.latest_stream(s, "lane", "key", "seq").writeStream.outputMode("update").format("memory").queryName("slots").option("checkpointLocation", str(tmp_path / "c")).trigger(availableNow=True).start()
-    q.awaitTermination(120)
-    got = spark.table("slots").groupBy("lane", "key").agg(F.max("seq").alias("seq"))
+    own = feeds.rocksdb(spark)
+    s = feeds.read_in_batches(own, str(tmp_path / "in"), d.schema, 1)
+    q = feeds.latest_stream(s, "lane", "key", "seq").writeStream.format("memory").queryName("slots").option("checkpointLocation", str(tmp_path / "c")).trigger(availableNow=True).start()
+    q.awaitTermination()
+    got = own.table("slots").groupBy("lane", "key").agg(F.max("seq").alias("seq"))
     assert rows(got) == rows(feeds.latest(d, ["lane", "key"], ["seq"]), "lane", "key", "seq")
 
 
+def test_slots_expire_and_late_submissions_are_dropped(spark, tmp_path):
+    own, path = feeds.rocksdb(spark), str(tmp_path / "in")
+    batches = [
+        [("l", "a", 5, 0), ("l", "b", 1, 10), ("l", "n", None, 10), ("l", "n", 4, None)],
+        [("l", "a", 4, 20), ("l", "b", 9, 60)],  # a's is stale
+        [("l", "c", 1, 100), ("l", "a", 7, 1)],  # a's is late by now: the watermark is at 60
+        [("l", "a", 3, 130), ("l", "c", 2, 130)],  # a has expired (20 + 30), so an older number counts again
+        [("l", "z", 1, 131)],
+    ]
+    for b in batches:
+        d = spark.createDataFrame(b, "lane string, key string, seq long, s long").selectExpr("lane", "key", "seq", "timestamp_seconds(1000 + s) as at")
+        d.coalesce(1).write.mode("append").parquet(path)
+    s = feeds.latest_stream(feeds.read_in_batches(own, path, d.schema, 1), "lane", "key", "seq", "at", 30_000)
+    q = s.writeStream.format("memory").queryName("expiring").option("checkpointLocation", str(tmp_path / "c")).trigger(availableNow=True).start()
+    q.awaitTermination()
+    got = rows(own.table("expiring"), "kind", "key", "seq")
+    assert [r[1:] for r in got if r[0] == "kept"] == [("a", 3), ("a", 5), ("b", 1), ("b", 9), ("c", 1), ("c", 2), ("z", 1)]
+    assert [r[1:] for r in got if r[0] == "expired"] == [("a", 5), ("b", 9)]
+
+
 def test_streamed_maintenance(spark, tmp_path):
     ev = "op string, file_id long, seq long, path string, text string, last_modified long, length long"
     spark.createDataFrame([("created", 1, 1, "/a", "class A", 1, 1), ("created", 2, 2, "/b", "class B", 1, 1)], ev).coalesce(1).write.parquet(str(tmp_path / "in"))
