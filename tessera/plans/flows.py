@@ -147,14 +147,18 @@ def streamed_latest(spark, d):
 _KEEP_HOURS, _PARTS = 12, 4
 
 
-def _in_order(spark, d, name: str, columns: list[str], at: str) -> DataFrame:
-    """A table as a stream of _PARTS batches, by ranges of a time: cut at quarters of its span, written one after another."""
+def _in_order(spark, d, name: str, columns: list[str], at: str, moved=None, end: dict | None = None) -> DataFrame:
+    """A table as a stream of _PARTS batches, by ranges of a time: cut at quarters of its span, written one after another.
+    moved: batches that a row comes later than that. end: the columns of one more row, in a batch of its own."""
     t = table(spark, d, name).select(*columns)
     lo, hi = t.select(F.min(at).cast("timestamp").cast("double"), F.max(at).cast("timestamp").cast("double")).first()
     path = fresh_path(spark, name)
     place = F.least(F.lit(_PARTS - 1), F.floor((F.col(at).cast("timestamp").cast("double") - lo) * _PARTS / ((hi or 0) - (lo or 0) or 1)))
-    dealt = t.withColumn("_n", F.coalesce(place, F.lit(0)))
-    for n in range(_PARTS):
+    dealt = t.withColumn("_n", F.least(F.lit(_PARTS - 1), F.coalesce(place, F.lit(0)) + (F.lit(0) if moved is None else moved)))
+    if end:
+        last = t.limit(0).unionByName(spark.range(1).select(*[F.lit(end.get(f.name)).cast(f.dataType).alias(f.name) for f in t.schema]))
+        dealt = dealt.unionByName(last.withColumn("_n", F.lit(_PARTS)))
+    for n in range(_PARTS + bool(end)):
         dealt.where(F.col("_n") == n).drop("_n").coalesce(1).write.mode("append").parquet(path)
     return feeds.read_in_batches(spark, path, t.schema, 1)
 
@@ -176,6 +180,48 @@ def expiring_slots(spark, d):
     return spark.read.schema("kind string, lane string, key string, seq long").parquet(out)
 
 
+_PLACED = f"""WITH x AS (SELECT min(epoch(ts)) AS lo, max(epoch(ts)) AS hi FROM events),
+e AS (SELECT *, least({_PARTS - 1}, least({_PARTS - 1}, floor((epoch(ts) - lo) * {_PARTS} / (hi - lo))) + CASE WHEN event_id % 25 = 0 THEN 2 WHEN event_id % 10 = 0 THEN 1 ELSE 0 END)::INT AS b FROM events, x)"""
+
+
+@query(f"""
+{_PLACED},
+w AS (SELECT b, max(m) OVER (ORDER BY b) - 3600000 AS mark FROM (SELECT b, max(epoch_us(ts) // 1000) AS m FROM e GROUP BY b)),
+r AS (SELECT e.*, time_bucket(INTERVAL 6 HOUR, ts) AS start, coalesce((SELECT max(mark) FROM w WHERE w.b <= e.b - 2), 0) AS mark FROM e),
+k AS (SELECT *, epoch_ms(start) + 6 * 3600000 > mark AS kept FROM r)
+SELECT epoch_ms(start)::BIGINT AS start, event_type, count(*) AS n FROM k WHERE kept GROUP BY ALL
+UNION ALL SELECT NULL, 'late', count(*) FROM k WHERE NOT kept""")
+def streamed_windows(spark, d):
+    """Counts of six hours and type over events that come out of order, each window told once; and how many rows were late.
+    The stream ends with a row far ahead, which lets all windows be told."""
+    end = {"ts": "2100-01-01 00:00:00"}
+    moved = F.when(F.col("event_id") % 25 == 0, 2).when(F.col("event_id") % 10 == 0, 1).otherwise(0)
+    out = fresh_path(spark, "windows")
+    s = _in_order(spark, d, "events", ["event_id", "event_type", "ts"], "ts", moved, end).withColumn("ts", F.col("ts").cast("timestamp"))
+    w = feeds.window_counts(s.withColumn("event_type", F.coalesce("event_type", F.lit("end"))), "ts", "6 hours", "1 hour", "event_type")
+    w.writeStream.format("parquet").option("path", out).option("checkpointLocation", fresh_path(spark, "checkpoint")).trigger(availableNow=True).start().awaitTermination()
+    told = spark.read.schema("start timestamp, event_type string, n long").parquet(out).where("event_type <> 'end'").select(F.unix_millis("start").alias("start"), "event_type", "n")
+    late = table(spark, d, "events").agg(F.count("*").alias("n")).union(told.agg(-F.coalesce(F.sum("n"), F.lit(0)))).agg(F.sum("n").alias("n"))
+    return told.unionByName(late.select(F.lit(None).cast("long").alias("start"), F.lit("late").alias("event_type"), "n"))
+
+
+@query("""
+WITH g AS (SELECT user_id, event_id, epoch_us(ts) AS us, coalesce((epoch_us(ts) - lag(epoch_us(ts)) OVER (PARTITION BY user_id ORDER BY ts, event_id) >= 21600000000)::INT, 1) AS new FROM events),
+s AS (SELECT *, sum(new) OVER (PARTITION BY user_id ORDER BY us, event_id ROWS UNBOUNDED PRECEDING) AS k FROM g)
+SELECT user_id, min(us) AS start, max(us) AS last, count(*) AS n FROM s GROUP BY user_id, k""")
+def streamed_sessions(spark, d):
+    """Sessions of users over events that come out of order and, every third, twice; a session ends six hours after its last row."""
+    out = fresh_path(spark, "sessions")
+    moved = F.when(F.col("event_id") % 10 == 0, 1).otherwise(0)
+    s = _in_order(spark, d, "events", ["event_id", "user_id", "ts"], "ts", moved, {"ts": "2100-01-01 00:00:00", "event_id": -1}).withColumn("ts", F.col("ts").cast("timestamp"))
+    s = s.withColumn("event_id", F.explode(F.when(F.col("event_id") % 3 == 0, F.array("event_id", "event_id")).otherwise(F.array("event_id"))))
+    # Rows may be as late as the whole table is long, so none is lost.
+    w = feeds.sessions(s.withColumn("user_id", F.coalesce("user_id", F.lit(-1))), "event_id", "ts", "user_id", "6 hours", "1000 days")
+    w.writeStream.format("parquet").option("path", out).option("checkpointLocation", fresh_path(spark, "checkpoint")).trigger(availableNow=True).start().awaitTermination()
+    told = spark.read.schema("user_id long, start timestamp, last timestamp, n long").parquet(out).where("user_id >= 0")
+    return told.select("user_id", F.unix_micros("start").alias("start"), F.unix_micros("last").alias("last"), "n")
+
+
 @query("SELECT 'events' AS listener, count(*) AS n FROM events UNION ALL SELECT 'errors', count(*) FROM events WHERE event_type = 'error' UNION ALL SELECT 'progress', count(*) FROM events UNION ALL SELECT 'manifest', 0")
 def streamed_fan_out(spark, d):
     """Every micro-batch to several listeners, read once; progress counted; a flush that waits for all of it."""

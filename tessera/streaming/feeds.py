@@ -81,6 +81,21 @@ def latest_stream(stream: DataFrame, lane: str, key: str, seq: str, at: str | No
     return s.groupBy("lane", "key").transformWithStateInPandas(_Slot(keep_ms, at is not None), "kind string, lane string, key string, seq long", "Append", mode)
 
 
+def window_counts(stream: DataFrame, at: str, every: str, late: str, *keys: str) -> DataFrame:
+    """(start, *keys, n) of tumbling windows, each told once, when the watermark (late behind the latest time) has passed its
+    end. Rows whose window was told before the batch before are late and left out."""
+    t = stream.withWatermark(at, late).groupBy(F.window(at, every), *keys).agg(F.count("*").alias("n"))
+    return t.select(F.col("window.start").alias("start"), *keys, "n")
+
+
+def sessions(stream: DataFrame, number: str, at: str, by: str, gap: str, late: str) -> DataFrame:
+    """(by, start, last, n) of runs of rows less than a gap apart, each told once, when the watermark has passed its end. A row
+    that comes again within the time that rows may be late counts once; its number is forgotten after that."""
+    once = stream.withWatermark(at, late).dropDuplicatesWithinWatermark([number])
+    t = once.groupBy(F.session_window(at, gap), by).agg(F.count("*").alias("n"), F.max(at).alias("last"))
+    return t.select(by, F.col("session_window.start").alias("start"), "last", "n")
+
+
 def rocksdb(spark: SparkSession) -> SparkSession:
     """A session of the same application whose streams keep state in RocksDB with changelogs; the caller's stays as it is."""
     own = spark.newSession()
