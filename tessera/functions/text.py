@@ -7,6 +7,9 @@ from __future__ import annotations
 
 import posixpath
 import re
+from collections import Counter
+from functools import reduce
+from operator import add
 
 import pandas as pd
 from pyspark.sql import Column, functions as F, types as T
@@ -171,6 +174,15 @@ def ratio(a: str, b: str) -> int:
     return int(200 * _common_subsequence(a, b) / total + 0.5) if total else 100
 
 
+def ratio_bound(name, typed: str) -> Column:
+    """No less than ratio(name, typed), without aligning the two: a common subsequence has no more of a character than either
+    side. A filter on it runs before the alignment and leaves it the few names that can reach a score."""
+    n = _c(name)
+    shared = reduce(add, [F.least(F.length(n) - F.length(F.replace(n, F.lit(c))), F.lit(k)) for c, k in sorted(Counter(typed).items())], F.lit(0))
+    total = F.length(n) + len(typed)
+    return F.when(total == 0, 100).otherwise(F.floor(200 * shared / total + 0.5)).cast("int")
+
+
 def partial_ratio(a: str, b: str) -> int:
     """Best ratio of the shorter text with any stretch of its length in the longer."""
     if len(a) > len(b):

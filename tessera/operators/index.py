@@ -155,7 +155,73 @@ def counters(files: DataFrame, entries: DataFrame) -> DataFrame:
     return entries.groupBy("index_id").agg(F.count_distinct("file_id").alias("files"), F.count("*").alias("entries"), F.count_distinct("key").alias("keys"))
 
 
+#: Cells of a histogram of percentiles().
+CELLS = 4096
+
+
+def order_statistics(df: DataFrame, column: str, ranks: list[int]) -> dict[int, float]:
+    """Values at places of the sorted column (from 0), exact, by refining histograms; non-finite values must be gone.
+
+    A pass counts, in up to CELLS cells a range, the values within the ranges that still hold a wanted place, with least and
+    largest of each cell; the cell of a place is the next range, until its least is its largest. No task holds more than
+    the cells, and they are all that reaches the driver. df is read once a pass.
+    """
+    v = df.select(F.col(column).cast("double").alias("v"))
+    lo, hi, n = v.agg(F.min("v"), F.max("v"), F.count("v")).first()
+    found, open_ = {}, {r: (lo, hi, 0) for r in ranks if 0 <= r < n}
+    while open_:
+        for r, (a, b, _) in list(open_.items()):
+            if a == b:
+                found[r] = a
+                del open_[r]
+        ranges = sorted({(a, b) for a, b, _ in open_.values()})
+        if not ranges:
+            break
+        which = F.lit(None).cast("int")
+        cell = F.lit(None).cast("int")
+        for k, (a, b) in reversed(list(enumerate(ranges))):
+            inside = F.col("v").between(a, b)
+            which = F.when(inside, k).otherwise(which)
+            # Halves, so that the width of a range is a number.
+            share = (F.col("v") / 2 - a / 2) / (b / 2 - a / 2)
+            cell = F.when(inside, F.least(F.lit(CELLS - 1), F.floor(share * CELLS)).cast("int")).otherwise(cell)
+        cells = v.select("v", which.alias("k"), cell.alias("c")).where("k is not null").groupBy("k", "c").agg(F.count("*").alias("n"), F.min("v").alias("lo"), F.max("v").alias("hi")).collect()
+        for r, (a, b, before) in list(open_.items()):
+            k = ranges.index((a, b))
+            for x in sorted((x for x in cells if x["k"] == k), key=lambda x: x["c"]):
+                if r < before + x["n"]:
+                    open_[r] = (x["lo"], x["hi"], before)
+                    break
+                before += x["n"]
+    return found
+
+
 def percentiles(df: DataFrame, column: str) -> DataFrame:
-    """least, p50, p90, p99 and largest, interpolated between neighbours."""
-    p = F.percentile(column, F.array(*map(F.lit, (0.0, 0.5, 0.9, 0.99, 1.0)))).alias("p")
-    return df.agg(p).select(*[F.col("p")[i].alias(n) for i, n in enumerate(("least", "p50", "p90", "p99", "largest"))])
+    """least, p50, p90, p99 and largest, interpolated between neighbours; nulls and non-finite values are left out, and
+    without any values all are null."""
+    v = df.select(F.col(column).cast("double").alias("v")).where(F.abs("v") < float("inf"))
+    n, names = v.count(), {"least": 0.0, "p50": 0.5, "p90": 0.9, "p99": 0.99, "largest": 1.0}
+    places = {name: (n - 1) * p for name, p in names.items()}
+    at = order_statistics(v, "v", sorted({int(x) + k for x in places.values() for k in (0, 1)})) if n else {}
+    row = []
+    for x in places.values():
+        low = at.get(int(x))
+        row.append(None if low is None else low + (at.get(int(x) + 1, low) - low) * (x - int(x)))
+    return df.sparkSession.createDataFrame([tuple(row)], ", ".join(f"{name} double" for name in names))
+
+
+def sketches(rows: DataFrame) -> DataFrame:
+    """Of (index_id, file_id, key): one row an index with mergeable sketches of its distinct keys and files (HLL) and of the
+    keys that a file has (KLL), a few kB each whatever their number."""
+    each = rows.groupBy("index_id", "file_id").agg(F.count_distinct("key").alias("n"))
+    kll = each.groupBy("index_id").agg(F.kll_sketch_agg_bigint("n").alias("per_file"))
+    hll = rows.groupBy("index_id").agg(F.hll_sketch_agg("key").alias("keys"), F.hll_sketch_agg("file_id").alias("files"), F.count("*").alias("entries"))
+    return hll.join(kll, "index_id")
+
+
+def estimates(sketched: DataFrame) -> DataFrame:
+    """(index_id, entries, keys, files, p50, p90, p99 of the keys a file has) from sketches of any number of layers."""
+    m = sketched.groupBy("index_id").agg(
+        F.sum("entries").alias("entries"), F.hll_sketch_estimate(F.hll_union_agg("keys")).alias("keys"), F.hll_sketch_estimate(F.hll_union_agg("files")).alias("files"), F.kll_merge_agg_bigint("per_file").alias("_s"),
+    )
+    return m.select("index_id", "entries", "keys", "files", *[F.kll_sketch_get_quantile_bigint("_s", F.lit(q)).alias(n) for n, q in (("p50", 0.5), ("p90", 0.9), ("p99", 0.99))])

@@ -1,6 +1,6 @@
 """An index kept on disk as immutable layers and a manifest that is swapped atomically.
 
-A batch of changes adds one layer, so what is written grows with the change and not with the store. A layer has six
+A batch of changes adds one layer, so what is written grows with the change and not with the store. A layer has seven
 Parquet tables:
 
 - postings, by index_id: what is filed under a key, in blocks of BLOCK file numbers, so that a key that every file has is many
@@ -8,6 +8,7 @@ Parquet tables:
 - forward, by index_id: file_id and key, range-partitioned and sorted by file, for the other direction.
 - zones: least and greatest key and file of every file of these two. A lookup reads zones first and then opens only the files
   that can hold what it looks for; in those the scan's filters and the Bloom filters skip row groups.
+- sketches: of each index, its keys, files and keys a file, to be merged over layers.
 - done (index_id, file_id: what was extracted, also where it gave nothing), stamps (file_id, last_modified, length) and gone
   (file_id: what the batch touched).
 
@@ -30,11 +31,12 @@ from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from .index import ENTRY, IndexDefinition, run_all
+from .index import ENTRY, IndexDefinition, estimates, run_all, sketches
 
 _DONE, _STAMPS, _GONE = "file_id long, index_id string", "file_id long, last_modified long, length long", "file_id long"
 _POSTINGS, _FORWARD = "key string, block long, ids array<int>, values array<string>, index_id string", "file_id long, key string, index_id string"
 _ZONES = "name string, file string, index_id string, key_lo string, key_hi string, id_lo long, id_hi long, rows long"
+_SKETCHES = "index_id string, keys binary, files binary, entries long, per_file binary"
 #: A block is the files whose numbers differ in these low bits only.
 BLOCK_BITS = 16
 #: Times a write is tried again after other writers published first.
@@ -195,6 +197,15 @@ class IndexStore:
         out = reduce(DataFrame.unionByName, parts).groupBy("block").agg(F.array_sort(F.array_distinct(F.flatten(F.collect_list("ids")))).alias("ids"))
         return out.where(F.size("ids") > 0)
 
+    def estimates(self) -> DataFrame:
+        """(index_id, entries, keys, files, p50, p90, p99 of the keys a file has), estimated from the layers' sketches without
+        reading entries. What later layers have retracted counts until layers are compacted."""
+        m, parts = self.manifest(), []
+        for layer in m["layers"]:
+            shown = [i for i, v in self._visible(m).items() if layer["versions"].get(i) == v]
+            parts.append(self._table(layer, "sketches", _SKETCHES).where(F.col("index_id").isin(*shown)))
+        return estimates(reduce(DataFrame.unionByName, parts) if parts else self.spark.createDataFrame([], _SKETCHES))
+
     def ready(self) -> bool:
         """All registered definitions have been brought up at their versions."""
         v = self.manifest()["versions"]
@@ -295,6 +306,7 @@ class IndexStore:
         back = _unpacked(self._table(layer, "postings", _POSTINGS)).select("file_id", "key", "index_id").distinct()
         back.repartitionByRange("index_id", "file_id").sortWithinPartitions("index_id", "file_id", "key").write.partitionBy("index_id").parquet(f"{root}/forward")
         self._zones(layer).write.parquet(f"{root}/zones")
+        sketches(self._table(layer, "forward", _FORWARD)).write.parquet(f"{root}/sketches")
         done.write.partitionBy("index_id").parquet(f"{root}/done")
         stamps.write.parquet(f"{root}/stamps")
         gone.write.parquet(f"{root}/gone")

@@ -26,7 +26,8 @@ _NAMES = f"SELECT DISTINCT p_name AS k, p_name AS a, '{_PROBE}' AS b FROM part"
 def fuzzy_filter(spark, d):
     """Names whose ratio with what was typed is above the minimum."""
     p = table(spark, d, "part").select("p_partkey", "p_name")
-    return p.withColumn("score", t.fuzzy_ratio("p_name", F.lit(_PROBE))).where(F.col("score") > t.MINIMUM_SCORE)
+    near = p.where(t.ratio_bound("p_name", _PROBE) > t.MINIMUM_SCORE)
+    return near.withColumn("score", t.fuzzy_ratio("p_name", F.lit(_PROBE))).where(F.col("score") > t.MINIMUM_SCORE)
 
 
 @query(f"{_lcs_sql(_NAMES.replace(_PROBE, 'Blue bo'))} SELECT p_partkey, CASE WHEN starts_with(lower(p_name), 'blue bo') THEN 2 WHEN ratio > 70 THEN 1 ELSE 0 END AS level FROM part JOIN r ON k = p_name")

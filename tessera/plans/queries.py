@@ -157,6 +157,17 @@ def index_counters(spark, d):
     return index.counters(_files(spark, d), _words(spark, d))
 
 
+@query("SELECT 'words' AS index_id, count(*) AS entries, true AS keys, true AS files, true AS p50, true AS p90 FROM (" + _ENTRIES + ")")
+def index_estimates(spark, d):
+    """Counts from the store's sketches: entries exact, the others within a twentieth of what counting everything gives."""
+    s = words_store(spark, d)
+    of_file = s.entries().groupBy("index_id", "file_id").agg(F.count_distinct("key").alias("n")).groupBy("index_id").agg(F.percentile_approx("n", [0.45, 0.55, 0.85, 0.95], 100_000).alias("q"))
+    exact = index.counters(_files(spark, d), s.entries()).select("index_id", F.col("keys").alias("k"), F.col("files").alias("f")).join(of_file, "index_id")
+    near = lambda a, b: F.abs(F.col(a) - F.col(b)) <= F.greatest(F.col(b) / 20, F.lit(2))
+    e = s.estimates().join(exact, "index_id")
+    return e.select("index_id", "entries", near("keys", "k").alias("keys"), near("files", "f").alias("files"), F.col("p50").between(F.col("q")[0], F.col("q")[1]).alias("p50"), F.col("p90").between(F.col("q")[2], F.col("q")[3]).alias("p90"))
+
+
 @query("SELECT p_partkey AS file_id, p_name AS key, 1 AS n FROM part WHERE p_partkey IN (SELECT l_partkey FROM lineitem WHERE l_quantity >= 49)")
 def indexed_files(spark, d):
     """Existence probe: parts that have an entry in an index over large orders."""
