@@ -14,8 +14,8 @@ with their slots unchanged.
 
 A document holds an item if a run covers RUN_TOKENS of its tokens (the whole item where that is shorter), or if all runs
 together cover the share COVER of it. Items shorter than a window are matched whole. Items of up to SHORT tokens say
-little in a longer text: such matches are reported as "short" and don't count as contamination; in a document that holds
-nothing else they are "whole" like all other matches.
+little in a longer text: such matches are reported as "short", and decontaminate() counts them if it is told to; in a
+document that holds nothing else they are "whole" like all other matches.
 
 The join. The benchmark's windows are a table of its distinct texts. Documents are cut into windows in one pass; a Bloom
 filter of the benchmark's window hashes (at most FILTER_BITS bits, so broadcast) lets hardly any other window through,
@@ -355,11 +355,12 @@ def matches(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     return out.select("doc_id", "item_id", "first_token", "n_tokens", "item_tokens", "verbatim", F.when(F.col("short"), "short").otherwise("whole").alias("kind"))
 
 
-def decontaminate(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
-    """docs without the rows that hold benchmark items."""
-    gone = sized(found(docs, benchmark).where("not short").select(F.col("key").alias("_gone")).distinct())
+def decontaminate(docs: DataFrame, benchmark: DataFrame, short: bool = False) -> DataFrame:
+    """docs without the rows that hold benchmark items; short: also without those that hold only items of up to SHORT tokens
+    within longer texts."""
+    gone = sized(found(docs, benchmark).where(F.lit(short) | ~F.col("short")).select(F.col("key").alias("_gone")).distinct())
     return docs.join(gone, F.md5(docs["text"]).cast("binary") == gone["_gone"], "left_anti")
 
 
 def op5_decontamination(spark, sf_dir: str) -> DataFrame:
-    return matches(load(spark, sf_dir, "documents"), load(spark, sf_dir, "benchmark")).where("kind = 'whole'").drop("kind")
+    return matches(load(spark, sf_dir, "documents"), load(spark, sf_dir, "benchmark"))

@@ -7,7 +7,8 @@ rows whose crc32(doc_id) mod 4 is 2 never train). Labels are of documents; which
   2. a token's features are its marked units and, if it has any, how many tokens of other words with marked units stand within
      NEAR tokens: the same word may be clean alone and toxic in company. Transitions join neighbours;
   3. the field maximises the likelihood of the labels: a clean document has only clean tokens, a toxic one at least one
-     that is toxic. The gradient is exact: a toxic document pulls its features by the forward-backward posterior given
+     that is toxic. The gradient is that of this likelihood but for bounds that keep it finite: scores of a token are held
+     within 25, and the pull of a document, which grows without end as its score falls, within 50. A toxic document pulls its features by the forward-backward posterior given
      that not all tokens are clean, less the free one; a clean one pushes by the free one. Documents are worked on in groups
      of FIT_TOKENS tokens (or one text);
   4. document scores are calibrated on the training documents from the field's probability that any token is toxic, the

@@ -46,6 +46,8 @@ def test_verbatim_against_brute_force(spark, prose, doc):
     clean = dc.decontaminate(df, b)
     assert clean.columns == df.columns
     assert clean.count() == sum(not _naive(t, items) for _, t, *_ in rows)
+    strict = dc.decontaminate(df, b, short=True)
+    assert strict.count() == sum(not _naive(t, items) and (i, 22) not in short for i, t, *_ in rows)
     assert dc.matches(df.where(F.lit(False)), b).count() == 0 and dc.matches(df, b.where(F.lit(False))).count() == 0
 
 

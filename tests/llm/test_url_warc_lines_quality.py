@@ -172,6 +172,15 @@ def test_groups_of_equal_payloads_join_by_shuffle(spark, prose, monkeypatch):
     assert got[0] == got[1] and sum(got[0].values()) == len(rows)
 
 
+def test_pages_that_share_an_id_keep_their_payloads_apart(spark):
+    a, b = "a" * 1500, "b" * 2500
+    df = spark.createDataFrame([(9, "u", a), (9, "u", b), (3, "u", a), (4, "u", b), (4, "u", b)], "page_id long, url string, html string")
+    path = fresh_path(spark, "t")
+    warc.write_warc(df, path)
+    got = sorted((r["page_id"], r["record_type"], r["refers_to"], r["payload_bytes"], r["digest_ok"]) for r in warc.read_warc(spark, path).collect())
+    assert got == [(3, "revisit", 9, 1500, True), (4, "revisit", 9, 2500, True), (4, "revisit", 9, 2500, True), (9, "response", None, 1500, True), (9, "response", None, 2500, True)]
+
+
 def test_files_are_warc(spark, prose, tmp_path):
     df = spark.createDataFrame(_pages(prose), "page_id long, url string, html string").coalesce(1)
     warc.write_warc(df, str(tmp_path / "w"))
