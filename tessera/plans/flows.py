@@ -9,7 +9,7 @@ from ..functions import text as t
 from ..operators import catalog, index, paths
 from ..operators.store import IndexStore
 from ..operators.tasks import Task, TaskGraph
-from ..sources import files as sources
+from ..sources import archives, files as sources
 from ..storage import fresh_path, saved
 from ..streaming import feeds
 from .queries import _files, query, table
@@ -117,6 +117,17 @@ def archived_files(spark, d):
     return out
 
 
+@query("SELECT source || '/' || doc_id || '.txt' AS entry, octet_length(encode(coalesce(text, ''))) AS size, sha256(coalesce(text, '')) AS hash FROM documents WHERE source = 'src2'")
+def archive_folder(spark, d):
+    """All documents written to zip archives, one a task, and those under one folder read back by ranges of entries."""
+    archives.register(spark)
+    path = fresh_path(spark, "archives")
+    entry = F.concat(F.col("source"), F.lit("/"), F.col("doc_id").cast("string"), F.lit(".txt"))
+    table(spark, d, "documents").select(entry.alias("entry"), F.encode("text", "UTF-8").alias("content")).write.format("archive").mode("append").save(path)
+    back = spark.read.format("archive").option("under", "src2/").option("splitBytes", 1 << 20).load(path)
+    return back.select("entry", "size", F.sha2("content", 256).alias("hash"))
+
+
 @query("SELECT 'project.id' AS key, 'shop' AS value UNION ALL SELECT 'project.properties.' || n_name, n_regionkey::VARCHAR FROM nation UNION ALL SELECT 'project.subprojects', string_agg(r_name, ',' ORDER BY r_regionkey) FROM region UNION ALL SELECT 'project.subproject.' || r_name || '.path', 'sub/' || r_regionkey FROM region UNION ALL SELECT 'project.plugins', 'words' UNION ALL SELECT 'project.plugin.words.option.least', '3'")
 def project_config(spark, d):
     """A project's YAML as flat properties."""
