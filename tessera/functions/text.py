@@ -191,7 +191,25 @@ def partial_ratio(a: str, b: str) -> int:
         return 100 if not b else 0
     if a in b:
         return 100
-    return max(ratio(a, b[i : i + len(a)]) for i in range(len(b) - len(a) + 1))
+    # What a stretch shares with a at most, character by character, is kept up as it slides; only stretches that can beat the
+    # best so far are aligned, the most promising first.
+    size, need = len(a), Counter(a)
+    have = Counter(b[:size])
+    shared = sum(min(n, have[c]) for c, n in need.items())
+    bounds = [(-shared, 0)]
+    for i in range(1, len(b) - size + 1):
+        out, new = b[i - 1], b[i + size - 1]
+        shared -= have[out] <= need[out]
+        have[out] -= 1
+        have[new] += 1
+        shared += have[new] <= need[new]
+        bounds.append((-shared, i))
+    best = 0
+    for less, i in sorted(bounds):
+        if int(-200 * less / (2 * size) + 0.5) <= best:
+            break
+        best = max(best, ratio(a, b[i : i + size]))
+    return best
 
 
 def token_set_partial_ratio(a: str, b: str) -> int:

@@ -294,13 +294,30 @@ def package_types(spark, d):
 _EDGES = "SELECT 'r' || n_regionkey AS src, 'n' || n_nationkey AS dst FROM nation UNION ALL SELECT 'n' || c_nationkey, 'c' || c_custkey FROM customer UNION ALL SELECT 'n' || s_nationkey, 's' || s_suppkey FROM supplier"
 
 
-@query(f"WITH RECURSIVE e AS ({_EDGES}), r AS (SELECT dst AS node, 1 AS depth FROM e WHERE src = 'r1' UNION ALL SELECT e.dst, r.depth + 1 FROM r JOIN e ON e.src = r.node WHERE r.depth < 10) SELECT node, min(depth) AS depth FROM r GROUP BY node")
-def descendants(spark, d):
+def _hierarchy(spark, d) -> DataFrame:
     tag = lambda k, c: F.concat(F.lit(k), F.col(c).cast("string"))
     e = table(spark, d, "nation").select(tag("r", "n_regionkey").alias("src"), tag("n", "n_nationkey").alias("dst"))
     e = e.unionByName(table(spark, d, "customer").select(tag("n", "c_nationkey").alias("src"), tag("c", "c_custkey").alias("dst")))
     e = e.unionByName(table(spark, d, "supplier").select(tag("n", "s_nationkey").alias("src"), tag("s", "s_suppkey").alias("dst")))
-    return graph.descendants(e, spark.createDataFrame([("r1",)], "node string"))
+    return e
+
+
+@query(f"WITH RECURSIVE e AS ({_EDGES}), r AS (SELECT dst AS node, 1 AS depth FROM e WHERE src = 'r1' UNION ALL SELECT e.dst, r.depth + 1 FROM r JOIN e ON e.src = r.node WHERE r.depth < 10) SELECT node, min(depth) AS depth FROM r GROUP BY node")
+def descendants(spark, d):
+    return graph.descendants(_hierarchy(spark, d), spark.createDataFrame([("r1",)], "node string"))
+
+
+_KEPT_EDGES = f"SELECT * FROM ({_EDGES}) WHERE NOT (dst LIKE 'n%' AND src = 'r2') AND dst NOT LIKE 'c%7'"
+
+
+@query(f"WITH RECURSIVE e AS ({_KEPT_EDGES}), r AS (SELECT src, dst FROM e UNION SELECT r.src, e.dst FROM r JOIN e ON e.src = r.dst) SELECT src, count(*) AS n, min(dst) AS first, max(dst) AS last FROM r GROUP BY src")
+def maintained_closure(spark, d):
+    """What every node of the hierarchy reaches, kept up: nations and suppliers first, customers added, some edges removed."""
+    e = _hierarchy(spark, d)
+    c = graph.Closure(e.where("dst not like 'c%'"))
+    c.add(e.where("dst like 'c%'"))
+    c.remove(e.where("(dst like 'n%' and src = 'r2') or dst like 'c%7'"))
+    return c.pairs.groupBy("src").agg(F.count("*").alias("n"), F.min("dst").alias("first"), F.max("dst").alias("last"))
 
 
 @query("SELECT o_orderkey AS file_id, (o_custkey % 50) AS \"offset\", arg_min(l_linenumber, (l_quantity::INT * 100 + l_linenumber)) AS node_id FROM orders JOIN lineitem ON l_orderkey = o_orderkey AND o_custkey % 50 BETWEEN l_linenumber AND l_linenumber + l_quantity::INT GROUP BY ALL")
