@@ -43,10 +43,10 @@ def test_registered_queries_equal_sql(spark):
     import __spark_entry__ as entry
 
     con = duckdb.connect()
-    for t in ("documents", "pages", "embeddings"):
+    for t in ("documents", "pages", "embeddings", "sales", "client_changes"):
         con.execute(f"create view {t} as select * from '{DIR}/{t}.parquet'")
     sql = {k: v for k, v in entry.oracle_sql().items() if re.match(r"op\d+_", k)}
-    assert set(sql) == {"op2_embedding_dedup", "op3_ngram_join", "op4_sharding", "op6_url_filter", "op8_mixing", "op9_warc", "op10_line_dedup"}
+    assert set(sql) == {"op2_embedding_dedup", "op3_ngram_join", "op4_sharding", "op6_url_filter", "op8_mixing", "op9_warc", "op10_line_dedup", "op13_sale_enrichment"}
     for name, text in sql.items():
         df = entry.queries()[name](spark, DIR)
         cols = sorted(df.columns)
