@@ -335,7 +335,8 @@ def _session(spark: SparkSession) -> SparkSession:
     # A start runs one batch, after which its stores are of no use to an executor; while they are open they share their memory.
     own.conf.set("spark.sql.streaming.stateStore.unloadOnCommit", "true")
     own.conf.set("spark.sql.streaming.stateStore.rocksdb.boundedMemoryUsage", "true")
-    own.conf.set("spark.sql.streaming.stateStore.rocksdb.maxMemoryUsageMB", "256")
+    own.conf.set("spark.sql.streaming.stateStore.rocksdb.maxMemoryUsageMB", "64")
+    own.conf.set("spark.sql.streaming.stateStore.rocksdb.writeBufferSizeMB", "4")
     own.conf.set("spark.sql.streaming.noDataMicroBatches.enabled", "false")
     own.conf.set("spark.sql.streaming.minBatchesToRetain", "2")
     return own
