@@ -10,8 +10,8 @@ all bytes (the lower of two as near), so that copies stay in one shard; if no su
 shard's share, as in a large group of copies, it is the edge between two doc_ids that is nearest. So tolerance is half a
 document there, and shards don't depend on how rows are partitioned.
 
-A shard is sorted in parts, whose edges only need to be about even. At most MAX_PARTS of them are told apart by the driver;
-parts of larger shards grow with them, and their sort spills.
+A shard is sorted in parts of about PART_BYTES, whose edges only need to be about even. The driver tells at most MAX_CUTS
+of them apart in all shards together, a few MB whatever the table: 100 TB are sorted in parts of half a GB.
 
 Defined results: size is the text's UTF-8 bytes plus 1, 1 for null; null and empty texts are one group with crc 0.
 Rows equal in doc_id and text can't be told apart and share a shard; a null doc_id comes before all others. Input
@@ -35,8 +35,8 @@ SHARDS = 16
 GROUP_SLACK = 0.02
 #: Probes a round for each unmet boundary, and rows of a range that are read themselves.
 PROBES, FEW = 63, 4096
-#: A shard is sorted in parts of about so many bytes, at most MAX_PARTS of them.
-PART_BYTES, MAX_PARTS = 32 << 20, 256
+#: Shards are sorted in parts of about so many bytes, in all at most MAX_CUTS of them (one for each shard at least).
+PART_BYTES, MAX_CUTS = 32 << 20, 200_000
 _GROUP, _END = 1 << 64, 1 << 128
 
 
@@ -55,10 +55,9 @@ def _array(keys) -> np.ndarray:
 
 def histogram(slim: DataFrame, probes: list[int]) -> list[tuple[int, int]]:
     """Exact (bytes, rows) with keys below each of the ascending probes. Only len(probes) + 1 sums reach the driver."""
-    blobs = [p.to_bytes(16, "big") for p in probes]
+    edges = _array(p.to_bytes(16, "big") for p in probes)
 
     def count(batches):
-        edges = _array(blobs)
         size, rows = np.zeros(len(edges) + 1, np.int64), np.zeros(len(edges) + 1, np.int64)
         for pdf in batches:
             at = np.searchsorted(edges, _array(pdf["shard_key"]), side="right")
@@ -137,7 +136,7 @@ def _part_edges(slim: DataFrame, n: int, total: int, rows: int) -> list[tuple[in
     at, done, want = {0: (0, 0), _END: (total, rows)}, {}, set(range(1, n))
     while want:
         order = sorted(at)
-        below, ask = [at[p][0] * n for p in order], set()
+        below, ranges = [at[p][0] * n for p in order], set()
         for i in list(want):
             lo, hi = _around(order, below, total * i)
             best = min((lo, hi), key=lambda p: abs(at[p][0] * n - total * i))  # noqa: B023
@@ -145,8 +144,10 @@ def _part_edges(slim: DataFrame, n: int, total: int, rows: int) -> list[tuple[in
                 done[best] = at[best][1]
                 want.discard(i)
             else:
-                ask |= _spread(lo, hi, 1, 7 if len(at) > 2 else max(PROBES, 2 * n))
-        new = sorted(ask - set(at))
+                ranges.add((lo, hi))
+        # Several edges may lie in one range, all of them at first.
+        probes = 7 if len(at) > 2 else max(PROBES, 2 * n)
+        new = sorted({p for lo, hi in ranges for p in _spread(lo, hi, 1, probes)} - set(at))
         at |= dict(zip(new, histogram(slim, new))) if new else {}
     return sorted((k, r) for k, r in done.items() if 0 < k < _END)
 
@@ -157,22 +158,22 @@ def shard(docs: DataFrame, shards: int = SHARDS) -> DataFrame:
     keyed = with_keys(docs)
     slim = saved(keyed.select("shard_key", "shard_size"), "shard")
     total, rows = slim.agg(F.sum("shard_size"), F.count("*")).first()
-    parts = int(min(MAX_PARTS, max(1, -(-(total or 0) // (shards * PART_BYTES)))))
+    parts = int(min(max(1, MAX_CUTS // shards), max(1, -(-(total or 0) // (shards * PART_BYTES)))))
     bounds = splitters(slim, shards, total, rows) if rows else []
     cuts = sorted({*bounds, *(_part_edges(slim, shards * parts, total, rows) if rows and parts > 1 else [])})
     forget(slim)
     cuts = [(k, n) for k, n in cuts if 0 < k < _END]
-    blobs = [k.to_bytes(16, "big") for k, _ in cuts]
+    edges = _array(k.to_bytes(16, "big") for k, _ in cuts)
 
     @F.pandas_udf("int")
     def place(key: pd.Series) -> pd.Series:
-        return pd.Series(np.searchsorted(_array(blobs), _array(key), side="right").astype(np.int32))
+        return pd.Series(np.searchsorted(edges, _array(key), side="right").astype(np.int32))
 
-    # One row for each part, shards * (MAX_PARTS + 1) at most: bounded, so broadcast.
-    starts = []
+    # One row for each part, shards + MAX_CUTS at most: bounded, so broadcast.
+    starts, first = [], [k for k, _ in bounds]
     for part, (key, under) in enumerate([(0, 0), *cuts]):
-        before = [n for k, n in bounds if k <= key]  # an empty shard has its bounds at one key
-        starts.append((part, len(before), under - (before[-1] if before else 0)))
+        shard_ = bisect_right(first, key)  # an empty shard has its bounds at one key
+        starts.append((part, shard_, under - (bounds[shard_ - 1][1] if shard_ else 0)))
     starts = spark.createDataFrame(starts, "shard_part int, shard_shard int, shard_start long")
     # The one exchange: rows go to their part, in order of their key.
     order = Window.partitionBy("shard_part").orderBy("shard_key")

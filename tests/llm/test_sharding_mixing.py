@@ -1,6 +1,8 @@
 import zlib
+from bisect import bisect_left
 from collections import Counter, defaultdict
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -61,6 +63,37 @@ def test_histogram_counts_exactly(spark, prose, doc):
     assert sharding.histogram(slim, probes) == [(sum(s for k, s in rows if k < p), sum(k < p for k, _ in rows)) for p in probes]
 
 
+def test_many_part_edges(spark):
+    """Edges of many parts are even where texts are small, and exact everywhere; a text of many parts is one of them."""
+    df = spark.range(30_000).selectExpr("id as doc_id", "CASE WHEN id = 7 THEN repeat('long ', 20000) ELSE concat('text ', id) END as text")
+    slim = sharding.with_keys(df).select("shard_key", "shard_size").cache()
+    rows = sorted((int.from_bytes(r[0], "big"), r[1]) for r in slim.collect())
+    keys, below = [k for k, _ in rows], [0, *np.cumsum([s for _, s in rows]).tolist()]
+    n, total = 3000, below[-1]
+    edges = sharding._part_edges(slim, n, total, len(rows))
+    assert all(under == bisect_left(keys, k) for k, under in edges)
+    cuts = [0, *(under for _, under in edges), len(rows)]
+    share, longest = total / n, max(s for _, s in rows)
+    sizes = [below[b] - below[a] for a, b in zip(cuts, cuts[1:])]
+    assert len(edges) > 2000 and sum(s > 2 * share for s in sizes) <= 1 and max(sizes) <= longest + 2 * share
+
+
+def test_parts_are_bounded_over_all_shards(spark, prose, doc, monkeypatch):
+    df = doc(spark, _docs(prose))
+    want = Counter((r["doc_id"], r["text"], r["shard_shard"]) for r in sharding.shard(df).collect())
+    asked, edges = [], sharding._part_edges
+    monkeypatch.setattr(sharding, "_part_edges", lambda slim, n, *a: asked.append(n) or edges(slim, n, *a))
+    monkeypatch.setattr(sharding, "PART_BYTES", 1)
+    for most in (5, 64):  # fewer than shards: one part each
+        monkeypatch.setattr(sharding, "MAX_CUTS", most)
+        got = sharding.shard(df).collect()
+        assert Counter((r["doc_id"], r["text"], r["shard_shard"]) for r in got) == want
+        for s in range(sharding.SHARDS):
+            slots = sorted(r["shard_slot"] for r in got if r["shard_shard"] == s)
+            assert slots == list(range(len(slots)))
+    assert asked == [64]
+
+
 def test_shards_of_nothing_and_one(spark, doc):
     df = doc(spark, [(1, "x", "en", "s")])
     assert sharding.shard(df.where("doc_id > 5")).count() == 0
