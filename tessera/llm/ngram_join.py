@@ -18,7 +18,7 @@ scanned as one, a pair of blocks of bounded bytes at a time, each by an inverted
 component never meet each other. A scan gives a forest of its links, no candidate pairs: at most one row for each set in it.
 
 The boundary between light and heavy is the size at which subsets cost less than the scans they save, from exact counts.
-Sizes above MOST_LIGHT aren't tried: one set of 25 shingles would already list thousands of subsets.
+Sizes above MOST_LIGHT aren't tried: one set of 25 shingles may already list 326,587 subsets.
 
 Hashes: shingles are 56-bit hashes of five 64-bit word hashes, sets 128-bit digests of their shingles. Everything is
 decided on these.
@@ -37,7 +37,7 @@ from __future__ import annotations
 
 import gc
 import hashlib
-from itertools import combinations
+from itertools import combinations, islice
 from math import comb
 
 import numpy as np
@@ -62,6 +62,8 @@ LOCAL = 64
 TEXTS_A_PART = 1000
 #: Sets of up to this size may be light.
 MOST_LIGHT = 24
+#: Subsets that a task holds at a time.
+SUBSETS = 20_000
 #: Leaders of a list.
 LEADERS = 4
 #: Shingles of so many bytes (or one set) make a block of a scan.
@@ -318,18 +320,23 @@ def boundary(sets: DataFrame, lists: DataFrame) -> int:
     return best
 
 
+def subsets_of(sets, most: int):
+    """(key, low, sig) of each subset that sets (sig, n, toks) list for partners of up to `most` shingles, one after another:
+    a set may list a hundred thousand."""
+    for sig, n, toks in sets:
+        t = np.sort(np.frombuffer(toks, "<u8")).tolist()
+        for p in range(need(n), min(most, 100 * n // PERCENT) + 1):
+            lo, hi, c = min(n, p), max(n, p), overlap(n, p)
+            for sub in combinations(t, c):
+                yield hashlib.md5(repr((lo, hi, sub)).encode()).digest(), n == lo, sig
+
+
 def light_links(sets: DataFrame, most: int) -> DataFrame:
     """(a, b): links among sets of at most `most` shingles, enough of them to connect all that link."""
 
     def run(batches):
-        for pdf in batches:
-            rows = []
-            for sig, n, toks in zip(pdf["sig"], pdf["n"], pdf["toks"]):
-                t = np.sort(np.frombuffer(toks, "<u8")).tolist()
-                for p in range(need(n), min(most, 100 * n // PERCENT) + 1):
-                    lo, hi, c = min(n, p), max(n, p), overlap(n, p)
-                    for sub in combinations(t, c):
-                        rows.append((hashlib.md5(repr((lo, hi, sub)).encode()).digest(), n == lo, sig))
+        listed = subsets_of((x for pdf in batches for x in zip(pdf["sig"], pdf["n"], pdf["toks"])), most)
+        while rows := list(islice(listed, SUBSETS)):
             yield pd.DataFrame(rows, columns=["key", "low", "sig"])
 
     subsets = sets.where(F.col("n") <= most).mapInPandas(run, "key binary, low boolean, sig binary")

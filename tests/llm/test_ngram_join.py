@@ -1,5 +1,6 @@
 import random
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -141,6 +142,19 @@ def test_cost_picks_a_light_boundary(spark, doc):
     assert got == _brute(texts)
 
 
+def test_subsets_come_a_few_at_a_time(spark, prose, doc, monkeypatch):
+    toks = lambda n: np.arange(n, dtype="<u8").tobytes()
+    for n in (1, 6, 14, 18):  # partners of all sizes: as many as the cost counts
+        assert sum(1 for _ in nj.subsets_of([(b"s", n, toks(n))], 100)) == nj._subsets(n, n)
+    first = next(nj.subsets_of(((bytes([k]), 60, toks(60)) for k in range(250)), 100))  # more than memory holds: never listed whole
+    assert len(first[0]) == 16 and first[1:] == (False, b"\0")
+    monkeypatch.setattr(nj, "boundary", lambda *_: 24)
+    monkeypatch.setattr(nj, "SUBSETS", 5)
+    texts = [t for i in range(12) for t in (prose(i, 9), prose(i, 9) + " end", prose(i, 9) + " two ends")]
+    got = {x["doc_id"]: (x["n_shingles"], x["component_id"]) for x in nj.components_of(doc(spark, [(i, t, "en", "s") for i, t in enumerate(texts)])).collect()}
+    assert got == _brute(texts)
+
+
 def test_very_long_text_and_exact_threshold(spark, prose, doc):
     long = prose(80, 60_000)
     # sets of 7 shingles that share 6 of 8 link (75 of 100), sets of 6 that share 5 of 7 don't
