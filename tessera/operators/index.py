@@ -210,10 +210,10 @@ def percentiles(df: DataFrame, column: str) -> DataFrame:
     return df.sparkSession.createDataFrame([tuple(row)], ", ".join(f"{name} double" for name in names))
 
 
-def sketches(rows: DataFrame) -> DataFrame:
+def sketches(rows: DataFrame, distinct: bool = False) -> DataFrame:
     """Of (index_id, file_id, key): one row an index with mergeable sketches of its distinct keys and files (HLL) and of the
-    keys that a file has (KLL), a few kB each whatever their number."""
-    each = rows.groupBy("index_id", "file_id").agg(F.count_distinct("key").alias("n"))
+    keys that a file has (KLL), a few kB each whatever their number. distinct: no row is there twice, so none need be told apart."""
+    each = rows.groupBy("index_id", "file_id").agg((F.count("key") if distinct else F.count_distinct("key")).alias("n"))
     kll = each.groupBy("index_id").agg(F.kll_sketch_agg_bigint("n").alias("per_file"))
     hll = rows.groupBy("index_id").agg(F.hll_sketch_agg("key").alias("keys"), F.hll_sketch_agg("file_id").alias("files"), F.count("*").alias("entries"))
     return hll.join(kll, "index_id")

@@ -126,6 +126,10 @@ class IndexStore:
         r = self.spark.read.schema(schema)
         return r.parquet(root) if files is None else r.option("basePath", root).parquet(*[f"{root}/{f}" for f in files])
 
+    def _empty(self, schema: str) -> DataFrame:
+        """No rows, in a form that the optimiser knows to be empty, so joins with it fall away."""
+        return self.spark.range(1).where(F.lit(False)).select(*[F.lit(None).cast(t).alias(c) for c, t in (x.split() for x in schema.split(", "))])
+
     def _read(self, m: dict, name: str, schema: str, versions: dict | None = None, files: dict[str, list[str]] | None = None) -> DataFrame:
         """Rows of a table over all layers that no later layer has retracted; files: those to read of each layer."""
         parts, layers, none = [], m["layers"], None
@@ -141,7 +145,7 @@ class IndexStore:
                 t = t.join(reduce(DataFrame.unionByName, later).distinct(), "file_id", "left_anti")
             parts.append(t)
         if not parts:
-            none = self.spark.createDataFrame([], schema)
+            none = self._empty(schema)
         return reduce(DataFrame.unionByName, parts) if parts else _unpacked(none) if name == "postings" else none
 
     def _files_of(self, m: dict, name: str, admits) -> dict[str, list[str]]:
@@ -192,7 +196,7 @@ class IndexStore:
                 t = t.join(later, "block", "left").select("block", F.array_except("ids", F.coalesce("_gone", F.array().cast("array<int>"))).alias("ids"))
             parts.append(t)
         if not parts:
-            return self.spark.createDataFrame([], "block long, ids array<int>")
+            return self._empty("block long, ids array<int>")
         # A file is in one layer at most, so blocks of layers only need to be put together.
         out = reduce(DataFrame.unionByName, parts).groupBy("block").agg(F.array_sort(F.array_distinct(F.flatten(F.collect_list("ids")))).alias("ids"))
         return out.where(F.size("ids") > 0)
@@ -204,7 +208,7 @@ class IndexStore:
         for layer in m["layers"]:
             shown = [i for i, v in self._visible(m).items() if layer["versions"].get(i) == v]
             parts.append(self._table(layer, "sketches", _SKETCHES).where(F.col("index_id").isin(*shown)))
-        return estimates(reduce(DataFrame.unionByName, parts) if parts else self.spark.createDataFrame([], _SKETCHES))
+        return estimates(reduce(DataFrame.unionByName, parts) if parts else self._empty(_SKETCHES))
 
     def ready(self) -> bool:
         """All registered definitions have been brought up at their versions."""
@@ -234,16 +238,16 @@ class IndexStore:
             f = _supported(files, d)
             lacks = f.join(done.where(F.col("index_id") == d.id).select("file_id"), "file_id", "left_anti")
             parts.append((lacks if m["versions"].get(d.id) == d.version else f).select("index_id", "file_id"))
-        return reduce(DataFrame.unionByName, parts) if parts else self.spark.createDataFrame([], "index_id string, file_id long")
+        return reduce(DataFrame.unionByName, parts) if parts else self._empty("index_id string, file_id long")
 
     # --- maintenance ------------------------------------------------------------------------------------------------
 
     def stamps(self) -> DataFrame:
         return self._read(self.manifest(), "stamps", _STAMPS)
 
-    def stale(self, files: DataFrame) -> DataFrame:
-        """files whose stamp isn't the stored one; a null stamp equals only a null stamp."""
-        s = self.stamps()
+    def stale(self, files: DataFrame, m: dict | None = None) -> DataFrame:
+        """files whose stamp isn't the stored one; a null stamp equals only a null stamp. m: the manifest to read, else the newest."""
+        s = self._read(m or self.manifest(), "stamps", _STAMPS)
         on = (files["file_id"] == s["file_id"]) & files["last_modified"].eqNullSafe(s["last_modified"]) & files["length"].eqNullSafe(s["length"])
         return files.join(s, on, "left_anti")
 
@@ -251,9 +255,11 @@ class IndexStore:
         """Bring the store to these files (all of them): new and changed are extracted, gone are retracted, unchanged are
         extracted only for indexes that lack them."""
         for left in reversed(range(TRIES)):
-            gone = self.stamps().join(files, "file_id", "left_anti").select("file_id")
+            m = self.manifest()
+            gone = self._read(m, "stamps", _STAMPS).join(files, "file_id", "left_anti").select("file_id")
             try:
-                return self.apply(self.stale(files), gone, backfill=files)
+                # Without layers all files are stale, and none is left to fill in.
+                return self._apply(m, self.stale(files, m), gone, files if m["layers"] else None, None)
             except Conflict:
                 if not left:
                     raise
@@ -266,11 +272,16 @@ class IndexStore:
         counts, then the longest, then the one of greatest hash. backfill: all files, for indexes that lack them. batch: the
         stream and number of the batch, if it may come again; one that has been published is left out.
         """
-        m = self.manifest()
+        return self._apply(self.manifest(), changed, deleted, backfill, batch)
+
+    def _apply(self, m: dict, changed: DataFrame, deleted: DataFrame, backfill: DataFrame | None, batch: tuple[str, int] | None) -> dict:
+        """apply() on the state that a manifest tells."""
         if _has(m, batch):
             return {"changed": 0, "touched": 0}
         place = F.struct(F.coalesce("last_modified", F.lit(-1)), F.coalesce("length", F.lit(-1)), F.xxhash64(*changed.columns))
-        newest = changed.groupBy("file_id").agg(F.max_by(F.struct(*changed.columns), place).alias("_f")).select("_f.*").persist()
+        newest = changed.groupBy("file_id").agg(F.max_by(F.struct(*changed.columns), place).alias("_f"))
+        # The group's own file_id, by which rows are dealt: extractors that group by it need no exchange.
+        newest = newest.select("file_id", *[F.col("_f").getField(c).alias(c) for c in changed.columns if c != "file_id"]).persist()
         touched = newest.select(F.col("file_id").cast("long")).unionByName(deleted.select(F.col("file_id").cast("long"))).distinct().persist()
         live = [d for i, d in self.definitions.items() if m["versions"].get(i) == d.version]
         new = [d for i, d in self.definitions.items() if m["versions"].get(i) != d.version] if backfill is not None or not m["layers"] else []
@@ -280,7 +291,7 @@ class IndexStore:
             entries.append(run_all(rest, new))
             done += [_supported(rest, d) for d in new]
         versions = {**m["versions"], **{d.id: d.version for d in live + new}}
-        union = lambda parts, schema: reduce(DataFrame.unionByName, parts) if parts else self.spark.createDataFrame([], schema)
+        union = lambda parts, schema: reduce(DataFrame.unionByName, parts) if parts else self._empty(schema)
         stamps = newest.select("file_id", "last_modified", "length").select(*[F.col(c).cast("long") for c in ("file_id", "last_modified", "length")])
         layer = self._layer(union(entries, ENTRY), union(done, _DONE), stamps, touched, versions)
         self._commit(layer, {d.id: d.version for d in live + new}, m, batch)
@@ -296,17 +307,21 @@ class IndexStore:
         name = f"layer-{uuid.uuid4().hex}"
         root = f"{self.root}/{name}"
         # A key's files in blocks: the group of a key and block has the files of one block only, however hot the key is.
-        packed = entries.groupBy("index_id", "key", _block("file_id").alias("block")).agg(F.array_sort(F.collect_list(F.struct(_offset("file_id").alias("id"), "value"))).alias("_f"))
+        # One exchange by ranges serves the grouping, the order of the rows and that of the files. The id of an only index is a
+        # constant, which the grouping doesn't have, so it isn't dealt by.
+        by = ["index_id", "key", "block"] if len(versions) > 1 else ["key", "block"]
+        dealt = entries.withColumn("block", _block("file_id")).repartitionByRange(*by)
+        packed = dealt.groupBy("index_id", "key", "block").agg(F.array_sort(F.collect_list(F.struct(_offset("file_id").alias("id"), "value"))).alias("_f"))
         packed = packed.select("index_id", "key", "block", F.col("_f.id").alias("ids"), F.col("_f.value").alias("values"))
-        dealt = packed.repartitionByRange("index_id", "key", "block").sortWithinPartitions("index_id", "key", "block")
+        packed = packed.sortWithinPartitions("index_id", "key", "block")
         blooms = {"parquet.bloom.filter.enabled#key": "true", "parquet.bloom.filter.adaptive.enabled": "true", "parquet.bloom.filter.max.bytes": str(1 << 20)}
-        dealt.write.partitionBy("index_id").options(**blooms).parquet(f"{root}/postings")
+        packed.write.partitionBy("index_id").options(**blooms).parquet(f"{root}/postings")
         layer = {"name": name, "versions": versions}
         # What has been written is read again, so nothing is extracted twice.
-        back = _unpacked(self._table(layer, "postings", _POSTINGS)).select("file_id", "key", "index_id").distinct()
-        back.repartitionByRange("index_id", "file_id").sortWithinPartitions("index_id", "file_id", "key").write.partitionBy("index_id").parquet(f"{root}/forward")
+        back = _unpacked(self._table(layer, "postings", _POSTINGS)).select("file_id", "key", "index_id")
+        back.repartitionByRange("index_id", "file_id").distinct().sortWithinPartitions("index_id", "file_id", "key").write.partitionBy("index_id").parquet(f"{root}/forward")
         self._zones(layer).write.parquet(f"{root}/zones")
-        sketches(self._table(layer, "forward", _FORWARD)).write.parquet(f"{root}/sketches")
+        sketches(self._table(layer, "forward", _FORWARD), distinct=True).write.parquet(f"{root}/sketches")
         done.write.partitionBy("index_id").parquet(f"{root}/done")
         stamps.write.parquet(f"{root}/stamps")
         gone.write.parquet(f"{root}/gone")
@@ -319,10 +334,12 @@ class IndexStore:
         parts = []
         for name, schema, lo, hi in (("postings", _POSTINGS, F.min(low("block")), F.max(low("block") + size)), ("forward", _FORWARD, F.min("file_id"), F.max("file_id"))):
             root = f"{self.root}/{layer['name']}/{name}"
+            # Grouped by paths as they are: what is derived from a path is worked out once a file, not once a row.
+            t = self.spark.read.schema(schema).parquet(root).groupBy(F.col("_metadata.file_path").alias("path"), "index_id")
+            t = t.agg(F.min("key").alias("key_lo"), F.max("key").alias("key_hi"), lo.alias("id_lo"), hi.alias("id_hi"), F.count("*").alias("rows"))
             # Names from the table's folder on, as they stand in its index_id folders.
-            file = F.url_decode(F.replace(F.regexp_extract("_metadata.file_path", r"([^/]+/[^/]+)$", 1), F.lit("+"), F.lit("%2B")))
-            t = self.spark.read.schema(schema).parquet(root).groupBy(file.alias("file"), "index_id")
-            parts.append(t.agg(F.min("key").alias("key_lo"), F.max("key").alias("key_hi"), lo.alias("id_lo"), hi.alias("id_hi"), F.count("*").alias("rows")).withColumn("name", F.lit(name)))
+            file = F.url_decode(F.replace(F.substring_index("path", "/", -2), F.lit("+"), F.lit("%2B")))
+            parts.append(t.withColumns({"file": file, "name": F.lit(name)}))
         return reduce(DataFrame.unionByName, parts).select(*[c.split()[0] for c in _ZONES.split(", ")]).coalesce(1)
 
     def compact(self) -> None:
@@ -331,7 +348,7 @@ class IndexStore:
         if not m["layers"]:
             return
         now = lambda name, schema, v: self._read(m, name, schema, v)
-        layer = self._layer(now("postings", _POSTINGS, m["versions"]), now("done", _DONE, m["versions"]), now("stamps", _STAMPS, None), self.spark.createDataFrame([], _GONE), m["versions"])
+        layer = self._layer(now("postings", _POSTINGS, m["versions"]), now("done", _DONE, m["versions"]), now("stamps", _STAMPS, None), self._empty(_GONE), m["versions"])
         seen = [x["name"] for x in m["layers"]]
         for _ in range(TRIES):
             latest = self.manifest()

@@ -62,6 +62,25 @@ def test_version_change_hides_old_entries(spark, tmp_path, version):
     assert rows(s.entries(), "key") == [("/a.x",)]
 
 
+def test_a_new_store_is_filled_with_few_exchanges(spark, tmp_path):
+    """What names a file is worked out once a file and not once an entry; a first fill joins nothing."""
+    s = stores.IndexStore(spark, str(tmp_path / "s"))
+    s.register(index.IndexDefinition("a+b %2B", 1, index.words()))
+    f = spark.createDataFrame([(i, f"/f{i}", "x y" if i % 2 else "y z z", 0, 3) for i in range(50)], "file_id long, path string, text string, last_modified long, length long")
+    written = []
+    write, s._layer = s._layer, lambda *a: written.append(a) or write(*a)
+    s.refresh(f)
+    entries, _, stamps, gone, _ = written[0]
+    plan = lambda df: df._jdf.queryExecution().optimizedPlan().toString()
+    assert not any("Join" in plan(df) for df in (entries, stamps, gone))
+    zones = plan(s._zones(s.manifest()["layers"][0]))
+    grouping = [line.split("], [")[0] for line in zones.splitlines() if "Aggregate [" in line]
+    assert grouping and not any("url_decode" in g or "regexp" in g or "substring" in g for g in grouping)
+    assert sorted(tuple(r) for r in s.find("a+b %2B", "z").select("file_id", "value").collect()) == [(i, "2") for i in range(0, 50, 2)]
+    assert sorted(r["key"] for r in s.keys_of("a+b %2B", 1).collect()) == ["x", "y"]
+    assert s.estimates().select("entries", "keys", "files").first() == (100, 3, 50)
+
+
 def test_incremental_equals_rebuild(spark, tmp_path):
     words = index.IndexDefinition("words", 1, index.words())
     one, two = (stores.IndexStore(spark, str(tmp_path / n)) for n in ("one", "two"))
