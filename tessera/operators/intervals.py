@@ -15,16 +15,19 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, functions as F
 
 _LEVELS = "cast(floor(log2(greatest(_e - _s + 1, 1L))) + 1 as int)"
-_LO, _HI = "-shiftright(-_s, l)", "shiftright(_e + 1, l)"
-_PIECES = f"""flatten(transform(sequence(0, least({_LEVELS}, 62)), l -> filter(array(
-    if({_LO} < {_HI} and ({_LO}) % 2 <> 0, struct(l as level, {_LO} as bin), null),
-    if({_LO} < {_HI} and {_HI} % 2 <> 0, struct(l as level, {_HI} - 1 as bin), null)), p -> p is not null)))"""
+_LO, _HI = "-shiftright(-_s, _level)", "shiftright(_e + 1, _level)"
 
 
 def binned(spans: DataFrame, start: str = "start", end: str = "end") -> DataFrame:
-    """spans with _level and _bin, one row a bin that the span is cut into."""
+    """spans with _level and _bin, one row a bin that the span is cut into.
+
+    A level is a row before its bins are worked out: that is compiled code, where functions over arrays are interpreted.
+    """
     s = spans.where(F.col(start) <= F.col(end)).withColumn("_s", F.col(start).cast("long")).withColumn("_e", F.col(end).cast("long"))
-    return s.withColumn("_p", F.explode(F.expr(_PIECES))).select(*spans.columns, F.col("_p.level").alias("_level"), F.col("_p.bin").alias("_bin"))
+    s = s.withColumn("_level", F.explode(F.sequence(F.lit(0), F.least(F.expr(_LEVELS), F.lit(62)))))
+    s = s.withColumn("_lo", F.expr(_LO)).withColumn("_hi", F.expr(_HI)).where("_lo < _hi")
+    ends = F.array(F.when(F.col("_lo") % 2 != 0, F.col("_lo")), F.when(F.col("_hi") % 2 != 0, F.col("_hi") - 1))
+    return s.select(*spans.columns, "_level", F.explode(ends).alias("_bin")).where("_bin is not null")
 
 
 def levels_of(bins: DataFrame) -> list[int]:

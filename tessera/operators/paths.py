@@ -5,7 +5,7 @@ from __future__ import annotations
 from functools import reduce
 from operator import or_
 
-from pyspark.sql import Column, DataFrame, Window, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F, types as T
 
 from ..functions.text import in_or_under
 from . import intervals
@@ -18,6 +18,10 @@ KEYWORDS = {
 }
 
 
+#: What a length counts in a rank, more than there are whole numbers of 64 bits; lengths are at most 2**62, so ranks have 38 digits.
+_WORD, _HALF = "cast('20000000000000000000' as decimal(20,0))", f"cast('{(1 << 63) + 1}' as decimal(20,0))"
+
+
 def everything() -> Column:
     return F.lit(True)
 
@@ -97,14 +101,24 @@ def context_of(points: DataFrame, spans: DataFrame) -> DataFrame:
     return most.select(*keys, F.when(F.col("_m") == 2, "code_block").when(F.col("_m") == 1, "class_body").otherwise("top_level").alias("context"))
 
 
-def innermost(points: DataFrame, spans: DataFrame) -> DataFrame:
-    """points (file_id, offset) with node_id of the shortest span around each (then the least id); none: no row.
+def innermost(points: DataFrame, spans: DataFrame, number: str | None = None) -> DataFrame:
+    """points (file_id, offset) with node_id of the shortest span around each (then the least id); none: no row. number: a column
+    for how many spans are around it, added up over the rows of a point that is there more than once.
 
-    Bins of spans keep their least (length, node) before points meet them, so a point meets one row a level.
+    Bins of spans keep their least (length, node) and their number before points meet them, so a point meets one row a level.
     """
-    best = F.min(F.struct((F.col("end") - F.col("start")).alias("w"), "node_id"))
-    around = intervals.best_inside(points, spans.select("file_id", "node_id", "start", "end"), best)
-    return around.groupBy(*points.columns).agg(F.min("_best").alias("_b")).select(*points.columns, F.col("_b.node_id").alias("node_id"))
+    of = spans.schema["node_id"].dataType
+    length = F.col("end").cast("long") - F.col("start").cast("long")
+    whole = isinstance(of, (T.ByteType, T.ShortType, T.IntegerType, T.LongType))
+    # Length and whole number of the node (null: 0) as one number: its least is kept in place, by hashing, where a struct's takes
+    # a sort.
+    word, half = F.expr(_WORD), F.expr(_HALF)
+    rank = length.cast("decimal(19,0)") * word + F.coalesce(F.col("node_id").cast("decimal(20,0)") + half, F.lit(0)) if whole else F.struct(length.alias("w"), "node_id")
+    ranked = spans.where(F.col("start") <= F.col("end")).select("file_id", rank.alias("rank"), "start", "end")
+    around = intervals.best_inside(points, ranked, F.struct(F.min("rank").alias("rank"), F.count("*").alias("n")))
+    best = around.groupBy(*points.columns).agg(F.min("_best.rank").alias("_b"), F.sum("_best.n").alias("_n"))
+    node = F.when(F.col("_b") % word > 0, (F.col("_b") % word - half).cast(of)) if whole else F.col("_b.node_id")
+    return best.select(*points.columns, node.alias("node_id"), *([F.col("_n").alias(number)] if number else []))
 
 
 def first_language(files: DataFrame, languages: list[tuple[str, list[str]]]) -> DataFrame:

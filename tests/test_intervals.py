@@ -65,6 +65,19 @@ def test_nested_spans_meet_a_point_once_a_level(spark):
     assert intervals.best_inside(points, spans, intervals.F.min("node_id")).count() <= 14
 
 
+def test_innermost_is_found_by_hashing(spark):
+    """No sort of bins, no functions over arrays, and the number of spans without a row for each."""
+    big = (1 << 63) - 1
+    spans = spark.createDataFrame([(0, big, 1, 5), (0, -big - 1, 3, 7), (0, None, 0, 9), (0, 4, 0, 1 << 61)], SPAN)
+    points = spark.createDataFrame([(0, 4), (0, 4), (0, 2), (0, 8), (0, 100), (0, -1)], POINT)
+    got = paths.innermost(points, spans, "n")
+    assert sorted(map(tuple, got.collect())) == [(0, 2, big, 3), (0, 4, -big - 1, 8), (0, 8, None, 2), (0, 100, 4, 1)]
+    words = paths.innermost(points, spans.withColumn("node_id", spans["node_id"].cast("string")))
+    assert sorted(map(tuple, words.collect())) == [(0, 2, str(big)), (0, 4, str(-big - 1)), (0, 8, None), (0, 100, "4")]
+    plan = got._jdf.queryExecution().executedPlan().toString()
+    assert "SortAggregate" not in plan and "lambda" not in plan and plan.count("HashAggregate") >= 4
+
+
 def test_empty(spark):
     p, s = spark.createDataFrame([], POINT), spark.createDataFrame([], SPAN)
     one = spark.createDataFrame([(1, 5)], POINT)
