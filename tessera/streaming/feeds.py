@@ -25,9 +25,13 @@ def in_lanes(rows: DataFrame, lane: str, order: list[str]) -> DataFrame:
     return rows.repartition(lane).sortWithinPartitions(lane, *order)
 
 
-class _Slot(StatefulProcessor):
-    """The newest submission of a slot. With times, the slot is forgotten `keep` ms after its last submission, by a timer on
-    event time; without, by the state's time to live."""
+#: Keys of the state that slots are dealt over by hash. Calls to Python are one a key and batch, however many slots it has.
+BUCKETS = 256
+
+
+class _Slots(StatefulProcessor):
+    """The newest submission of each slot of a bucket. With times, a slot is forgotten `keep` ms after its last submission, by a
+    timer on event time, which stands at the bucket's least; without, `keep` ms after it on the clock."""
 
     def __init__(self, keep: int | None, timed: bool):
         self.keep, self.timed = keep, timed
@@ -35,39 +39,71 @@ class _Slot(StatefulProcessor):
     def init(self, handle) -> None:
         self.handle = handle
         lives = {} if self.timed or self.keep is None else {"ttlDurationMs": self.keep}
-        self.state = handle.getValueState("slot", "seq long, due long", **lives)
+        self.state = handle.getValueState("slots", "lanes array<string>, keys array<string>, seqs array<bigint>, dues array<bigint>, timer bigint", **lives)
+
+    def _load(self) -> tuple[dict, int | None]:
+        """{(lane, key): (seq, due)} and the timer."""
+        if not self.state.exists():
+            return {}, None
+        lanes, keys, seqs, dues, timer = self.state.get()
+        return dict(zip(zip(lanes, keys), zip(seqs, dues))), timer
+
+    def _store(self, slots: dict, timer: int | None) -> None:
+        least = min((due for _, due in slots.values()), default=None) if self.timed and self.keep is not None else None
+        if least != timer:
+            if timer is not None:
+                self.handle.deleteTimer(timer)
+            if least is not None:
+                self.handle.registerTimer(least)
+        if slots:
+            self.state.update(([x for x, _ in slots], [x for _, x in slots], [x for x, _ in slots.values()], [x for _, x in slots.values()], least))
+        else:
+            self.state.clear()
 
     def handleInputRows(self, key, rows, timerValues):
-        top, due = self.state.get() if self.state.exists() else (None, None)
-        seen, at = top, due
+        slots, timer = self._load()
+        clock = None
+        if self.keep is not None and not self.timed:
+            clock = timerValues.getCurrentProcessingTimeInMs()
+            slots = {k: x for k, x in slots.items() if x[1] > clock}
+        newer = {}
         for pdf in rows:
-            most = int(pdf["seq"].max())
-            seen = most if seen is None else max(seen, most)
-            if self.timed and self.keep is not None:
-                ends = int(pdf["ms"].max()) + self.keep
-                at = ends if at is None else max(at, ends)
-        if at != due:
-            if due is not None:
-                self.handle.deleteTimer(due)
-            self.handle.registerTimer(at)
-        self.state.update((seen, at))
-        if top is None or seen > top:
-            yield pd.DataFrame({"kind": ["kept"], "lane": [key[0]], "key": [key[1]], "seq": [seen]})
+            # Text columns give None for null; times are there whenever slots end by them.
+            times = pdf["ms"].tolist() if self.timed else [clock] * len(pdf)
+            for lane, name, seq, ms in zip(pdf["lane"].tolist(), pdf["key"].tolist(), pdf["seq"].tolist(), times):
+                top, due = slots.get((lane, name), (None, None))
+                ends = None if self.keep is None else ms + self.keep
+                if top is None or seq > top:
+                    top = newer[lane, name] = seq
+                slots[lane, name] = top, ends if due is None else max(due, ends)
+        self._store(slots, timer)
+        if newer:
+            yield _told("kept", newer)
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo):
-        top, due = self.state.get() if self.state.exists() else (None, None)
-        if due == expiredTimerInfo.getExpiryTimeInMs():
-            self.state.clear()
-            yield pd.DataFrame({"kind": ["expired"], "lane": [key[0]], "key": [key[1]], "seq": [top]})
+        slots, timer = self._load()
+        if timer != expiredTimerInfo.getExpiryTimeInMs():
+            return
+        mark = timerValues.getCurrentWatermarkInMs()
+        over = {k: seq for k, (seq, due) in slots.items() if due <= mark}
+        # The timer that went off is no longer there to be deleted.
+        self._store({k: x for k, x in slots.items() if k not in over}, None)
+        if over:
+            yield _told("expired", over)
 
     def close(self) -> None:
         pass
 
 
+def _told(kind: str, slots: dict) -> pd.DataFrame:
+    return pd.DataFrame({"kind": [kind] * len(slots), "lane": [lane for lane, _ in slots], "key": [key for _, key in slots], "seq": list(slots.values())})
+
+
 def latest_stream(stream: DataFrame, lane: str, key: str, seq: str, at: str | None = None, keep_ms: int | None = None, late_ms: int = 0) -> DataFrame:
     """(kind, lane, key, seq): submissions that are newer than all before them in their slot; stale ones are dropped.
 
-    State is one row per slot, kept in RocksDB (the session must name that provider; rocksdb() does). keep_ms bounds how long:
+    State is one row per bucket of slots, BUCKETS by hash, kept in RocksDB (the session must name that provider; rocksdb() does):
+    a checkpoint stays with the number it began with. A bucket that gets rows is read and written whole. keep_ms bounds how long:
     with a column of event times `at`, a slot expires (kind 'expired') once the watermark, late_ms behind the latest time, is
     keep_ms past its last submission, and rows behind the watermark are dropped as late; without one, state lives keep_ms
     on the clock. Rows without a number or, where there is one, a time are left out.
@@ -78,7 +114,8 @@ def latest_stream(stream: DataFrame, lane: str, key: str, seq: str, at: str | No
     else:
         s = s.where("seq is not null")
     mode = "EventTime" if at else "ProcessingTime" if keep_ms is not None else "None"
-    return s.groupBy("lane", "key").transformWithStateInPandas(_Slot(keep_ms, at is not None), "kind string, lane string, key string, seq long", "Append", mode)
+    s = s.withColumn("bucket", F.pmod(F.xxhash64("lane", "key"), F.lit(BUCKETS)).cast("int"))
+    return s.groupBy("bucket").transformWithStateInPandas(_Slots(keep_ms, at is not None), "kind string, lane string, key string, seq long", "Append", mode)
 
 
 def window_counts(stream: DataFrame, at: str, every: str, late: str, *keys: str) -> DataFrame:

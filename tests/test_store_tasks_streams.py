@@ -313,6 +313,23 @@ def test_slots_expire_and_late_submissions_are_dropped(spark, tmp_path):
     assert [r[1:] for r in got if r[0] == "expired"] == [("a", 5), ("b", 9)]
 
 
+def test_slots_of_a_bucket_share_a_state(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(feeds, "BUCKETS", 1)
+    own, path = feeds.rocksdb(spark), str(tmp_path / "in")
+    batches = [[(None, "a", 1, 1), ("l", None, 2, 10), ("l", "c", 3, 20), *[("m", f"k{i}", i, 20) for i in range(50)]], [("l", "c", 4, 75)], [("n", "d", 5, 90)], [("n", "d", 6, 91)]]
+    for b in batches:
+        spark.createDataFrame(b, "lane string, key string, seq long, s long").withColumn("at", F.timestamp_seconds("s")).coalesce(1).write.mode("append").parquet(path)
+    s = feeds.latest_stream(feeds.read_in_batches(own, path, "lane string, key string, seq long, at timestamp", 1), "lane", "key", "seq", "at", 60_000)
+    q = s.writeStream.format("memory").queryName("bucket").option("checkpointLocation", str(tmp_path / "c")).trigger(availableNow=True).start()
+    q.awaitTermination()
+    got = set(rows(own.table("bucket")))
+    many = [("m", f"k{i}", i) for i in range(50)]
+    told = [(None, "a", 1), ("l", None, 2), ("l", "c", 3), *many, ("l", "c", 4), ("n", "d", 5), ("n", "d", 6)]
+    assert got == {("kept", *x) for x in told} | {("expired", *x) for x in [(None, "a", 1), ("l", None, 2), *many]}
+    # 53 slots, but one state and its timer (which has two rows)
+    assert max(o["numRowsTotal"] for p in q.recentProgress for o in p["stateOperators"]) <= 4
+
+
 def test_streamed_maintenance(spark, tmp_path):
     ev = "op string, file_id long, seq long, path string, text string, last_modified long, length long"
     spark.createDataFrame([("created", 1, 1, "/a", "class A", 1, 1), ("created", 2, 2, "/b", "class B", 1, 1)], ev).coalesce(1).write.parquet(str(tmp_path / "in"))
