@@ -210,13 +210,19 @@ def percentiles(df: DataFrame, column: str) -> DataFrame:
     return df.sparkSession.createDataFrame([tuple(row)], ", ".join(f"{name} double" for name in names))
 
 
-def sketches(rows: DataFrame, distinct: bool = False) -> DataFrame:
+def sketched() -> list[Column]:
+    """Aggregates of (file_id, key): mergeable sketches (HLL) of keys and of files, and the rows."""
+    return [F.hll_sketch_agg("key").alias("keys"), F.hll_sketch_agg("file_id").alias("files"), F.count("*").alias("entries")]
+
+
+def sketches(rows: DataFrame, parts: DataFrame | None = None) -> DataFrame:
     """Of (index_id, file_id, key): one row an index with mergeable sketches of its distinct keys and files (HLL) and of the
-    keys that a file has (KLL), a few kB each whatever their number. distinct: no row is there twice, so none need be told apart."""
-    each = rows.groupBy("index_id", "file_id").agg((F.count("key") if distinct else F.count_distinct("key")).alias("n"))
+    keys that a file has (KLL), a few kB each whatever their number. parts: sketched() of parts of rows, in which no key is there
+    twice for a file, so none need be told apart."""
+    each = rows.groupBy("index_id", "file_id").agg((F.count_distinct("key") if parts is None else F.count("*")).alias("n"))
     kll = each.groupBy("index_id").agg(F.kll_sketch_agg_bigint("n").alias("per_file"))
-    hll = rows.groupBy("index_id").agg(F.hll_sketch_agg("key").alias("keys"), F.hll_sketch_agg("file_id").alias("files"), F.count("*").alias("entries"))
-    return hll.join(kll, "index_id")
+    whole = sketched() if parts is None else [F.hll_union_agg("keys").alias("keys"), F.hll_union_agg("files").alias("files"), F.sum("entries").alias("entries")]
+    return (rows if parts is None else parts).groupBy("index_id").agg(*whole).join(kll, "index_id")
 
 
 def estimates(sketched: DataFrame) -> DataFrame:

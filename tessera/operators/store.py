@@ -5,7 +5,8 @@ Parquet tables:
 
 - postings, by index_id: what is filed under a key, in blocks of BLOCK file numbers, so that a key that every file has is many
   rows of bounded size. Range-partitioned and sorted by key and block, with Bloom filters on the key.
-- forward, by index_id: file_id and key, range-partitioned and sorted by file, for the other direction.
+- forward, by index_id: what was extracted, file_id, key and value, dealt by ranges of files and sorted by file, for the other
+  direction. Postings are made of it, so texts are read and cut up once.
 - zones: least and greatest key and file of every file of these two. A lookup reads zones first and then opens only the files
   that can hold what it looks for; in those the scan's filters and the Bloom filters skip row groups.
 - sketches: of each index, its keys, files and keys a file, to be merged over layers.
@@ -31,10 +32,10 @@ from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from .index import ENTRY, IndexDefinition, estimates, run_all, sketches
+from .index import ENTRY, IndexDefinition, estimates, run_all, sketched, sketches
 
 _DONE, _STAMPS, _GONE = "file_id long, index_id string", "file_id long, last_modified long, length long", "file_id long"
-_POSTINGS, _FORWARD = "key string, block long, ids array<int>, values array<string>, index_id string", "file_id long, key string, index_id string"
+_POSTINGS, _FORWARD = "key string, block long, ids array<int>, values array<string>, index_id string", "file_id long, key string, value string, index_id string"
 _ZONES = "name string, file string, index_id string, key_lo string, key_hi string, id_lo long, id_hi long, rows long"
 _SKETCHES = "index_id string, keys binary, files binary, entries long, per_file binary"
 #: A block is the files whose numbers differ in these low bits only.
@@ -279,15 +280,16 @@ class IndexStore:
         if _has(m, batch):
             return {"changed": 0, "touched": 0}
         place = F.struct(F.coalesce("last_modified", F.lit(-1)), F.coalesce("length", F.lit(-1)), F.xxhash64(*changed.columns))
-        newest = changed.groupBy("file_id").agg(F.max_by(F.struct(*changed.columns), place).alias("_f"))
-        # The group's own file_id, by which rows are dealt: extractors that group by it need no exchange.
+        newest = changed.repartitionByRange("file_id").groupBy("file_id").agg(F.max_by(F.struct(*changed.columns), place).alias("_f"))
+        # The group's own file_id, by whose ranges rows are dealt: extractors that group by it need no exchange, and what they
+        # give lies by ranges of files.
         newest = newest.select("file_id", *[F.col("_f").getField(c).alias(c) for c in changed.columns if c != "file_id"]).persist()
         touched = newest.select(F.col("file_id").cast("long")).unionByName(deleted.select(F.col("file_id").cast("long"))).distinct().persist()
         live = [d for i, d in self.definitions.items() if m["versions"].get(i) == d.version]
         new = [d for i, d in self.definitions.items() if m["versions"].get(i) != d.version] if backfill is not None or not m["layers"] else []
         entries, done, rest = [run_all(newest, live + new)], [_supported(newest, d) for d in live + new], None
         if backfill is not None and new:
-            rest = backfill.join(touched, "file_id", "left_anti").persist()
+            rest = backfill.join(touched, "file_id", "left_anti").repartitionByRange("file_id").persist()
             entries.append(run_all(rest, new))
             done += [_supported(rest, d) for d in new]
         versions = {**m["versions"], **{d.id: d.version for d in live + new}}
@@ -304,43 +306,45 @@ class IndexStore:
         return counts
 
     def _layer(self, entries: DataFrame, done: DataFrame, stamps: DataFrame, gone: DataFrame, versions: dict) -> dict:
+        """Write a layer; entries come dealt by ranges of files."""
         name = f"layer-{uuid.uuid4().hex}"
-        root = f"{self.root}/{name}"
+        root, layer = f"{self.root}/{name}", {"name": name, "versions": versions}
+        entries.select("file_id", "key", "value", "index_id").sortWithinPartitions("index_id", "file_id", "key").write.partitionBy("index_id").parquet(f"{root}/forward")
+        # What has been written is read again, so nothing is extracted twice, also not for the bounds of the ranges.
+        back = self._table(layer, "forward", _FORWARD).withColumn("block", _block("file_id"))
         # A key's files in blocks: the group of a key and block has the files of one block only, however hot the key is.
-        # One exchange by ranges serves the grouping, the order of the rows and that of the files. The id of an only index is a
-        # constant, which the grouping doesn't have, so it isn't dealt by.
-        by = ["index_id", "key", "block"] if len(versions) > 1 else ["key", "block"]
-        dealt = entries.withColumn("block", _block("file_id")).repartitionByRange(*by)
+        # One exchange by ranges serves the grouping, the order of the rows and that of the files.
+        dealt = back.repartitionByRange("index_id", "key", "block")
         packed = dealt.groupBy("index_id", "key", "block").agg(F.array_sort(F.collect_list(F.struct(_offset("file_id").alias("id"), "value"))).alias("_f"))
         packed = packed.select("index_id", "key", "block", F.col("_f.id").alias("ids"), F.col("_f.value").alias("values"))
         packed = packed.sortWithinPartitions("index_id", "key", "block")
         blooms = {"parquet.bloom.filter.enabled#key": "true", "parquet.bloom.filter.adaptive.enabled": "true", "parquet.bloom.filter.max.bytes": str(1 << 20)}
         packed.write.partitionBy("index_id").options(**blooms).parquet(f"{root}/postings")
-        layer = {"name": name, "versions": versions}
-        # What has been written is read again, so nothing is extracted twice.
-        back = _unpacked(self._table(layer, "postings", _POSTINGS)).select("file_id", "key", "index_id")
-        back.repartitionByRange("index_id", "file_id").distinct().sortWithinPartitions("index_id", "file_id", "key").write.partitionBy("index_id").parquet(f"{root}/forward")
-        self._zones(layer).write.parquet(f"{root}/zones")
-        sketches(self._table(layer, "forward", _FORWARD), distinct=True).write.parquet(f"{root}/sketches")
+        # Sketches a file, in one pass with the zones: a task has a few files, so it groups them by hashing and sorts no rows.
+        forward = self._of_files(layer, "forward", *sketched()).persist()
+        self._zones(layer, forward).write.parquet(f"{root}/zones")
+        sketches(self._table(layer, "forward", _FORWARD), forward).write.parquet(f"{root}/sketches")
+        forward.unpersist()
         done.write.partitionBy("index_id").parquet(f"{root}/done")
         stamps.write.parquet(f"{root}/stamps")
         gone.write.parquet(f"{root}/gone")
         return layer
 
-    def _zones(self, layer: dict) -> DataFrame:
-        """One row a file of postings and forward."""
-        low = lambda c: F.shiftleft(F.col(c), BLOCK_BITS)
-        size = (1 << BLOCK_BITS) - 1
-        parts = []
-        for name, schema, lo, hi in (("postings", _POSTINGS, F.min(low("block")), F.max(low("block") + size)), ("forward", _FORWARD, F.min("file_id"), F.max("file_id"))):
-            root = f"{self.root}/{layer['name']}/{name}"
-            # Grouped by paths as they are: what is derived from a path is worked out once a file, not once a row.
-            t = self.spark.read.schema(schema).parquet(root).groupBy(F.col("_metadata.file_path").alias("path"), "index_id")
-            t = t.agg(F.min("key").alias("key_lo"), F.max("key").alias("key_hi"), lo.alias("id_lo"), hi.alias("id_hi"), F.count("*").alias("rows"))
-            # Names from the table's folder on, as they stand in its index_id folders.
-            file = F.url_decode(F.replace(F.substring_index("path", "/", -2), F.lit("+"), F.lit("%2B")))
-            parts.append(t.withColumns({"file": file, "name": F.lit(name)}))
-        return reduce(DataFrame.unionByName, parts).select(*[c.split()[0] for c in _ZONES.split(", ")]).coalesce(1)
+    def _of_files(self, layer: dict, name: str, *more) -> DataFrame:
+        """One row a file of postings or forward: its zone, and more aggregates."""
+        low, size = F.shiftleft("block", BLOCK_BITS), (1 << BLOCK_BITS) - 1
+        schema, lo, hi = (_POSTINGS, low, low + size) if name == "postings" else (_FORWARD, F.col("file_id"), F.col("file_id"))
+        # Grouped by paths as they are: what is derived from a path is worked out once a file, not once a row.
+        t = self._table(layer, name, schema).groupBy(F.col("_metadata.file_path").alias("path"), "index_id")
+        t = t.agg(F.min("key").alias("key_lo"), F.max("key").alias("key_hi"), F.min(lo).alias("id_lo"), F.max(hi).alias("id_hi"), F.count("*").alias("rows"), *more)
+        # Names from the table's folder on, as they stand in its index_id folders.
+        file = F.url_decode(F.replace(F.substring_index("path", "/", -2), F.lit("+"), F.lit("%2B")))
+        return t.withColumns({"file": file, "name": F.lit(name)})
+
+    def _zones(self, layer: dict, forward: DataFrame | None = None) -> DataFrame:
+        """One row a file of postings and forward; forward: _of_files of that, if it is there."""
+        parts = [self._of_files(layer, "postings"), self._of_files(layer, "forward") if forward is None else forward]
+        return reduce(DataFrame.unionByName, [p.select(*[c.split()[0] for c in _ZONES.split(", ")]) for p in parts]).coalesce(1)
 
     def compact(self) -> None:
         """All layers as one, without what is retracted or of versions no longer current."""
@@ -348,7 +352,8 @@ class IndexStore:
         if not m["layers"]:
             return
         now = lambda name, schema, v: self._read(m, name, schema, v)
-        layer = self._layer(now("postings", _POSTINGS, m["versions"]), now("done", _DONE, m["versions"]), now("stamps", _STAMPS, None), self._empty(_GONE), m["versions"])
+        entries = now("forward", _FORWARD, m["versions"]).repartitionByRange("index_id", "file_id")
+        layer = self._layer(entries, now("done", _DONE, m["versions"]), now("stamps", _STAMPS, None), self._empty(_GONE), m["versions"])
         seen = [x["name"] for x in m["layers"]]
         for _ in range(TRIES):
             latest = self.manifest()

@@ -81,6 +81,26 @@ def test_a_new_store_is_filled_with_few_exchanges(spark, tmp_path):
     assert s.estimates().select("entries", "keys", "files").first() == (100, 3, 50)
 
 
+def test_files_are_extracted_once_and_lie_in_order(spark, tmp_path):
+    """Neither the bounds of the ranges nor the table by file extract anew; what is extracted is written by ranges of files."""
+    runs = spark.sparkContext.accumulator(0)
+    one, two = index.python_extractor(lambda r: runs.add(1) or {"b": "1", "a": r["path"]}, ["path"]), index.words()
+    s = stores.IndexStore(spark, str(tmp_path / "s"))
+    s.register(index.IndexDefinition("one", 1, one))
+    s.register(index.IndexDefinition("two", 1, two))
+    f = [(i, f"/{i}", "d c c", 1, 1) for i in range(60)]
+    s.refresh(files(spark, *f[::-1]))
+    assert runs.value == 60
+    for at in (tmp_path / "s").glob("layer-*/forward/index_id=*/*.parquet"):
+        got = [tuple(r) for r in spark.read.parquet(str(at)).select("file_id", "key").collect()]
+        assert got and got == sorted(got)
+    spans = sorted((z["id_lo"], z["id_hi"]) for z in s._zones(s.manifest()["layers"][0]).where("name = 'forward' and index_id = 'two'").collect())
+    assert all(a[1] < b[0] for a, b in zip(spans, spans[1:]))
+    assert rows(s.entries(), "index_id", "key", "file_id", "value") == sorted([("one", "a", i, f"/{i}") for i in range(60)] + [("one", "b", i, "1") for i in range(60)] + [("two", "c", i, "2") for i in range(60)] + [("two", "d", i, "1") for i in range(60)], key=repr)
+    s.compact()
+    assert s.entries().count() == 240 and s.keys_of("two", 7).count() == 2 and s.estimates().where("index_id = 'two'").select("entries", "files", "p50").first() == (120, 60, 2)
+
+
 def test_incremental_equals_rebuild(spark, tmp_path):
     words = index.IndexDefinition("words", 1, index.words())
     one, two = (stores.IndexStore(spark, str(tmp_path / n)) for n in ("one", "two"))
