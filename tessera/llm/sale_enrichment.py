@@ -1,21 +1,24 @@
-"""Sales enriched with the version of their client that was valid when they were sold: two chained transformWithState stages.
+"""Sales enriched with the version of their client that was valid when they were sold: a streaming query with state.
 
 The tables are cut into batches of arrival, written, and fed in order to one streaming query that is started anew for every
-batch on one checkpoint. Its first stage, the gate, is keyed by a hash of the sale and holds sales until H, the smaller of
-the two tables' watermarks, has passed them. Released sales go to the second stage, keyed by client, which holds versions:
-it accepts a batch's changes, answers the sales, and prunes only then.
+batch on one checkpoint. Its stage is keyed by client. It accepts a batch's changes, holds sales until H, the smaller of the two
+tables' watermarks, has passed them, answers those that are released from the versions it holds, and prunes only then.
 
-    sales   -> pack -> gate (key: hash of the sale) --released--+
-    changes -> pack ---------------------------------------------+-> versions (key: slot of the client) -> parquet
+    sales   -> pack -+
+    changes -> pack -+-> versions and waiting sales (key: slot of the client) -> parquet
 
-Both keys stand for many sales or clients: a key has about KEY_ROWS rows of the whole table, so one call of Python serves
-thousands of them in arrays. A client with more than SLICE_ROWS rows (or a 600th of all rows, where that is more, so there
-are at most 600 such) has slots of its own, one a slice of time with about as many rows each, so its rows are dealt over
-many keys and tasks. A slice answers from its own versions and reports its head (count, last version, whether it still
+A key stands for many clients: it has about KEY_ROWS rows of the whole table, so one call of Python serves thousands of them in
+arrays. A client with more than SLICE_ROWS rows (or a 600th of all rows, where that is more, so there are at most 600 such) has
+slots of its own, one a slice of time with about as many rows each, so its rows are dealt over many keys and tasks.
+A slice answers from its own versions and reports its head (count, last version, whether it still
 holds one at or before H); what earlier and later slices mean for a sale follows from the heads of its client, at most
 SLICES a batch, by a join on client, batch and slice. Nothing that grows with the input meets in one task, reaches the
 driver (12 pairs of watermarks do) or is broadcast (600 clients with SLICES bounds each are).
 
+State lies in maps that a task reads from the checkpoint and drops when it commits: a partition has one key's rows or few, so its
+state is small, and nothing of a start outlives it in an executor. (RocksDB, which transformWithState asks for, leaves native
+memory behind with every store that is opened, and each start opens all of them anew.)
+
 Every start has its batch, H and the changes' watermark as parameters, computed from the written batches; a start that is
 repeated after a failure reads the same files from its checkpoint's log and gives the same rows once. Rows that only wake a
 key let empty batches, waiting sales and pruning take their turn.
@@ -29,17 +32,18 @@ tables give no rows; extra columns are not read (but tell changes apart).
 
 from __future__ import annotations
 
+import json
+
 import numpy as np
 import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
-from pyspark.sql.streaming import StatefulProcessor
 
 from ..storage import forget_path
 from .common import forget, fresh_path, load, saved, shuffle_parts
 
 BATCHES, FIRST_DAY, DAYS, DELAY_DAYS = 12, 19723, 152, 4
-#: Rows of a table that share a key of a stage.
+#: Rows of both tables that share a key.
 KEY_ROWS = 40_000
 #: Rows of a slice of a client's time, and slices of a client at most.
 SLICE_ROWS, SLICES = 20_000, 256
@@ -49,7 +53,7 @@ HOT_SHARE = 600
 PACKED = 400_000
 
 _NEVER = -(1 << 62)
-_SALE, _CHANGE = "gate int, slot long, id long, client long, at long, wake boolean", "slot long, id long, client long, at long, cents long, op string, wake boolean"
+_SALE, _CHANGE = "slot long, id long, client long, at long, wake boolean", "slot long, id long, client long, at long, cents long, op string, wake boolean"
 _PACKED = "slot long, kind string, rows binary, names array<string>"
 RESULT = "rec string, id long, batch long, n_held long, change_id long, balance_cents long, op string, client long, at long, slot long, held boolean, n_low long"
 
@@ -115,14 +119,14 @@ def _slot(keys: int, spread) -> F.Column:
     return F.when(F.col("hot").isNotNull(), own).otherwise(F.pmod(F.xxhash64(F.coalesce(F.col("client"), spread)), F.lit(keys))).cast("long")
 
 
-def write_feed(s: DataFrame, c: DataFrame, hot: DataFrame, path: str, gates: int, slots: int) -> None:
+def write_feed(s: DataFrame, c: DataFrame, hot: DataFrame, path: str, slots: int) -> None:
     """Both tables under path, a folder a batch, with rows of no id that wake every key in every batch."""
     spark = s.sparkSession
     every = F.explode(F.sequence(F.lit(0), F.lit(BATCHES))).alias("batch")
     none = lambda *names: [F.lit(None).cast("string" if x == "op" else "long").alias(x) for x in names]
-    s = s.join(F.broadcast(hot), "client", "left").withColumn("slot", _slot(slots, F.col("id"))).withColumn("gate", F.pmod(F.xxhash64("id"), F.lit(gates)).cast("int"))
-    wake = spark.range(gates).select(every, F.col("id").cast("int").alias("gate"), F.lit(0).cast("long").alias("slot"), *none("id", "client", "at"), F.lit(True).alias("wake"))
-    s.select("batch", "gate", "slot", "id", "client", "at", F.lit(False).alias("wake")).union(wake).write.partitionBy("batch").parquet(f"{path}/sales")
+    s = s.join(F.broadcast(hot), "client", "left").withColumn("slot", _slot(slots, F.col("id")))
+    wake = spark.range(1).select(every, F.col("id").alias("slot"), *none("id", "client", "at"), F.lit(True).alias("wake"))
+    s.select("batch", "slot", "id", "client", "at", F.lit(False).alias("wake")).union(wake).write.partitionBy("batch").parquet(f"{path}/sales")
     c = c.join(F.broadcast(hot), "client", "left").withColumn("slot", _slot(slots, F.col("id")))
     own = hot.select(F.explode(F.sequence(F.lit(0), F.size("bounds"))).alias("k"), "hot").select((slots + F.col("hot") * SLICES + F.col("k")).cast("long").alias("slot"))
     wake = spark.range(slots).select(F.col("id").alias("slot")).union(own).select(every, "slot", *none("id", "client", "at", "cents", "op"), F.lit(True).alias("wake"))
@@ -155,15 +159,21 @@ def _together(batches):
         yield pa.Table.from_batches(held).combine_chunks()
 
 
+def _packed(kind: str, slot: np.ndarray, rows: np.ndarray, wake: pa.ChunkedArray, names: list | None) -> pa.RecordBatch:
+    """(slot, kind, rows, names), one row a slot; rows that only wake a slot are left out."""
+    real = ~wake.chunk(0).to_numpy(zero_copy_only=False)
+    out = [(s, rows[k[real[k]]].tobytes()) for s, k in _split(slot)]
+    n = len(out)
+    return pa.RecordBatch.from_arrays([pa.array([s for s, _ in out], pa.int64()), pa.array([kind] * n), pa.array([r for _, r in out], pa.binary()), pa.array([names] * n, pa.list_(pa.string()))], ["slot", "kind", "rows", "names"])
+
+
 def pack_sales(batches):
-    """One row a gate: its sales as an array of (slot, id, client, at, flags); flags: 1 null client, 2 null time, 4 null id."""
+    """One row a slot: its sales as an array of (id, client, at, flags); flags: 1 null client, 2 null time, 4 null id."""
     for t in _together(batches):
-        gate, _ = _ints(t["gate"].chunk(0))
-        (slot, _), (id_, no_id), (client, no_client), (at, no_at) = (_ints(t[x].chunk(0)) for x in ("slot", "id", "client", "at"))
-        rows = np.stack([slot, id_, client, at, no_client * 1 + no_at * 2 + no_id * 4], axis=1)
-        real = ~t["wake"].chunk(0).to_numpy(zero_copy_only=False)
-        out = [(g, rows[k[real[k]]].tobytes()) for g, k in _split(gate)]
-        yield pa.RecordBatch.from_arrays([pa.array([g for g, _ in out], pa.int32()), pa.array([r for _, r in out], pa.binary())], ["gate", "rows"])
+        slot, _ = _ints(t["slot"].chunk(0))
+        (id_, no_id), (client, no_client), (at, no_at) = (_ints(t[x].chunk(0)) for x in ("id", "client", "at"))
+        rows = np.stack([id_, client, at, no_client * 1 + no_at * 2 + no_id * 4], axis=1)
+        yield _packed("sale", slot, rows, t["wake"], None)
 
 
 def pack_changes(batches):
@@ -175,39 +185,7 @@ def pack_changes(batches):
         names = ops.dictionary.to_pylist()
         op, no_op = _ints(ops.indices)
         rows = np.stack([id_, client, at, cents, op, no_client * 1 + no_cents * 2 + no_op * 4 + no_id * 8], axis=1)
-        real = ~t["wake"].chunk(0).to_numpy(zero_copy_only=False)
-        out = [(s, rows[k[real[k]]].tobytes()) for s, k in _split(slot)]
-        n = len(out)
-        yield pa.RecordBatch.from_arrays([pa.array([s for s, _ in out], pa.int64()), pa.array(["change"] * n), pa.array([r for _, r in out], pa.binary()), pa.array([names] * n, pa.list_(pa.string()))], ["slot", "kind", "rows", "names"])
-
-
-class Gate(StatefulProcessor):
-    """Holds sales until H has passed the time they were sold."""
-
-    def __init__(self, h: int, last: bool):
-        self.h, self.last = h, last
-
-    def init(self, handle) -> None:
-        self.waiting = handle.getValueState("waiting", "rows binary")
-
-    def handleInputRows(self, key, rows, timerValues):
-        blobs = [r for pdf in rows for r in pdf["rows"]]
-        was = self.waiting.exists()
-        if was:
-            blobs.append(self.waiting.get()[0])
-        all_ = np.frombuffer(b"".join(blobs), np.int64).reshape(-1, 5)
-        free = (all_[:, 3] < self.h) | (all_[:, 4] & 2 > 0) | self.last
-        held = all_[~free]
-        if len(held):
-            self.waiting.update((held.tobytes(),))
-        elif was:
-            self.waiting.clear()
-        out = [(s, all_[free][k].tobytes()) for s, k in _split(all_[free, 0])]
-        if out:
-            yield pd.DataFrame({"slot": [s for s, _ in out], "kind": "sale", "rows": [r for _, r in out], "names": None})
-
-    def close(self) -> None:
-        pass
+        yield _packed("change", slot, rows, t["wake"], names)
 
 
 def _last_at_or_before(versions, sales) -> np.ndarray:
@@ -223,20 +201,23 @@ def _last_at_or_before(versions, sales) -> np.ndarray:
     return np.where(known & (found >= 0) & (vc[np.maximum(found, 0)] == sc), found, -1)
 
 
-class Versions(StatefulProcessor):
-    """Holds the versions of clients: accepts changes, answers sales, prunes."""
+class Versions:
+    """Holds the versions of clients and sales that H has not passed: accepts changes, answers sales, prunes."""
+
+    #: names: the ops that versions point into, as JSON.
+    STATE = "versions binary, names string, waiting binary"
 
     def __init__(self, batch: int, h: int, before: int, watermark: int, slots: int):
         self.batch, self.h, self.before, self.watermark, self.slots = batch, h, before, watermark, slots
 
-    def init(self, handle) -> None:
-        self.held = handle.getValueState("versions", "rows binary, names array<string>")
-
-    def handleInputRows(self, key, rows, timerValues):
+    def __call__(self, key, rows, state):
         sales, changes = [], []
         for pdf in rows:
             for kind, r, names in zip(pdf["kind"], pdf["rows"], pdf["names"]):
-                (sales if kind == "sale" else changes).append((r, names))
+                if kind == "sale":
+                    sales.append(r)
+                else:
+                    changes.append((r, names))
         names, code = [], {}
 
         def coded(blob, own, flag=0):
@@ -250,7 +231,9 @@ class Versions(StatefulProcessor):
             v[:, 5] |= flag
             return v
 
-        old = self.held.get() if self.held.exists() else (b"", [])
+        was = state.exists
+        versions, own, waiting = state.get if was else (b"", "[]", b"")
+        old = versions, json.loads(own)
         new = np.concatenate([np.zeros((0, 6), np.int64), *(coded(*x) for x in changes)])
         late = new[:, 2] < self.watermark
         v = np.concatenate([coded(*old, 16 * (self.before > _NEVER)), new[~late]])
@@ -262,16 +245,18 @@ class Versions(StatefulProcessor):
         if late.any():
             gone = new[late]
             yield self.table("late", len(gone), id=pd.arrays.IntegerArray(gone[:, 0].copy(), gone[:, 5] & 8 > 0))
-        s = np.frombuffer(b"".join(r for r, _ in sales), np.int64).reshape(-1, 5)
+        s = np.frombuffer(b"".join([*sales, waiting]), np.int64).reshape(-1, 4)
+        free = (s[:, 2] < self.h) | (s[:, 3] & 2 > 0) | (self.batch == BATCHES)
+        s, waiting = s[free], s[~free]
         if len(s):
-            found = _last_at_or_before((named[:, 1], named[:, 2]), (s[:, 2], s[:, 3]))
-            found = np.where(s[:, 4] & 3 > 0, -1, found)
+            found = _last_at_or_before((named[:, 1], named[:, 2]), (s[:, 1], s[:, 2]))
+            found = np.where(s[:, 3] & 3 > 0, -1, found)
             clients, n = np.unique(named[:, 1], return_counts=True)
-            at = np.minimum(np.searchsorted(clients, s[:, 2]), max(0, len(clients) - 1))
-            n_held = np.where((clients[at] == s[:, 2]) & (s[:, 4] & 1 == 0), n[at], 0) if len(clients) else np.zeros(len(s), np.int64)
+            at = np.minimum(np.searchsorted(clients, s[:, 1]), max(0, len(clients) - 1))
+            n_held = np.where((clients[at] == s[:, 1]) & (s[:, 3] & 1 == 0), n[at], 0) if len(clients) else np.zeros(len(s), np.int64)
             yield self.table(
-                "open" if hot else "sale", len(s), id=pd.arrays.IntegerArray(s[:, 1].copy(), s[:, 4] & 4 > 0), n_held=n_held, **self.version(named, found, names),
-                **({"client": s[:, 2].copy(), "slot": np.full(len(s), key[0])} if hot else {}),
+                "open" if hot else "sale", len(s), id=pd.arrays.IntegerArray(s[:, 0].copy(), s[:, 3] & 4 > 0), n_held=n_held, **self.version(named, found, names),
+                **({"client": s[:, 1].copy(), "slot": np.full(len(s), key[0])} if hot else {}),
             )
         if hot and len(named):
             low = int(self.kept(named).sum())
@@ -281,10 +266,10 @@ class Versions(StatefulProcessor):
         same = np.r_[(v[1:, 1] == v[:-1, 1]) & (v[1:, 5] & 1 == v[:-1, 5] & 1) & passed[1:], False] if len(v) else passed
         v = v[~(passed & same)]
         v[:, 5] &= 15
-        if len(v):
-            self.held.update((v.tobytes(), names))
-        else:
-            self.held.clear()
+        if len(v) or len(waiting):
+            state.update((v.tobytes(), json.dumps(names), waiting.tobytes()))
+        elif was:
+            state.remove()
 
     def kept(self, v):
         return (v[:, 5] & 16 > 0) & (v[:, 2] <= self.before)
@@ -295,17 +280,14 @@ class Versions(StatefulProcessor):
         x = v[np.maximum(at, 0)] if len(v) else np.zeros((len(at), 6), np.int64)
         text = np.array([*names, None], object)[np.where(none | (x[:, 5] & 4 > 0), len(names), x[:, 4])]
         return {
-            "change_id": pd.arrays.IntegerArray(x[:, 0].copy(), none | (x[:, 5] & 8 > 0)), "balance_cents": pd.arrays.IntegerArray(x[:, 3].copy(), none | (x[:, 5] & 2 > 0)), "op": text,
+            "change_id": pd.arrays.IntegerArray(x[:, 0].copy(), none | (x[:, 5] & 8 > 0)), "balance_cents": pd.arrays.IntegerArray(x[:, 3].copy(), none | (x[:, 5] & 2 > 0)), "op": pd.array(text, "string"),
             "at": pd.arrays.IntegerArray(x[:, 2].copy(), none), "held": ~none & self.kept(x),
         }
 
     def table(self, rec: str, n: int, **cols) -> pd.DataFrame:
         none = pd.arrays.IntegerArray(np.zeros(n, np.int64), np.ones(n, bool))
         out = {"rec": np.full(n, rec, object), **dict.fromkeys(["id", "batch", "n_held", "change_id", "balance_cents", "op", "client", "at", "slot", "held", "n_low"], none), "batch": np.full(n, self.batch)}
-        return pd.DataFrame(out | {"op": np.full(n, None, object), "held": pd.array([None] * n, "boolean")} | cols)
-
-    def close(self) -> None:
-        pass
+        return pd.DataFrame(out | {"op": pd.array([None] * n, "string"), "held": pd.array([None] * n, "boolean")} | cols)
 
 
 def stream(session: SparkSession, feed: str, batch: int, marks: list[tuple[int, int]], slots: int) -> DataFrame:
@@ -317,26 +299,19 @@ def stream(session: SparkSession, feed: str, batch: int, marks: list[tuple[int,
     come = "{" + ",".join(map(str, range(batch + 1))) + "}"
     read = lambda name, schema: session.readStream.schema(schema).option("basePath", f"{feed}/{name}").parquet(f"{feed}/{name}/batch={come}").drop("batch")
     s, c = read("sales", _SALE), read("changes", _CHANGE)
-    packed = s.mapInArrow(pack_sales, "gate int, rows binary")
-    released = packed.groupBy("gate").transformWithStateInPandas(Gate(h, last), _PACKED, "Append", "None")
-    both = released.unionByName(c.mapInArrow(pack_changes, _PACKED))
-    return both.groupBy("slot").transformWithStateInPandas(Versions(batch, h, before, watermark, slots), RESULT, "Append", "None")
+    stage = Versions(batch, h, before, watermark, slots)
+    both = s.mapInArrow(pack_sales, _PACKED).unionByName(c.mapInArrow(pack_changes, _PACKED))
+    return both.groupBy("slot").applyInPandasWithState(lambda key, rows, state: stage(key, rows, state), RESULT, stage.STATE, "append", "NoTimeout")
 
 
 def _session(spark: SparkSession) -> SparkSession:
-    """A session of the same application whose streams keep state in RocksDB; the caller's settings stay as they are."""
+    """A session of the same application for the streams; the caller's settings stay as they are."""
     own = spark.newSession()
     for key in ("spark.sql.shuffle.partitions", "spark.sql.session.timeZone"):
         own.conf.set(key, spark.conf.get(key))
-    own.conf.set("spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
-    own.conf.set("spark.sql.streaming.stateStore.rocksdb.changelogCheckpointing.enabled", "true")
-    # Stores are many and small: without this each takes some MB of disk in advance.
-    own.conf.set("spark.sql.streaming.stateStore.rocksdb.allowFAllocate", "false")
-    # A start runs one batch, after which its stores are of no use to an executor; while they are open they share their memory.
+    own.conf.set("spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.HDFSBackedStateStoreProvider")
+    # A start runs one batch, after which its stores are of no use to an executor.
     own.conf.set("spark.sql.streaming.stateStore.unloadOnCommit", "true")
-    own.conf.set("spark.sql.streaming.stateStore.rocksdb.boundedMemoryUsage", "true")
-    own.conf.set("spark.sql.streaming.stateStore.rocksdb.maxMemoryUsageMB", "64")
-    own.conf.set("spark.sql.streaming.stateStore.rocksdb.writeBufferSizeMB", "4")
     own.conf.set("spark.sql.streaming.noDataMicroBatches.enabled", "false")
     own.conf.set("spark.sql.streaming.minBatchesToRetain", "2")
     return own
@@ -373,7 +348,7 @@ def enriched(sales: DataFrame, changes: DataFrame) -> DataFrame:
     hot = saved(sliced(s, c, rows), "hot")
     keys = max(shuffle_parts(spark), -(-rows // KEY_ROWS))
     feed, state, out = (fresh_path(spark, x) for x in ("feed", "stream", "enriched"))
-    write_feed(s, c, hot, feed, keys, keys)
+    write_feed(s, c, hot, feed, keys)
     forget(c)
     forget(hot)
     session = _session(spark)

@@ -86,3 +86,32 @@ def test_batches(spark):
     days = [19722, 19723, 19735, 19736, 19874, 19875, 19999]
     got = [r[0] for r in spark.createDataFrame([(d,) for d in days], "d int").select(se.arrival(se.F.col("d"))).collect()]
     assert got == [max(0, min(11, (d - 19723) * 12 // 152)) for d in days]
+
+
+class _State:
+    """A key's state as Spark hands it over."""
+
+    exists, get = False, None
+
+    def update(self, value):
+        self.exists, self.get = True, value
+
+    def remove(self):
+        self.exists, self.get = False, None
+
+
+def test_one_stage_holds_sales_and_versions():
+    """A sale waits beside its client's versions until H passes it, and what is held is given back when nothing is left."""
+    state, none = _State(), se._NEVER
+    sale, change = np.array([[1, 7, 50, 0]], np.int64), np.array([[3, 7, 40, 900, 0, 0]], np.int64)
+    put = lambda kind, rows, names: se.pd.DataFrame({"slot": [0], "kind": [kind], "rows": [rows.tobytes()], "names": [names]})
+    run = lambda stage, *pdfs: [r for t in stage((0,), iter(pdfs), state) for r in t.to_dict("records")]
+    assert run(se.Versions(0, none, none, none, 4), put("sale", sale, None), put("change", change, ["käse"])) == []
+    assert state.exists and run(se.Versions(1, 50, none, 40, 4)) == []
+    (got,) = run(se.Versions(2, 51, 50, 45, 4))
+    assert (got["rec"], got["id"], got["batch"], got["n_held"], got["change_id"], got["balance_cents"], got["op"]) == ("sale", 1, 2, 1, 3, 900, "käse")
+    (late,) = run(se.Versions(3, 51, 51, 45, 4), put("change", change, ["käse"]))
+    assert (late["rec"], late["id"], late["batch"]) == ("late", 3, 3)
+    other = _State()
+    assert list(se.Versions(0, none, none, none, 4)((1,), iter([put("sale", sale, None)]), other)) == [] and other.exists
+    assert [t["change_id"].isna().all() for t in se.Versions(se.BATCHES, none, none, none, 4)((1,), iter([]), other)] == [True] and not other.exists
