@@ -237,3 +237,30 @@ def test_global_ids(spark):
     df = spark.createDataFrame([(127, (1 << 24) - 1), (0, 5), (None, 1)], "s int, f long").select(lookup.global_id("s", "f").alias("g"))
     df = df.select("g", *lookup.local_id("g"))
     assert [tuple(r) for r in df.collect()] == [((1 << 32) - 1, 127, (1 << 24) - 1), (5, 0, 5), (None, 0, None)]
+
+
+def test_scope_members_by_blocks_are_all_there(spark, monkeypatch):
+    monkeypatch.setattr(paths, "_BLOCK", 3, raising=False)
+    scopes = [(p, d, t, p % 5 == 0, d == 1 and p % 7 == 0) for p in range(40) for d, t in enumerate(["A", "B" if p % 2 else "A", None if p % 3 else "none"])]
+    scopes += [(None, 0, "B", None, None), (1, 0, "A", False, False)]
+    members = [(t, f"{t}{k % 19}", k % 4 != 0 or None, (True, False, None)[k % 3]) for t in "AB" for k in range(24)] + [("A", None, True, True), (None, "x", True, True)]
+    locals_ = [(p, 0, n) for p in range(40) for n in ("this", "l")]
+
+    def static(p, d):
+        of = [s for s in scopes if s[0] == p]
+        return any(s[3] for s in of if s[1] <= d) or any(s[4] for s in of if s[1] < d)
+
+    want = [(p, d, n) for p, d, t, _, _ in scopes for u, n, a, is_static in members if t is not None and t == u and a and (is_static or not static(p, d))]
+    want += [(p, d, n) for p, d, n in locals_ for q, e, *_ in scopes if (q, e) == (p, d) and not (n == "this" and static(p, d))]
+    s = spark.createDataFrame(scopes, "point long, depth int, type string, static_method boolean, static_type boolean")
+    m = spark.createDataFrame(members, "type string, name string, accessible boolean, static boolean")
+    assert rows(paths.scope_members(s, spark.createDataFrame(locals_, "point long, depth int, name string"), m)) == sorted(want, key=repr)
+
+
+def test_scope_members_are_written_in_few_bytes(spark, tmp_path):
+    no, some = F.lit(False), F.pmod(F.xxhash64("id"), F.lit(25)).cast("string").alias("type")
+    s = spark.range(2000).select(F.col("id").alias("point"), F.lit(0).alias("depth"), some, no.alias("static_method"), no.alias("static_type"))
+    m = spark.range(30000).select(some, F.concat(F.lit("s"), F.col("id").cast("string")).alias("name"), F.lit(True).alias("accessible"), no.alias("static"))
+    paths.scope_members(s, s.select("point", "depth", F.lit("l").alias("name")), m).write.parquet(str(tmp_path / "out"))
+    assert spark.read.parquet(str(tmp_path / "out")).count() == 2403066
+    assert sum(f.stat().st_size for f in (tmp_path / "out").glob("*.parquet")) < 2000000
