@@ -148,24 +148,18 @@ def top_level_names(declarations: DataFrame) -> DataFrame:
     return declarations.where((F.col("kind") == "class") & (F.col("depth") == 0)).select("file_id", "name")
 
 
-#: Rows of a type in a block of scope_members, on average, and blocks that one task takes together. Fixed values.
-_BLOCK, _TOGETHER = 256, 16
+#: Of scope_members. Points and members of a type that meet in one cell, about, and parts at least of a type's points unless they
+#: are under _FEW; points and members of a block; tasks for a core at least. Fixed values.
+_POINTS, _MEMBERS, _PARTS, _FEW, _BLOCK_POINTS, _BLOCK_MEMBERS, _TASKS = 4096, 2048, 16, 256, 32, 128, 32
 
 
-def _blocks(rows: DataFrame, keys: list[str], column: str, tasks: int | None = None) -> DataFrame:
-    """rows as blocks: _turn, type and other keys with a list of (column), as often as it is there, nulls too. Blocks of a type are
-    dealt by hash and grow in number with its rows, so none holds a large type whole; rows without type are left out.
-
-    tasks: as many whatever the bytes, where what follows makes far more of a block than its bytes tell. Blocks of a type stay
-    together by some, so a task's file knows the names of few types. Sorted keys come by _turn, so large and small types alternate:
-    a file's first rows, by which its writer decides whether a column gets a dictionary, are seldom all of types of one member.
-    """
-    many = rows.groupBy("type").agg(F.ceil(F.count("*") / _BLOCK).alias("_n"))
-    dealt = rows.join(many, "type").withColumns({"_turn": F.xxhash64(F.col("type").cast("string")), "_block": F.pmod(F.xxhash64(column), "_n")})
-    by = ["_turn", "type", *keys, "_some"]
-    dealt = dealt.withColumn("_some", F.floor(F.col("_block") / _TOGETHER))
-    dealt = dealt.repartition(tasks, *by) if tasks else dealt
-    return dealt.groupBy(*by, "_block").agg(F.collect_list(F.struct(column)).alias(f"_{column}s")).drop("_some", "_block")
+def _blocks(rows: DataFrame, keys: list[str], column: str, size: int) -> DataFrame:
+    """rows as blocks: keys with a list (column + s) of as many of the column as size, as often as it is there, nulls too; a last
+    block may hold fewer. Rows of the same keys have to be few enough for a list."""
+    listed = rows.groupBy(*keys).agg(F.collect_list(F.struct(column)).alias("_all"))
+    every = F.transform("_all", lambda x: x[column])
+    cut = F.transform(F.sequence(F.lit(1), F.size("_all"), F.lit(size)), lambda i: F.slice(every, i, F.lit(size)))
+    return listed.select(*keys, F.explode(cut).alias(f"{column}s"))
 
 
 def scope_members(scopes: DataFrame, locals_: DataFrame, members: DataFrame) -> DataFrame:
@@ -175,20 +169,36 @@ def scope_members(scopes: DataFrame, locals_: DataFrame, members: DataFrame) ->
     type, name, accessible, static. From a static method outwards, and outside of a static type, there are no `this` and
     `super` and only static members. A name that several scopes have is given for each.
 
-    The answer is as long as points and members of their types multiplied. Blocks of points meet blocks of members and are
-    unfolded last, so its rows come as runs of a point beside the same names over and over, which columnar files keep in a
-    fraction of the bytes of rows in any order.
+    The answer is as long as points and members of their types multiplied. Points and members of a type are dealt by hash into
+    parts, and each part of points meets each part of members in a cell of its own, so a cell makes some millions of rows however
+    large its type is, cells go to tasks by hash and nothing is held whole by a task or by every executor. In a cell, blocks of
+    points meet blocks of members and are unfolded last, so its rows come as runs of a point beside the same names over and over,
+    which columnar files keep in a fraction of the bytes of rows in any order. Blocks are small, as Spark keeps what a pair of
+    them makes, and of one length, as names that are packed into bits repeat in bytes only then. Types of many members come
+    first in a task: by its first rows a file's writer decides whether a column gets a dictionary.
     """
     w = Window.partitionBy("point").orderBy("depth")  # a point's scopes: as many as code is nested
     until = F.max("static_method").over(w.rowsBetween(Window.unboundedPreceding, 0))
     inside = F.max("static_type").over(w.rowsBetween(Window.unboundedPreceding, -1))
     s = scopes.withColumn("_static", F.coalesce(until, F.lit(False)) | F.coalesce(inside, F.lit(False))).select("point", "depth", "type", "_static")
-    own = locals_.join(s.select("point", "depth", "_static"), ["point", "depth"]).where(~(F.col("_static") & F.col("name").isin("this", "super")))
-    tasks = int(scopes.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    seen = _blocks(s, ["depth", "_static"], "point", tasks)
-    open_ = _blocks(members.where("accessible"), ["static"], "name")
-    met = seen.join(open_, ["_turn", "type"]).where(F.col("static") | ~F.col("_static"))
-    theirs = met.select("depth", "_names", F.inline("_points")).select("point", "depth", F.inline("_names"))
+    own = locals_.hint("merge").join(s.select("point", "depth", "_static"), ["point", "depth"]).where(~(F.col("_static") & F.col("name").isin("this", "super")))
+    spark = scopes.sparkSession
+    tasks = max(int(spark.conf.get("spark.sql.shuffle.partitions")), _TASKS * spark.sparkContext.defaultParallelism)
+    open_ = members.where("accessible").select("type", "name", "static")
+    n = s.groupBy("type").agg(F.count("*").alias("_n")).join(open_.groupBy("type").agg(F.count("*").alias("_m")), "type")
+    parts = F.greatest(F.ceil(F.col("_n") / _POINTS), F.least(F.lit(_PARTS), F.ceil(F.col("_n") / _FEW)))
+    kind = F.struct((-F.col("_m")).alias("turn"), "type").alias("_kind")  # not two keys, of which a constant type would be lost
+    n = n.select("type", kind, parts.alias("_rows"), F.ceil(F.col("_m") / _MEMBERS).alias("_columns"))
+    part = lambda column, of: F.pmod(F.xxhash64(column), of)
+    each_ = lambda of: F.explode(F.sequence(F.lit(0).cast("long"), F.col(of) - 1))
+    cell = ["_kind", "_row", "_column"]
+    seen = s.join(n, "type").select("_kind", part("point", "_rows").alias("_row"), each_("_columns").alias("_column"), "depth", "_static", "point")
+    seen = _blocks(seen.repartition(tasks, *cell), [*cell, "depth", "_static"], "point", _BLOCK_POINTS)
+    named = open_.join(n, "type").select("_kind", "_rows", part("name", "_columns").alias("_column"), "static", "name")
+    named = _blocks(named, ["_kind", "_rows", "_column", "static"], "name", _BLOCK_MEMBERS)
+    named = named.select("_kind", each_("_rows").alias("_row"), "_column", "static", "names").repartition(tasks, *cell)
+    met = seen.join(named.hint("merge"), cell).where(F.col("static") | ~F.col("_static"))
+    theirs = met.select("depth", "names", F.explode("points").alias("point")).select("point", "depth", F.explode("names").alias("name"))
     return own.select("point", "depth", "name").unionByName(theirs)
 
 

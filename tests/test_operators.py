@@ -264,3 +264,36 @@ def test_scope_members_are_written_in_few_bytes(spark, tmp_path):
     paths.scope_members(s, s.select("point", "depth", F.lit("l").alias("name")), m).write.parquet(str(tmp_path / "out"))
     assert spark.read.parquet(str(tmp_path / "out")).count() == 2403066
     assert sum(f.stat().st_size for f in (tmp_path / "out").glob("*.parquet")) < 2000000
+
+
+def one_type(spark, points, members):
+    """scope_members of points that all have one type of so many members, and one local each."""
+    no, one = F.lit(False), F.lit("A").alias("type")
+    s = spark.range(points).select(F.col("id").alias("point"), F.lit(0).alias("depth"), one, no.alias("static_method"), no.alias("static_type"))
+    m = spark.range(members).select(one, F.concat(F.lit("s"), F.col("id").cast("string")).alias("name"), F.lit(True).alias("accessible"), no.alias("static"))
+    return paths.scope_members(s, s.select("point", "depth", F.lit("l").alias("name")), m)
+
+
+@pytest.mark.parametrize("broadcast", ["10m", "-1"])
+def test_scope_members_of_one_type_are_made_by_many_tasks(spark, broadcast):
+    held = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", broadcast)
+    try:
+        counts = [n for _, n in rows(one_type(spark, 8000, 90).where("name <> 'l'").groupBy(F.spark_partition_id()).count())]
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", held)
+    assert sum(counts) == 8000 * 90 and max(counts) < sum(counts) / 2
+
+
+def test_scope_members_are_not_held_whole_by_executors(spark):
+    plan = one_type(spark, 8000, 90)._jdf.queryExecution().executedPlan().toString()
+    assert "SortMergeJoin [point" in plan and "SortMergeJoin [_kind" in plan
+    assert "BroadcastHashJoin [point" not in plan and "BroadcastHashJoin [_kind" not in plan
+
+
+def test_scope_members_meet_in_cells_of_any_size(spark, monkeypatch):
+    for name, value in {"_POINTS": 5, "_MEMBERS": 4, "_PARTS": 3, "_FEW": 2, "_BLOCK_POINTS": 2, "_BLOCK_MEMBERS": 3}.items():
+        monkeypatch.setattr(paths, name, value, raising=False)
+    for points, members in ((1, 1), (1, 30), (23, 1), (23, 30)):
+        want = [(p, 0, n) for p in range(points) for n in ["l", *(f"s{k}" for k in range(members))]]
+        assert rows(one_type(spark, points, members)) == sorted(want, key=repr)
