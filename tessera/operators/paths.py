@@ -171,11 +171,11 @@ def scope_members(scopes: DataFrame, locals_: DataFrame, members: DataFrame) ->
 
     The answer is as long as points and members of their types multiplied. Points and members of a type are dealt by hash into
     parts, and each part of points meets each part of members in a cell of its own, so a cell makes some millions of rows however
-    large its type is, cells go to tasks by hash and nothing is held whole by a task or by every executor. In a cell, blocks of
-    points meet blocks of members and are unfolded last, so its rows come as runs of a point beside the same names over and over,
-    which columnar files keep in a fraction of the bytes of rows in any order. Blocks are small, as Spark keeps what a pair of
-    them makes, and of one length, as names that are packed into bits repeat in bytes only then. Types of many members come
-    first in a task: by its first rows a file's writer decides whether a column gets a dictionary.
+    large its type is, cells go to tasks by hash and no task and no executor holds all points or members; executors hold a row of
+    counts a type. In a cell, blocks of points meet blocks of members and are unfolded last, so its rows come as runs of a point
+    beside the same names over and over, which columnar files keep in a fraction of the bytes of rows in any order. Blocks are
+    small, as Spark keeps what a pair of them makes, and of one length, as names that are packed into bits repeat in bytes only
+    then. Types of many members come first in a task: by its first rows a file's writer decides whether a column gets a dictionary.
     """
     w = Window.partitionBy("point").orderBy("depth")  # a point's scopes: as many as code is nested
     until = F.max("static_method").over(w.rowsBetween(Window.unboundedPreceding, 0))
@@ -192,9 +192,9 @@ def scope_members(scopes: DataFrame, locals_: DataFrame, members: DataFrame) ->
     part = lambda column, of: F.pmod(F.xxhash64(column), of)
     each_ = lambda of: F.explode(F.sequence(F.lit(0).cast("long"), F.col(of) - 1))
     cell = ["_kind", "_row", "_column"]
-    seen = s.join(n, "type").select("_kind", part("point", "_rows").alias("_row"), each_("_columns").alias("_column"), "depth", "_static", "point")
+    seen = s.join(F.broadcast(n), "type").select("_kind", part("point", "_rows").alias("_row"), each_("_columns").alias("_column"), "depth", "_static", "point")
     seen = _blocks(seen.repartition(tasks, *cell), [*cell, "depth", "_static"], "point", _BLOCK_POINTS)
-    named = open_.join(n, "type").select("_kind", "_rows", part("name", "_columns").alias("_column"), "static", "name")
+    named = open_.join(F.broadcast(n), "type").select("_kind", "_rows", part("name", "_columns").alias("_column"), "static", "name")
     named = _blocks(named, ["_kind", "_rows", "_column", "static"], "name", _BLOCK_MEMBERS)
     named = named.select("_kind", each_("_rows").alias("_row"), "_column", "static", "names").repartition(tasks, *cell)
     met = seen.join(named.hint("merge"), cell).where(F.col("static") | ~F.col("_static"))

@@ -289,6 +289,11 @@ def test_scope_members_are_not_held_whole_by_executors(spark):
     plan = one_type(spark, 8000, 90)._jdf.queryExecution().executedPlan().toString()
     assert "SortMergeJoin [point" in plan and "SortMergeJoin [_kind" in plan
     assert "BroadcastHashJoin [point" not in plan and "BroadcastHashJoin [_kind" not in plan
+    lines = plan.split("\n")
+    depths = [len(x) - len(x.lstrip(" :+-")) for x in lines]
+    for k in [k for k, x in enumerate(lines) if "BroadcastExchange" in x]:
+        end = next((j for j in range(k + 1, len(lines)) if depths[j] <= depths[k]), len(lines))
+        assert not [x for x in lines[k:end] if "Window" in x or "AS name" in x]
 
 
 def test_scope_members_meet_in_cells_of_any_size(spark, monkeypatch):
